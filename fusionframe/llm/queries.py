@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP10_SQL, op10_chat_format
 from .html_extract import OP1_SQL, op1_html_extract
 from .media import op6_media_columns
+from .ngram_join import op9_ngram_join
+from .pii import op7_pii
 from .token_counts import op5_token_counts
 from .toxicity import op4_toxicity
 
@@ -19,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
         "op6_media_columns": op6_media_columns,
+        "op7_pii": op7_pii,
+        "op9_ngram_join": op9_ngram_join,
         "op10_chat_format": op10_chat_format,
     }
 
