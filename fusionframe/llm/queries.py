@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP10_SQL, op10_chat_format
+from .decontaminate import op8_decontamination
 from .html_extract import OP1_SQL, op1_html_extract
 from .media import op6_media_columns
 from .ngram_join import op9_ngram_join
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_media_columns": op6_media_columns,
         "op7_pii": op7_pii,
+        "op8_decontamination": op8_decontamination,
         "op9_ngram_join": op9_ngram_join,
         "op10_chat_format": op10_chat_format,
     }
