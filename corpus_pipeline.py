@@ -1,8 +1,81 @@
-"""A training-data pipeline out of the corpus operators."""
+"""A training-data pipeline out of the corpus operators.
 
-STAGES = []
+Documents that are scored toxic go; of near duplicates the smallest id stays; documents that
+leak benchmark items go; personal data is replaced by its kind; the last stage adds the rate
+and the number of copies with which each document enters the mix.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fusionframe.llm.common import checkpointed, table
+from fusionframe.llm.decontaminate import find_leaks
+from fusionframe.llm.mixing import mix_sources
+from fusionframe.llm.ngram_join import ngram_join
+from fusionframe.llm.pii import find_pii
+from fusionframe.llm.toxicity import fit_toxicity, score_toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their own, kept in files so that it stays the same; ids may be null or repeated."""
+    return checkpointed(docs.withColumn("row_key", F.monotonically_increasing_id()))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose score is under 0.5; the model learns from the labels of all documents of the table."""
+    model = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model, keep=list(docs.columns)).where("score < 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each class; of repeated rows of this id the first."""
+    classes = ngram_join(docs).where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
+    kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi")
+    known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return known.union(kept.where("doc_id is null")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that leak no benchmark item."""
+    keyed = _numbered(docs)
+    leaks = find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(leaks, "row_key", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts and counts their characters anew."""
+    found = find_pii(docs, redact=True, keep=list(docs.columns))
+    changed = F.size("spans") > 0
+    return found.withColumn("text", F.when(changed, F.col("redacted")).otherwise(F.col("text"))).withColumn("n_chars", F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds n_tokens, rate and copies: the whole part of the rate, and one more with the rest as chance, by a hash of the row."""
+    keyed = _numbered(docs)
+    rates = mix_sources(keyed, table(spark, sf_dir, "labels"), id_col="row_key", label_id="doc_id").select("row_key", "n_tokens", F.round("rate", 6).alias("rate"))
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    return keyed.join(rates, "row_key").select(*docs.columns, "n_tokens", "rate", copies.alias("copies"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("mixing", mixing),
+]
+
+#: No stage but the last joins can be said in SQL: models and alignments are fitted and run.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return docs

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema  # noqa: F401
 
 SLICE_BYTES = 1 << 20  # bytes of text handled at once; a longer text makes a slice of its own
 
@@ -50,6 +51,11 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[dict]], s
     return df.mapInArrow(run, schema)
 
 
+def schema_of(df: DataFrame, columns: list[str]) -> str:
+    """DDL of some columns."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]

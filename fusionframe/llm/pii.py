@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_slices, table
+from .common import arrow_map, byte_slices, schema_of, table, to_arrow_schema
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -387,30 +387,34 @@ def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger, batch:
 SPAN_TYPE = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 
 
-def find_pii(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, keep: list[str] | None = None) -> DataFrame:
     """id, spans array<struct(kind, start, end, base)>, and with `redact` the text with each span replaced by its kind in angle brackets.
 
     Spans go by kind (email, ip, card, phone), then start; code points, end exclusive. A null or
     empty text has no spans (and stays as it is); very long texts are taken whole; repeated
-    rows are searched again; a null id stays null; no rows give no rows; other columns are ignored.
+    rows are searched again; a null id stays null; no rows give no rows; other columns are ignored,
+    or those in `keep` are passed through, before spans.
     """
+    own = docs.select(*keep) if keep else docs.select(F.col(id_col).cast("long"), text_col)
+    cols = own.columns if keep else [id_col]
+    at = own.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((tagger or default_tagger()).p)
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-    types = pa.schema([(id_col, pa.int64()), ("spans", item), *[("redacted", pa.string())] * redact])
+    types = pa.schema([*to_arrow_schema(own.select(*cols).schema), ("spans", item), *[("redacted", pa.string())] * redact])
 
     def rows(batch: pa.RecordBatch):
         model = Tagger(shared.value)
-        for a, b in byte_slices(batch.column(1)):
-            texts = batch.column(1).slice(a, b - a).to_pylist()
+        for a, b in byte_slices(batch.column(at)):
+            texts = batch.column(at).slice(a, b - a).to_pylist()
             base = [base_spans(x) if x else [] for x in texts]
             more = added_spans([x or "" for x in texts], base, model)
             both = [sorted([(*s, True) for s in p] + [(*s, False) for s in q]) for p, q in zip(base, more, strict=True)]
-            out = {id_col: batch.column(0).slice(a, b - a), "spans": [[{"kind": KINDS[k], "start": x, "end": y, "base": z} for k, x, y, z in own] for own in both]}
+            out = {c: batch.column(k).slice(a, b - a) for k, c in enumerate(cols)} | {"spans": [[{"kind": KINDS[k], "start": x, "end": y, "base": z} for k, x, y, z in own] for own in both]}
             if redact:
                 out["redacted"] = [redacted(x, own) for x, own in zip(texts, both, strict=True)]
             yield out
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, f"`{id_col}` bigint, spans {SPAN_TYPE}" + ", redacted string" * redact, types)
+    return arrow_map(own, rows, schema_of(own, cols) + f", spans {SPAN_TYPE}" + ", redacted string" * redact, types)
 
 
 def redacted(text: str | None, spans: list) -> str | None:

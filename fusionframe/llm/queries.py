@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import op8_decontamination
 from .html_extract import OP1_SQL, op1_html_extract
+from .mixing import op2_mix_sources
 from .media import op6_media_columns
 from .ngram_join import op9_ngram_join
 from .pii import op7_pii
@@ -19,6 +20,7 @@ from .toxicity import op4_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op2_mix_sources": op2_mix_sources,
         "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
         "op6_media_columns": op6_media_columns,

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, arrow_map, byte_slices, gram_hashes, lowered, mixed, packed, table, word_spans
+from .common import SpanHash, arrow_map, byte_slices, gram_hashes, lowered, mixed, packed, schema_of, table, to_arrow_schema, word_spans
 
 BITS = 20
 STEMS = (5, 7)  # characters from a word's start that are features of their own
@@ -105,13 +105,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, bi
     return ftrl([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y_of[k] for _, k, _ in got], float), bits)
 
 
-def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id, score double between 0 and 1, predicted int, one row per input row.
 
     Null and empty texts get the score of the bias alone; without a model every score is 0. Very long
-    texts are taken whole; repeated rows are scored alike; a null id stays null; other columns are ignored.
+    texts are taken whole; repeated rows are scored alike; a null id stays null; other columns are ignored, or
+    those in `keep` are passed through, before score and predicted.
     """
-    types = pa.schema([(id_col, pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
+    own = docs.select(*keep) if keep else docs.select(F.col(id_col).cast("long"), text_col)
+    out = own.columns if keep else [id_col]
+    at = own.columns.index(text_col)
+    kept = to_arrow_schema(own.select(*out).schema)
+    types = pa.schema([*kept, ("score", pa.float64()), ("predicted", pa.int32())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batch: pa.RecordBatch):
@@ -119,17 +124,17 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
         dense = np.zeros(1 << m.bits, np.float64) if m else None
         if m:
             dense[m.buckets] = m.weights
-        for a, b in byte_slices(batch.column(1)):
+        for a, b in byte_slices(batch.column(at)):
             score = np.zeros(b - a)
             if m:
-                text, bucket = _features(batch.column(1).slice(a, b - a), m.bits)
+                text, bucket = _features(batch.column(at).slice(a, b - a), m.bits)
                 hit = np.flatnonzero(dense[bucket])
                 keys = np.unique(text[hit] << m.bits | bucket[hit])
                 total = np.bincount(keys >> m.bits, dense[keys & ((1 << m.bits) - 1)], b - a)
                 score = 1 / (1 + np.exp(-np.clip(total + m.bias, -35, 35)))
-            yield {id_col: batch.column(0).slice(a, b - a), "score": score, "predicted": (score >= 0.5).astype(np.int32)}
+            yield {c: batch.column(k).slice(a, b - a) for k, c in enumerate(out)} | {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, f"`{id_col}` bigint, score double, predicted int", types)
+    return arrow_map(own, rows, schema_of(own, out) + ", score double, predicted int", types)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
