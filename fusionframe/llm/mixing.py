@@ -46,24 +46,27 @@ class Classifier:
     def __init__(self, domains: list[str], priors: list[float], weights: dict[str, list[float]]):
         self.domains, self.priors, self.weights = domains, priors, weights
 
-    def posterior(self, marks: Column) -> Column:
-        """array<double>, in the order of the domains."""
-        if len(self.domains) == 1:
-            return F.array(F.lit(1.0))
-        zero = F.array(*[F.lit(float(x)) for x in self.priors])
-        if self.weights:
-            words = list(self.weights)
-            rows = F.map_from_arrays(F.lit(words), F.array(*[F.array(*[F.lit(float(x)) for x in self.weights[w]]) for w in words]))
-            score = F.aggregate(F.array_intersect(marks, F.lit(words)), zero, lambda s, w: F.zip_with(s, F.element_at(rows, w), lambda a, b: a + b))
-        else:
-            score = zero
-        top = F.array_max(score)
-        raw = F.transform(score, lambda x: F.exp(x - top))
-        total = F.aggregate(raw, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(raw, lambda x: x / total)
-
-
-def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, vocabulary: int = 256, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> Classifier:
+    def members(self, features: DataFrame) -> DataFrame:
+        """id, n_tokens, p array<double> in the order of the domains, for rows of (id, n_tokens, marks).
+
+        The word table has at most `vocabulary` rows, so it is broadcast; the sums of a document
+        are complete before the shuffle, which moves one row per document.
+        """
+        k = len(self.domains)
+        if k == 1:
+            return features.select("id", "n_tokens", F.array(F.lit(1.0)).alias("p"))
+        known = features.sparkSession.createDataFrame([(w, *x) for w, x in self.weights.items()], "w string, " + ", ".join(f"l{i} double" for i in range(k)))
+        numbered = features.withColumn("row", F.monotonically_increasing_id())
+        marks = numbered.select("row", "id", "n_tokens", F.explode("marks").alias("w")).join(F.broadcast(known), "w", "left")
+        sums = marks.groupBy("row", "id", "n_tokens").agg(*[F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"l{i}") for i in range(k)])
+        score = [F.col(f"l{i}") + F.lit(float(self.priors[i])) for i in range(k)]
+        top = F.greatest(*score)
+        raw = [F.exp(x - top) for x in score]
+        total = reduce(lambda x, y: x + y, raw)
+        return sums.select("id", "n_tokens", F.array(*[x / total for x in raw]).alias("p"))
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, vocabulary: int = 1024, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> Classifier:
     """Naive Bayes on a bounded labelled sample; the `vocabulary` words with the largest chi-square over the domains."""
     sample = checkpointed(_labelled(labels, label_id, sample_rows))
     mine = docs.join(F.broadcast(sample), F.col(label_id) == F.col("k")).select("k", "domain", F.col(text_col).alias("text"))
@@ -133,7 +136,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 40, chunk:
     return now
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 256, label_id: str = "doc_id") -> DataFrame:
+def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 1024, label_id: str = "doc_id") -> DataFrame:
     """id, n_tokens long, posterior array<double> (domains in name order), rate double: one row per document.
 
     Rates times tokens times posteriors sum to the targets (shares of all tokens, made to sum to
@@ -145,7 +148,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     model = fit_domains(docs, labels, sample_rows, vocabulary, id_col, text_col, label_id)
     wanted = [(targets or TARGETS).get(d, 0.0) for d in model.domains]
     wanted = [x / sum(wanted) for x in wanted] if sum(wanted) > 0 else [1 / len(wanted)] * len(wanted)
-    members = checkpointed(_features(docs, id_col, text_col).select("id", "n_tokens", model.posterior(F.col("marks")).alias("p")))
+    members = checkpointed(model.members(_features(docs, id_col, text_col)))
     return fit_rates(members, wanted).select(F.col("id").alias(id_col), "n_tokens", F.col("p").alias("posterior"), "rate")
 
 
