@@ -226,7 +226,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     degree = ways.join(classes.select(F.col("rep").alias("b"), "copies"), "b").select(F.col("a").alias("rep"), F.col("copies").alias("n")).union(large.where("b is null").select("a", "n")).groupBy("rep").agg(F.sum("n").alias("n"))
     lows = found.join(classes, "rep").groupBy("component").agg(F.min("low").alias("class_id"))
     linked = found.join(lows, "component").select("rep", "class_id")
-    per_class = classes.join(linked, "rep", "left").join(degree, "rep", "left").select("rep", F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    per_class = checkpointed(classes.join(linked, "rep", "left").join(degree, "rep", "left").select("rep", F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies")))  # on its own, so that the join below can split the rows of a hot class
     out = known.select("id", "rep").join(per_class, "rep").select("id", "class_id", "n_links", "n_copies")
     alone = signed.where(F.col("id").isNull() | F.col("rep").isNull()).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return out.union(alone).withColumnRenamed("id", id_col)
