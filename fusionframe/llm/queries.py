@@ -13,6 +13,7 @@ from .mixing import op2_mix_sources
 from .media import op6_media_columns
 from .ngram_join import op9_ngram_join
 from .pii import op7_pii
+from .suffix_dedup import op3_suffix_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op4_toxicity
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
         "op2_mix_sources": op2_mix_sources,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
         "op6_media_columns": op6_media_columns,
