@@ -121,7 +121,7 @@ def geodesic(vertices: DataFrame, edge: DataFrame, sources: DataFrame, most: flo
     dist = checkpointed(sources.select("mesh", "vid", F.lit(0.0).alias("dist")).distinct())
     front = dist
     while not front.isEmpty():
-        step = front.join(ways, (front["mesh"] == ways["mesh"]) & (front["vid"] == ways["a"])).select(ways["mesh"], F.col("b").alias("vid"), (F.col("dist") + F.col("w")).alias("new")).where(F.col("new") <= most)
+        step = front.withColumnRenamed("vid", "a").join(ways, ["mesh", "a"]).select("mesh", F.col("b").alias("vid"), (F.col("dist") + F.col("w")).alias("new")).where(F.col("new") <= most)
         step = step.groupBy("mesh", "vid").agg(F.min("new").alias("new"))
         all_ = checkpointed(dist.join(step, ["mesh", "vid"], "full").select("mesh", "vid", F.least("dist", "new").alias("low"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("fell")))
         dist = all_.select("mesh", "vid", F.col("low").alias("dist"))

@@ -115,9 +115,9 @@ def information_matrix(points: DataFrame, by: str) -> DataFrame:
 
 
 def transform_error(pose: Column, info: Column) -> Column:
-    """e'Ie / I[0] with e = [t, -q] of a pose (16) under an information matrix (36)."""
+    """e'Ie / I[0] of a pose (16) under an information matrix (36); e holds t and the vector part of the quaternion (w >= 0) whose turn is the pose's."""
     _, qx, qy, qz = geom.matrix_to_quaternion(pose)
-    e = F.array(pose[3], pose[7], pose[11], -qx, -qy, -qz)
+    e = F.array(pose[3], pose[7], pose[11], qx, qy, qz)
     row = lambda i: F.aggregate(F.zip_with(F.slice(info, 6 * i + 1, 6), e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return F.aggregate(F.zip_with(e, F.array(*[row(i) for i in range(6)]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / info[0]
 

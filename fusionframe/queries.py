@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geom
-from .operators import evaluate, fusion, knn, registration, voxel
+from .operators import evaluate, fusion, knn, mesh, mining, registration, voxel
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -583,8 +583,6 @@ def property_zscore(spark, d):
 
 @query("property_stats", _PROP + ", s AS (SELECT prop, value, row_number() OVER (PARTITION BY prop ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY prop) AS n FROM p) SELECT prop, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high, round(stddev_pop(value), 6) AS stddev, round(sum(abs(value)), 6) AS l1, round(sqrt(sum(value * value)), 6) AS l2, round(max(value) FILTER (WHERE k = floor(n * 90 / 100.0)), 6) AS p90 FROM s GROUP BY prop")
 def property_stats(spark, d):
-    from .operators import mesh
-
     return rounded(mesh.property_stats(prop(spark, d), "prop", "value", 90), "mean", "low", "high", "stddev", "l1", "l2", "p90")
 
 
@@ -603,6 +601,70 @@ def hash_sample_keypoints(spark, d):
     return v.select("grid", *voxel.AXES).orderBy(F.xxhash64(F.lit(7), "grid", *voxel.AXES), "grid", *voxel.AXES).limit(500)
 
 
+# --- mining and meshes -----------------------------------------------------------------------
+
+
+@query("triplet_mining")
+def triplet_mining(spark, d):
+    seen = fusion.valid_depth(depth(spark, d)).withColumn("scene", F.lit(0))
+    p = poses(spark, d).withColumn("scene", F.lit(0))
+    anchors = seen.withColumn("p1", F.xxhash64("frame", "px", "py"))
+    return mining.mine_triplets(anchors, seen, p, K, baseline=0.1, agree=0.5)
+
+
+def surface_mesh(spark, d):
+    """A height field: part keys on a 40-wide lattice, heights by size; two faces a cell."""
+    p = table(spark, d, "part").select(F.lit("part").alias("mesh"), (F.col("p_partkey") - 1).alias("vid"), F.col("p_size").cast("double").alias("z")).where("vid < 1600")
+    v = p.select("mesh", "vid", (F.col("vid") % 40).cast("double").alias("x"), F.floor(F.col("vid") / 40).cast("double").alias("y"), (F.col("z") * 0.02).alias("z"))
+    keys = v.select("mesh", "vid")
+    quads = keys.where("vid % 40 < 39")
+    for off in (1, 40, 41):
+        quads = quads.join(keys.select("mesh", (F.col("vid") - off).alias("vid")), ["mesh", "vid"], "left_semi")
+    tri = F.explode(F.array(F.struct((F.col("vid") * 2).alias("fid"), F.col("vid").alias("v0"), (F.col("vid") + 1).alias("v1"), (F.col("vid") + 40).alias("v2")), F.struct((F.col("vid") * 2 + 1).alias("fid"), (F.col("vid") + 1).alias("v0"), (F.col("vid") + 41).alias("v1"), (F.col("vid") + 40).alias("v2"))))
+    return v, quads.select("mesh", tri.alias("f")).select("mesh", "f.*")
+
+
+MESH = "WITH v AS (SELECT p_partkey - 1 AS vid, ((p_partkey - 1) % 40)::DOUBLE AS x, floor((p_partkey - 1) / 40.0)::DOUBLE AS y, p_size * 0.02e0 AS z FROM part WHERE p_partkey <= 1600), q AS (SELECT vid FROM v WHERE vid % 40 < 39 AND vid + 1 IN (SELECT vid FROM v) AND vid + 40 IN (SELECT vid FROM v) AND vid + 41 IN (SELECT vid FROM v)), f AS (SELECT vid * 2 AS fid, vid AS v0, vid + 1 AS v1, vid + 40 AS v2 FROM q UNION ALL SELECT vid * 2 + 1, vid + 1, vid + 41, vid + 40 FROM q), c AS (SELECT fid, v0, v1, v2, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, d.x - a.x AS wx, d.y - a.y AS wy, d.z - a.z AS wz FROM f JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v d ON d.vid = v2), m AS (SELECT *, sqrt((uy*wz-uz*wy)**2 + (uz*wx-ux*wz)**2 + (ux*wy-uy*wx)**2) / 2 AS area FROM c), e AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM (SELECT v0 AS p, v1 AS q FROM f UNION ALL SELECT v1, v2 FROM f UNION ALL SELECT v2, v0 FROM f))"
+
+
+@query("mesh_stats", MESH + " SELECT 'part' AS mesh, round(sum(area), 6) AS area, round(sum(area * (ax + (ux + wx) / 3)) / sum(area), 6) AS x, round(sum(area * (ay + (uy + wy) / 3)) / sum(area), 6) AS y, round(sum(area * (az + (uz + wz) / 3)) / sum(area), 6) AS z, round((SELECT avg(sqrt((p.x-q.x)**2 + (p.y-q.y)**2 + (p.z-q.z)**2)) FROM e JOIN v p ON p.vid = e.a JOIN v q ON q.vid = e.b), 6) AS mean_edge FROM m")
+def mesh_stats(spark, d):
+    return rounded(mesh.mesh_stats(*surface_mesh(spark, d)), "area", "x", "y", "z", "mean_edge")
+
+
+@query("vertex_area", MESH + " SELECT 'part' AS mesh, vid, round(sum(area) / 3, 6) AS area FROM (SELECT unnest([v0, v1, v2]) AS vid, area FROM m) GROUP BY vid")
+def vertex_area(spark, d):
+    return rounded(mesh.vertex_area(*surface_mesh(spark, d)), "area")
+
+
+@query("gauss_curvature", MESH + ", r AS (SELECT v0 AS vid, area, acos((ux*wx+uy*wy+uz*wz) / sqrt((ux*ux+uy*uy+uz*uz) * (wx*wx+wy*wy+wz*wz))) AS g FROM m UNION ALL SELECT v1, area, acos((-ux*(wx-ux)-uy*(wy-uy)-uz*(wz-uz)) / sqrt((ux*ux+uy*uy+uz*uz) * ((wx-ux)**2+(wy-uy)**2+(wz-uz)**2))) FROM m UNION ALL SELECT v2, area, acos((-wx*(ux-wx)-wy*(uy-wy)-wz*(uz-wz)) / sqrt((wx*wx+wy*wy+wz*wz) * ((ux-wx)**2+(uy-wy)**2+(uz-wz)**2))) FROM m) SELECT 'part' AS mesh, vid, round(3 * (2 * pi() - sum(g)) / sum(area), 5) + 0e0 AS curvature FROM r GROUP BY vid")
+def gauss_curvature(spark, d):
+    return rounded(mesh.gauss_curvature(*surface_mesh(spark, d)), "curvature", n=5)
+
+
+@query("local_extrema", MESH + ", n AS (SELECT a AS vid, b AS o FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT n.vid, max(v.z) AS z FROM n JOIN v ON v.vid = n.o GROUP BY 1) SELECT 'part' AS mesh, v.vid, round(v.z, 6) AS value FROM v JOIN g ON v.vid = g.vid WHERE v.z > g.z")
+def local_extrema(spark, d):
+    v, f = surface_mesh(spark, d)
+    return rounded(mesh.local_extrema(v.select("mesh", "vid", F.col("z").alias("value")), mesh.edges(f)), "value")
+
+
+@query("mesh_smooth", MESH + ", n AS (SELECT a AS vid, b AS o FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT n.vid, avg(v.x) AS x, avg(v.y) AS y, avg(v.z) AS z FROM n JOIN v ON v.vid = n.o GROUP BY 1) SELECT 'part' AS mesh, v.vid, round(coalesce(v.x + 0.5e0 * (g.x - v.x), v.x), 6) AS x, round(coalesce(v.y + 0.5e0 * (g.y - v.y), v.y), 6) AS y, round(coalesce(v.z + 0.5e0 * (g.z - v.z), v.z), 6) AS z FROM v LEFT JOIN g ON v.vid = g.vid")
+def mesh_smooth(spark, d):
+    v, f = surface_mesh(spark, d)
+    return rounded(mesh.smooth(v, mesh.edges(f)), "x", "y", "z")
+
+
+@query("delete_unused", MESH + " SELECT 'part' AS mesh, vid FROM v WHERE vid IN (SELECT unnest([v0, v1, v2]) FROM f)")
+def delete_unused(spark, d):
+    return mesh.delete_unused(*surface_mesh(spark, d)).select("mesh", "vid")
+
+
+@query("geodesic")
+def geodesic(spark, d):
+    v, f = surface_mesh(spark, d)
+    return rounded(mesh.geodesic(v, mesh.edges(f), v.where("vid = 0"), most=12.0), "dist")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
