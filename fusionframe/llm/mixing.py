@@ -69,7 +69,8 @@ class Classifier:
 def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, vocabulary: int = 1024, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> Classifier:
     """Naive Bayes on a bounded labelled sample; the `vocabulary` words with the largest chi-square over the domains."""
     sample = checkpointed(_labelled(labels, label_id, sample_rows))
-    mine = docs.join(F.broadcast(sample), F.col(label_id) == F.col("k")).select("k", "domain", F.col(text_col).alias("text"))
+    # Written first: else the words of all documents are split before the join drops them.
+    mine = checkpointed(docs.join(F.broadcast(sample), F.col(label_id) == F.col("k")).select("k", "domain", F.col(text_col).alias("text")))
     sizes = {r.domain: r.n for r in mine.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(sizes)
     if not domains:
