@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -248,9 +249,11 @@ def _judge_strings(pdf):
 
 
 def _release(df: DataFrame) -> None:
-    """Lets Spark's cleaner drop shuffle files of plans that are done."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop shuffle files of plans that are done; the first collection frees the plans, the second what they held."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
