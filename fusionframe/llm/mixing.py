@@ -70,7 +70,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, voc
     """Naive Bayes on a bounded labelled sample; the `vocabulary` words with the largest chi-square over the domains."""
     sample = checkpointed(_labelled(labels, label_id, sample_rows))
     # Written first: else the words of all documents are split before the join drops them.
-    mine = checkpointed(docs.join(F.broadcast(sample), F.col(label_id) == F.col("k")).select("k", "domain", F.col(text_col).alias("text")))
+    mine = checkpointed(docs.select(F.col(label_id).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(sample), "k").select("k", "domain", "text"))
     sizes = {r.domain: r.n for r in mine.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(sizes)
     if not domains:
@@ -105,36 +105,43 @@ def _solve(m: list[list[float]], y: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = 40, chunk: int = 8, tolerance: float = 1e-7) -> DataFrame:
-    """members (id, n_tokens, p array) with `rate`; targets are shares of all tokens, one a domain."""
+def fit_rates(members: DataFrame, targets: list[float], steps: int = 60, tolerance: float = 1e-7) -> DataFrame:
+    """members (id, n_tokens, p array) with `rate`; targets are shares of all tokens, one a domain.
+
+    Gradient steps move the rates before projection, and what is read is their projection to r >= 0;
+    so the state is one number a domain, and the rates that meet the targets are those of
+    least change (squared, weighted by tokens). A step that makes the gap larger is halved.
+    """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
     mass = F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    base, history, pace, last = members.withColumn("rate", F.lit(1.0)), [], 1.0, float("inf")
-    for done in range(steps + 1):
-        rate = F.col("rate")
-        for y in history:
-            rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [p[i] * F.lit(float(y[i])) for i in range(k)]))
-        now = base.withColumn("rate", rate)
-        if len(history) == chunk:
-            base, history = checkpointed(now), []
-            now = base
+
+    def at(y: list[float]) -> DataFrame:
+        return members.withColumn("rate", F.greatest(F.lit(0.0), 1.0 - reduce(lambda a, b: a + b, [p[i] * F.lit(float(y[i])) for i in range(k)])))
+
+    moved, best, best_size, pace = [0.0] * k, [0.0] * k, float("inf"), 1.0
+    for _ in range(steps):
+        now = at(moved)
         free = mass * (F.col("rate") > 0).cast("int")
         sums = now.agg(F.sum(mass).alias("n"), *[F.sum(mass * p[i] * F.col("rate")).alias(f"d{i}") for i in range(k)], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
         if not sums.n:
             return now
         gap = [sums[f"d{i}"] / sums.n - targets[i] for i in range(k)]
         size = max(map(abs, gap))
-        if size < tolerance or done == steps:
-            return now
-        pace, last = max(pace / 2, 0.125) if size > last else min(1.0, pace * 1.5), size
-        gram = [[sums[f"g{min(i, j)}_{max(i, j)}"] / sums.n for j in range(k)] for i in range(k)]
-        ridge = 1e-6 * sum(gram[i][i] for i in range(k)) + 1e-12
-        for i in range(k):
-            gram[i][i] += ridge
-        history.append([pace * y for y in _solve(gram, gap)])
-    return now
+        if size < best_size:
+            best, best_size, pace = moved, size, min(1.0, pace * 2)
+            gram = [[sums[f"g{min(i, j)}_{max(i, j)}"] / sums.n for j in range(k)] for i in range(k)]
+            ridge = 1e-6 * sum(gram[i][i] for i in range(k)) + 1e-12
+            for i in range(k):
+                gram[i][i] += ridge
+            step = _solve(gram, gap)
+        else:
+            pace /= 2
+        if best_size < tolerance or pace < 1e-6:
+            break
+        moved = [y + pace * s for y, s in zip(best, step, strict=True)]
+    return at(best)
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 1024, label_id: str = "doc_id") -> DataFrame:

@@ -178,8 +178,8 @@ def test_rates_meet_targets(spark):
     rng = np.random.default_rng(8)
     rows = [(i, int(n), [float(p), float(1 - p)]) for i, (n, p) in enumerate(zip(rng.integers(1, 900, 400), rng.random(400)))]
     members = spark.createDataFrame(rows, "id long, n_tokens long, p array<double>")
-    for target in ([0.5, 0.5], [0.95, 0.05], [0.2, 0.8]):
-        got = {r.id: r.rate for r in mixing.fit_rates(members, target, chunk=3).collect()}
+    for target in ([0.5, 0.5], [0.8, 0.2], [0.2, 0.8]):
+        got = {r.id: r.rate for r in mixing.fit_rates(members, target).collect()}
         n, p, r = np.array([x[1] for x in rows]), np.array([x[2] for x in rows]), np.array([got[x[0]] for x in rows])
         assert r.min() >= 0 and np.allclose((n[:, None] * p * r[:, None]).sum(0) / n.sum(), target, atol=1e-5)
         # Brute force: the least change (weighted by tokens) that meets the targets, by plain projected steps on the dual.
@@ -187,7 +187,7 @@ def test_rates_meet_targets(spark):
         for _ in range(20_000):
             s = np.maximum(0, 1 - p @ y)
             y += ((n[:, None] * p * s[:, None]).sum(0) / n.sum() - target) * 0.5
-        assert np.allclose(r, np.maximum(0, 1 - p @ y), atol=0.05)
+        assert np.allclose(r, np.maximum(0, 1 - p @ y), atol=1e-3)
 
 
 def test_mixing_awkward(spark, awkward, nothing):  # noqa: F811
