@@ -98,7 +98,7 @@ def _marks(kind: int, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, at: np
 
 def _mark_columns(rows: list[tuple]) -> dict:
     word = lambda x: x.to_bytes(8, "little", signed=True)
-    return {"bucket": [r[1] & 0x7FFFFFFF for r in rows], "ids": [word(r[0]) for r in rows], "keys": [word(r[1]) for r in rows], "entries": [None] * len(rows), "kind": [r[2] for r in rows], "marks": [r[3] for r in rows]}
+    return {"bucket": [r[0] & 0x7FFFFFFF for r in rows], "ids": [word(r[0]) for r in rows], "keys": [word(r[1]) for r in rows], "entries": [None] * len(rows), "kind": [r[2] for r in rows], "marks": [r[3] for r in rows]}
 
 
 def _packed_entries(e: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, wire: np.dtype) -> dict:
