@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geom
-from .operators import evaluate, fusion, knn, mesh, mining, registration, voxel
+from .operators import evaluate, fusion, knn, mesh, mining, registration, surface, voxel
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -665,6 +665,72 @@ def geodesic(spark, d):
     return rounded(mesh.geodesic(v, mesh.edges(f), v.where("vid = 0"), most=12.0), "dist")
 
 
+# --- more on grids and surfaces --------------------------------------------------------------
+
+
+@query("grid_pointwise", VOX + " SELECT grid, ix, iy, iz, round(sqrt(value), 6) AS root, round(value * value, 6) AS square, -value AS negated, round(1 / value, 6) AS inverse, round(pow(abs(value), 1.5e0), 6) AS power, round(value / sqrt((SELECT sum(value * value) FROM vox o WHERE o.grid = vox.grid)), 6) AS normalized FROM vox")
+def grid_pointwise(spark, d):
+    v = voxels(spark, d)
+    norm = v.groupBy("grid").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    x = F.col("value")
+    out = v.join(norm, "grid").select("grid", *voxel.AXES, F.sqrt(x).alias("root"), (x * x).alias("square"), (-x).alias("negated"), F.when(x != 0, 1 / x).alias("inverse"), F.pow(F.abs(x), F.lit(1.5)).alias("power"), (x / F.col("norm")).alias("normalized"))
+    return rounded(out, "root", "square", "inverse", "power", "normalized")
+
+
+@query("grid_dilate", VOX + ", s AS (SELECT ix, iy, iz FROM vox WHERE grid = 'A' AND value > 4 AND ix < 22 AND iy < 22 AND iz < 22), g AS (SELECT p.i AS ix, q.i AS iy, r.i AS iz FROM (SELECT unnest(range(22)) AS i) p, (SELECT unnest(range(22)) AS i) q, (SELECT unnest(range(22)) AS i) r) SELECT DISTINCT 'A' AS grid, g.ix, g.iy, g.iz, 1e0 AS value FROM g, s WHERE (g.ix - s.ix)**2 + (g.iy - s.iy)**2 + (g.iz - s.iz)**2 <= 4")
+def grid_dilate(spark, d):
+    v = voxels(spark, d).where("grid = 'A' AND value > 4 AND ix < 22 AND iy < 22 AND iz < 22")
+    return voxel.dilate(v, 2.0, (22, 22, 22))
+
+
+@query("grid_slice", VOX + " SELECT grid, iy AS ix, ix AS iy, value FROM vox WHERE iz = 5")
+def grid_slice(spark, d):
+    """One plane, transposed."""
+    return voxels(spark, d).where("iz = 5").select("grid", F.col("iy").alias("ix"), F.col("ix").alias("iy"), "value")
+
+
+@query("plane_moments", PTS + " SELECT cloud, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(var_pop(x) + var_pop(y) + var_pop(z), 6) AS spread FROM pts GROUP BY cloud")
+def plane_moments(spark, d):
+    p = surface.plane_pca(points(spark, d), "cloud")
+    return rounded(p.select("cloud", "n", "cx", "cy", "cz", (F.col("v0") + F.col("v1") + F.col("v2")).alias("spread")), "cx", "cy", "cz", "spread")
+
+
+@query("plane_normals")
+def plane_normals(spark, d):
+    a, _ = two_clouds(spark, d)
+    return rounded(surface.normals(a, 0.15).select("id", "n", "nx", "ny", "nz"), "nx", "ny", "nz")
+
+
+@query("denoise", EMB.replace("FROM a, b)", "FROM e a, e b WHERE a.vec_id <> b.vec_id)") + ", r AS (SELECT a AS q, sqrt(d2) AS d, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS k FROM d), m AS (SELECT q, avg(d) AS mean_d FROM r WHERE k <= 4 GROUP BY q) SELECT q, round(mean_d, 6) AS mean_d FROM m WHERE mean_d <= (SELECT avg(mean_d) + stddev_samp(mean_d) FROM m)")
+def denoise(spark, d):
+    return rounded(surface.denoise(descriptors(spark, d)), "mean_d")
+
+
+@query("project_box", _CAM + ", c AS (SELECT unnest([-0.1e0, 0.1e0]) AS o), b AS (SELECT frame, px, py, min(round(585e0 * (x + p.o) / (z + s.o) + 320)) AS u0, max(round(585e0 * (x + p.o) / (z + s.o) + 320)) AS u1, min(round(585e0 * (y + q.o) / (z + s.o) + 240)) AS v0, max(round(585e0 * (y + q.o) / (z + s.o) + 240)) AS v1 FROM cam, c p, c q, c s WHERE z - 0.1e0 > 0 GROUP BY ALL) SELECT frame, px, py, greatest(0e0, least(639e0, u0)) AS u0, greatest(0e0, least(639e0, u1)) AS u1, greatest(0e0, least(479e0, v0)) AS v0, greatest(0e0, least(479e0, v1)) AS v1 FROM b")
+def project_box(spark, d):
+    p = geom.backproject(F.col("px"), F.col("py"), F.col("d"), K)
+    cam = fusion.valid_depth(depth(spark, d)).select("frame", "px", "py", *[c.alias(n) for c, n in zip(p, "xyz", strict=True)]).where(F.col("z") - 0.1 > 0)
+    return surface.project_box(cam, 0.1, K).drop("x", "y", "z")
+
+
+@query("quaternion_matrix", "SELECT n_nationkey AS frame, round(cos(0.05e0 * n_nationkey), 6) AS w, round(sin(0.05e0 * n_nationkey), 6) + 0e0 AS z, round(cos(0.1e0 * n_nationkey), 6) + 0e0 AS m00, round(sin(0.1e0 * n_nationkey), 6) + 0e0 AS m10, 1e0 AS m22 FROM nation")
+def quaternion_matrix(spark, d):
+    w, x, y, z = geom.matrix_to_quaternion(F.col("pose"))
+    q = poses(spark, d).select("frame", w.alias("w"), x.alias("x"), y.alias("y"), z.alias("z"))
+    m = geom.quaternion_to_matrix(*[F.col(c) for c in "wxyz"])
+    return rounded(q.select("frame", "w", "z", m[0].alias("m00"), m[3].alias("m10"), m[8].alias("m22")), "w", "z", "m00", "m10", "m22")
+
+
+@query("two_query_similarity", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT (SELECT v FROM e WHERE vec_id = 0) AS p, (SELECT v FROM e WHERE vec_id = 1) AS r), s AS (SELECT vec_id, 1 - least(sqrt(list_sum(list_transform(list_zip(v, p), lambda t: (t[1] - t[2]) * (t[1] - t[2])))), 20e0) / 20e0 AS a, 1 - least(sqrt(list_sum(list_transform(list_zip(v, r), lambda t: (t[1] - t[2]) * (t[1] - t[2])))), 20e0) / 20e0 AS b FROM e, q) SELECT vec_id, round(greatest(a, b), 6) AS sim, CASE WHEN a >= b THEN 1 ELSE 2 END AS which, round(greatest(a, b) / (SELECT max(greatest(a, b)) FROM s), 6) AS shade FROM s")
+def two_query_similarity(spark, d):
+    """Similarity to the nearer of two query descriptors, which of them it is, and the share of the largest."""
+    e = descriptors(spark, d).select(F.col("q").alias("vec_id"), "v")
+    q = e.where("vec_id < 2").agg(F.max(F.when(F.col("vec_id") == 0, F.col("v"))).alias("p"), F.max(F.when(F.col("vec_id") == 1, F.col("v"))).alias("r"))
+    s = e.crossJoin(F.broadcast(q)).select("vec_id", geom.trunc_similarity(geom.l2(F.col("v"), F.col("p")), 20.0).alias("a"), geom.trunc_similarity(geom.l2(F.col("v"), F.col("r")), 20.0).alias("b"))
+    s = s.select("vec_id", F.greatest("a", "b").alias("sim"), F.when(F.col("a") >= F.col("b"), 1).otherwise(2).alias("which"))
+    return rounded(s.crossJoin(s.agg(F.max("sim").alias("top"))).select("vec_id", "sim", "which", (F.col("sim") / F.col("top")).alias("shade")), "sim", "shade")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -173,3 +173,16 @@ def test_unique_asof_uses_each_once(spark):
     plain = {r.e: r.match for r in knn.asof_nearest(a, b, "u", "ts", "e").collect()}
     once = {r.e: r.match for r in knn.asof_nearest(a, b, "u", "ts", "e", unique=True).collect()}
     assert plain == {1: 7, 2: 7} and once == {1: 7, 2: 8}
+
+
+def test_normals_and_planes(spark):
+    from fusionframe.operators import surface
+
+    p = [("s", i * 10 + j, i * 0.1, j * 0.1, 0.2 * i * 0.1) for i in range(10) for j in range(10)]
+    df = spark.createDataFrame(p, "k string, id long, x double, y double, z double")
+    want = np.array([-0.2, 0, 1]) / np.linalg.norm([-0.2, 0, 1])
+    for r in surface.normals(df, 0.25).collect():
+        assert np.allclose([r.nx, r.ny, r.nz], want, atol=1e-6)
+    off = df.union(spark.createDataFrame([("s", 1000 + i, 0.45, 0.2 + 0.25 * i, 1.2) for i in range(3)], df.schema))
+    row = surface.refine_plane(off, "k", 0.3).first()
+    assert row.n == 100 and np.allclose([row.nx, row.ny, row.nz], want, atol=1e-6)
