@@ -234,3 +234,19 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS gram
+  FROM (SELECT rid, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.rid <> b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y, k = a.n AND k = b.n AS copy FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE k >= 0.8e0 * (a.n + b.n - k) - 1e-6),
+c AS (SELECT rid, rid AS root FROM w UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.rid),
+m AS (SELECT c.rid, min(r.doc_id) AS class_id FROM c JOIN w r ON r.rid = c.root GROUP BY c.rid),
+d AS (SELECT x AS rid, count(*) AS n_links, count(*) FILTER (WHERE copy) AS n_copies FROM l GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 0)::BIGINT AS n_copies FROM w JOIN m USING (rid) LEFT JOIN d USING (rid)
+"""

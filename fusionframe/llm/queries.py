@@ -11,9 +11,9 @@ from .decontaminate import op8_decontamination
 from .html_extract import OP1_SQL, op1_html_extract
 from .mixing import op2_mix_sources
 from .media import op6_media_columns
-from .ngram_join import op9_ngram_join
+from .ngram_join import OP9_SQL, op9_ngram_join
 from .pii import op7_pii
-from .suffix_dedup import op3_suffix_dedup
+from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op4_toxicity
 
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_extract": OP1_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_html_extract": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op9_ngram_join": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -309,3 +309,17 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: Over tables whose ids are unique.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
+s AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 49)) AS p FROM d WHERE n_bytes >= 50)),
+f AS (SELECT s, min(doc_id) AS lowest FROM s GROUP BY s),
+r AS (SELECT s.doc_id, p FROM s JOIN f USING (s) WHERE lowest < s.doc_id),
+t AS (SELECT doc_id, p, sum(CASE WHEN p - last <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM r)),
+u AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM t GROUP BY doc_id, run),
+v AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM u),
+k AS (SELECT v.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS kept FROM v JOIN d USING (doc_id) GROUP BY v.doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
