@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment of words.
 
-A first scan counts in how many documents each n-gram of the test items stands. The rarer half of
-each item's n-grams are its seeds; a common phrase seeds nothing, while an item copied everywhere
-keeps seeds, since half are always kept. A second scan finds the seeds, lays each item on the
-passage around its hits, and aligns both word by word, so edited copies score too. Items go in
-blocks of bounded bytes, each against all documents; no document or hit is left out.
+Every n-gram of an item is a seed, however rare or common; n is short enough that each alignment
+of at least the threshold holds some of them unbroken, and the least number that it holds decides
+where an item is laid on a document (see `Need`). Both are then aligned word by word, so the scores
+are those of aligning each item with each whole document. Items go in blocks of bounded bytes,
+each against all documents; no document or hit is left out.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +20,7 @@ from .common import SpanHash, arrow_map, byte_slices, gram_hashes, lowered, pack
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
+HITS = 1 << 21
 
 
 @dataclass
@@ -42,26 +42,40 @@ def items_of(rows: list[tuple[int, str]]) -> Items:
     return Items([i for i, _ in rows], [words[a:b] for a, b in zip(cut, cut[1:])])
 
 
-def _sizes(items: Items, n: int) -> list[int]:
-    return sorted({min(n, len(w)) for w in items.words if len(w)})
+class Need:
+    """What an alignment of each item has to hold to score at least `threshold`.
 
+    An item of L words needs a score S. With m matches and p mismatches and gaps, S <= MATCH m - p and
+    m <= L, so p <= slack = MATCH L - S. The matches lie in at most p + 1 unbroken runs, which hold
+    at least m - (g - 1)(p + 1) g-grams; for g > 1 this is least at m = L, for g = 1 it is S / MATCH. `size` is the
+    largest g up to n for which this is at least 1, `hits` the number; `size` is 0 where no score can do.
+    The starts of the item that its hits tell (place in the document less place in the item) differ by
+    at most slack, and the alignment lies within slack of the item laid at any of them.
+    """
 
-def item_grams(items: Items, n: int) -> dict[int, list[tuple[int, int]]]:
-    """gram -> (item index, word offset); an item of fewer than n words has one gram of them all."""
-    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for k, w in enumerate(items.words):
-        if len(w):
-            h, at = gram_hashes(w, np.zeros(len(w), np.int64), min(n, len(w)))
-            for x, p in zip(h.tolist(), at.tolist(), strict=True):
-                out[x].append((k, p))
-    return out
+    def __init__(self, items: Items, n: int, threshold: float):
+        self.length = np.array([len(w) for w in items.words], np.int64)
+        self.size, self.hits, self.slack = (np.zeros(len(self.length), np.int64) for _ in range(3))
+        for k, length in enumerate(self.length.tolist()):
+            full = MATCH * length
+            score = max(1, int(full * threshold) - 1)
+            while score <= full and score / full < threshold:
+                score += 1
+            if not length or score > full:
+                continue
+            self.slack[k] = full - score
+            self.size[k], self.hits[k] = 1, -(-score // MATCH)
+            for g in range(2, min(n, length) + 1):
+                held = length - (g - 1) * (full - score + 1)
+                if held >= 1:
+                    self.size[k], self.hits[k] = g, held
 
 
 class Finder:
     """Which of many hashes are in a fixed set: a bit table first, then a binary search."""
 
     def __init__(self, keys):
-        self.keys = np.unique(np.fromiter(keys, np.uint64))
+        self.keys = np.unique(np.asarray(keys, np.uint64))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
@@ -73,39 +87,30 @@ class Finder:
         return maybe[self.keys[np.minimum(at, len(self.keys) - 1)] == h[maybe]]
 
 
-def _frequencies(docs: DataFrame, keys: list[int], sizes: list[int]) -> dict[int, int]:
-    """Documents that hold each gram."""
-    shared = docs.sparkSession.sparkContext.broadcast(Finder(keys))
-    types = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-
-    def rows(batch: pa.RecordBatch):
-        for a, b in byte_slices(batch.column(0)):
-            *_, text, words = _words(batch.column(0).slice(a, b - a))
-            found = []
-            for n in sizes:
-                h, at = gram_hashes(words, text, n)
-                hit = shared.value.hits(h)
-                pairs = np.unique(np.stack((h[hit], text[at[hit]].astype(np.uint64)), 1), axis=0)
-                found.append(pairs[:, 0])
-            gram, n = np.unique(np.concatenate(found), return_counts=True)
-            yield {"gram": gram.view(np.int64), "n": n}
-
-    counted = arrow_map(docs.select("text"), rows, "gram bigint, n bigint", types).groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram & (1 << 64) - 1: r.n for r in counted.collect()}  # at most one row for each gram of the block
-
-
-def choose_seeds(items: Items, grams: dict[int, list[tuple[int, int]]], df: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-    """The rarer half of each item's distinct grams, at least one."""
-    own = defaultdict(set)
-    for g, places in grams.items():
-        for k, _ in places:
-            own[k].add(g)
-    out = defaultdict(list)
-    for k, gs in own.items():
-        ranked = sorted(gs, key=lambda g: (df.get(g, 0), g))
-        for g in ranked[: (len(ranked) + 1) // 2]:
-            out[g] += [p for p in grams[g] if p[0] == k]
-    return dict(out)
+@dataclass
+class Seeds:
+    """The grams of one size with their places: (item, offset) of grams[j] are those from cut[j] to cut[j + 1]."""
+
+    size: int
+    finder: Finder
+    cut: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
+
+
+def seeds_of(items: Items, need: Need) -> list[Seeds]:
+    out = []
+    for g in sorted(set(need.size.tolist()) - {0}):
+        own = np.flatnonzero(need.size == g)
+        words, at = np.concatenate([items.words[k] for k in own]), np.repeat(own, need.length[own])
+        first = np.concatenate(([0], np.cumsum(need.length[own])[:-1]))
+        h, place = gram_hashes(words, at, g)
+        order = np.argsort(h, kind="stable")
+        h, place = h[order], place[order]
+        offset = place - np.repeat(first, need.length[own])[place]
+        finder = Finder(h)
+        out.append(Seeds(g, finder, np.append(np.searchsorted(h, finder.keys), len(h)), at[place], offset))
+    return out
 
 
 def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,18 +138,55 @@ def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray
     return best, end
 
 
-def _windows(hits: list[tuple[int, int, int]], items: Items, limits: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(text, item, first, last) word ranges around the hits (text, item, start of the item there), overlapping ones joined."""
-    out: list[list[int]] = []
-    for t, k, start in sorted(set(hits)):
-        n = len(items.words[k])
-        slack = n // 2 + 4
-        a, b = max(limits[t], start - slack), min(limits[t + 1], start + n + slack)
-        if out and out[-1][:2] == [t, k] and a <= out[-1][3]:
-            out[-1][3] = max(out[-1][3], b)
-        else:
-            out.append([t, k, int(a), int(b)])
-    return [tuple(x) for x in out]
+def _starts(words: np.ndarray, text: np.ndarray, seeds: list[Seeds], n_items: int, lead: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, hits): how many hits tell that an item starts at a word of a text; code is ((text, item), start + lead) in a base of span."""
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in seeds:
+        h, at = gram_hashes(words, text, s.size)
+        hit = s.finder.hits(h)
+        which = np.searchsorted(s.finder.keys, h[hit])
+        at, many = at[hit], (s.cut[which + 1] - s.cut[which])
+        ends, done = np.cumsum(many), 0
+        while done < len(hit):  # a bounded number of hits at once
+            base = int(ends[done - 1]) if done else 0
+            to = max(done + 1, int(np.searchsorted(ends, base + HITS, "right")))
+            n = many[done:to]
+            place = np.repeat(s.cut[which[done:to]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pos = np.repeat(at[done:to], n)
+            code = (text[pos] * n_items + s.item[place]) * span + pos - s.offset[place] + lead
+            code, n = np.unique(code, return_counts=True)
+            codes.append(code)
+            counts.append(n)
+            done = to
+    code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(inverse, np.concatenate(counts), len(code)).astype(np.int64)
+
+
+def _windows(words: np.ndarray, text: np.ndarray, limits: np.ndarray, seeds: list[Seeds], need: Need) -> list[tuple[int, int, int, int]]:
+    """(text, item, first, last) word ranges that hold every alignment of at least the threshold, overlapping ones joined."""
+    n_items = len(need.length)
+    lead = int((need.length + need.slack).max(initial=0)) + 1
+    span = len(words) + 2 * lead
+    code, hits = _starts(words, text, seeds, n_items, lead, span)
+    if not len(code):
+        return []
+    pair = code // span
+    t, k, start = pair // n_items, pair % n_items, code % span - lead
+    low = np.searchsorted(code, code - need.slack[k])  # never another pair's: a start has at least slack below it
+    sums = np.concatenate(([0], np.cumsum(hits)))
+    enough = np.flatnonzero(sums[1:] - sums[low] >= need.hits[k])
+    edge = np.zeros(len(code) + 1, np.int64)
+    np.add.at(edge, low[enough], 1)
+    np.add.at(edge, enough + 1, -1)
+    kept = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    if not len(kept):
+        return []
+    t, k, start, pair = t[kept], k[kept], start[kept], pair[kept]
+    a = np.maximum(limits[t], start - need.slack[k])
+    b = np.minimum(limits[t + 1], start + need.length[k] + need.slack[k])
+    new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (a[1:] > b[:-1]))))
+    last = np.append(new[1:], len(a)) - 1
+    return list(zip(t[new].tolist(), k[new].tolist(), a[new].tolist(), b[last].tolist(), strict=True))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -152,8 +194,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
 
     score is the alignment score over that of a perfect copy (at least `threshold`); start and
     end are code points of the passage. Words are runs of letters and digits, small letters.
-    A null or empty text or item leaks nothing; an item of fewer than n words seeds with all of
-    them; repeated rows of documents give repeated rows, repeated items one row; rows with a null
+    `n` is the longest seed; shorter ones are taken where longer ones could miss an alignment.
+    A null or empty text or item leaks nothing; repeated rows of documents give repeated rows, repeated items one row; rows with a null
     item id are left out, a null document id stays null; very long texts are taken whole; other
     columns are ignored.
     """
@@ -172,22 +214,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
 
 
 def _block_leaks(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFrame:
-    sizes, grams = _sizes(items, n), item_grams(items, n)
-    seeds = choose_seeds(items, grams, _frequencies(docs, list(grams), sizes) if grams else {})
-    shared = docs.sparkSession.sparkContext.broadcast((items, seeds, Finder(seeds)))
+    need = Need(items, n, threshold)
+    shared = docs.sparkSession.sparkContext.broadcast((items, need, seeds_of(items, need)))
     types = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def rows(batch: pa.RecordBatch):
-        items, seeds, finder = shared.value
+        items, need, seeds = shared.value
         for a, b in byte_slices(batch.column(1)):
             data, starts, begin, end, text, words = _words(batch.column(1).slice(a, b - a))
             limits = np.searchsorted(text, np.arange(b - a + 1))
-            hits = []
-            for size in sizes:
-                h, at = gram_hashes(words, text, size)
-                for p in finder.hits(h):
-                    hits += [(int(text[at[p]]), k, int(at[p]) - off) for k, off in seeds[int(h[p])]]
-            found = _windows(hits, items, limits)
+            found = _windows(words, text, limits, seeds, need)
             best: dict[tuple[int, int], tuple] = {}
             found.sort(key=lambda x: (x[3] - x[2], len(items.words[x[1]])))
             at = 0

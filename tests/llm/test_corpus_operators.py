@@ -167,6 +167,36 @@ def test_leaks(spark):
         assert 25 <= len(passage) <= 31
 
 
+def test_leaks_of_spaced_edits(spark):
+    """Every pair that brute force scores at least the threshold is found, with that score, however the edits are spaced."""
+    words = lambda n, name: [f"{name}{i}" for i in range(n)]
+    items = [words(30, "a"), words(10, "b"), words(20, "c"), words(5, "d"), words(40, "e")]
+    fifth = [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(items[0])]
+    two = [f"x{i}" if i in (2, 5) else w for i, w in enumerate(items[1])]
+    inserted = [x for i, w in enumerate(items[2]) for x in ([w, f"x{i}"] if i % 2 else [w])]  # no three words in a row stay
+    single = [x for i, w in enumerate(items[3]) for x in ([w, f"x{i}"] if i < 4 else [w])]
+    early = [x for i, w in enumerate(items[4]) for x in ([w, "x"] if i < 30 else [w])]  # the hits at the end tell a late start
+    rng = random.Random(12)
+    copies = [fifth, two, inserted, single, early]
+    for _ in range(60):
+        k = rng.randrange(5)
+        copy = list(items[k])
+        for _ in range(rng.randint(0, len(copy) // 2)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 1)] = rng.choice(([], [f"y{rng.randrange(9)}"], [rng.choice(items[k])]))
+        copies.append(copy)
+    docs = [(i, ["start"] * rng.randint(0, 20) + c + ["end"] * rng.randint(0, 20)) for i, c in enumerate(copies)]
+    code = {w: i for i, w in enumerate(sorted({w for x in [*items, *(c for _, c in docs)] for w in x}))}
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in docs], "doc_id long, text string")
+    for threshold in (0.6, 0.9):
+        scored = {(i, k): brute_align([code[w] for w in x], [code[w] for w in c]) / (2 * len(x)) for i, c in docs for k, x in enumerate(items)}
+        want = {pair: s for pair, s in scored.items() if s >= threshold}
+        got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(d, b, threshold=threshold).collect()}
+        assert got == want
+        assert threshold > 0.6 or {(i, i) for i in range(5)} <= set(want)
+
+
 def test_leaks_awkward(spark, awkward, nothing):  # noqa: F811
     b = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "x y"), (2, None)], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(awkward, b).collect()) == [(5, 1), (5, 1)]
