@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +13,35 @@ def confusion_sweep(cmp: DataFrame, top: float, steps: int = 1001, d: str = "d",
     Distances are counted by the first threshold above them, and a running sum over the few counts
     gives the sweep, so the comparisons are read once and never meet the thresholds.
     """
-    spark = cmp.sparkSession
     step = top / (steps - 1)
     first = F.greatest(F.floor(F.col(d) / step).cast("long") - 1, F.lit(0))
     # Rounding may put the first threshold above d one step off; test the neighbours exactly.
     k = F.when(F.col(d) < first * step, first).when(F.col(d) < (first + 1) * step, first + 1).when(F.col(d) < (first + 2) * step, first + 2).otherwise(first + 3)
     yes = F.col(match).cast("int")
     counts = cmp.select(k.alias("k"), yes.alias("y")).groupBy("k").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    totals = counts.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("all_p"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"))
+    return sweep_of_counts(counts, steps)
+
+
+def sweep_of_counts(counts: DataFrame, steps: int = 1001) -> DataFrame:
+    """The sweep from the p matches and n non-matches whose first threshold above the distance is k; k = steps is above them all."""
     from pyspark.sql import Window
 
+    steps_and_rest = counts.sparkSession.range(steps + 1).withColumnRenamed("id", "k")
+    by_k = counts.groupBy(F.least("k", F.lit(steps)).alias("k")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # one row a threshold
-    run = spark.range(steps).withColumnRenamed("id", "k").join(counts, "k", "left").fillna(0).select("k", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
-    return run.crossJoin(totals).select("k", "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("fp")).alias("tn"))
+    total = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = steps_and_rest.join(by_k, "k", "left").fillna(0).select("k", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(total).alias("all_p"), F.sum("n").over(total).alias("all_n"))
+    return run.where(F.col("k") < steps).select("k", "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("fp")).alias("tn"))
+
+
+def first_thresholds(d: np.ndarray, y: np.ndarray, top: float, steps: int = 1001):
+    """k, p, n of many comparisons, as `sweep_of_counts` takes them."""
+    import pandas as pd
+
+    k = np.searchsorted(np.arange(steps) * (top / (steps - 1)), d, "right")
+    p, n = (np.bincount(k[y == x], minlength=steps + 1) for x in (1, 0))
+    some = np.flatnonzero(p + n)
+    return pd.DataFrame({"k": some, "p": p[some], "n": n[some]})
 
 
 def rates(sweep: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ the 27 cells around each query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,32 @@ def knn_join(queries: DataFrame, targets: DataFrame, k: int = 1, q_key: str = "q
     return top.select("q", F.posexplode("m").alias("pos", "e")).select("q", "e.t", "e.d2", (F.col("pos") + 1).alias("rank"))
 
 
+def all_pairs(df: DataFrame, fold: Callable, schema: str, key: str = "q", vec: str = "v", label: str = "label", block: int = BLOCK) -> DataFrame:
+    """What fold(d, y), a pandas frame of `schema`, makes of the pairs of each pair of blocks: every pair of different keys once.
+
+    d are the distances (9 digits), y is 1 where the labels are equal, else 0. No pair leaves its group. Labels are not null.
+    """
+    n = _count_blocks(df, block)
+    own = _blocked(df.withColumn("_v", F.struct(F.col(vec).alias("v"), F.col(label).alias("label"))), key, "_v", n, 0).select("id", "v.v", "v.label", "at")
+    mate = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = own.withColumn("mate", mate).select("id", "v", "label", "at", F.least("at", "mate").alias("i"), F.greatest("at", "mate").alias("j"))
+
+    def folded(pdf):
+        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        a, b = (pdf[pdf["at"] == x].sort_values("id") for x in (i, j))
+        v, ids, labels = np.array(b.v.tolist(), float), b.id.to_numpy(), b.label.to_numpy()
+        d, y = [np.zeros(0)], [np.zeros(0, np.int64)]
+        if len(b):
+            for ident, x, lab in zip(a.id.to_numpy(), a.v, a.label):
+                own = slice(int(np.searchsorted(ids, ident, "right")), None) if i == j else slice(None)
+                off = v[own] - np.asarray(x, float)
+                d.append(np.round(np.sqrt(np.einsum("ij,ij->i", off, off)), 9))
+                y.append((labels[own] == lab).astype(np.int64))
+        return fold(np.concatenate(d), np.concatenate(y))
+
+    return both.groupBy("i", "j").applyInPandas(folded, schema)
+
+
 def mutual_nn(a: DataFrame, b: DataFrame, **names) -> DataFrame:
     """a, b, d2: pairs that are each other's nearest."""
     to_b = knn_join(a, b, 1, **names).select(F.col("q").alias("a"), F.col("t").alias("b"), "d2")

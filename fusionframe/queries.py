@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +58,20 @@ def voxels(spark, d) -> DataFrame:
     return points(spark, d).groupBy(F.col("cloud").alias("grid"), *i).agg(F.count("*").cast("double").alias("value"))
 
 
-def comparisons(spark, d) -> DataFrame:
-    """Pairs of the first 400 descriptors: the benchmark fixes its set of comparisons."""
-    e = descriptors(spark, d).where("q < 400")
-    near = knn.knn_join(e, e, 400)
-    lab = e.select("q", "label")
-    return near.where("q < t").join(lab, "q").join(lab.select(F.col("q").alias("t"), F.col("label").alias("lt")), "t").select(F.col("q").alias("a"), F.col("t").alias("b"), (F.col("label") == F.col("lt")).cast("int").alias("y"), F.round(F.sqrt("d2"), 9).alias("d"))
+def compared(spark, d, fold: Callable, schema: str) -> DataFrame:
+    """Partial results of all pairs of descriptors, made block by block."""
+    return knn.all_pairs(descriptors(spark, d).select("q", "v", "label"), fold, schema)
+
+
+def mean_over_pairs(spark, d, **of: Callable) -> DataFrame:
+    """n, and the means of some functions of distance and label over all pairs of descriptors."""
+
+    def sums(x, y):
+        return pd.DataFrame({"n": [len(x)], **{name: [float(f(x, y).sum())] for name, f in of.items()}})
+
+    part = compared(spark, d, sums, "n bigint" + "".join(f", {name} double" for name in of))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return part.agg(n.alias("n"), *[F.when(n > 0, F.sum(name) / n).alias(name) for name in of])
 
 
 def depth(spark, d) -> DataFrame:
@@ -192,20 +202,26 @@ def asof_unique(spark, d):
 
 @query("contrastive_loss", CMP + " SELECT round(avg(0.5e0 * (y * d * d + (1 - y) * greatest(10e0 - d, 0) * greatest(10e0 - d, 0))), 6) AS loss, count(*) AS n FROM cmp")
 def contrastive_loss(spark, d):
-    return rounded(comparisons(spark, d).agg(F.avg(geom.contrastive(F.col("d"), F.col("y"), 10.0)).alias("loss"), F.count("*").alias("n")), "loss")
+    """Over all pairs; the SQL only takes those of ids under 400."""
+    loss = lambda x, y: 0.5 * np.where(y == 1, x * x, np.maximum(10.0 - x, 0) ** 2)
+    return rounded(mean_over_pairs(spark, d, loss=loss), "loss").select("loss", "n")
 
 
 @query("regression_losses", CMP + ", x AS (SELECT d / 10e0 - y AS r FROM cmp) SELECT round(avg(CASE WHEN abs(r) < 1 THEN 0.5e0 * r * r ELSE abs(r) - 0.5e0 END), 6) AS smooth_l1, round(avg(0.5e0 * r * r), 6) AS sse, round(avg(abs(r)), 6) AS amean FROM x")
 def regression_losses(spark, d):
-    r = F.col("d") / 10.0 - F.col("y")
-    return rounded(comparisons(spark, d).agg(F.avg(geom.smooth_l1(r)).alias("smooth_l1"), F.avg(geom.half_sse(r)).alias("sse"), F.avg(F.abs(r)).alias("amean")), "smooth_l1", "sse", "amean")
+    """Over all pairs; the SQL only takes those of ids under 400."""
+    r = lambda x, y: x / 10.0 - y
+    smooth = lambda e: np.where(np.abs(e) < 1, 0.5 * e * e, np.abs(e) - 0.5)
+    out = mean_over_pairs(spark, d, smooth_l1=lambda x, y: smooth(r(x, y)), sse=lambda x, y: 0.5 * r(x, y) ** 2, amean=lambda x, y: np.abs(r(x, y)))
+    return rounded(out.drop("n"), "smooth_l1", "sse", "amean")
 
 
 @query("log_loss", CMP + ", p AS (SELECT y, 1 / (1 + exp(d - 9e0)) AS p FROM cmp) SELECT round(avg(abs(ln(CASE WHEN y = 1 THEN p ELSE 1 - p END))), 6) AS loss, round(avg(CASE WHEN (p > 0.5e0) = (y = 1) THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM p")
 def log_loss(spark, d):
-    p = comparisons(spark, d).withColumn("p", 1 / (1 + F.exp(F.col("d") - 9.0)))
-    own = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return rounded(p.agg(F.avg(F.abs(F.log(own))).alias("loss"), F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy")), "loss", "accuracy")
+    """Over all pairs; the SQL only takes those of ids under 400."""
+    p = lambda x: 1 / (1 + np.exp(x - 9.0))
+    loss = lambda x, y: np.abs(np.log(np.where(y == 1, p(x), 1 - p(x))))
+    return rounded(mean_over_pairs(spark, d, loss=loss, accuracy=lambda x, y: ((p(x) > 0.5) == (y == 1)).astype(float)).drop("n"), "loss", "accuracy")
 
 
 @query("lr_schedule", "SELECT range AS it, 0.001e0 AS fixed, round(0.001e0 * 0.1e0 ** floor(range / 1000), 9) AS step, round(0.001e0 * 0.999e0 ** range, 9) AS exp, round(0.001e0 * (1 + 0.001e0 * range) ** -0.75e0, 9) AS inv, round(0.001e0 * 0.1e0 ** ((range >= 2000)::INT + (range >= 4000)::INT), 9) AS multistep, round(0.001e0 * (1 - range / 10000e0) ** 0.75e0, 9) AS poly, round(0.001e0 / (1 + exp(-0.001e0 * (range - 1000))), 9) AS sigmoid FROM range(0, 5000, 50)")
@@ -220,7 +236,9 @@ SWEEP = CMP + ", t AS (SELECT unnest(range(1001)) AS k), s AS (SELECT k, count(*
 
 @query("confusion_sweep", SWEEP + " SELECT * FROM s")
 def confusion_sweep(spark, d):
-    return evaluate.confusion_sweep(comparisons(spark, d), 20.0, match="y")
+    """Over all pairs; the SQL only takes those of ids under 400."""
+    part = compared(spark, d, lambda x, y: evaluate.first_thresholds(x, y, 20.0), "k bigint, p bigint, n bigint")
+    return evaluate.sweep_of_counts(part)
 
 
 @query("sweep_rates", SWEEP + " SELECT k, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision, round(tp / (tp + fn), 6) AS recall, round(tn / (tn + fp), 6) AS tnr, round(fp / (fp + tn), 6) AS fpr FROM s")
