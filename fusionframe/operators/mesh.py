@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geom
 from ..plans.checkpoint import checkpointed
 
+BLOCK = 4096
+
 
 def property_stats(values: DataFrame, by: str, value: str, percent: float) -> DataFrame:
     """n, mean, low, high, stddev (by n), l1, l2, and the value at sorted index int(n * percent / 100)."""
@@ -111,22 +113,58 @@ def delete_unused(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return vertices.join(used, ["mesh", "vid"], "left_semi")
 
 
-def geodesic(vertices: DataFrame, edge: DataFrame, sources: DataFrame, most: float = float("inf")) -> DataFrame:
-    """mesh, vid, dist: shortest paths along edges from the nearest source (mesh, vid), by relaxation until nothing falls."""
+def geodesic(vertices: DataFrame, edge: DataFrame, sources: DataFrame, most: float = float("inf"), block: int = BLOCK) -> DataFrame:
+    """mesh, vid, dist: shortest paths along edges from the nearest source (mesh, vid).
+
+    Vertices are cut into blocks of `block` successive ids. A round follows all paths inside the blocks that
+    a shorter way has come into, and hands on what leaves them, until nothing falls.
+    """
     ends = edge
     for s in "ab":
         ends = ends.join(vertices.select("mesh", F.col("vid").alias(s), *[F.col(c).alias(f"{s}{c}") for c in "xyz"]), ["mesh", s])
     ends = ends.select("mesh", "a", "b", F.sqrt(geom.norm2([F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"])).alias("w"))
-    ways = checkpointed(ends.union(ends.select("mesh", "b", "a", "w")))
-    dist = checkpointed(sources.select("mesh", "vid", F.lit(0.0).alias("dist")).distinct())
-    front = dist
-    while not front.isEmpty():
-        step = front.withColumnRenamed("vid", "a").join(ways, ["mesh", "a"]).select("mesh", F.col("b").alias("vid"), (F.col("dist") + F.col("w")).alias("new")).where(F.col("new") <= most)
-        step = step.groupBy("mesh", "vid").agg(F.min("new").alias("new"))
-        all_ = checkpointed(dist.join(step, ["mesh", "vid"], "full").select("mesh", "vid", F.least("dist", "new").alias("low"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("fell")))
-        dist = all_.select("mesh", "vid", F.col("low").alias("dist"))
-        front = all_.where("fell").select("mesh", "vid", F.col("low").alias("dist"))
-    return dist
+    at = lambda c: F.floor(F.col(c) / block).cast("long").alias("block")
+    ways = checkpointed(ends.union(ends.select("mesh", "b", "a", "w")).select(F.col("mesh").alias("mesh"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "w", at("a")))
+    dist = checkpointed(sources.select("mesh", F.col("vid").cast("long").alias("vid"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")).distinct())
+
+    def follow(known, ways):
+        import heapq
+
+        import pyarrow as pa
+
+        types = pa.schema([known.schema.field("mesh"), ("vid", pa.int64()), ("new", pa.float64()), ("inside", pa.bool_())])
+        if not len(known):
+            return types.empty_table()
+        known, ways = known.to_pydict(), ways.to_pydict()
+        mine = known["vid"][0] // block
+        low = dict(zip(known["vid"], known["dist"], strict=True))
+        out: dict[int, list] = {}
+        for a, b, w in zip(ways["a"], ways["b"], ways["w"], strict=True):
+            out.setdefault(a, []).append((b, w))
+        heap = [(d, v) for v, d, fresh in zip(known["vid"], known["dist"], known["fresh"], strict=True) if fresh]
+        heapq.heapify(heap)
+        fell: dict[int, float] = {}
+        while heap:
+            d, v = heapq.heappop(heap)
+            if d > low[v]:
+                continue
+            for b, w in out.get(v, ()):
+                new = d + w
+                if new <= most and new < low.get(b, float("inf")):
+                    low[b] = fell[b] = new
+                    if b // block == mine:
+                        heapq.heappush(heap, (new, b))
+        rows = {"mesh": known["mesh"][:1] * len(fell), "vid": list(fell), "new": list(fell.values()), "inside": [b // block == mine for b in fell]}
+        return pa.table(rows, schema=types)
+
+    schema = f"mesh {vertices.schema['mesh'].dataType.simpleString()}, vid bigint, new double, inside boolean"
+    while not dist.where("fresh").isEmpty():
+        own = dist.select("*", at("vid")).withColumn("open", F.max("fresh").over(Window.partitionBy("mesh", "block"))).where("open").drop("open")
+        step = own.groupBy("mesh", "block").cogroup(ways.groupBy("mesh", "block")).applyInArrow(follow, schema)
+        step = step.groupBy("mesh", "vid").agg(F.min(F.when(F.col("inside"), F.col("new"))).alias("here"), F.min(F.when(~F.col("inside"), F.col("new"))).alias("there"))
+        low = F.least("dist", "here")
+        dist = checkpointed(dist.join(step, ["mesh", "vid"], "full").select("mesh", "vid", F.least("dist", "here", "there").alias("dist"), (F.col("there").isNotNull() & (low.isNull() | (F.col("there") < low))).alias("fresh")))
+    return dist.drop("fresh")
 
 
 def property_blur(values: DataFrame, vertices: DataFrame, edge: DataFrame, sigma: float) -> DataFrame:

@@ -40,3 +40,63 @@ def test_sweeps_take_all_pairs(spark, descriptors):
     assert all(rates[k] == pytest.approx((recall[k], fpr[k]), abs=2e-6) for k in range(1001))
     near = (recall > 0.949) & (recall < 0.951)
     assert near.any() and q.queries()["fpr_at_recall95"](spark, at).first().fpr == pytest.approx(fpr[near].mean(), abs=2e-6)
+
+
+@pytest.fixture(scope="module")
+def lattice(spark, tmp_path_factory):
+    """2,012 parts, 40 to a row, and the faces of the height field."""
+    at, rng = tmp_path_factory.mktemp("parts"), np.random.default_rng(3)
+    z = rng.integers(1, 51, 2012)
+    spark.createDataFrame([(k + 1, int(s)) for k, s in enumerate(z)], "p_partkey long, p_size int").write.parquet(f"{at}/part.parquet")
+    k = np.arange(len(z))
+    xyz = np.stack((k % 40, k // 40, z * 0.02), 1).astype(float)
+    quad = k[(k % 40 < 39) & (k + 41 < len(z))]
+    faces = np.concatenate((np.stack((quad, quad + 1, quad + 40), 1), np.stack((quad + 1, quad + 41, quad + 40), 1)))
+    ends = np.unique(np.sort(np.concatenate((faces[:, :2], faces[:, 1:], faces[:, ::2])), 1), axis=0)
+    return str(at), xyz, faces, ends
+
+
+def test_mesh_queries_take_all_parts(spark, lattice):
+    at, xyz, faces, ends = lattice
+    run = lambda name: q.queries()[name](spark, at).collect()
+    c = xyz[faces]
+    area = np.linalg.norm(np.cross(c[:, 1] - c[:, 0], c[:, 2] - c[:, 0]), axis=1) / 2
+    around, angle = np.bincount(faces.ravel(), np.repeat(area, 3), len(xyz)), np.zeros(len(xyz))
+    for k in range(3):
+        u, v = c[:, (k + 1) % 3] - c[:, k], c[:, (k + 2) % 3] - c[:, k]
+        np.add.at(angle, faces[:, k], np.arccos((u * v).sum(1) / np.linalg.norm(u, axis=1) / np.linalg.norm(v, axis=1)))
+    used = np.unique(faces)
+    (row,) = run("mesh_stats")
+    want = [area.sum(), *(area[:, None] * c.mean(1)).sum(0) / area.sum(), np.linalg.norm(xyz[ends[:, 0]] - xyz[ends[:, 1]], axis=1).mean()]
+    assert [row.area, row.x, row.y, row.z, row.mean_edge] == pytest.approx(want, abs=2e-6)
+    assert {r.vid: r.area for r in run("vertex_area")} == pytest.approx({int(v): around[v] / 3 for v in used}, abs=2e-6)
+    assert {r.vid: r.curvature for r in run("gauss_curvature")} == pytest.approx({int(v): 3 * (2 * np.pi - angle[v]) / around[v] for v in used}, abs=2e-5)
+    assert {r.vid for r in run("delete_unused")} == set(used.tolist())
+    near = [[] for _ in xyz]
+    for a, b in ends.tolist():
+        near[a].append(b)
+        near[b].append(a)
+    assert {r.vid for r in run("local_extrema")} == {v for v, o in enumerate(near) if o and xyz[v, 2] > xyz[o, 2].max()}
+    smooth = {v: tuple((xyz[v] + xyz[o].mean(0)) / 2 if o else xyz[v]) for v, o in enumerate(near)}
+    got = {r.vid: (r.x, r.y, r.z) for r in run("mesh_smooth")}
+    assert set(got) == set(smooth) and all(got[v] == pytest.approx(smooth[v], abs=2e-6) for v in got)
+
+
+def test_geodesic_reaches_all_parts(spark, lattice):
+    from fusionframe.operators import mesh
+
+    at, xyz, _, ends = lattice
+    w, low = np.linalg.norm(xyz[ends[:, 0]] - xyz[ends[:, 1]], axis=1), np.full(len(xyz), np.inf)
+    low[0] = 0
+    for _ in range(len(xyz)):
+        before = low.copy()
+        for a, b in (ends.T, ends.T[::-1]):
+            np.minimum.at(low, b, before[a] + w)
+        if (before == low).all():
+            break
+    want = {v: x for v, x in enumerate(low.tolist()) if x < np.inf}
+    assert max(want.values()) > 12
+    assert {r.vid: r.dist for r in q.queries()["geodesic"](spark, at).collect()} == pytest.approx(want, abs=2e-6)
+    v, f = q.surface_mesh(spark, at)
+    got = mesh.geodesic(v, mesh.edges(f), v.where("vid = 0"), most=30.0, block=300).collect()  # paths run in and out of blocks
+    assert {r.vid: r.dist for r in got} == pytest.approx({v: x for v, x in want.items() if x <= 30}, abs=2e-6)
