@@ -2,10 +2,10 @@
 
 The tagger is trained in numpy from labelled spans; the default training set is drawn by a
 seeded generator of invented prose with labelled insertions, so the model is the same at every
-size. Only text near a digit, an at sign or a bracketed "at" can hold a span, so windows are laid
-over these regions alone, which loses nothing: any other span would be dropped. Overlapping
-windows are run in one batch, their emissions are averaged with more weight on window centres,
-and one Viterbi pass over each whole region reconciles them.
+size. A span has to hold a digit, an at sign or a bracketed "at", so windows are laid over the regions
+around these; a region that has a tag near its edge grows on this side and is run again, until its
+spans end inside it. Overlapping windows are run in one batch, their emissions are averaged with
+more weight on window centres, and one Viterbi pass over each whole region reconciles them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .common import arrow_map, byte_slices, schema_of, table, to_arrow_schema
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 WINDOW, STRIDE, MARGIN = 48, 24, 20
+EDGE = 6  # outermost characters of a region that have to be free of tags
 SYMBOLS = 99
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -316,10 +317,9 @@ def default_tagger() -> Tagger:
 # --- decoding ------------------------------------------------------------------------------
 
 
-def _regions(text: str) -> list[tuple[int, int]]:
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
@@ -327,6 +327,10 @@ def _regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _regions(text: str) -> list[tuple[int, int]]:
+    return _joined([(max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)) for m in _TRIGGER.finditer(text)])
+
+
 def _plausible(kind: int, s: str) -> bool:
     n = len(_DIGITS.findall(s))
     if kind == 0:
@@ -340,31 +344,11 @@ def _plausible(kind: int, s: str) -> bool:
 _WEIGHT = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
 
 
-def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger, batch: int = 2048) -> list[list[Span]]:
-    """Spans of the tagger that touch no base span; also linear in the texts."""
-    regions = [(i, a, b) for i, t in enumerate(texts) for a, b in _regions(t)]
+def _tags(texts: list[str], regions: list[tuple[int, int, int]], tagger: Tagger, batch: int) -> list[np.ndarray]:
+    """The tags of each region (text, start, end)."""
     windows = [(r, at) for r, (_, a, b) in enumerate(regions) for at in range(a, max(a + 1, b - STRIDE), STRIDE)]
-    out: list[list[Span]] = [[] for _ in texts]
+    out: list[np.ndarray] = []
     sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def finish(r: int) -> None:
-        i, a, b = regions[r]
-        total, weight = sums.pop(r)
-        tags = tagger.viterbi(total / weight[:, None])
-        at, taken = 0, base[i]
-        while at < len(tags):
-            if tags[at] == 0:
-                at += 1
-                continue
-            kind, end = int(tags[at] - 1) // 2, at + 1
-            while end < len(tags) and tags[end] == 2 + 2 * kind:
-                end += 1
-            s = texts[i][a + at : a + end]
-            x, y = a + at + len(s) - len(s.lstrip()), a + at + len(s.rstrip())
-            if y > x and _plausible(kind, texts[i][x:y]) and not any(p < y and x < q for _, p, q in taken):
-                out[i].append((kind, x, y))
-            at = end
-
     for k in range(0, len(windows), batch):
         part = windows[k : k + batch]
         ids = np.full((len(part), WINDOW), 1, np.int64)
@@ -380,7 +364,56 @@ def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger, batch:
             sums[r][0][at - a : at - a + n] += e[:n, j] * _WEIGHT[:n, None]
             sums[r][1][at - a : at - a + n] += _WEIGHT[:n]
             if k + j + 1 == len(windows) or windows[k + j + 1][0] != r:
-                finish(r)
+                total, weight = sums.pop(r)
+                out.append(tagger.viterbi(total / weight[:, None]))
+    return out
+
+
+def _settled_tags(texts: list[str], tagger: Tagger, batch: int) -> dict[tuple[int, int, int], np.ndarray]:
+    """Regions whose edges are free of tags or are those of the text. They grow by doubling steps and join where they meet, so the work stays near linear."""
+    done: dict[tuple[int, int, int], np.ndarray] = {}
+    todo = [(i, a, b) for i, t in enumerate(texts) for a, b in _regions(t)]
+    step = MARGIN
+    while todo:
+        done |= dict(zip(todo, _tags(texts, todo, tagger, batch), strict=True))
+        grown: dict[int, list[tuple[int, int]]] = {}
+        for i, a, b in todo:
+            tags = done[i, a, b]
+            x = max(0, a - step) if tags[:EDGE].any() else a
+            y = min(len(texts[i]), b + step) if tags[-EDGE:].any() else b
+            if (x, y) != (a, b):
+                grown.setdefault(i, []).append((x, y))
+        own: dict[int, list[tuple[int, int]]] = {i: [] for i in grown}
+        for i, a, b in done:
+            if i in own:
+                own[i].append((a, b))
+        todo = []
+        for i, ranges in grown.items():
+            kept = _joined(own[i] + ranges)
+            todo += [(i, a, b) for a, b in kept if (i, a, b) not in done]
+            for a, b in set(own[i]) - set(kept):
+                del done[i, a, b]
+        step *= 2
+    return done
+
+
+def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger, batch: int = 2048) -> list[list[Span]]:
+    """Spans of the tagger that touch no base span."""
+    out: list[list[Span]] = [[] for _ in texts]
+    for (i, a, _), tags in sorted(_settled_tags(texts, tagger, batch).items(), key=lambda x: x[0]):
+        at, taken = 0, base[i]
+        while at < len(tags):
+            if tags[at] == 0:
+                at += 1
+                continue
+            kind, end = int(tags[at] - 1) // 2, at + 1
+            while end < len(tags) and tags[end] == 2 + 2 * kind:
+                end += 1
+            s = texts[i][a + at : a + end]
+            x, y = a + at + len(s) - len(s.lstrip()), a + at + len(s.rstrip())
+            if y > x and _plausible(kind, texts[i][x:y]) and not any(p < y and x < q for _, p, q in taken):
+                out[i].append((kind, x, y))
+            at = end
     return out
 
 

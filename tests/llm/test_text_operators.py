@@ -171,6 +171,19 @@ def test_tagger_on_held_out():
     assert hit / sum(len(s) for _, s in test) > 0.85 and hit / sum(map(len, got)) > 0.85
 
 
+def test_long_spelled_out_addresses():
+    """A span may reach further from its trigger than the first region around it."""
+    said = ["mariana.fernandezgonzalez (at) example-company (dot) com", "user.an (at) thesh (dot) example (dot) example.com", "inghaesther.thestionlichdean (at) shthehastion (dot) reationerlich (dot) example.com", "theationlyreha-shinglatistion [at] conthestinglich [dot] inghahatheresti [dot] org", "instealishthehation (at) theringstedlyha (dot) conlichdersting (dot) com"]
+    texts = [f"Write to {x} today, es la the shan." for x in said] + ["the an er " * 40 + "x" * 30]
+    got = pii.added_spans(texts, [[] for _ in texts], pii.default_tagger())
+    for text, x, spans in zip(texts, said, got):
+        at = text.index(x)
+        assert [k for k, a, b in spans if a <= at and at + len(x) <= b < len(x) + at + 2] == [0]
+    assert not got[-1]
+    one = " ".join(texts)  # regions grow side by side
+    assert all(any(a <= one.index(x) and one.index(x) + len(x) <= b for _, a, b in pii.added_spans([one], [[]], pii.default_tagger())[0]) for x in said)
+
+
 def test_windows_do_not_matter():
     """A long region gives what each of its parts gives alone."""
     one = "the an er 4929963689861572 hely, "
