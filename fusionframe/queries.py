@@ -135,7 +135,8 @@ CLOUD_AB = PTS + ", p AS (SELECT cloud, x, y, z, (dense_rank() OVER (ORDER BY x,
 
 
 def two_clouds(spark, d):
-    p = points(spark, d).where("cloud IN ('A', 'N') AND z < 0.15 AND x < 0.3").distinct()
+    """All of clouds A and N; the SQL only takes one corner."""
+    p = points(spark, d).where("cloud IN ('A', 'N')").distinct()
     ids = p.select("x", "y", "z").distinct()
     from .plans.numbering import dense_ids
 
@@ -287,7 +288,8 @@ def tdf_index(spark, d):
 
 @query("tdf_metric", PTS + ", p AS (SELECT * FROM pts WHERE z < 0.35e0)" + OFFSETS.format(r=2).replace("{r}", "2") + ", n AS (SELECT cloud AS grid, round(x / 0.1e0)::BIGINT + ox AS ix, round(y / 0.1e0)::BIGINT + oy AS iy, round(z / 0.1e0)::BIGINT + oz AS iz, min(((round(x / 0.1e0) + ox) * 0.1e0 - x)**2 + ((round(y / 0.1e0) + oy) * 0.1e0 - y)**2 + ((round(z / 0.1e0) + oz) * 0.1e0 - z)**2) AS d2 FROM p, offs GROUP BY ALL) SELECT grid, ix, iy, iz, round(1 - sqrt(d2) / 0.09e0, 6) AS value FROM n WHERE d2 < 0.09e0 * 0.09e0")
 def tdf_metric(spark, d):
-    return rounded(voxel.tdf_metric(points(spark, d).where("z < 0.35"), 0.1, 0.09), "value")
+    """Of all points; the SQL only takes those of z < 0.35."""
+    return rounded(voxel.tdf_metric(points(spark, d), 0.1, 0.09), "value")
 
 
 KP = ", kp AS (SELECT DISTINCT grid, ix * 1000000 + iy * 1000 + iz AS kp, ix AS kx, iy AS ky, iz AS kz FROM vox WHERE (ix + iy * 7 + iz * 13) % 50 = 0)"
@@ -524,7 +526,7 @@ def align_rmsd(spark, d):
 
 def moved_matches(spark, d):
     """Points of each cloud and their images under the pose of the cloud's frame; one in four is off."""
-    p = points(spark, d).where("z < 0.05").distinct()
+    p = points(spark, d).distinct()
     frame = F.when(F.col("cloud") == "A", 3).when(F.col("cloud") == "N", 7).otherwise(11)
     j = p.withColumn("frame", frame).join(F.broadcast(poses(spark, d)), "frame")
     q = geom.inverse_transform(F.col("pose"), geom.xyz())

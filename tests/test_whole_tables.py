@@ -100,3 +100,52 @@ def test_geodesic_reaches_all_parts(spark, lattice):
     v, f = q.surface_mesh(spark, at)
     got = mesh.geodesic(v, mesh.edges(f), v.where("vid = 0"), most=30.0, block=300).collect()  # paths run in and out of blocks
     assert {r.vid: r.dist for r in got} == pytest.approx({v: x for v, x in want.items() if x <= 30}, abs=2e-6)
+
+
+@pytest.fixture(scope="module")
+def clouds(spark, tmp_path_factory):
+    """900 points of two clouds over their whole range, ids as in the queries, and distances from A to N."""
+    at, rng = tmp_path_factory.mktemp("points"), np.random.default_rng(5)
+    rows = [("AN"[int(c)], float(n), float(p), int(k) / 100) for c, n, p, k in zip(rng.integers(0, 2, 900), rng.integers(1, 51, 900), rng.integers(900, 20_000, 900), rng.integers(0, 11, 900))]
+    spark.createDataFrame(rows, "l_returnflag string, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{at}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 5) for k in range(25)], "n_nationkey long, n_regionkey long").write.parquet(f"{at}/nation.parquet")
+    p = sorted({(n * 0.02, x * 1e-5, k * 10.0, c) for c, n, x, k in rows})
+    number = {x: i + 1 for i, x in enumerate(sorted({x[:3] for x in p}))}
+    a, b = (np.array([x[:3] for x in p if x[3] == c]) for c in "AN")
+    return str(at), [number[tuple(x)] for x in a], a, b
+
+
+def test_cloud_queries_take_all_points(spark, clouds):
+    at, ids, a, b = clouds
+    run = lambda name: q.queries()[name](spark, at).collect()
+    d2 = ((a[:, None] - b[None]) ** 2).sum(2)
+    near = d2 <= 0.0401**2
+    assert {r.a_id: r.n for r in run("range_pairs")} == {i: int(n) for i, n in zip(ids, near.sum(1)) if n}
+    assert a[near.any(1)][:, 2].max() > 0.5  # none of the corner that was taken
+    hit = (d2 <= 0.0101**2).any(1)
+    assert {r.id for r in run("semi_within")} == {i for i, h in zip(ids, hit) if h}
+    assert {r.id for r in run("anti_within")} == {i for i, h in zip(ids, hit) if not h}
+    (row,) = run("overlap_ratio")
+    assert row.n == len(a) and row.ratio == pytest.approx((d2 < 0.0101**2).any(1).mean(), abs=1e-6)
+    own = ((a[:, None] - a[None]) ** 2).sum(2) <= 0.15**2
+    assert {r.id: r.n for r in run("plane_normals")} == {i: int(n) for i, n in zip(ids, own.sum(1))}
+
+
+def test_tdf_metric_takes_all_points(spark, clouds):
+    at, _, a, b = clouds
+    axis = np.arange(-2, 14)
+    grid = np.stack(np.meshgrid(axis, axis, axis, indexing="ij"), -1).reshape(-1, 3)
+    want = {}
+    for cloud, p in (("A", a), ("N", b)):
+        d = np.sqrt(((grid[:, None] * 0.1 - p[None]) ** 2).sum(2).min(1))
+        want |= {(cloud, *map(int, g)): 1 - x / 0.09 for g, x in zip(grid, d) if x < 0.09 - 1e-9}
+    got = {(r.grid, r.ix, r.iy, r.iz): r.value for r in q.queries()["tdf_metric"](spark, at).collect()}
+    assert {k: v for k, v in got.items() if v > 1e-6} == pytest.approx({k: v for k, v in want.items() if v > 1e-6}, abs=2e-6)
+
+
+def test_rigid_fits_take_all_points(spark, clouds):
+    at, _, a, b = clouds
+    assert q.moved_matches(spark, at).count() == len(a) + len(b)
+    for name, digits in (("rigid_fit", 6), ("ransac_rigid", 5)):
+        got = {r.cloud: (r.m00, r.ty) for r in q.queries()[name](spark, at).collect()}
+        assert got == {"A": pytest.approx((np.cos(0.3), 0.15), abs=2 * 10**-digits), "N": pytest.approx((np.cos(0.7), 0.35), abs=2 * 10**-digits)}
