@@ -154,6 +154,24 @@ def test_matches_agree_in_depth(spark):
     assert mining.mine_triplets(anchors, depth, poses, K).count() == 10
 
 
+def test_triplets_of_crowded_scenes(spark):
+    """Where nearly all pixels are within `far` of each other, anchors still get the few that are not; those without any get none."""
+    k = (585.0, 585.0, 320.0, 240.0)
+    rows = [(s, f, x % 40, 5 + x // 40, 2.0) for s in (0, 1) for f in (0, 1) for x in range(1200)] + [(0, 0, 639, 470, 2.0)]
+    depth = spark.createDataFrame(rows, "scene int, frame int, px int, py int, d double")
+    poses = spark.createDataFrame([(s, f, EYE) for s in (0, 1) for f in (0, 1)], "scene int, frame int, pose array<double>")
+    anchors = depth.where("frame = 0 AND px < 40").selectExpr("*", "scene * 10000L + px * 100 + py AS p1")
+    at = {r[:4]: np.array([(r[2] - k[2]) * r[4] / k[0], (r[3] - k[3]) * r[4] / k[1], r[4]]) for r in rows}
+    points = {s: np.array([p for key, p in at.items() if key[0] == s]) for s in (0, 1)}
+    for far in (0.2, 0.12):
+        want = {s * 10000 + x * 100 + y for (s, f, x, y), w in at.items() if f == 0 and x < 40 and (((points[s] - w) ** 2).sum(1) > far * far).any()}
+        got = mining.mine_triplets(anchors, depth, poses, k, far=far, baseline=0.0).collect()
+        assert len(got) == len(want) and {r.p1 for r in got} == want
+        for r in got:
+            s, frame, x, y = r.p1 // 10000, 0, r.p1 % 10000 // 100, r.p1 % 100
+            assert ((at[s, r.n_frame, r.n_px, r.n_py] - at[s, frame, x, y]) ** 2).sum() > far * far
+
+
 def test_streaming_fusion(spark, tmp_path):
     pixels = spark.createDataFrame([(0, x, 5, 2.0) for x in range(10)], "frame int, px int, py int, d double")
     pixels.write.parquet(str(tmp_path / "in"))
