@@ -8,6 +8,7 @@ n-gram and window keys come out of a few numpy passes and no loop over character
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -31,15 +32,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable files in the folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, where all share one machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fusionframe-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through reliable files in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table of the shared folder; the shuffle files of the plan that made them go as soon as it is written.
+
+    The table is deleted by `dropped`, else when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = at
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` that no plan reads any more."""
+    for t in tables:
+        fs = t._stored_at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(t._stored_at, True)
+        fs.cancelDeleteOnExit(t._stored_at)
+
+
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, types: pa.Schema) -> DataFrame:
     """mapInArrow for a function that turns a batch into column dicts."""
 

@@ -1,42 +1,45 @@
 """Exact removal of repeated byte strings by distributed prefix doubling over sparse positions.
 
-Positions are ranked by growing prefixes, and those whose rank is unique drop out. Ranking every
-byte of a corpus would sort many times its size, so the suffix array is sparse: of every
-`length` bytes the position of the smallest hash of its `SEED` bytes is taken, which any two
-equal strings of that length share at the same place. Round one sorts pairs of the rank
-of the first SEED bytes at such a position and the rank of all strings that have it (50 to 80 bytes):
-positions with a unique first rank are done, those whose whole neighbourhood stands in a
-smaller document too are repeats throughout. Only the rest, where a repeat begins or ends, go to
-round two, which ranks their single strings of the full length, past the threshold.
-
-Ranks are 64-bit names (equal names, equal bytes). Pairs are packed into byte arrays by
-their bucket, Spark deals the buckets, and each task sorts its own. Before the shuffle a batch
-answers by itself what it can, and sends one entry for a name it has often, so a passage in a third of all
+Ranking every byte of a corpus would sort many times its size, so a first pass finds the
+positions that need no ranking. Of every `length` bytes it takes the anchor, the position of the smallest hash of its `SEED`
+bytes, which any two equal strings of that length share at the same place. The strings that have one anchor
+are a run of 50 to 80 bytes. A run whose anchor is unique is done; one that stands whole in a
+smaller document repeats throughout; of the others those strings stay undecided of which at least
+four fifths around the anchor stand in another document.
+
+Prefix doubling then ranks the undecided positions. Each brings the names of the bytes at offsets 0, 16 and 32. Spark
+sorts the pairs (name at p, name at p + 16), which gives ranks of 32 bytes; positions whose rank is
+unique drop out. The rest is sorted again as pairs (rank at p, name at p + 32), which is past the threshold:
+a position repeats if a smaller document has the same rank. Rounds are written tables, and each releases its shuffle files.
+
+Names are 64-bit hashes, and no two strings are taken as equal on fewer than 128 bits of them
+(anchor and run, or the three names of a position); bytes are not compared again.
+In the first pass entries are packed into byte arrays by their bucket, Spark deals the buckets, and each task sorts its own. Before
+each shuffle a batch answers by itself what it can, and sends one entry for a string it has often, so a passage in a third of all
 documents is one entry a batch and no task gets it all.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHash, arrow_map, byte_slices, checkpointed, mixed, packed, table
+from .common import SpanHash, arrow_map, byte_slices, dropped, mixed, packed, stored, table
 
 SEED = 20
+OFFSETS = (0, 16, 32)  # of the names of a position; the last name ends with the string
 BATCH_BYTES = 2 << 20
-BUCKET_BYTES = 12 << 20
-SEEDS = np.dtype([("name", "<u8"), ("rest", "<u8"), ("at", "<u4"), ("n", "u1"), ("doc", "<u2"), ("left", "<u2"), ("right", "<u2")])  # 27 bytes
-STRINGS = np.dtype([("name", "<u8"), ("at", "<u4"), ("doc", "<u2")])  # 14 bytes
-ENTRY = np.dtype([("name", "<u8"), ("rest", "<u8"), ("at", "<u4"), ("n", "u1"), ("doc", "<u4"), ("left", "<u2"), ("right", "<u2")])
+BUCKET_BYTES = 3 << 20
+PARTS = 3  # of the places that an anchor can have in a string; each has a digest of what its strings share
+ENTRY = np.dtype([("name", "<u8"), ("rest", "<u8"), ("at", "<u4"), ("n", "u1"), ("off", "u1"), ("doc", "<u4"), ("part", "<u2", (PARTS,))])
+WIRE = np.dtype([("name", "<u8"), ("rest", "<u8"), ("at", "<u4"), ("n", "u1"), ("off", "u1"), ("doc", "<u2"), ("part", "<u2", (PARTS,))])  # 30 bytes
 NONE = np.uint32(0xFFFF)  # a marker's document; a batch has fewer that are long enough
 LONE = np.uint32(0xFFFFFFFF)  # the same where the entries of many batches are together
-CROWD = 64  # neighbourhoods of one seed in a batch from which on one marker stands for all
+CROWD = 64  # neighbourhoods of one anchor in a batch from which on one marker stands for all
 
 SCHEMA = "bucket int, ids binary, keys binary, entries binary, kind int, marks binary"
 TYPES = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("entries", pa.binary()), ("kind", pa.int32()), ("marks", pa.binary())])
@@ -53,8 +56,15 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(h) - width + 1], m[width - have : len(h) - have + 1]) if have < width else m
 
 
+def _reaches(length: int) -> list[tuple[int, int]]:
+    """(least, greatest) place of the anchor in the strings of each part."""
+    places = length - SEED + 1
+    cut = [places * k // PARTS for k in range(PARTS + 1)]
+    return [(a, b - 1) for a, b in zip(cut, cut[1:])]
+
+
 def _runs(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Entries of the sparse positions: seed name, name of the strings that have it, first start, number of starts, document, and short names of both sides (0: cut by the text's end)."""
+    """Entries of the anchors: name, name of the strings that have it, first start, number of starts, place of the anchor in the first string, document, and for each part a digest of what its strings share (0: it has none)."""
     spans = SpanHash(data)
     size = np.diff(starts) - 1
     valid = size >= length
@@ -72,14 +82,15 @@ def _runs(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     anchor = (low[p] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1))))
     first, n = p[cut], np.diff(np.append(cut, len(p)))
-    rest = mixed(spans.raw(first, first + n - 1 + length) ^ (anchor[cut] - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    e = np.empty(len(first), ENTRY)
-    doc, a, half = np.searchsorted(starts, first, "right") - 1, anchor[cut], (length - SEED + 1) // 2
-    e["name"], e["rest"], e["at"], e["n"], e["doc"], e["left"], e["right"] = h[a], rest, first - starts[doc], n, doc, 0, 0
-    some = np.flatnonzero(a - half >= starts[doc])
-    e["left"][some] = spans.of(a[some] - half, a[some]) >> np.uint64(48) | np.uint64(1)
-    some = np.flatnonzero(a + SEED + half < starts[doc + 1])
-    e["right"][some] = spans.of(a[some] + SEED, a[some] + SEED + half) >> np.uint64(48) | np.uint64(1)
+    a = anchor[cut]
+    off = a - first
+    rest = mixed(spans.raw(first, first + n - 1 + length) ^ off.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    e = np.zeros(len(first), ENTRY)
+    doc = np.searchsorted(starts, first, "right") - 1
+    e["name"], e["rest"], e["at"], e["n"], e["off"], e["doc"] = h[a], rest, first - starts[doc], n, off, doc
+    for k, (least, most) in enumerate(_reaches(length)):
+        some = np.flatnonzero((off >= least) & (off - n + 1 <= most))
+        e["part"][some, k] = spans.of(a[some] - least, a[some] + length - most) >> np.uint64(48) | np.uint64(1)
     return e
 
 
@@ -101,7 +112,7 @@ def _mark_columns(rows: list[tuple]) -> dict:
     return {"bucket": [r[0] & 0x7FFFFFFF for r in rows], "ids": [word(r[0]) for r in rows], "keys": [word(r[1]) for r in rows], "entries": [None] * len(rows), "kind": [r[2] for r in rows], "marks": [r[3] for r in rows]}
 
 
-def _packed_entries(e: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, wire: np.dtype) -> dict:
+def _packed_entries(e: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int) -> dict:
     """One row per bucket, with the documents that its entries name."""
     own = (e["name"] >> np.uint64(16)) % np.uint64(buckets)
     order = np.argsort(own, kind="stable")
@@ -109,8 +120,8 @@ def _packed_entries(e: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: i
     cut = np.append(np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))), len(own)) if len(own) else np.zeros(1, int)
     out: dict[str, list] = {n: [] for n in TYPES.names}
     for a, b in zip(cut, cut[1:]):
-        part = np.empty(b - a, wire)
-        for name in wire.names:
+        part = np.empty(b - a, WIRE)
+        for name in WIRE.names:
             part[name] = e[name][a:b]
         known = part["doc"] != NONE
         docs, back = np.unique(part["doc"][known], return_inverse=True)
@@ -158,19 +169,19 @@ def _seed_rows(length: int, buckets: int):
             marker = e[crowd & new_name].copy()
             marker["doc"], marker["rest"] = NONE, 0
             yield _mark_columns([*_marks(REPEAT, ids, keys, e["doc"][repeat], e["at"][repeat], e["n"][repeat]), *_marks(OPEN, ids, keys, e["doc"][open_], e["at"][open_], e["n"][open_])])
-            yield _packed_entries(np.concatenate((e[~repeat & ~open_], marker)), ids, keys, buckets, SEEDS)
+            yield _packed_entries(np.concatenate((e[~repeat & ~open_], marker)), ids, keys, buckets)
 
     return rows
 
 
-def _gathered(pdf, wire: np.dtype):
+def _gathered(pdf):
     """(entries with documents numbered over all rows, ids, keys)."""
     some = pdf[pdf["entries"].notna()]
     parts, ids, keys, base = [], [], [], 0
     for x, i, k in zip(some["entries"], some["ids"], some["keys"]):
-        packed_ = np.frombuffer(x, wire)
+        packed_ = np.frombuffer(x, WIRE)
         e = np.zeros(len(packed_), ENTRY)
-        for name in wire.names:
+        for name in WIRE.names:
             e[name] = packed_[name]
         known = e["doc"] != NONE
         e["doc"][known] += np.uint32(base)
@@ -193,26 +204,43 @@ def _answers(pdf, rows: list[tuple]):
     return pd.DataFrame([*kept, *rows], columns=["id", "key", "kind", "marks"]).astype({"id": "int64", "key": "int64", "kind": "int32"})
 
 
-def _judge_seeds(pdf):
-    e, ids, keys = _gathered(pdf, SEEDS)
-    if not len(e):
-        return _answers(pdf, [])
-    e, own, new_name, new_pair = _sorted_groups(e, ids)
-    marker = e["doc"] == LONE
-    repeat = (own > _per_group(new_pair, own, np.minimum)) & ~marker
-    open_ = _per_group(new_name, marker, np.logical_or)
-    group = np.cumsum(new_name).astype(np.uint64)
-    for side in ("left", "right"):
-        order = np.argsort(group << np.uint64(16) | e[side].astype(np.uint64), kind="stable")
-        g, x, d, r = group[order], e[side][order], own[order], e["rest"][order]
-        new = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
-        shared = (_per_group(new, d, np.minimum) != _per_group(new, d, np.maximum)) & (_per_group(new, r, np.minimum) != _per_group(new, r, np.maximum)) & (x != 0)
-        open_[order] |= shared
-    open_ &= ~repeat & ~marker
-    return _answers(pdf, [*_marks(REPEAT, ids, keys, e["doc"][repeat], e["at"][repeat], e["n"][repeat]), *_marks(OPEN, ids, keys, e["doc"][open_], e["at"][open_], e["n"][open_])])
-
-
-def _string_rows(length: int, buckets: int):
+def _judge_seeds(length: int):
+    reaches = _reaches(length)
+
+    def judge(pdf):
+        e, ids, keys = _gathered(pdf)
+        if not len(e):
+            return _answers(pdf, [])
+        e, own, new_name, new_pair = _sorted_groups(e, ids)
+        marker = e["doc"] == LONE
+        repeat = (own > _per_group(new_pair, own, np.minimum)) & ~marker
+        crowded = _per_group(new_name, marker, np.logical_or) & ~repeat & ~marker
+        rows = [*_marks(REPEAT, ids, keys, e["doc"][repeat], e["at"][repeat], e["n"][repeat]), *_marks(OPEN, ids, keys, e["doc"][crowded], e["at"][crowded], e["n"][crowded])]
+        group = np.cumsum(new_name).astype(np.uint64)
+        off, n = e["off"].astype(np.int64), e["n"].astype(np.int64)
+        for k, (least, most) in enumerate(reaches):
+            digest = e["part"][:, k]
+            order = np.argsort(group << np.uint64(16) | digest.astype(np.uint64), kind="stable")
+            g, x, d, r = group[order], digest[order], own[order], e["rest"][order]
+            new = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
+            shared = np.zeros(len(e), bool)
+            shared[order] = (_per_group(new, d, np.minimum) != _per_group(new, d, np.maximum)) & (_per_group(new, r, np.minimum) != _per_group(new, r, np.maximum)) & (x != 0)
+            shared &= ~repeat & ~marker & ~crowded
+            a, b = np.maximum(0, off - most), np.minimum(n - 1, off - least)
+            rows += _marks(OPEN, ids, keys, e["doc"][shared], (e["at"] + a)[shared], (b - a + 1)[shared])
+        return _answers(pdf, rows)
+
+    return judge
+
+
+POSITIONS = "id bigint, key bigint, at int, h0 bigint, h1 bigint, h2 bigint, marks binary"
+POSITION_TYPES = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("h0", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("marks", pa.binary())])
+
+
+def _position_rows(length: int):
+    """The undecided positions with the names at their offsets; those that a smaller document of the batch repeats as marks."""
+    ends = (*OFFSETS[1:], length)
+
     def rows(batch: pa.RecordBatch):
         for a, b in byte_slices(batch.column(2), BATCH_BYTES // 2):
             ids, keys = _ids_of(batch, a, b)
@@ -221,55 +249,67 @@ def _string_rows(length: int, buckets: int):
             for i, marks in enumerate(batch.column(3).slice(a, b - a).to_pylist()):
                 m = np.frombuffer(b"".join(marks), MARK)
                 n = m["n"].astype(np.int64)
-                own = np.repeat(m["at"].astype(np.int64) - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                own = np.unique(np.repeat(m["at"].astype(np.int64) - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()))
                 at.append(own)
                 doc.append(np.full(len(own), i))
             at, doc = np.concatenate(at), np.concatenate(doc)
             if not len(at):
                 continue
-            p = starts[doc] + at
-            e = np.zeros(len(at), ENTRY)
-            e["name"], e["at"], e["n"], e["doc"] = SpanHash(data).of(p, p + length), at, 1, doc
-            e, own, new, _ = _sorted_groups(e, ids)
+            p, spans = starts[doc] + at, SpanHash(data)
+            h = [spans.of(p + x, p + y) for x, y in zip(OFFSETS, ends)]
+            order = np.lexsort((at, ids[doc], h[2], h[1], h[0]))
+            at, doc, h = at[order], doc[order], [x[order] for x in h]
+            own = ids[doc]
+            new = np.concatenate(([True], (h[0][1:] != h[0][:-1]) | (h[1][1:] != h[1][:-1]) | (h[2][1:] != h[2][:-1])))
             repeat = own > _per_group(new, own, np.minimum)
-            yield _mark_columns(list(_marks(REPEAT, ids, keys, e["doc"][repeat], e["at"][repeat], e["n"][repeat])))
-            yield _packed_entries(e[~repeat], ids, keys, buckets, STRINGS)
+            known = list(_marks(REPEAT, ids, keys, doc[repeat], at[repeat], np.ones(int(repeat.sum()), np.int64)))
+            none = [None] * len(known)
+            yield {"id": [r[0] for r in known], "key": [r[1] for r in known], "at": none, "h0": none, "h1": none, "h2": none, "marks": [r[3] for r in known]}
+            # One position of the smallest document stands for all of the batch; it brings the others of this document that have the same string.
+            first = np.flatnonzero(new)
+            also: list[bytes | None] = [None] * len(first)
+            again = np.flatnonzero(~new & ~repeat)
+            group = np.cumsum(new)[again] - 1
+            cut = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(again)) if len(again) else np.zeros(1, int)
+            for x, y in zip(cut, cut[1:]):
+                m = np.ones(y - x, MARK)
+                m["at"] = at[again[x:y]]
+                also[group[x]] = m.tobytes()
+            yield {"id": own[first], "key": keys[doc[first]], "at": at[first].astype(np.int32), **{f"h{k}": x[first].view(np.int64) for k, x in enumerate(h)}, "marks": also}
 
     return rows
 
 
-def _judge_strings(pdf):
-    e, ids, keys = _gathered(pdf, STRINGS)
-    if not len(e):
-        return _answers(pdf, [])
-    e["n"] = 1
-    e, own, new, _ = _sorted_groups(e, ids)
-    repeat = own > _per_group(new, own, np.minimum)
-    return _answers(pdf, list(_marks(REPEAT, ids, keys, e["doc"][repeat], e["at"][repeat], e["n"][repeat])))
+def _doubled(positions: DataFrame, rank: list[str], after: str) -> DataFrame:
+    """One round: positions sorted by the pair (rank, name at the next offset), without those whose new rank is unique.
 
-
-def _release(df: DataFrame) -> None:
-    """Lets Spark's cleaner drop shuffle files of plans that are done; the first collection frees the plans, the second what they held."""
-    for _ in range(2):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+    A rank is named by the first position that has it (r_id, r_at), so ranks can't collide; lowest is the smallest document of it.
+    """
+    w = Window.partitionBy(*rank, after)
+    ranked = positions.withColumn("first", F.min(F.struct("id", "at")).over(w)).withColumn("most", F.max("id").over(w)).where(F.col("first.id") < F.col("most"))
+    kept = [c for c in positions.columns if c not in (*rank, after)]
+    return ranked.select(*kept, F.col("first.id").alias("r_id"), F.col("first.at").alias("r_at"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key, kind, marks: packed runs of window starts whose `length` bytes also start in a document of smaller id. key tells texts of one id apart."""
+def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two tables of window starts whose `length` bytes also start in a document of smaller id: (id, key, marks: packed runs) and (id, key, at, marks). key tells texts of one id apart."""
+    if not OFFSETS[-1] < length < 256 + SEED:
+        raise ValueError(f"length has to be over {OFFSETS[-1]} and under {256 + SEED}")
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("b")).where(F.octet_length("b") >= length)
     total = own.agg(F.sum(F.octet_length("b")).alias("n")).first().n or 0
-    buckets = max(64, int(total) // BUCKET_BYTES)
+    buckets = max(1, -(-int(total) // BUCKET_BYTES))
     answer = "id bigint, key bigint, kind int, marks binary"
-    spread = lambda df: df.withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
-    first = checkpointed(spread(arrow_map(own, _seed_rows(length, buckets), SCHEMA, TYPES)).groupBy("bucket").applyInPandas(_judge_seeds, answer))
-    _release(docs)
-    open_ = first.where(F.col("kind") == OPEN).groupBy("id", "key").agg(F.collect_list("marks").alias("open"))
-    text = own.join(open_, ["id", "key"]).select("id", "key", "b", "open")
-    second = checkpointed(spread(arrow_map(text, _string_rows(length, buckets), SCHEMA, TYPES)).groupBy("bucket").applyInPandas(_judge_strings, answer))
-    _release(docs)
-    return first.where(F.col("kind") == REPEAT).union(second.where(F.col("kind") == REPEAT))
+    dealt = arrow_map(own, _seed_rows(length, buckets), SCHEMA, TYPES).withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
+    first = stored(dealt.groupBy("bucket").applyInPandas(_judge_seeds(length), answer))
+    undecided = first.where(F.col("kind") == OPEN).groupBy("id", "key").agg(F.collect_list("marks").alias("open"))
+    text = own.join(undecided, ["id", "key"]).select("id", "key", "b", "open")
+    positions = stored(arrow_map(text, _position_rows(length), POSITIONS, POSITION_TYPES))
+    ranked = stored(_doubled(positions.where("at is not null"), ["h0"], "h1"))
+    past = stored(_doubled(ranked, ["r_id", "r_at"], "h2").where("id > r_id").select("id", "key", "at", "marks"))
+    dropped(ranked)
+    marks = stored(first.where(F.col("kind") == REPEAT).select("id", "key", "marks").union(positions.where("at is null").select("id", "key", "marks")))
+    dropped(first, positions)
+    return marks, past
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -281,17 +321,21 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     nothing from each other, whether their texts are equal or not. Very long texts are taken whole; no rows give no rows;
     other columns are ignored.
     """
-    found = repeated_spans(docs, length, id_col, text_col).groupBy("id", "key").agg(F.collect_list("marks").alias("marks"))
+    marks, singles = repeated_spans(docs, length, id_col, text_col)
+    found = marks.select("id", "key", "marks", F.lit(None).cast("int").alias("at")).union(singles.select("id", "key", "marks", "at")).groupBy("id", "key").agg(F.collect_list("marks").alias("marks"), F.collect_list("at").alias("at"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
     types = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *[("kept", pa.binary())] * keep_text])
 
-    def one(text: bytes, marks: list[bytes] | None) -> tuple:
+    def one(text: bytes, marks: list[bytes] | None, single: list[int] | None) -> tuple:
         m = np.frombuffer(b"".join(marks or []), MARK)
-        if not len(m):
+        if not len(m) and not single:
             return len(text), 0, 0, hashlib.sha256(text).hexdigest(), [], text
         edge = np.zeros(len(text) + 1, np.int64)
         np.add.at(edge, m["at"], 1)
         np.add.at(edge, m["at"].astype(np.int64) + m["n"] - 1 + length, -1)
+        if single:
+            np.add.at(edge, np.array(single), 1)
+            np.add.at(edge, np.array(single) + length, -1)
         gone = np.cumsum(edge)[:-1] > 0
         turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).view(np.int8))).reshape(-1, 2)
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -299,10 +343,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     def rows(batch: pa.RecordBatch):
         for a, b in byte_slices(batch.column(1)):
-            made = [one(x, m) for x, m in zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True)]
+            made = [one(*x) for x in zip(*(batch.column(k).slice(a, b - a).to_pylist() for k in (1, 2, 3)), strict=True)]
             yield {id_col: batch.column(0).slice(a, b - a)} | {name: [x[k] for x in made] for k, name in enumerate(types.names[1:])}
 
-    joined = own.join(found, ["id", "key"], "left").select("id", "b", "marks")
+    joined = own.join(found, ["id", "key"], "left").select("id", "b", "marks", "at")
     schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>" + ", kept binary" * keep_text
     return arrow_map(joined, rows, schema, types)
 
