@@ -1,17 +1,21 @@
 """Personal data: base patterns, and a character BiLSTM with CRF transitions that adds spans.
 
 The tagger is trained in numpy from labelled spans; the default training set is drawn by a
-seeded generator of invented prose with labelled insertions, so the model is the same at every
-size. A span has to hold a digit, an at sign or a bracketed "at", so windows are laid over the regions
-around these; a region that has a tag near its edge grows on this side and is run again, until its
-spans end inside it. Overlapping windows are run in one batch, their emissions are averaged with
-more weight on window centres, and one Viterbi pass over each whole region reconciles them.
+seeded generator of invented prose, half of it without any span, so the model is the same at every
+size. It reads whole texts: windows of WINDOW characters lie over all of each text, STRIDE apart, and depend on
+nothing but this text. Where two windows overlap their emissions are averaged, with more weight on the one whose
+centre is nearer, and one Viterbi pass over the whole text reconciles them. No span can lie where
+every way through a tag scores less than staying outside; such stretches are found first by sums (see
+`_undecided`), so the pass runs on the rest and gives what it gives on the whole text.
+
+Gates are piecewise linear (clipped lines), so a step is one small product and a few passes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +27,10 @@ from .common import arrow_map, byte_slices, schema_of, table, to_arrow_schema
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-WINDOW, STRIDE, MARGIN = 48, 24, 20
-EDGE = 6  # outermost characters of a region that have to be free of tags
+WINDOW, STRIDE = 512, 464
+TRAINED = 64  # characters of a training window
+BATCH = 2048  # windows that step together
+LONG = 1 << 20  # characters that are scored at once
 SYMBOLS = 99
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -32,7 +38,6 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]", re.I)
 _DIGITS = re.compile(r"[0-9]")
 
 Span = tuple[int, int, int]  # kind index, start, end
@@ -90,8 +95,14 @@ def base_spans(text: str) -> list[Span]:
 _SYLLABLES = "the an er on in at es re th ou ti is or en ed nd ha to ly ble sh st wh ing tion é è ç ü ö ä ñ ó que la de con ein sch lich der ado ción ra os il".split()
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _word(rng: np.random.Generator, plain: bool = False) -> str:
-    w = "".join(x for x in (_SYLLABLES[i] for i in rng.integers(0, len(_SYLLABLES), rng.integers(1, 4))) if not plain or x.isascii())
+    if rng.random() < 0.25:
+        w = "".join(_LETTERS[i] for i in rng.integers(0, 26, rng.integers(1, 12)))
+    else:
+        w = "".join(x for x in (_SYLLABLES[i] for i in rng.integers(0, len(_SYLLABLES), rng.integers(1, 6))) if not plain or x.isascii())
     return (w or "an").capitalize() if rng.random() < 0.1 else w or "an"
 
 
@@ -103,6 +114,7 @@ def _made(rng: np.random.Generator, kind: int) -> str:
     d, pick = lambda n: _digits(rng, n), lambda *x: x[rng.integers(0, len(x))]
     if kind == 0:
         at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."))
+        dot = pick(dot, dot, dot.upper()) if "dot" in dot else dot
         user = _word(rng, True) + pick("", "." + _word(rng, True), "_" + d(2), "." + d(2), "-" + _word(rng, True))
         host = _word(rng, True).lower() + pick("", d(1), dot + _word(rng, True).lower())
         return user + at + host + dot + pick("com", "org", "net", "de", "example.com")
@@ -117,58 +129,63 @@ def _unlabelled(rng: np.random.Generator) -> str:
     """What looks like a span and is none."""
     d, pick = lambda n: _digits(rng, n), lambda *x: x[rng.integers(0, len(x))]
     code = "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, 40))
-    return pick(f'token = "{code}"', code, f"Version {d(1)}.{d(1)}.", f"{d(1)}.{d(1)}", f"20{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}:{d(2)}", d(5), d(2), d(8), f"{d(1)},{d(3)}.{d(2)}", f"https://{_word(rng, True)}.org/{d(3)}", f"{d(3)}%", f"({d(2)})", "@ " + _word(rng))
+    return pick(f'token = "{code}"', code, f"Version {d(1)}.{d(1)}.", f"{d(1)}.{d(1)}", f"20{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}:{d(2)}", d(5), d(2), d(8), f"{d(1)},{d(3)}.{d(2)}", f"https://{_word(rng, True)}.org/{d(3)}", f"{d(3)}%", f"({d(2)})", "@ " + _word(rng),
+        f"({_word(rng)} at {_word(rng)})", f"({_word(rng)})", f"[{d(1)}]", "at the dot", "(at)", "dot. com", f"{_word(rng)}.{_word(rng)}", f"{_word(rng)}_{_word(rng)}({d(1)}, {d(2)})", f"{d(1)}.{d(2)}.{d(1)}", d(12), d(24), f"#{d(6)}", f"{d(2)}/{d(2)}/20{d(2)}", "-" * 12, "=" * 9, "$$$", "***", "日本語の文", "Текст на", "<b>", f"&{_word(rng)};", f"+{d(2)}", f"-{d(1)}.{d(4)}")
 
 
-def labelled_windows(n: int = 1600, seed: int = 7) -> list[tuple[str, list[Span]]]:
-    """Invented prose with labelled spans."""
+def labelled_windows(n: int = 2400, seed: int = 7) -> list[tuple[str, list[Span]]]:
+    """Invented prose with labelled spans, every second text without any."""
     rng, out = np.random.default_rng(seed), []
-    for _ in range(n):
+    for k in range(n):
         text, spans = "", []
-        while len(text) < WINDOW * 2:
+        while len(text) < TRAINED * 2:
             for _ in range(rng.integers(1, 5)):
                 text += _word(rng) + (", " if rng.random() < 0.08 else ". " if rng.random() < 0.06 else "\n" if rng.random() < 0.04 else " ")
-            if rng.random() < 0.35:
-                text += _unlabelled(rng)
+            if rng.random() < 0.35 or k % 2:
+                text += _unlabelled(rng) if rng.random() < 0.6 else ""
             else:
                 kind = int(rng.integers(0, len(KINDS)))
                 made = _made(rng, kind)
                 spans.append((kind, len(text), len(text) + len(made)))
                 text += made
             text += ("" if rng.random() < 0.15 else "." if rng.random() < 0.1 else "!!" if rng.random() < 0.05 else " |" if rng.random() < 0.05 else "") + " "
-        out.append((text, spans))
+        while rng.random() < 0.7:
+            text += _word(rng) + (", " if rng.random() < 0.08 else " ")
+        out.append((text.rstrip() + ("." if rng.random() < 0.6 and not (spans and spans[-1][2] >= len(text.rstrip())) else ""), spans))
     return out
 
 
 # --- network -------------------------------------------------------------------------------
 
 
-def symbols(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.where((c >= 32) & (c < 127), c - 31, np.where(c < 32, 96, np.where(c < 0x2000, 97, 98)))
+_SYMBOL = np.full(0x2000, 97, np.uint8)
+_SYMBOL[:32] = 96
+_SYMBOL[32:127] = np.arange(1, 96)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def symbols(text: str) -> np.ndarray:
+    """Printable ASCII by character, control characters, letters of other scripts, and what lies beyond; 0 is padding."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(c < 0x2000, _SYMBOL[np.minimum(c, 0x1FFF)], np.uint8(98))
 
 
-def _lstm(xw: np.ndarray, wh: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+def _lstm(xw: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, list]:
+    """Outputs of all steps and what the way back needs; xw: (steps, batch, 4 hidden), gates as input, forget, output, candidate."""
     steps, batch, four = xw.shape
     n = four // 4
     h, c = np.zeros((batch, n), xw.dtype), np.zeros((batch, n), xw.dtype)
     out, memo = np.empty((steps, batch, n), xw.dtype), []
     for t in range(steps):
         z = xw[t] + h @ wh
-        gates = _sigmoid(z[:, : 3 * n])
+        gates = np.clip(0.25 * z[:, : 3 * n] + 0.5, 0, 1)
         i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
-        g = np.tanh(z[:, 3 * n :])
+        g = np.clip(z[:, 3 * n :], -1, 1)
         before, last = c, h
         c = f * c + i * g
-        tc = np.tanh(c)
+        tc = np.clip(c, -1, 1)
         h = o * tc
         out[t] = h
-        if keep:
-            memo.append((i, f, o, g, before, tc, last))
+        memo.append((i, f, o, g, before, c, tc, last))
     return out, memo
 
 
@@ -176,17 +193,50 @@ def _lstm_back(dout: np.ndarray, memo: list, wh: np.ndarray) -> tuple[np.ndarray
     steps, batch, n = dout.shape
     dxw, dwh = np.empty((steps, batch, 4 * n), dout.dtype), np.zeros_like(wh)
     dh, dc = np.zeros((batch, n), dout.dtype), np.zeros((batch, n), dout.dtype)
+    slope = lambda x: 0.25 * ((x > 0) & (x < 1))
     for t in range(steps - 1, -1, -1):
-        i, f, o, g, before, tc, last = memo[t]
+        i, f, o, g, before, c, tc, last = memo[t]
         dh = dh + dout[t]
-        dc = dc + dh * o * (1 - tc * tc)
-        dz = np.concatenate((dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)), 1)
+        dc = dc + dh * o * (np.abs(c) < 1)
+        dz = np.concatenate((dc * g * slope(i), dc * before * slope(f), dh * tc * slope(o), dc * i * (np.abs(g) < 1)), 1).astype(dout.dtype)
         dxw[t] = dz
         dwh += last.T @ dz
         dh, dc = dz @ wh.T, dc * f
     return dxw, dwh
 
 
+def _run(ids: np.ndarray, active: np.ndarray, table: np.ndarray, wh: np.ndarray, back: bool) -> np.ndarray:
+    """Outputs (steps, hidden, batch) of one direction; table: (4 hidden, symbols), scaled so that gates are clipped sums. Windows go from long to short, and the first `active` of a step reach it."""
+    steps, batch = ids.shape
+    n = wh.shape[1]
+    state, cell = np.zeros((n, 0), np.float32), np.zeros((n, batch), np.float32)
+    sums, given = np.empty((4 * n, batch), np.float32), np.empty((4 * n, batch), np.float32)
+    out = np.zeros((steps, n, batch), np.float32)
+    m = 0
+    for t in range(steps - 1, -1, -1) if back else range(steps):
+        if m != active[t]:
+            m = int(active[t])
+            c, z, x = cell[:, :m], sums[:, :m], given[:, :m]
+            h = np.zeros((n, m), np.float32)
+            k = min(m, state.shape[1])
+            h[:, :k] = state[:, :k]
+            gates, g = z[: 3 * n], z[3 * n :]
+        np.take(table, ids[t, :m], axis=1, out=x, mode="clip")
+        np.matmul(wh, h, out=z)
+        z += x
+        np.minimum(z, 1, out=z)
+        np.maximum(gates, 0, out=gates)
+        np.maximum(g, -1, out=g)
+        c *= z[n : 2 * n]
+        g *= z[:n]
+        c += g
+        h = state = out[t, :, :m]
+        np.maximum(c, -1, out=h)
+        np.minimum(h, 1, out=h)
+        h *= z[2 * n : 3 * n]
+    return out
+
+
 class Tagger:
     """Parameters by name; float32."""
 
@@ -194,7 +244,7 @@ class Tagger:
         self.p = params
 
     @staticmethod
-    def fresh(hidden: int = 16, width: int = 10, seed: int = 3) -> Tagger:
+    def fresh(hidden: int = 10, width: int = 10, seed: int = 3) -> Tagger:
         rng = np.random.default_rng(seed)
         u = lambda *s: (rng.uniform(-1, 1, s) / np.sqrt(s[0])).astype(np.float32)
         p = {"emb": rng.normal(0, 0.5, (SYMBOLS, width)).astype(np.float32), "out": u(2 * hidden, TAGS), "ob": np.zeros(TAGS, np.float32), "tr": np.zeros((TAGS, TAGS), np.float32)}
@@ -204,25 +254,37 @@ class Tagger:
             p |= {f"wx{d}": u(width, 4 * hidden), f"wh{d}": u(hidden, 4 * hidden), f"b{d}": b}
         return Tagger(p)
 
-    def emissions(self, ids: np.ndarray, keep: bool = False):
-        """ids: (batch, steps); scores: (steps, batch, tags)."""
+    def learn(self, ids: np.ndarray):
+        """(scores (steps, batch, tags), what the way back needs) of ids (batch, steps)."""
         p, x = self.p, self.p["emb"][ids.T]
-        hf, mf = _lstm(x @ p["wxf"] + p["bf"], p["whf"], keep)
-        hb, mb = _lstm(x[::-1] @ p["wxb"] + p["bb"], p["whb"], keep)
+        hf, mf = _lstm(x @ p["wxf"] + p["bf"], p["whf"])
+        hb, mb = _lstm(x[::-1] @ p["wxb"] + p["bb"], p["whb"])
         h = np.concatenate((hf, hb[::-1]), 2)
-        e = h @ p["out"] + p["ob"]
-        return (e, (x, h, mf, mb)) if keep else e
-
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """Best tags of one sequence of emissions."""
+        return h @ p["out"] + p["ob"], (x, h, mf, mb)
+
+    def emissions(self, ids: np.ndarray, sizes: np.ndarray, out: np.ndarray) -> None:
+        """Scores (batch, steps, tags) of ids (steps, batch), windows of falling sizes."""
+        active = np.searchsorted(-sizes, -np.arange(len(ids)), "left")
+        p, n = self.p, len(self.p["whf"])
+        total = None
+        for d, rows in (("f", slice(None, n)), ("b", slice(n, None))):
+            table, wh = (p["emb"] @ p[f"wx{d}"] + p[f"b{d}"]).T.copy(), p[f"wh{d}"].T.copy()
+            table[: 3 * n] = 0.25 * table[: 3 * n] + 0.5
+            wh[: 3 * n] *= 0.25
+            own = np.matmul(p["out"][rows].T.copy(), _run(ids, active, table, wh, d == "b"))
+            total = own if total is None else total + own
+        np.add(total.transpose(2, 0, 1), p["ob"], out=out)
+
+    def viterbi(self, e: np.ndarray, before: bool = False, after: bool = False) -> np.ndarray:
+        """Best tags of one sequence of emissions; `before` and `after`: there are neighbours, which are outside."""
         tr, steps = self.p["tr"] + _ALLOWED, len(e)
-        back, score = np.empty((steps, TAGS), np.int64), e[0] + _START
+        back, score = np.empty((steps, TAGS), np.int8), e[0] + (tr[0] if before else _START)
         for t in range(1, steps):
             all_ = score[:, None] + tr
             back[t] = all_.argmax(0)
             score = all_.max(0) + e[t]
         tags = np.empty(steps, np.int64)
-        tags[-1] = score.argmax()
+        tags[-1] = (score + tr[:, 0] if after else score).argmax()
         for t in range(steps - 1, 0, -1):
             tags[t - 1] = back[t, tags[t]]
         return tags
@@ -263,8 +325,8 @@ def _crf(e: np.ndarray, tr: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarra
     return float(z.sum() - gold) / batch, (de / batch).astype(np.float32), (dtr / batch).astype(np.float32)
 
 
-def train(examples: list[tuple[str, list[Span]]], steps: int = 420, batch: int = 48, rate: float = 0.012, seed: int = 5) -> Tagger:
-    """Adam on the CRF likelihood of random windows of the labelled texts."""
+def train(examples: list[tuple[str, list[Span]]], steps: int = 500, batch: int = 64, rate: float = 0.015, seed: int = 5, own: float = 0.5) -> Tagger:
+    """Adam on the CRF likelihood of random windows of the labelled texts, and `own` times that of each tag by its emissions alone, which keeps prose far from any tag."""
     rng, tagger = np.random.default_rng(seed), Tagger.fresh()
     coded = []
     for text, spans in examples:
@@ -272,7 +334,7 @@ def train(examples: list[tuple[str, list[Span]]], steps: int = 420, batch: int =
         for kind, a, b in spans:
             y[a:b] = 2 + 2 * kind
             y[a] = 1 + 2 * kind
-        if len(text) >= WINDOW:
+        if len(text) >= TRAINED:
             coded.append((symbols(text), y))
     m = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     v = {k: np.zeros_like(v) for k, v in tagger.p.items()}
@@ -280,15 +342,26 @@ def train(examples: list[tuple[str, list[Span]]], steps: int = 420, batch: int =
         ids, ys = [], []
         for k in rng.integers(0, len(coded), batch):
             s, y = coded[k]
-            at = int(rng.integers(0, len(s) - WINDOW + 1))
-            own = y[at : at + WINDOW].copy()
-            if own[0] and own[0] % 2 == 0:
-                own[0] -= 1  # a span cut by the window begins here
-            ids.append(s[at : at + WINDOW])
-            ys.append(own)
+            at = int(rng.integers(0, len(s) - TRAINED + 1))
+            for _ in range(8):  # rather no span that is cut
+                if not (y[at] and y[at] % 2 == 0) and not (at + TRAINED < len(y) and y[at + TRAINED] and y[at + TRAINED] % 2 == 0):
+                    break
+                at = int(rng.integers(0, len(s) - TRAINED + 1))
+            if rng.random() < 0.2:  # the end of a text
+                end, n = len(s), int(rng.integers(TRAINED // 4, TRAINED))
+                s, y, at = np.concatenate((s[end - n :], np.zeros(TRAINED - n, s.dtype))), np.concatenate((y[end - n :], np.zeros(TRAINED - n, y.dtype))), 0
+            gold = y[at : at + TRAINED].copy()
+            if gold[0] and gold[0] % 2 == 0:
+                gold[0] -= 1  # a span cut by the window begins here
+            ids.append(s[at : at + TRAINED])
+            ys.append(gold)
         x_ids, y = np.array(ids), np.array(ys).T
-        e, (x, h, mf, mb) = tagger.emissions(x_ids, True)
+        e, (x, h, mf, mb) = tagger.learn(x_ids)
         _, de, dtr = _crf(e, tagger.p["tr"], y)
+        chance = np.exp(e - e.max(2, keepdims=True))
+        chance /= chance.sum(2, keepdims=True)
+        np.put_along_axis(chance, y[:, :, None], np.take_along_axis(chance, y[:, :, None], 2) - 1, 2)
+        de = de + (own / batch) * chance
         p = tagger.p
         n = h.shape[2] // 2
         dh = de @ p["out"].T
@@ -317,20 +390,6 @@ def default_tagger() -> Tagger:
 # --- decoding ------------------------------------------------------------------------------
 
 
-def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _regions(text: str) -> list[tuple[int, int]]:
-    return _joined([(max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)) for m in _TRIGGER.finditer(text)])
-
-
 def _plausible(kind: int, s: str) -> bool:
     n = len(_DIGITS.findall(s))
     if kind == 0:
@@ -341,67 +400,127 @@ def _plausible(kind: int, s: str) -> bool:
     return 13 <= n <= 19 if kind == 2 else 7 <= n <= 15
 
 
-_WEIGHT = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
-
-
-def _tags(texts: list[str], regions: list[tuple[int, int, int]], tagger: Tagger, batch: int) -> list[np.ndarray]:
-    """The tags of each region (text, start, end)."""
-    windows = [(r, at) for r, (_, a, b) in enumerate(regions) for at in range(a, max(a + 1, b - STRIDE), STRIDE)]
-    out: list[np.ndarray] = []
-    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for k in range(0, len(windows), batch):
-        part = windows[k : k + batch]
-        ids = np.full((len(part), WINDOW), 1, np.int64)
-        for j, (r, at) in enumerate(part):
-            s = symbols(texts[regions[r][0]][at : min(at + WINDOW, regions[r][2])])
-            ids[j, : len(s)] = s
-        e = tagger.emissions(ids)
-        for j, (r, at) in enumerate(part):
-            _, a, b = regions[r]
-            if r not in sums:
-                sums[r] = np.zeros((b - a, TAGS), np.float32), np.zeros(b - a, np.float32)
-            n = min(WINDOW, b - at)
-            sums[r][0][at - a : at - a + n] += e[:n, j] * _WEIGHT[:n, None]
-            sums[r][1][at - a : at - a + n] += _WEIGHT[:n]
-            if k + j + 1 == len(windows) or windows[k + j + 1][0] != r:
-                total, weight = sums.pop(r)
-                out.append(tagger.viterbi(total / weight[:, None]))
+def _scores(ids: np.ndarray, lengths: np.ndarray, tagger: Tagger, window_range: tuple[int, int] | None = None) -> np.ndarray:
+    """(characters, tags): emissions of texts that stand one after another in ids, each under windows of its own.
+
+    `window_range` takes only these windows of a single text, and gives the characters from the first one's start on.
+    """
+    count = np.where(lengths > WINDOW, -(-(lengths - WINDOW) // STRIDE) + 1, (lengths > 0).astype(np.int64))
+    start = np.cumsum(lengths) - lengths
+    if window_range:
+        text, k = np.zeros(window_range[1] - window_range[0], np.int64), np.arange(*window_range)
+    else:
+        text = np.repeat(np.arange(len(lengths)), count)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    size = np.minimum(WINDOW, lengths[text] - k * STRIDE)
+    at = start[text] + k * STRIDE
+    wide = size + (k == count[text] - 1)  # the end of a text is one symbol of padding
+    order = np.argsort(-wide, kind="stable")
+    slot, flat, top = np.empty(len(order), np.int64), [], 0
+    for a in range(0, len(order), BATCH):
+        part = order[a : a + BATCH]
+        width = int(wide[part[0]])
+        step = np.arange(width)[:, None]
+        own = ids[np.minimum(at[part] + step, len(ids) - 1)]
+        own[step >= size[part]] = 0
+        slot[part] = top + np.arange(len(part)) * width
+        top += width * len(part)
+        flat.append(np.empty((len(part), width, TAGS), np.float32))
+        tagger.emissions(own, wide[part], flat[-1])
+    flat = np.concatenate([x.reshape(-1, TAGS) for x in flat]) if flat else np.zeros((0, TAGS), np.float32)
+    if window_range:
+        n = int(at[-1] + size[-1] - at[0])
+        p, first, last = np.arange(n) + at[0], k[0], k[-1]
+        later = np.clip(p // STRIDE, first, last)
+        row, base = later - first, p
+    else:
+        char_text = np.repeat(np.arange(len(lengths)), lengths)
+        p = np.arange(len(ids)) - start[char_text]
+        later = np.minimum(p // STRIDE, count[char_text] - 1)
+        row, first, base = (np.cumsum(count) - count)[char_text] + later, 0, p
+    q = base - later * STRIDE
+    out = flat[slot[row] + q]
+    both = np.flatnonzero((later > first) & (q < WINDOW - STRIDE))
+    share = ((q[both] + 0.5) / (WINDOW - STRIDE)).astype(np.float32)[:, None]
+    out[both] = share * out[both] + (1 - share) * flat[slot[row[both] - 1] + q[both] + STRIDE]
     return out
 
 
-def _settled_tags(texts: list[str], tagger: Tagger, batch: int) -> dict[tuple[int, int, int], np.ndarray]:
-    """Regions whose edges are free of tags or are those of the text. They grow by doubling steps and join where they meet, so the work stays near linear."""
-    done: dict[tuple[int, int, int], np.ndarray] = {}
-    todo = [(i, a, b) for i, t in enumerate(texts) for a, b in _regions(t)]
-    step = MARGIN
-    while todo:
-        done |= dict(zip(todo, _tags(texts, todo, tagger, batch), strict=True))
-        grown: dict[int, list[tuple[int, int]]] = {}
-        for i, a, b in todo:
-            tags = done[i, a, b]
-            x = max(0, a - step) if tags[:EDGE].any() else a
-            y = min(len(texts[i]), b + step) if tags[-EDGE:].any() else b
-            if (x, y) != (a, b):
-                grown.setdefault(i, []).append((x, y))
-        own: dict[int, list[tuple[int, int]]] = {i: [] for i in grown}
-        for i, a, b in done:
-            if i in own:
-                own[i].append((a, b))
-        todo = []
-        for i, ranges in grown.items():
-            kept = _joined(own[i] + ranges)
-            todo += [(i, a, b) for a, b in kept if (i, a, b) not in done]
-            for a, b in set(own[i]) - set(kept):
-                del done[i, a, b]
-        step *= 2
-    return done
-
-
-def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger, batch: int = 2048) -> list[list[Span]]:
-    """Spans of the tagger that touch no base span."""
+def _undecided(lead: np.ndarray, lengths: np.ndarray, tagger: Tagger) -> list[tuple[int, int]]:
+    """Ranges outside which the best tags are all O; lead: how much the best other tag scores over O.
+
+    A stretch with tags, from one O to the next, scores at most the sum of lead + inside over its characters plus
+    `edge` over staying outside, where inside and edge hold the best transitions. So a character can have a tag only if
+    some stretch around it sums to -edge or more. The best sum around a character is that of the best stretch that ends there and that of the best one that begins there.
+    """
+    tr = tagger.p["tr"].astype(np.float64) + _ALLOWED
+    stay = tr[0, 0]
+    inside = tr[1:, 1:].max() - stay
+    edge = max(tr[0, 1:].max() - stay, 0.0) + max(tr[1:, 0].max() - stay, 0.0) - inside
+    n, start = len(lead), np.cumsum(lengths) - lengths
+    place = np.arange(n) + np.repeat(np.arange(len(lengths)), lengths) + 1  # a gap before each text, and one at the end
+    s = np.full(n + len(lengths) + 1, -1e7)
+    s[place] = lead + inside
+
+    def ending(x: np.ndarray) -> np.ndarray:
+        sums = np.cumsum(x)
+        return sums - np.minimum.accumulate(np.concatenate(([0.0], sums[:-1])))
+
+    best = (ending(s) + ending(s[::-1])[::-1] - s)[place]
+    some = best >= -edge - 1e-3 - 1e-9 * n
+    turn = np.flatnonzero(np.diff(np.concatenate(([False], some, [False])).view(np.int8)))
+    out = []
+    for a, b in zip(turn[::2].tolist(), turn[1::2].tolist()):
+        while a < b:  # a range ends with its text
+            text = int(np.searchsorted(start, a, "right")) - 1
+            end = min(b, int(start[text] + lengths[text]))
+            out.append((a, end))
+            a = end
+    return out
+
+
+def _tagged(ids: np.ndarray, lengths: np.ndarray, tagger: Tagger) -> list[tuple[int, np.ndarray]]:
+    """(first character, tags) of the ranges that may hold spans."""
+    if len(lengths) == 1 and len(ids) > LONG:  # scored in parts, and the ranges once more
+        last = -(-(len(ids) - WINDOW) // STRIDE) + 1
+        step = LONG // STRIDE
+        lead = np.empty(len(ids), np.float32)
+
+        def rows(a: int, b: int) -> np.ndarray:
+            x, y = max(0, a // STRIDE - 1), min(last, (b - 1) // STRIDE + 1)
+            return _scores(ids, lengths, tagger, (x, y))[a - x * STRIDE : b - x * STRIDE]
+
+        for w in range(0, last, step):
+            a, b = w * STRIDE, len(ids) if w + step >= last else (w + step) * STRIDE
+            e = rows(a, b)
+            lead[a:b] = e[:, 1:].max(1) - e[:, 0]
+    else:
+        e = _scores(ids, lengths, tagger)
+        lead = e[:, 1:].max(1) - e[:, 0]
+
+        def rows(a: int, b: int) -> np.ndarray:
+            return e[a:b]
+
+    start = np.cumsum(lengths) - lengths
+    out = []
+    for a, b in _undecided(lead, lengths, tagger):
+        text = int(np.searchsorted(start, a, "right")) - 1
+        while not lengths[text]:
+            text -= 1
+        out.append((a, tagger.viterbi(rows(a, b), a > start[text], b < start[text] + lengths[text])))
+    return out
+
+
+def tagger_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
+    """What the tagger marks in whole texts, without outer white space."""
     out: list[list[Span]] = [[] for _ in texts]
-    for (i, a, _), tags in sorted(_settled_tags(texts, tagger, batch).items(), key=lambda x: x[0]):
-        at, taken = 0, base[i]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    if not lengths.sum():
+        return out
+    start = np.cumsum(lengths) - lengths
+    for a, tags in _tagged(symbols("".join(texts)), lengths, tagger):
+        i = int(np.searchsorted(start, a, "right")) - 1
+        a, at = a - int(start[i]), 0
         while at < len(tags):
             if tags[at] == 0:
                 at += 1
@@ -411,12 +530,23 @@ def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger, batch:
                 end += 1
             s = texts[i][a + at : a + end]
             x, y = a + at + len(s) - len(s.lstrip()), a + at + len(s.rstrip())
-            if y > x and _plausible(kind, texts[i][x:y]) and not any(p < y and x < q for _, p, q in taken):
+            if y > x:
                 out[i].append((kind, x, y))
             at = end
     return out
 
 
+def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
+    """Spans of the tagger that hold what their kind can't be without and touch no base span."""
+    out: list[list[Span]] = []
+    for text, taken, spans in zip(texts, base, tagger_spans(texts, tagger), strict=True):
+        ends, starts = sorted(q for _, _, q in taken), sorted(p for _, p, _ in taken)
+        # A base span touches (x, y) unless it ends by x or starts at y or later.
+        free = lambda x, y: bisect_right(ends, x) + len(starts) - bisect_left(starts, y) == len(taken)
+        out.append([(k, x, y) for k, x, y in spans if free(x, y) and _plausible(k, text[x:y])])
+    return out
+
+
 SPAN_TYPE = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 
 

@@ -172,23 +172,53 @@ def test_tagger_on_held_out():
 
 
 def test_long_spelled_out_addresses():
-    """A span may reach further from its trigger than the first region around it."""
-    said = ["mariana.fernandezgonzalez (at) example-company (dot) com", "user.an (at) thesh (dot) example (dot) example.com", "inghaesther.thestionlichdean (at) shthehastion (dot) reationerlich (dot) example.com", "theationlyreha-shinglatistion [at] conthestinglich [dot] inghahatheresti [dot] org", "instealishthehation (at) theringstedlyha (dot) conlichdersting (dot) com"]
+    said = ["mariana.fernandezgonzalez (at) example-company (dot) com", "user.an (at) thesh (dot) example (dot) example.com", "inghaesther.thestionlichdean (at) shthehastion (dot) reationerlich (dot) example.com", "theationlyreha-shinglatistion [at] conthestinglich [dot] org"]
     texts = [f"Write to {x} today, es la the shan." for x in said] + ["the an er " * 40 + "x" * 30]
     got = pii.added_spans(texts, [[] for _ in texts], pii.default_tagger())
     for text, x, spans in zip(texts, said, got):
         at = text.index(x)
         assert [k for k, a, b in spans if a <= at and at + len(x) <= b < len(x) + at + 2] == [0]
     assert not got[-1]
-    one = " ".join(texts)  # regions grow side by side
-    assert all(any(a <= one.index(x) and one.index(x) + len(x) <= b for _, a, b in pii.added_spans([one], [[]], pii.default_tagger())[0]) for x in said)
 
 
-def test_windows_do_not_matter():
-    """A long region gives what each of its parts gives alone."""
-    one = "the an er 4929963689861572 hely, "
-    base = [pii.base_spans(one * 30)]
-    assert len(base[0]) + len(pii.added_spans([one * 30], base, pii.default_tagger())[0]) == 30
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(x for x, _ in pii.labelled_windows(n, seed=int(rng.integers(1 << 30))))
+
+
+def test_tags_of_whole_texts():
+    """Sums leave out nothing that the Viterbi pass over the whole text tags; what stands beside a text doesn't matter, nor its length."""
+    m = pii.default_tagger()
+    texts = [prose(1, 12), "", "x", prose(2, 1)[:30], prose(3, 9), "a" * pii.WINDOW, prose(4, 5)[: pii.WINDOW + 1]]
+    lengths = np.array([len(x) for x in texts])
+    ids = pii.symbols("".join(texts))
+    got = np.zeros(len(ids), int)
+    for a, tags in pii._tagged(ids, lengths, m):
+        got[a : a + len(tags)] = tags
+    start = np.cumsum(lengths) - lengths
+    for x, a in zip(texts, start):
+        if x:
+            e = pii._scores(pii.symbols(x), np.array([len(x)]), m)
+            assert (m.viterbi(e) == got[a : a + len(x)]).all()
+    assert (got > 0).any()
+
+
+def test_very_long_text(monkeypatch):
+    """A text over LONG is scored in parts with the same result."""
+    m, text = pii.default_tagger(), prose(6, 60)
+    whole = pii.tagger_spans([text], m)
+    assert whole[0]
+    for limit in (pii.STRIDE, 3 * pii.STRIDE + 5):
+        monkeypatch.setattr(pii, "LONG", limit)
+        assert pii.tagger_spans([text], m) == whole
+
+
+def test_plain_prose_has_no_spans():
+    """The tagger itself, without the check of what a kind needs: prose of other words than it was trained with."""
+    words = "harbour lantern quartz willow meadow copper justice orchestra twelve hundred people walked along Müller straße niño garçon 42 2019 (see below) Mr. Smith's".split()
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(words) for _ in range(300)) + "." for _ in range(40)]
+    assert sum(map(len, pii.tagger_spans(texts, pii.default_tagger()))) <= 2
 
 
 def test_pii_awkward(spark, awkward, nothing):
