@@ -5,7 +5,9 @@ deterministic: every control string ends what stands before it, so a text that h
 cannot be read back as it was. Each turn is first rendered as it is and reparsed; a turn that
 doesn't come back identical is rendered again with its conflicting strings escaped: a
 backslash goes between `<` and `|` (one more where some stand there already), which the
-parser takes away. Turns without conflict stay byte for byte.
+parser takes away. The escaped turn is reparsed and compared again; one more escape changes nothing that
+the parser couldn't take away, so a turn that still differed would be a fault, and it ends the job
+instead of being written. Turns without conflict stay byte for byte.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ def _role_escaped(role: Column) -> Column:
 
 
 def _role_unescaped(role: Column) -> Column:
-    kept = F.replace(_unescaped(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(kept, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """Doubled backslashes split the role into pieces in which a backslash and an n spell a newline."""
+    pieces = F.split(_unescaped(role), r"\\\\")
+    return F.array_join(F.transform(pieces, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def _role_conflicts(role: Column) -> Column:
@@ -67,11 +70,15 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     """
     t = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     plain = rendered(F.col("role"), F.col("text"))
-    back = parsed(F.expr(f"substr(plain, {len(START) + 1})"))
-    same = F.coalesce((back["role"] == F.col("role")) & (back["text"] == F.col("text")), F.lit(False)) & ~_role_conflicts(F.col("role"))
-    t = t.withColumn("plain", plain).withColumn("same", same)
+
+    def comes_back(piece: str) -> Column:
+        back = parsed(F.expr(f"substr({piece}, {len(START) + 1})"))
+        return F.coalesce((back["role"] == F.col("role")) & (back["text"] == F.col("text")), F.lit(False))
+
+    t = t.withColumn("plain", plain).withColumn("same", comes_back("plain") & ~_role_conflicts(F.col("role")))
     role_out = F.when(_role_conflicts(F.col("role")), _role_escaped(F.col("role"))).otherwise(F.col("role"))
-    t = t.withColumn("piece", F.when(F.col("same"), F.col("plain")).otherwise(rendered(role_out, _escaped(F.col("text")))))
+    t = t.withColumn("escaped", F.when(~F.col("same"), rendered(role_out, _escaped(F.col("text")))))
+    t = t.withColumn("piece", F.when(F.col("same"), F.col("plain")).when(comes_back("escaped"), F.col("escaped")).otherwise(F.raise_error(F.lit("a turn doesn't come back from its escaped form"))))
     w = Window.partitionBy("conv").orderBy("turn", "role", "text")
     upto = F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     body = F.length("piece") - F.length(F.lit(END + "\n"))

@@ -1,18 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block element. Navigation, page headers, footers, asides,
-forms, adverts, notices and comments lose their text but keep their place: each leaves a gap as
-wide as the sliding window. The text lengths of `window` lines from each line on give the
-distribution; a run surges where the sum passes `surge` and dives where it is zero again, and
-the text between these points is kept. Lines inside an <article> or <main> landmark
-count as above the surge, so short titles and last lines stay; where a page has such a
-landmark, lines outside it count nothing.
+Markup is stripped to lines: a text line for each block element, and blank lines where containers open or close
+between them, as in a page that has each container tag on a line of its own. Navigation, page headers, footers, asides,
+forms, adverts, notices and comments lose their text and leave `window` blank lines. A line
+weighs the length of its text, or nothing if most of it is link text. The weights of `window` lines from each line on
+give the distribution: a run surges where the sum passes `surge` and dives where it is zero again, and the
+text between these points is kept.
+
+<article> and <main> are evidence that the distribution weighs: if the surging runs hold at least as much text inside
+such landmarks as outside, the landmarks in which text surges are kept whole, with their short titles and last
+lines, and the runs outside go; else (cards of an article each around the text) the runs decide alone. Where no
+run surges, the landmarks are kept, and without any the run of the most text.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
@@ -25,21 +31,39 @@ from .common import arrow_map, byte_slices, table
 RAW = frozenset("script style noscript template textarea select iframe svg object title math canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption option summary address hr br html body".split())
 DROPPED = frozenset("nav header footer aside form button dialog menu fieldset head".split())
 LANDMARKS = frozenset("article main".split())
-# Class, id and role words that mark what is not the article.
+CLOSED_BY_ITSELF = frozenset("p li tr td th dt dd option".split())
+# Class, id and role names that mark what is not the article; a name of several parts counts if each part is one of these or says where or what kind of box.
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promos promotion nav navbar navigation menu menus menubar breadcrumb breadcrumbs "
-    "sidebar sidebars side rail aside complementary footer footers contentinfo header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
+    "sidebar sidebars rail aside complementary footer footers contentinfo header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social comment comments commentlist disqus respond reply replies related recommended widget widgets toolbar pagination pager search copyright skip".split()
 )
+BOXES = frozenset("site page main top bottom left right side list box bar container wrapper wrap block item items area section inner outer content global primary secondary links link buttons button posts articles stories message thread form field module unit slot".split())
+NO_ID = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre".split())  # an id on these is an anchor
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _END_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
+@dataclass
+class Line:
+    """A line of the stripped page; landmark is the number of the outermost one around it (0: none), linked the length of its link text."""
+
+    text: str
+    landmark: int
+    linked: int
+
+
+def _boilerplate(name: str) -> bool:
+    parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
+    return any(x in NOT_ARTICLE for x in parts) and all(x in NOT_ARTICLE or x in BOXES for x in parts)
+
+
 def _unwanted(name: str, attrs: str, in_landmark: bool) -> bool:
     if name in DROPPED and not (name == "header" and in_landmark):
         return True
@@ -47,114 +71,177 @@ def _unwanted(name: str, attrs: str, in_landmark: bool) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    return any(w in NOT_ARTICLE for m in _CLASS.finditer(attrs) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()))
-
-
-def page_lines(html: str) -> tuple[list[tuple[str, bool, int]], bool]:
-    """((text, in a landmark, length of linked text) of each line, any landmark at all); an empty text stands for a dropped element."""
-    lines: list[tuple[str, bool, int]] = []
-    buf: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements; whether this one is dropped
-    at = dropped = landmark = linked = in_link = 0
-    seen = False
-
-    def flush() -> None:
-        nonlocal linked
-        if buf:
-            if text := " ".join(html_lib.unescape("".join(buf)).split()):
-                lines.append((text, landmark > 0, linked))
-            buf.clear()
-        linked = 0
-
-    def leave(k: int) -> None:
-        nonlocal dropped, landmark, in_link
-        for name, gone in stack[k:]:
-            dropped -= gone
-            landmark -= name in LANDMARKS
-            in_link -= name == "a"
-            if gone:
-                lines.append(("", landmark > 0, 0))
-        del stack[k:]
-
-    while m := _TOKEN.search(html, at):
-        if not dropped and m.start() > at:
-            buf.append(html[at : m.start()])
-            linked += (m.start() - at) * (in_link > 0)
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+    return any(_boilerplate(w) for m in _NAMES.finditer(attrs) if not (m[1].lower() == "id" and name in NO_ID) for w in (m[2] or m[3] or m[4] or "").lower().split())
+
+
+class _Page:
+    """Lines out of tags and texts; `stack` holds the open block elements that are kept."""
+
+    def __init__(self, window: int):
+        self.window, self.lines = window, []
+        self.buf: list[str] = []
+        self.stack: list[str] = []
+        self.open: Counter[str] = Counter()
+        self.linked, self.in_link = 0, False
+        self.landmark = self.landmarks = self.depth = 0
+        self.skipped, self.inner = "", Counter()  # the dropped element and what is open in it
+
+    def text(self, piece: str) -> None:
+        if not self.skipped and piece:
+            self.buf.append(piece)
+            self.linked += len(piece) * self.in_link
+
+    def flush(self) -> None:
+        if self.buf:
+            if text := " ".join(html_lib.unescape("".join(self.buf)).split()):
+                self.lines.append(Line(text, self.landmark, self.linked))
+            self.buf.clear()
+        self.linked = 0
+
+    def blank(self, n: int = 1) -> None:
+        self.lines += [Line("", self.landmark, 0)] * n
+
+    def leave(self, k: int) -> None:
+        for name in self.stack[k:]:
+            self.open[name] -= 1
+            if name in LANDMARKS:
+                self.depth -= 1
+                self.landmark *= self.depth > 0
+            if name not in TEXT_BLOCKS:
+                self.blank()
+        del self.stack[k:]
+        self.in_link = False
+
+    def skip(self, name: str) -> None:
+        self.flush()
+        self.blank(self.window)
+        self.skipped = name
+        self.inner.clear()
+
+    def start(self, name: str, attrs: str) -> None:
+        if self.skipped:
+            if name == self.skipped and name in CLOSED_BY_ITSELF and not +self.inner:
+                self.skipped = ""
+            else:
+                if name not in VOID and not attrs.endswith("/"):
+                    self.inner[name] += 1
+                return
+        alone = name in VOID or attrs.endswith("/")
+        if _unwanted(name, attrs, self.depth > 0):
+            if not alone:
+                self.skip(name)
+            return
+        if name in INLINE:
+            self.in_link = self.in_link or name == "a" and not alone
+            return
+        if name == "br":
+            self.buf.append(" ")
+            return
+        self.flush()
+        if self.stack and (self.stack[-1] == "p" or self.stack[-1] == name and name in CLOSED_BY_ITSELF):
+            self.leave(len(self.stack) - 1)
+        if name in LANDMARKS and not alone:
+            self.landmarks += self.depth == 0
+            self.landmark = self.landmarks
+            self.depth += 1
+        if name not in TEXT_BLOCKS:
+            self.blank()
+        if not alone:
+            self.stack.append(name)
+            self.open[name] += 1
+
+    def end(self, name: str) -> None:
+        if self.skipped:
+            if self.inner[name]:
+                self.inner[name] -= 1
+                return
+            if name == self.skipped:
+                self.skipped = ""
+                return
+            if not self.open[name]:
+                return
+            self.skipped = ""  # its parent ends
+        if name in INLINE:
+            self.in_link &= name != "a"
+            return
+        self.flush()
+        if self.open[name]:
+            k = len(self.stack) - 1
+            while self.stack[k] != name:
+                k -= 1
+            self.leave(k)
+
+
+def page_lines(html: str, window: int = 3) -> list[Line]:
+    """The lines of a page; every character is looked at a bounded number of times."""
+    page, at, last = _Page(window), 0, html.rfind(">")
+    done = 0  # what is before has been given as text or markup
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at) or html.startswith("<![CDATA[", at):
+            page.text(html[done:at])
+            end = "-->" if html[at + 2] == "-" else "]]>"
+            stop = html.find(end, at + 4)
+            at = done = len(html) if stop < 0 else stop + 3
             continue
-        if name in RAW and not m[1]:
-            if not (m[3] or "").endswith("/"):
-                end = _END_RAW[name].search(html, at)
-                at = end.end() if end else len(html)
-            buf.append(" " if name not in INLINE else "")
+        if at > last:
+            break
+        if html[at + 1] in "!?":
+            page.text(html[done:at])
+            at = done = html.find(">", at) + 1
             continue
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name not in INLINE or k is not None and stack[k][1]:
-                flush()
-            if k is not None and (name not in INLINE or all(x in INLINE for x, _ in stack[k:])):
-                leave(k)
+        m = _TAG.match(html, at)
+        if not m:  # a sign of the text
+            at += 1
             continue
-        gone = _unwanted(name, m[3], landmark > 0)
-        if name == "br" or name not in INLINE or gone:
-            if name == "br":
-                buf.append(" ")
-            elif not dropped:
-                flush()
-        if name == "p" or name in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None and all(x in INLINE or x == name for x, _ in stack[k:]):
-                leave(k)
-        if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, gone))
-            dropped += gone
-            landmark += name in LANDMARKS
-            in_link += name == "a"
-            seen |= name in LANDMARKS and not dropped
-        elif gone:
-            lines.append(("", landmark > 0, 0))
-    if not dropped:
-        tail = html[at:]
-        cut = re.search(r"<[/a-zA-Z!?][^>]*\Z", tail)
-        buf.append(tail[: cut.start()] if cut else tail)
-    flush()
-    return lines, seen
+        page.text(html[done:at])
+        at = done = m.end()
+        name = m[2].lower()
+        if name in RAW:
+            if not m[1] and not m[3].endswith("/"):
+                end = _END_RAW[name].search(html, at)
+                at = done = end.end() if end else len(html)
+            page.text(" ")
+        elif m[1]:
+            page.end(name)
+        else:
+            page.start(name, m[3])
+    page.text(html[done:])
+    page.flush()
+    return page.lines
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
-    """The kept blocks joined by one blank; empty where there is no text."""
-    lines, landmarks = page_lines(html or "")
-    texts, weights = [], []
-    for text, inside, linked in lines:
-        if not text:
-            texts += [""] * window
-            weights += [0] * window
-        elif landmarks:
-            texts.append(text)
-            weights.append(max(surge + 1, len(text)) if inside else 0)
-        else:
-            texts.append(text)
-            weights.append(0 if linked * 2 > len(text) else len(text))
+    """The kept lines joined by one blank; empty where there is no text."""
+    lines = page_lines(html or "", window)
+    weights = [0 if x.linked * 2 > len(x.text) else len(x.text) for x in lines]
     total = [0, *accumulate(weights)]
-    n = len(weights)
+    n = len(lines)
     sums = [total[min(n, i + window)] - total[i] for i in range(n)]
-    kept: list[str] = []
-    i, best = 0, (0, [])
+    runs, i = [], 0  # (first line, behind the last line, peak)
     while i < n:
-        if not sums[i]:
-            i += 1
-            continue
         j = i
         while j < n and sums[j]:
             j += 1
-        run = [t for t, w in zip(texts[i:j], weights[i:j]) if w]
-        if max(sums[i:j]) > surge:
-            kept += run
-        best = max(best, (sum(weights[i:j]), run), key=lambda x: x[0])
-        i = j
-    return " ".join(kept or best[1])
+        if j > i:
+            runs.append((i, j, max(sums[i:j])))
+        i = j + 1
+    surging = [r for r in runs if r[2] > surge]
+    inside, around = Counter(), 0
+    for a, b, _ in surging:
+        for k in range(a, b):
+            if lines[k].landmark:
+                inside[lines[k].landmark] += weights[k]
+            else:
+                around += weights[k]
+    if any(x.landmark and x.text for x in lines) and inside.total() >= around:
+        return " ".join(x.text for x in lines if x.text and x.landmark and (inside[x.landmark] or not surging))
+    if not surging and runs:
+        surging = [max(runs, key=lambda r: total[r[1]] - total[r[0]])]
+    kept: list[str] = []
+    for a, b, _ in surging:
+        heavy = [k for k in range(a, b) if weights[k]]
+        kept += [x.text for x in lines[heavy[0] : heavy[-1] + 1] if x.text]
+    return " ".join(kept)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, surge: int = 86) -> DataFrame:
@@ -162,7 +249,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     A null or empty page, or one without text, has an empty text. Where no run of lines surges,
     the longest run is kept. White space in a block is one blank; character references are
-    decoded once. Very long pages take one linear pass; repeated rows are extracted again; a null
+    decoded once. A `<` that begins no tag is text. Very long pages take a few linear passes; repeated rows are extracted again; a null
     id or url stays null; other columns are ignored.
     """
     types = pa.schema([(id_col, pa.int64()), (url_col, pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -43,7 +44,7 @@ def chat(spark, rows):
 def test_chat_round_trip(spark):
     rng = random.Random(5)
     parts = ["<|im_end|>", "<|im_start|>", "<\\|", "<\\\\|x", "\n", "a", "\\", "|>", "<", "ß", "assistant\n"]
-    rows = [(i, t, rng.choice(["user", "assistant", "a\nb", "r\\n", "<|im_end|>"]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))) for i in range(150) for t in range(rng.randint(1, 4))]
+    rows = [(i, t, rng.choice(["user", "assistant", "a\nb", "r\\n", "<|im_end|>", "a\\\0b", "\\\\", "\\\n\\"]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))) for i in range(150) for t in range(rng.randint(1, 4))]
     out = chat(spark, rows).withColumn("turns", chat_format.parse_chat(F.col("formatted"))).collect()
     want = {}
     for c, _, r, x in sorted(rows):
@@ -81,6 +82,35 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+LONG_TEXT = "Long text here, of many words. " * 12
+CARD = "<article><h3>Card</h3></article>"
+
+
+def test_window_and_surge_decide():
+    f = html_extract.main_text
+    apart = f"<div><p>tiny</p></div><ul></ul><div></div><div><p>{LONG_TEXT}</p></div>"
+    assert f(apart, 3, 86) == LONG_TEXT.strip() and f(apart, 9, 86) == f(apart, 1, 0) == "tiny " + LONG_TEXT.strip()
+    assert f("<p>some words</p>" + "<section></section>" * 4 + "<p>and a few words more</p>", 3, 5) == "some words and a few words more"
+    assert f("<p>some words</p>" + "<section></section>" * 4 + "<p>and a few words more</p>", 3, 12) == "and a few words more"
+    cards = f"{CARD}<ul></ul><div></div><div><p>{LONG_TEXT}</p></div><ul></ul><div></div>{CARD}"  # landmarks around the text, not of it
+    assert f(cards) == LONG_TEXT.strip()
+    assert f(f"<p>An advert of some length that says nothing</p><article><h1>Title</h1><p>{LONG_TEXT}</p><div><div><div><p>End.</p></div></div></div></article>") == f"Title {LONG_TEXT}End."
+
+
+def test_names_of_boilerplate():
+    f = html_extract.main_text
+    kept = '<article><p id="search-for-meaning">A</p><h2 class="related-work">B</h2>'
+    assert f(kept + '<div class="x cookie-notice">C</div><div id="comments">D</div><span class="ad_box">E</span></article>') == "A B"
+    assert f("<p>if a <b then stop") == "if a <b then stop"
+
+
+@pytest.mark.parametrize("page", ["<b" * 50_000, "<div>" * 20_000 + "</p>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, '<a x="' * 20_000, "<a '\"" * 20_000, "<!--" * 20_000, "<!" * 50_000, "<li><div>" * 10_000 + "<li>" * 10_000, "<div class=ad>" * 20_000 + "</div>" * 100, "<" * 100_000 + ">"])
+def test_hostile_pages_are_quick(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 2
+
+
 def test_pages_awkward(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<p>" + "<b>x" * 20_000), (2, "u", "<article>a</article>"), (2, "u", "<article>a</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     rows = html_extract.extract_pages(df).collect()
