@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import dropped, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each step points nodes at the smallest neighbour, so a star of any size needs few rounds and
     no group is gathered: all is min() and joins. Edges with a null end are ignored.
     """
-    e = checkpointed(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    e = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
@@ -25,8 +25,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # Small star: the smaller neighbours of u, and u, go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        new = checkpointed(small)
+        new = stored(small)
         same = new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty()
+        dropped(e)
         e = new
         if same:
             break

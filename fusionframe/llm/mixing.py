@@ -3,19 +3,23 @@
 Domains are the label combinations of a labelled table. A naive Bayes classifier over the
 presence of the most telling words gives every document posterior domain probabilities. Document
 rates r >= 0 then minimise the squared distance between expected domain token totals and their
-targets, by projected gradient steps from r = 1. Gradients are summed on the cluster; the driver
-keeps one number a domain. Steps are scaled by the inverse second moments of the domains
-over the documents whose rate isn't held at zero, so few are needed, and by 1 / tokens, so documents of equal posterior get equal rates.
+targets, each domain's gap weighted by one over its share, by projected gradient steps from r = 1. Steps are measured by tokens, so documents of equal
+posterior get equal rates and a step of 1 can't overshoot; every step is taken from a point that keeps some of the last
+movement, unless this went uphill.
+
+A gradient is a weighted sum of posteriors, so a step is known by one number a domain, which is all the driver keeps. Rates aren't stored
+between steps: each document folds the list of steps over its own posterior, projecting after each.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import stored, table
 
 #: Production targets: shares of the tokens by quality and toxicity label.
 TARGETS = {"q0t0": 0.06, "q0t1": 0.005, "q1t0": 0.92, "q1t1": 0.015}
@@ -66,17 +70,15 @@ class Classifier:
         return sums.select("id", "n_tokens", F.array(*[x / total for x in raw]).alias("p"))
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, vocabulary: int = 1024, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> Classifier:
-    """Naive Bayes on a bounded labelled sample; the `vocabulary` words with the largest chi-square over the domains."""
-    sample = checkpointed(_labelled(labels, label_id, sample_rows))
+def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, vocabulary: int = 1024, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", doc_label_id: str | None = None) -> Classifier:
+    """Naive Bayes on a bounded labelled sample; the `vocabulary` words with the largest chi-square over the domains. Ids of labels are those of doc_label_id in docs (label_id if None)."""
+    sample = stored(_labelled(labels, label_id, sample_rows))
     # Written first: else the words of all documents are split before the join drops them.
-    mine = checkpointed(docs.select(F.col(label_id).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(sample), "k").select("k", "domain", "text"))
+    mine = stored(docs.select(F.col(doc_label_id or label_id).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(sample), "k").select("k", "domain", "text"))
     sizes = {r.domain: r.n for r in mine.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(sizes)
     if not domains:
         return Classifier(["all"], [0.0], {})
-    import math
-
     total = sum(sizes.values())
     priors = [math.log(sizes[d] / total) for d in domains]
     if len(domains) == 1:
@@ -91,75 +93,81 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, voc
     return Classifier(domains, [p + a for p, a in zip(priors, absent, strict=True)], weights)
 
 
-def _solve(m: list[list[float]], y: list[float]) -> list[float]:
-    """x of m x = y for a few unknowns; m is symmetric and positive."""
-    n = len(y)
-    a = [[*m[i], y[i]] for i in range(n)]
-    for i in range(n):
-        p = max(range(i, n), key=lambda r: abs(a[r][i]))
-        a[i], a[p] = a[p], a[i]
-        for r in range(n):
-            if r != i:
-                f = a[r][i] / a[i][i]
-                a[r] = [u - f * v for u, v in zip(a[r], a[i], strict=True)]
-    return [a[i][n] / a[i][i] for i in range(n)]
+def _folded(p: list[Column], steps: list[tuple[float, list[float]]]) -> tuple[Column, Column]:
+    """(rate after the last step, rate before it) of a document with posterior p; a step is (share of the last movement that is kept, what each domain takes away)."""
+    if not steps:
+        return F.lit(1.0), F.lit(1.0)
+    listed = F.array(*[F.struct(F.lit(float(keep)).alias("keep"), *[F.lit(float(x)).alias(f"g{i}") for i, x in enumerate(gap)]) for keep, gap in steps])
+    start = F.struct(F.lit(1.0).alias("last"), F.lit(1.0).alias("now"))
+
+    def step(acc: Column, s: Column) -> Column:
+        taken = reduce(lambda a, b: a + b, [p[i] * s[f"g{i}"] for i in range(len(p))])
+        return F.struct(acc["now"].alias("last"), F.greatest(F.lit(0.0), acc["now"] + s["keep"] * (acc["now"] - acc["last"]) - taken).alias("now"))
+
+    end = F.aggregate(listed, start, step)
+    return end["now"], end["last"]
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = 60, tolerance: float = 1e-7) -> DataFrame:
-    """members (id, n_tokens, p array) with `rate`; targets are shares of all tokens, one a domain.
+def fit_rates(members: DataFrame, targets: list[float], steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
+    """members (id, n_tokens, p array) with rate, residual and converged; targets are shares of all tokens, one a domain.
 
-    Gradient steps move the rates before projection, and what is read is their projection to r >= 0;
-    so the state is one number a domain, and the rates that meet the targets are those of
-    least change (squared, weighted by tokens). A step that makes the gap larger is halved.
+    residual is the largest distance of a domain's expected share from its target. Steps end when it is
+    under `tolerance`, or when a step changes no domain's share by a tenth of that (targets that no rates meet); converged
+    is false where `steps` ran out before.
     """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
     mass = F.col("n_tokens").cast("double")
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def at(y: list[float]) -> DataFrame:
-        return members.withColumn("rate", F.greatest(F.lit(0.0), 1.0 - reduce(lambda a, b: a + b, [p[i] * F.lit(float(y[i])) for i in range(k)])))
-
-    moved, best, best_size, pace = [0.0] * k, [0.0] * k, float("inf"), 1.0
+    first = members.agg(F.sum(mass).alias("n"), *[F.sum(mass * p[i]).alias(f"d{i}") for i in range(k)]).first()
+    if not first.n:
+        return members.select("*", F.lit(1.0).alias("rate"), F.lit(0.0).alias("residual"), F.lit(True).alias("converged"))
+    share = [first[f"d{i}"] / first.n for i in range(k)]
+    taken: list[tuple[float, list[float]]] = []
+    at, ahead, pace, done = share, share, 1.0, False
+    # ahead: the shares of the point that the next step starts from; the loss is half the sum of gap squared over share
+    loss = lambda x: sum((a - t) ** 2 / s for a, t, s in zip(x, targets, share, strict=True) if s > 0)
+    gap = lambda x: max(abs(a - t) for a, t in zip(x, targets, strict=True))
+    last_loss, keep = loss(at), 0.0
+    best = (last_loss, gap(at), 0)  # loss, residual and number of steps
     for _ in range(steps):
-        now = at(moved)
-        free = mass * (F.col("rate") > 0).cast("int")
-        sums = now.agg(F.sum(mass).alias("n"), *[F.sum(mass * p[i] * F.col("rate")).alias(f"d{i}") for i in range(k)], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-        if not sums.n:
-            return now
-        gap = [sums[f"d{i}"] / sums.n - targets[i] for i in range(k)]
-        size = max(map(abs, gap))
-        if size < best_size:
-            best, best_size, pace = moved, size, min(1.0, pace * 2)
-            gram = [[sums[f"g{min(i, j)}_{max(i, j)}"] / sums.n for j in range(k)] for i in range(k)]
-            ridge = 1e-6 * sum(gram[i][i] for i in range(k)) + 1e-12
-            for i in range(k):
-                gram[i][i] += ridge
-            step = _solve(gram, gap)
-        else:
-            pace /= 2
-        if best_size < tolerance or pace < 1e-6:
+        if gap(at) < tolerance:
+            done = True
+            break
+        taken.append((keep, [(a - t) / s if s > 0 else 0.0 for a, t, s in zip(ahead, targets, share, strict=True)]))
+        now, last = _folded(p, taken)
+        pace, before = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
+        coming = (before - 1) / pace
+        both = members.select(mass.alias("m"), "p", now.alias("r"), last.alias("l"))
+        sums = both.agg(*[F.sum(F.col("m") * p[i] * F.col("r")).alias(f"a{i}") for i in range(k)], *[F.sum(F.col("m") * p[i] * F.col("l")).alias(f"l{i}") for i in range(k)]).first()
+        new, old = [sums[f"a{i}"] / first.n for i in range(k)], [sums[f"l{i}"] / first.n for i in range(k)]
+        moved = max(abs(a - b) for a, b in zip(new, old, strict=True))
+        if loss(new) > last_loss:  # uphill: the next step keeps nothing
+            pace, coming = 1.0, 0.0
+        at, last_loss, keep = new, loss(new), coming
+        ahead = [a + keep * (a - b) for a, b in zip(new, old, strict=True)]
+        best = min(best, (last_loss, gap(at), len(taken)))
+        if moved < tolerance / 10:
+            done = True
             break
-        moved = [y + pace * s for y, s in zip(best, step, strict=True)]
-    return at(best)
+    return members.select("*", _folded(p, taken[: best[2]])[0].alias("rate"), F.lit(best[1]).alias("residual"), F.lit(done or best[1] < tolerance).alias("converged"))
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 1024, label_id: str = "doc_id") -> DataFrame:
-    """id, n_tokens long, posterior array<double> (domains in name order), rate double: one row per document.
+def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 1024, label_id: str = "doc_id", doc_label_id: str | None = None) -> DataFrame:
+    """id, n_tokens long, posterior array<double> (domains in name order), rate, residual double, converged boolean: one row per document.
 
-    Rates times tokens times posteriors sum to the targets (shares of all tokens, made to sum to
+    residual and converged are those of `fit_rates`, the same in every row. Rates times tokens times posteriors sum to the targets (shares of all tokens, made to sum to
     1 over the domains that the labelled rows have; equal shares if none is named). Tokens are words
     between white space. A null or empty text has no tokens and gets the rate of its posterior;
     without labelled rows there is one domain and every rate is 1. Repeated rows are documents of
     their own; a null id stays null; very long texts are taken whole; other columns are ignored.
     """
-    model = fit_domains(docs, labels, sample_rows, vocabulary, id_col, text_col, label_id)
+    model = fit_domains(docs, labels, sample_rows, vocabulary, id_col, text_col, label_id, doc_label_id)
     wanted = [(targets or TARGETS).get(d, 0.0) for d in model.domains]
     wanted = [x / sum(wanted) for x in wanted] if sum(wanted) > 0 else [1 / len(wanted)] * len(wanted)
-    members = checkpointed(model.members(_features(docs, id_col, text_col)))
-    return fit_rates(members, wanted).select(F.col("id").alias(id_col), "n_tokens", F.col("p").alias("posterior"), "rate")
+    members = stored(model.members(_features(docs, id_col, text_col)))
+    return fit_rates(members, wanted).select(F.col("id").alias(id_col), "n_tokens", F.col("p").alias("posterior"), "rate", "residual", "converged")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_tokens", F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"), F.round("rate", 6).alias("rate"))
+    return out.select("doc_id", "n_tokens", F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"), F.round("rate", 6).alias("rate"), F.round("residual", 6).alias("residual"), "converged")
