@@ -125,9 +125,27 @@ def quaternion_to_matrix(w: Column, x: Column, y: Column, z: Column) -> list[Col
 
 
 def matrix_to_quaternion(pose: Column) -> tuple[Column, Column, Column, Column]:
-    """(w, x, y, z) with w >= 0, from the trace; for rotations of less than a half turn."""
-    w = F.sqrt(F.greatest(F.lit(0.0), 1 + pose[0] + pose[5] + pose[10])) / 2
-    return w, (pose[9] - pose[6]) / (4 * w), (pose[2] - pose[8]) / (4 * w), (pose[4] - pose[1]) / (4 * w)
+    """(w, x, y, z) with w >= 0 of any rotation: the largest component comes from the diagonal, the others are divided by it."""
+    a, b, c = pose[0], pose[5], pose[10]
+    squares = [1 + a + b + c, 1 + a - b - c, 1 - a + b - c, 1 - a - b + c]  # of w, x, y, z, four times
+    half = [F.sqrt(F.greatest(F.lit(0.0), q)) / 2 for q in squares]
+    wx, wy, wz = pose[9] - pose[6], pose[2] - pose[8], pose[4] - pose[1]
+    xy, xz, yz = pose[1] + pose[4], pose[2] + pose[8], pose[6] + pose[9]
+    part = lambda v, h: F.try_divide(v, 4 * h)
+    rows = [
+        (half[0], part(wx, half[0]), part(wy, half[0]), part(wz, half[0])),
+        (part(wx, half[1]), half[1], part(xy, half[1]), part(xz, half[1])),
+        (part(wy, half[2]), part(xy, half[2]), half[2], part(yz, half[2])),
+        (part(wz, half[3]), part(xz, half[3]), part(yz, half[3]), half[3]),
+    ]
+    top = F.greatest(*squares)
+    out = []
+    for k in range(4):
+        value, sign = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for row, square in reversed(list(zip(rows, squares, strict=True))):
+            value, sign = F.when(square == top, row[k]).otherwise(value), F.when(square == top, F.when(row[0] < 0, -1.0).otherwise(1.0)).otherwise(sign)
+        out.append(value * sign)
+    return tuple(out)
 
 
 def euler_zyx(pose: Column) -> Vec:

@@ -67,7 +67,7 @@ def sliced_accuracy(poses: DataFrame, slices: dict[str, Column], rot: str = "rot
 
 
 def segmentation_fscore(poses: DataFrame, by: str, precision: str, recall: str) -> DataFrame:
-    """Means without NaN, and their harmonic mean."""
+    """Means without NaN, and their harmonic mean; null where both are 0."""
     clean = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
     out = poses.groupBy(by).agg(clean(precision).alias("p"), clean(recall).alias("r"))
-    return out.withColumn("f", 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")))
+    return out.withColumn("f", F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))

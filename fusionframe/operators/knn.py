@@ -88,8 +88,8 @@ def mutual_nn(a: DataFrame, b: DataFrame, **names) -> DataFrame:
 
 
 def mutual_max_correlation(a: DataFrame, b: DataFrame, **names) -> DataFrame:
-    """a, b, ncc: pairs that are each other's largest correlation; unit vectors turn it into nearest neighbours."""
-    unit = lambda df: df.withColumn("v", F.transform("v", lambda x: (x.cast("double") - F.aggregate("v", F.lit(0.0), lambda s, y: s + y) / F.size("v")))).withColumn("v", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))))
+    """a, b, ncc: pairs that are each other's largest correlation; unit vectors turn it into nearest neighbours. Constant vectors correlate with nothing."""
+    unit = lambda df: df.withColumn("v", F.transform("v", lambda x: (x.cast("double") - F.aggregate("v", F.lit(0.0), lambda s, y: s + y) / F.size("v")))).withColumn("v", F.transform("v", lambda x: F.try_divide(x, F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))))).where(~F.exists("v", lambda x: x.isNull()))
     return mutual_nn(unit(a), unit(b), **names).select("a", "b", (1 - F.col("d2") / 2).alias("ncc"))
 
 

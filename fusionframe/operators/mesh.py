@@ -45,7 +45,7 @@ def face_measures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 def mesh_stats(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """mesh, area, area-weighted centroid, mean edge length."""
     f = face_measures(vertices, faces)
-    out = f.groupBy("mesh").agg(F.sum("area").alias("area"), *[(F.sum(F.col("area") * F.col(f"c{x}")) / F.sum("area")).alias(x) for x in "xyz"])
+    out = f.groupBy("mesh").agg(F.sum("area").alias("area"), *[F.try_divide(F.sum(F.col("area") * F.col(f"c{x}")), F.sum("area")).alias(x) for x in "xyz"])
     e = edges(faces)
     ends = e
     for s in "ab":
@@ -67,7 +67,7 @@ def vertex_area(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def gauss_curvature(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """3 (2 pi - sum of angles) / sum of face areas at each vertex."""
+    """3 (2 pi - sum of angles) / sum of face areas at each vertex; null without area. Corners of faces without sides have no angle."""
     import math
 
     c = corners(vertices, faces)
@@ -75,10 +75,10 @@ def gauss_curvature(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     rows = []
     for k in range(3):
         u, v = geom.sub(_corner((k + 1) % 3), _corner(k)), geom.sub(_corner((k + 2) % 3), _corner(k))
-        cos = geom.dot(u, v) / F.sqrt(geom.norm2(u) * geom.norm2(v))
+        cos = F.try_divide(geom.dot(u, v), F.sqrt(geom.norm2(u) * geom.norm2(v)))
         rows.append(F.struct(F.col(f"v{k}").alias("vid"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))).alias("angle"), area.alias("area")))
     around = c.select("mesh", F.explode(F.array(*rows)).alias("r")).groupBy("mesh", "r.vid").agg(F.sum("r.angle").alias("angle"), F.sum("r.area").alias("area"))
-    return around.select("mesh", "vid", (3 * (2 * math.pi - F.col("angle")) / F.col("area")).alias("curvature"))
+    return around.select("mesh", "vid", F.try_divide(3 * (2 * math.pi - F.col("angle")), F.col("area")).alias("curvature"))
 
 
 def local_extrema(values: DataFrame, edge: DataFrame, maxima: bool = True) -> DataFrame:

@@ -6,6 +6,8 @@ with map-side combine and never theta joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,47 +74,69 @@ def patch_gather(voxels: DataFrame, keypoints: DataFrame, half: int) -> DataFram
     return out.select("grid", "kp", *[F.col(f"p{a}").cast("int").alias(a) for a in AXES], "value")
 
 
-def convolve(voxels: DataFrame, kernel: dict[tuple[int, int, int], float]) -> DataFrame:
-    """Correlation with a small kernel: out(p) = sum of w(o) * v(p + o)."""
-    moved = spread(voxels.select("grid", *AXES, "value"), [tuple(-c for c in o) for o in kernel], list(kernel.values()))
+def inner(dims: tuple[int, int, int]):
+    """Whether a cell isn't on the border of a grid."""
+    out = F.lit(True)
+    for a, n in zip(AXES, dims, strict=True):
+        out = out & F.col(a).between(1, n - 2)
+    return out
+
+
+def convolve(voxels: DataFrame, kernel: dict[tuple[int, int, int], float], dims: tuple[int, int, int]) -> DataFrame:
+    """Correlation with a 3 x 3 x 3 kernel: out(p) = sum of w(o) * v(p + o); border cells are 0, so they have no row."""
+    moved = spread(voxels.select("grid", *AXES, "value"), [tuple(-c for c in o) for o in kernel], list(kernel.values())).where(inner(dims))
     return moved.groupBy("grid", *AXES).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
 LAPLACE = {o: (1.0 if o == (0, 0, 0) else -1 / 26) for o in offsets(1)}
 
 
-def sobel(axis: int) -> dict[tuple[int, int, int], float]:
-    """Central difference along an axis, smoothed across: weights of 2/12 next to the axis, 1/12 on the corners beside it."""
-    out = {}
-    for o in offsets(1):
-        side = sum(abs(c) for k, c in enumerate(o) if k != axis)
-        if o[axis] and side < 2:
-            out[o] = o[axis] * (2 / 12 if side == 0 else 1 / 12)
-    return out
+# The axis across which the weights of each derivative fall from 2/12 to 1/12; along the third axis they are equal.
+FALLS_ALONG = {0: 2, 1: 2, 2: 0}
+
+
+def gradient_kernel(axis: int) -> dict[tuple[int, int, int], float]:
+    """Difference along an axis over all 18 cells beside the centre plane; the weights of each side sum to 1."""
+    return {o: o[axis] * (2 / 12 if o[FALLS_ALONG[axis]] == 0 else 1 / 12) for o in offsets(1) if o[axis]}
 
 
-def gradient_magnitude(voxels: DataFrame) -> DataFrame:
-    kernels = [sobel(a) for a in range(3)]
+def gradient(voxels: DataFrame, axis: int, dims: tuple[int, int, int]) -> DataFrame:
+    return convolve(voxels, gradient_kernel(axis), dims)
+
+
+def detect_edges(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """Absolute Laplacian."""
+    return convolve(voxels, LAPLACE, dims).withColumn("value", F.abs("value"))
+
+
+def gradient_magnitude(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    kernels = [gradient_kernel(a) for a in range(3)]
     keys = sorted(set().union(*kernels))
     rows = F.array(*[F.struct(*[F.lit(-c).alias(n) for c, n in zip(o, "xyz", strict=True)], *[F.lit(k.get(o, 0.0)).alias(f"w{i}") for i, k in enumerate(kernels)]) for o in keys])
     moved = voxels.select("grid", *AXES, "value", F.explode(rows).alias("o")).select("grid", *[(F.col(a) + F.col(f"o.{c}")).alias(a) for a, c in zip(AXES, "xyz", strict=True)], *[(F.col("value") * F.col(f"o.w{i}")).alias(f"g{i}") for i in range(3)])
-    sums = moved.groupBy("grid", *AXES).agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(3)])
+    sums = moved.where(inner(dims)).groupBy("grid", *AXES).agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(3)])
     return sums.select("grid", *AXES, F.sqrt(F.col("g0") * F.col("g0") + F.col("g1") * F.col("g1") + F.col("g2") * F.col("g2")).alias("value"))
 
 
-def window_filter(voxels: DataFrame, radius: int, kind: str, p: float = 0.5) -> DataFrame:
-    """min, max, median or percentile over the stored voxels of a ball, at stored voxels; percentile takes index int(p * n)."""
-    moved = spread(voxels.select("grid", *AXES, "value"), offsets(radius, True)).join(voxels.select("grid", *AXES), ["grid", *AXES], "left_semi")
-    if kind in ("min", "max"):
-        return moved.groupBy("grid", *AXES).agg((F.min if kind == "min" else F.max)("value").alias("value"))
-    share = 0.5 if kind == "median" else p
+def window_filter(voxels: DataFrame, radius: int, kind: str, dims: tuple[int, int, int], p: float = 0.5) -> DataFrame:
+    """min, max, median or percentile over all cells of the ball that are in the grid, missing ones as 0; value at index int(p * n) of the sorted n. Cells whose result is 0 have no row."""
+    around = offsets(radius, True)
+    moved = spread(voxels.select("grid", *AXES, "value"), around, None, dims)
+    share = {"min": 0.0, "max": 1.0, "median": 0.5}.get(kind, p)
     values = moved.groupBy("grid", *AXES).agg(F.sort_array(F.collect_list("value")).alias("a"))  # at most a ball
-    return values.select("grid", *AXES, F.get("a", F.least(F.floor(F.size("a") * share).cast("int"), F.size("a") - 1)).alias("value"))
-
-
-def mask_non_extrema(voxels: DataFrame, radius: int, maxima: bool = True) -> DataFrame:
-    best = window_filter(voxels, radius, "max" if maxima else "min").withColumnRenamed("value", "m")
-    return voxels.join(best, ["grid", *AXES]).select("grid", *AXES, F.when(F.col("value") == F.col("m"), F.col("value")).otherwise(0.0).alias("value"))
+    there = lambda o: F.lit(1) * reduce(lambda x, y: x * y, [(F.col(a) + c).between(0, n - 1).cast("int") for a, c, n in zip(AXES, o, dims, strict=True)])
+    n = reduce(lambda x, y: x + y, [there(o) for o in around])
+    values = values.withColumn("n", n).withColumn("zeros", F.col("n") - F.size("a")).withColumn("low", F.size(F.filter("a", lambda x: x < 0)))
+    at = F.least(F.floor(F.col("n") * share).cast("int"), F.col("n") - 1)
+    value = F.when(at < F.col("low"), F.get("a", at)).when(at < F.col("low") + F.col("zeros"), 0.0).otherwise(F.get("a", at - F.col("zeros")))
+    return values.select("grid", *AXES, value.alias("value")).where("value <> 0")
+
+
+def mask_non_extrema(voxels: DataFrame, radius: int, dims: tuple[int, int, int], maxima: bool = True) -> DataFrame:
+    """Values that are not the greatest (or least) of their ball become 0."""
+    best = window_filter(voxels, radius, "max" if maxima else "min", dims).withColumnRenamed("value", "m")
+    kept = F.col("value") == F.coalesce("m", F.lit(0.0))
+    return voxels.join(best, ["grid", *AXES], "left").select("grid", *AXES, F.when(kept, F.col("value")).otherwise(0.0).alias("value"))
 
 
 def blur(voxels: DataFrame, sigma: float, dims: tuple[int, int, int]) -> DataFrame:

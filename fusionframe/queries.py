@@ -21,11 +21,12 @@ _SQL: dict[str, str] = {}
 
 K = (585.0, 585.0, 320.0, 240.0)
 VOXEL = 0.05
+DIMS = (22, 22, 22)
 
 EMB = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), a AS (SELECT * FROM e WHERE vec_id % 2 = 0), b AS (SELECT * FROM e WHERE vec_id % 2 = 1), d AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS d2 FROM a, b)"
 PTS = "WITH pts AS (SELECT l_returnflag AS cloud, l_quantity * 0.02e0 AS x, l_extendedprice * 1e-5 AS y, l_discount * 10e0 AS z FROM lineitem)"
 VOX = PTS + ", vox AS (SELECT cloud AS grid, round(x / 0.05e0)::BIGINT AS ix, round(y / 0.05e0)::BIGINT AS iy, round(z / 0.05e0)::BIGINT AS iz, count(*)::DOUBLE AS value FROM pts GROUP BY ALL)"
-CMP = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 400), cmp AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(a.label = b.label AS INT) AS y, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS d FROM e a, e b WHERE a.vec_id < b.vec_id)"
+CMP = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), cmp AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(a.label = b.label AS INT) AS y, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS d FROM e a, e b WHERE a.vec_id < b.vec_id)"
 DEPTH = "WITH depth AS (SELECT l_linenumber AS frame, l_partkey % 640 AS px, l_orderkey % 480 AS py, min((l_extendedprice % 8000) / 1000e0) AS d FROM lineitem GROUP BY ALL), pose AS (SELECT n_nationkey AS frame, cos(0.1e0 * n_nationkey) AS c, sin(0.1e0 * n_nationkey) AS s, 0.1e0 * n_regionkey AS tx, 0.05e0 * n_nationkey AS ty, 0.02e0 * n_nationkey AS tz FROM nation)"
 OFFSETS = ", r AS (SELECT unnest(range(-{r}, {r} + 1)) AS o), offs AS (SELECT p.o AS ox, q.o AS oy, s.o AS oz FROM r p, r q, r s)"
 
@@ -131,11 +132,11 @@ def trunc_similarity(spark, d):
 
 # --- joins on points -------------------------------------------------------------------------
 
-CLOUD_AB = PTS + ", p AS (SELECT cloud, x, y, z, (dense_rank() OVER (ORDER BY x, y, z)) AS id FROM (SELECT DISTINCT cloud, x, y, z FROM pts WHERE cloud IN ('A', 'N') AND z < 0.15e0 AND x < 0.3e0)), a AS (SELECT * FROM p WHERE cloud = 'A'), b AS (SELECT * FROM p WHERE cloud = 'N')"
+CLOUD_AB = PTS + ", p AS (SELECT cloud, x, y, z, (dense_rank() OVER (ORDER BY x, y, z)) AS id FROM (SELECT DISTINCT cloud, x, y, z FROM pts WHERE cloud IN ('A', 'N'))), a AS (SELECT * FROM p WHERE cloud = 'A'), b AS (SELECT * FROM p WHERE cloud = 'N')"
 
 
 def two_clouds(spark, d):
-    """All of clouds A and N; the SQL only takes one corner."""
+    """Clouds A and N. Values of z are 0.1 apart, over twice any radius here, so SQL may join on them."""
     p = points(spark, d).where("cloud IN ('A', 'N')").distinct()
     ids = p.select("x", "y", "z").distinct()
     from .plans.numbering import dense_ids
@@ -144,28 +145,28 @@ def two_clouds(spark, d):
     return p.where("cloud = 'A'"), p.where("cloud = 'N'")
 
 
-@query("range_pairs", CLOUD_AB + " SELECT a.id AS a_id, count(*) AS n, round(sum((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) AS d2 FROM a JOIN b ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.0401e0*0.0401e0 GROUP BY a.id")
+@query("range_pairs", CLOUD_AB + " SELECT a.id AS a_id, count(*) AS n, round(sum((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) AS d2 FROM a JOIN b ON round(a.z * 10) = round(b.z * 10) AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.0401e0*0.0401e0 GROUP BY a.id")
 def range_pairs(spark, d):
     a, b = two_clouds(spark, d)
     return rounded(knn.range_join(a, b, 0.0401).groupBy("a_id").agg(F.count("*").alias("n"), F.sum("d2").alias("d2")), "d2")
 
 
-_NEAR = "EXISTS (SELECT 1 FROM b WHERE (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.0101e0*0.0101e0)"
+_NEAR = "a.id IN (SELECT a.id FROM a JOIN b ON round(a.z * 10) = round(b.z * 10) AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.0101e0*0.0101e0)"
 
 
-@query("semi_within", CLOUD_AB + f" SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM a WHERE {_NEAR}")
+@query("semi_within", CLOUD_AB + f" SELECT id, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM a WHERE {_NEAR}")
 def semi_within(spark, d):
     a, b = two_clouds(spark, d)
-    return rounded(knn.within(a, b, 0.0101), "x", "y", "z").select("id", "x", "y", "z")
+    return rounded(knn.within(a, b, 0.0101), "x", "y", "z", n=9).select("id", "x", "y", "z")
 
 
-@query("anti_within", CLOUD_AB + f" SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM a WHERE NOT {_NEAR}")
+@query("anti_within", CLOUD_AB + f" SELECT id, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM a WHERE NOT {_NEAR}")
 def anti_within(spark, d):
     a, b = two_clouds(spark, d)
-    return rounded(knn.within(a, b, 0.0101, anti=True), "x", "y", "z").select("id", "x", "y", "z")
+    return rounded(knn.within(a, b, 0.0101, anti=True), "x", "y", "z", n=9).select("id", "x", "y", "z")
 
 
-@query("overlap_ratio", CLOUD_AB + f" SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM b WHERE (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 0.0101e0*0.0101e0) THEN 1e0 ELSE 0e0 END), 6) AS ratio, count(*) AS n FROM a")
+@query("overlap_ratio", CLOUD_AB + f" SELECT round(avg(CASE WHEN id IN (SELECT a.id FROM a JOIN b ON round(a.z * 10) = round(b.z * 10) AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 0.0101e0*0.0101e0) THEN 1e0 ELSE 0e0 END), 6) AS ratio, count(*) AS n FROM a")
 def overlap_ratio(spark, d):
     a, b = two_clouds(spark, d)
     near = knn.range_join(a.select("id", "x", "y", "z"), b.select("x", "y", "z"), 0.0101, strict=True).select(F.col("a_id").alias("id")).distinct().withColumn("hit", F.lit(1.0))
@@ -203,14 +204,12 @@ def asof_unique(spark, d):
 
 @query("contrastive_loss", CMP + " SELECT round(avg(0.5e0 * (y * d * d + (1 - y) * greatest(10e0 - d, 0) * greatest(10e0 - d, 0))), 6) AS loss, count(*) AS n FROM cmp")
 def contrastive_loss(spark, d):
-    """Over all pairs; the SQL only takes those of ids under 400."""
     loss = lambda x, y: 0.5 * np.where(y == 1, x * x, np.maximum(10.0 - x, 0) ** 2)
     return rounded(mean_over_pairs(spark, d, loss=loss), "loss").select("loss", "n")
 
 
 @query("regression_losses", CMP + ", x AS (SELECT d / 10e0 - y AS r FROM cmp) SELECT round(avg(CASE WHEN abs(r) < 1 THEN 0.5e0 * r * r ELSE abs(r) - 0.5e0 END), 6) AS smooth_l1, round(avg(0.5e0 * r * r), 6) AS sse, round(avg(abs(r)), 6) AS amean FROM x")
 def regression_losses(spark, d):
-    """Over all pairs; the SQL only takes those of ids under 400."""
     r = lambda x, y: x / 10.0 - y
     smooth = lambda e: np.where(np.abs(e) < 1, 0.5 * e * e, np.abs(e) - 0.5)
     out = mean_over_pairs(spark, d, smooth_l1=lambda x, y: smooth(r(x, y)), sse=lambda x, y: 0.5 * r(x, y) ** 2, amean=lambda x, y: np.abs(r(x, y)))
@@ -219,7 +218,6 @@ def regression_losses(spark, d):
 
 @query("log_loss", CMP + ", p AS (SELECT y, 1 / (1 + exp(d - 9e0)) AS p FROM cmp) SELECT round(avg(abs(ln(CASE WHEN y = 1 THEN p ELSE 1 - p END))), 6) AS loss, round(avg(CASE WHEN (p > 0.5e0) = (y = 1) THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM p")
 def log_loss(spark, d):
-    """Over all pairs; the SQL only takes those of ids under 400."""
     p = lambda x: 1 / (1 + np.exp(x - 9.0))
     loss = lambda x, y: np.abs(np.log(np.where(y == 1, p(x), 1 - p(x))))
     return rounded(mean_over_pairs(spark, d, loss=loss, accuracy=lambda x, y: ((p(x) > 0.5) == (y == 1)).astype(float)).drop("n"), "loss", "accuracy")
@@ -237,7 +235,6 @@ SWEEP = CMP + ", t AS (SELECT unnest(range(1001)) AS k), s AS (SELECT k, count(*
 
 @query("confusion_sweep", SWEEP + " SELECT * FROM s")
 def confusion_sweep(spark, d):
-    """Over all pairs; the SQL only takes those of ids under 400."""
     part = compared(spark, d, lambda x, y: evaluate.first_thresholds(x, y, 20.0), "k bigint, p bigint, n bigint")
     return evaluate.sweep_of_counts(part)
 
@@ -255,9 +252,9 @@ def fpr_at_recall95(spark, d):
 # --- points and voxels -----------------------------------------------------------------------
 
 
-@query("bbox", PTS + " SELECT cloud, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z, count(*) AS n FROM pts GROUP BY cloud")
+@query("bbox", PTS + " SELECT cloud, round(min(x), 9) AS min_x, round(max(x), 9) AS max_x, round(min(y), 9) AS min_y, round(max(y), 9) AS max_y, round(min(z), 9) AS min_z, round(max(z), 9) AS max_z, count(*) AS n FROM pts GROUP BY cloud")
 def bbox(spark, d):
-    return rounded(voxel.bbox(points(spark, d)), *[f"{m}_{c}" for m in ("min", "max") for c in "xyz"])
+    return rounded(voxel.bbox(points(spark, d)), *[f"{m}_{c}" for m in ("min", "max") for c in "xyz"], n=9)
 
 
 @query("cloud_centroid", PTS + " SELECT cloud, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM pts GROUP BY cloud")
@@ -270,9 +267,11 @@ def voxel_occupancy(spark, d):
     return voxel.occupancy(points(spark, d), VOXEL)
 
 
-@query("grid_downsample", PTS + " SELECT cloud AS grid, floor(x / 0.1e0)::BIGINT AS ix, floor(y / 0.1e0)::BIGINT AS iy, floor(z / 0.1e0)::BIGINT AS iz, round(avg(x), 10) AS x, round(avg(y), 10) AS y, round(avg(z), 10) AS z, count(*) AS n FROM pts GROUP BY ALL")
+@query("grid_downsample", PTS + " SELECT cloud AS grid, floor(x / 0.1e0)::BIGINT AS ix, floor(y / 0.1e0)::BIGINT AS iy, floor(z / 0.1e0)::BIGINT AS iz, round(avg(x) + 1e-12, 10) AS x, round(avg(y) + 1e-12, 10) AS y, round(avg(z) + 1e-12, 10) AS z, count(*) AS n FROM pts GROUP BY ALL")
 def grid_downsample(spark, d):
-    return rounded(voxel.downsample(points(spark, d), 0.1), "x", "y", "z", n=10)
+    """Means of 16 seven-digit numbers often end in a five; the shift keeps the order of summation out of their rounding."""
+    means = voxel.downsample(points(spark, d), 0.1).withColumns({c: F.col(c) + 1e-12 for c in "xyz"})
+    return rounded(means, "x", "y", "z", n=10)
 
 
 @query("linear_index", VOX + " SELECT grid, iz * 900 + iy * 30 + ix AS lin, ix, iy, iz FROM vox")
@@ -286,9 +285,8 @@ def tdf_index(spark, d):
     return rounded(voxel.tdf_index(voxel.occupancy(points(spark, d), VOXEL), 2), "value")
 
 
-@query("tdf_metric", PTS + ", p AS (SELECT * FROM pts WHERE z < 0.35e0)" + OFFSETS.format(r=2).replace("{r}", "2") + ", n AS (SELECT cloud AS grid, round(x / 0.1e0)::BIGINT + ox AS ix, round(y / 0.1e0)::BIGINT + oy AS iy, round(z / 0.1e0)::BIGINT + oz AS iz, min(((round(x / 0.1e0) + ox) * 0.1e0 - x)**2 + ((round(y / 0.1e0) + oy) * 0.1e0 - y)**2 + ((round(z / 0.1e0) + oz) * 0.1e0 - z)**2) AS d2 FROM p, offs GROUP BY ALL) SELECT grid, ix, iy, iz, round(1 - sqrt(d2) / 0.09e0, 6) AS value FROM n WHERE d2 < 0.09e0 * 0.09e0")
+@query("tdf_metric", PTS + ", p AS (SELECT * FROM pts)" + OFFSETS.format(r=2).replace("{r}", "2") + ", n AS (SELECT cloud AS grid, round(x / 0.1e0)::BIGINT + ox AS ix, round(y / 0.1e0)::BIGINT + oy AS iy, round(z / 0.1e0)::BIGINT + oz AS iz, min(((round(x / 0.1e0) + ox) * 0.1e0 - x)**2 + ((round(y / 0.1e0) + oy) * 0.1e0 - y)**2 + ((round(z / 0.1e0) + oz) * 0.1e0 - z)**2) AS d2 FROM p, offs GROUP BY ALL) SELECT grid, ix, iy, iz, round(1 - sqrt(d2) / 0.09e0, 6) AS value FROM n WHERE d2 < 0.09e0 * 0.09e0")
 def tdf_metric(spark, d):
-    """Of all points; the SQL only takes those of z < 0.35."""
     return rounded(voxel.tdf_metric(points(spark, d), 0.1, 0.09), "value")
 
 
@@ -322,35 +320,36 @@ def grid_threshold(spark, d):
     return voxel.threshold(voxels(spark, d), 3.0, 0.0, None)
 
 
+_INNER = "ix BETWEEN 1 AND 20 AND iy BETWEEN 1 AND 20 AND iz BETWEEN 1 AND 20"
 _NEXT = "SELECT grid, ix - ox AS ix, iy - oy AS iy, iz - oz AS iz, "
 
 
-@query("grid_convolve", VOX + OFFSETS.format(r=1) + f", c AS ({_NEXT} sum(value * CASE WHEN ox = 0 AND oy = 0 AND oz = 0 THEN 1e0 ELSE -1e0 / 26 END) AS value FROM vox, offs GROUP BY ALL) SELECT grid, ix, iy, iz, round(value, 6) + 0e0 AS value FROM c")
+@query("grid_convolve", VOX + OFFSETS.format(r=1) + f", c AS ({_NEXT} sum(value * CASE WHEN ox = 0 AND oy = 0 AND oz = 0 THEN 1e0 ELSE -1e0 / 26 END) AS value FROM vox, offs GROUP BY ALL) SELECT grid, ix, iy, iz, round(value, 6) + 0e0 AS value FROM c WHERE {_INNER}")
 def grid_convolve(spark, d):
-    return rounded(voxel.convolve(voxels(spark, d), voxel.LAPLACE), "value")
+    return rounded(voxel.convolve(voxels(spark, d), voxel.LAPLACE, DIMS), "value")
 
 
-@query("grid_gradient", VOX + OFFSETS.format(r=1) + f", c AS ({_NEXT} sum(value * CASE WHEN abs(oy) + abs(oz) < 2 THEN ox * CASE WHEN oy = 0 AND oz = 0 THEN 2e0 / 12 ELSE 1e0 / 12 END ELSE 0 END) AS gx, sum(value * CASE WHEN abs(ox) + abs(oz) < 2 THEN oy * CASE WHEN ox = 0 AND oz = 0 THEN 2e0 / 12 ELSE 1e0 / 12 END ELSE 0 END) AS gy, sum(value * CASE WHEN abs(ox) + abs(oy) < 2 THEN oz * CASE WHEN ox = 0 AND oy = 0 THEN 2e0 / 12 ELSE 1e0 / 12 END ELSE 0 END) AS gz FROM vox, offs WHERE abs(ox) + abs(oy) + abs(oz) IN (1, 2) GROUP BY ALL) SELECT grid, ix, iy, iz, round(sqrt(gx*gx + gy*gy + gz*gz), 6) AS value FROM c")
+@query("grid_gradient", VOX + OFFSETS.format(r=1) + f", c AS ({_NEXT} sum(value * ox * CASE WHEN oz = 0 THEN 2e0 / 12 ELSE 1e0 / 12 END) AS gx, sum(value * oy * CASE WHEN oz = 0 THEN 2e0 / 12 ELSE 1e0 / 12 END) AS gy, sum(value * oz * CASE WHEN ox = 0 THEN 2e0 / 12 ELSE 1e0 / 12 END) AS gz FROM vox, offs WHERE NOT (ox = 0 AND oy = 0 AND oz = 0) GROUP BY ALL) SELECT grid, ix, iy, iz, round(sqrt(gx*gx + gy*gy + gz*gz), 6) AS value FROM c WHERE {_INNER}")
 def grid_gradient(spark, d):
-    return rounded(voxel.gradient_magnitude(voxels(spark, d)), "value")
+    return rounded(voxel.gradient_magnitude(voxels(spark, d), DIMS), "value")
 
 
-_BALL = VOX + OFFSETS.format(r=1) + ", w AS (SELECT v.grid, v.ix, v.iy, v.iz, v.value AS own, n.value FROM vox v, offs JOIN vox n ON n.grid = v.grid AND n.ix = v.ix + ox AND n.iy = v.iy + oy AND n.iz = v.iz + oz WHERE ox*ox+oy*oy+oz*oz <= 1)"
+_BALL = VOX + OFFSETS.format(r=1) + ", w AS (SELECT grid, ix + ox AS ix, iy + oy AS iy, iz + oz AS iz, value FROM vox, offs WHERE ox*ox+oy*oy+oz*oz <= 1 AND ix + ox BETWEEN 0 AND 21 AND iy + oy BETWEEN 0 AND 21 AND iz + oz BETWEEN 0 AND 21), b AS (SELECT grid, ix, iy, iz, list_sort(list(value)) AS a, 1 + (ix > 0)::INT + (ix < 21)::INT + (iy > 0)::INT + (iy < 21)::INT + (iz > 0)::INT + (iz < 21)::INT AS n FROM w GROUP BY ALL)"
 
 
-@query("grid_maxfilter", _BALL + " SELECT grid, ix, iy, iz, max(value) AS value FROM w GROUP BY ALL")
+@query("grid_maxfilter", _BALL + " SELECT grid, ix, iy, iz, a[len(a)] AS value FROM b")
 def grid_maxfilter(spark, d):
-    return voxel.window_filter(voxels(spark, d), 1, "max")
+    return voxel.window_filter(voxels(spark, d), 1, "max", DIMS)
 
 
-@query("grid_medianfilter", _BALL + " SELECT grid, ix, iy, iz, list_sort(list(value))[floor(count(*) * 0.5e0)::INT + 1] AS value FROM w GROUP BY ALL")
+@query("grid_medianfilter", _BALL + " SELECT grid, ix, iy, iz, a[floor(n * 0.5e0)::INT - (n - len(a)) + 1] AS value FROM b WHERE floor(n * 0.5e0) >= n - len(a)")
 def grid_medianfilter(spark, d):
-    return voxel.window_filter(voxels(spark, d), 1, "median")
+    return voxel.window_filter(voxels(spark, d), 1, "median", DIMS)
 
 
-@query("grid_nonmaxima", _BALL + " SELECT grid, ix, iy, iz, CASE WHEN any_value(own) = max(value) THEN any_value(own) ELSE 0 END AS value FROM w GROUP BY ALL")
+@query("grid_nonmaxima", _BALL + " SELECT grid, ix, iy, iz, CASE WHEN vox.value = a[len(a)] THEN vox.value ELSE 0 END AS value FROM vox JOIN b USING (grid, ix, iy, iz)")
 def grid_nonmaxima(spark, d):
-    return voxel.mask_non_extrema(voxels(spark, d), 1)
+    return voxel.mask_non_extrema(voxels(spark, d), 1, DIMS)
 
 
 def _blur_full() -> str:
@@ -432,7 +431,7 @@ def relative_pose(spark, d):
     return rounded(j.withColumn("m", m).select("i", "j", F.col("m")[0].alias("m00"), F.col("m")[4].alias("m10"), F.col("m")[3].alias("tx"), F.col("m")[7].alias("ty"), F.col("m")[11].alias("tz")), "m00", "m10", "tx", "ty", "tz")
 
 
-_TSDF = DEPTH + ", v AS (SELECT p.i * 10000 + q.i * 100 + r.i AS vox, -1 + p.i * 0.2e0 AS x, -1 + q.i * 0.2e0 AS y, r.i * 0.2e0 AS z FROM (SELECT unnest(range(11)) AS i) p, (SELECT unnest(range(11)) AS i) q, (SELECT unnest(range(31)) AS i) r), s AS (SELECT vox, frame, c * (x - tx) + s * (y - ty) AS cx, -s * (x - tx) + c * (y - ty) AS cy, z - tz AS cz FROM v, pose), h AS (SELECT vox, d - cz AS diff FROM s JOIN depth USING (frame) WHERE cz > 0 AND px = round(585e0 * cx / cz + 320) AND py = round(585e0 * cy / cz + 240) AND d > 0 AND d <= 6 AND d - cz > -0.3e0), f AS (SELECT vox, avg(least(1, diff / 0.3e0)) AS tsdf, count(*) AS weight FROM h GROUP BY vox)"
+_TSDF = DEPTH + ", v AS (SELECT p.i * 10000 + q.i * 100 + r.i AS vox, -1 + p.i * 0.2e0 AS x, -1 + q.i * 0.2e0 AS y, r.i * 0.2e0 AS z FROM (SELECT unnest(range(11)) AS i) p, (SELECT unnest(range(11)) AS i) q, (SELECT unnest(range(31)) AS i) r), s AS (SELECT vox, frame, c * (x - tx) + s * (y - ty) AS cx, -s * (x - tx) + c * (y - ty) AS cy, z - tz AS cz FROM v, pose), g AS (SELECT vox, (d - cz) * sqrt(1 + pow(cx / cz, 2) + pow(cy / cz, 2)) AS diff FROM s JOIN depth USING (frame) WHERE cz > 0 AND px = round(585e0 * cx / cz + 320) AND py = round(585e0 * cy / cz + 240) AND d > 0 AND d <= 6), h AS (SELECT * FROM g WHERE diff > -0.3e0), f AS (SELECT vox, avg(least(1, diff / 0.3e0)) AS tsdf, count(*) AS weight FROM h GROUP BY vox)"
 
 
 def dense(spark, d):
@@ -451,7 +450,7 @@ def tsdf_surface(spark, d):
     return rounded(fusion.surface(dense(spark, d)), "tsdf")
 
 
-@query("tsdf_band")
+@query("tsdf_band", DEPTH + ", cam AS (SELECT frame, px, py, d + s * 0.1e0 AS z, -s * 0.1e0 * sqrt(1 + pow((px - 320e0) / 585e0, 2) + pow((py - 240e0) / 585e0, 2)) AS diff FROM depth, (SELECT unnest(range(-3, 4)) AS s) WHERE d > 0 AND d <= 6), k AS (SELECT frame, (px - 320e0) * z / 585e0 AS x, (py - 240e0) * z / 585e0 AS y, z, diff FROM cam WHERE diff > -0.3e0 AND diff <= 0.3e0), w AS (SELECT frame, round((c * x + -s * y + 0e0 * z + tx) / 0.1e0)::BIGINT AS ix, round((s * x + c * y + 0e0 * z + ty) / 0.1e0)::BIGINT AS iy, round((0e0 * x + 0e0 * y + z + tz) / 0.1e0)::BIGINT AS iz, least(1, diff / 0.3e0) AS t FROM k JOIN pose USING (frame)), o AS (SELECT frame, ix, iy, iz, avg(t) AS t FROM w GROUP BY ALL) SELECT ix, iy, iz, round(avg(t), 6) + 0e0 AS tsdf, count(*) AS weight FROM o GROUP BY ALL")
 def tsdf_band(spark, d):
     return rounded(fusion.fuse_band(depth(spark, d), poses(spark, d), K, 0.1, 0.3), "tsdf")
 
@@ -633,7 +632,7 @@ def triplet_mining(spark, d):
 
 
 def surface_mesh(spark, d):
-    """A height field: part keys on a 40-wide lattice, heights by size; two faces a cell. All parts; the SQL only takes the first 1,600."""
+    """A height field: part keys on a 40-wide lattice, heights by size; two faces a cell."""
     p = table(spark, d, "part").select(F.lit("part").alias("mesh"), (F.col("p_partkey") - 1).alias("vid"), F.col("p_size").cast("double").alias("z"))
     v = p.select("mesh", "vid", (F.col("vid") % 40).cast("double").alias("x"), F.floor(F.col("vid") / 40).cast("double").alias("y"), (F.col("z") * 0.02).alias("z"))
     keys = v.select("mesh", "vid")
@@ -644,7 +643,7 @@ def surface_mesh(spark, d):
     return v, quads.select("mesh", tri.alias("f")).select("mesh", "f.*")
 
 
-MESH = "WITH v AS (SELECT p_partkey - 1 AS vid, ((p_partkey - 1) % 40)::DOUBLE AS x, floor((p_partkey - 1) / 40.0)::DOUBLE AS y, p_size * 0.02e0 AS z FROM part WHERE p_partkey <= 1600), q AS (SELECT vid FROM v WHERE vid % 40 < 39 AND vid + 1 IN (SELECT vid FROM v) AND vid + 40 IN (SELECT vid FROM v) AND vid + 41 IN (SELECT vid FROM v)), f AS (SELECT vid * 2 AS fid, vid AS v0, vid + 1 AS v1, vid + 40 AS v2 FROM q UNION ALL SELECT vid * 2 + 1, vid + 1, vid + 41, vid + 40 FROM q), c AS (SELECT fid, v0, v1, v2, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, d.x - a.x AS wx, d.y - a.y AS wy, d.z - a.z AS wz FROM f JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v d ON d.vid = v2), m AS (SELECT *, sqrt((uy*wz-uz*wy)**2 + (uz*wx-ux*wz)**2 + (ux*wy-uy*wx)**2) / 2 AS area FROM c), e AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM (SELECT v0 AS p, v1 AS q FROM f UNION ALL SELECT v1, v2 FROM f UNION ALL SELECT v2, v0 FROM f))"
+MESH = "WITH v AS (SELECT p_partkey - 1 AS vid, ((p_partkey - 1) % 40)::DOUBLE AS x, floor((p_partkey - 1) / 40.0)::DOUBLE AS y, p_size * 0.02e0 AS z FROM part), q AS (SELECT vid FROM v WHERE vid % 40 < 39 AND vid + 1 IN (SELECT vid FROM v) AND vid + 40 IN (SELECT vid FROM v) AND vid + 41 IN (SELECT vid FROM v)), f AS (SELECT vid * 2 AS fid, vid AS v0, vid + 1 AS v1, vid + 40 AS v2 FROM q UNION ALL SELECT vid * 2 + 1, vid + 1, vid + 41, vid + 40 FROM q), c AS (SELECT fid, v0, v1, v2, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, d.x - a.x AS wx, d.y - a.y AS wy, d.z - a.z AS wz FROM f JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v d ON d.vid = v2), m AS (SELECT *, sqrt((uy*wz-uz*wy)**2 + (uz*wx-ux*wz)**2 + (ux*wy-uy*wx)**2) / 2 AS area FROM c), e AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM (SELECT v0 AS p, v1 AS q FROM f UNION ALL SELECT v1, v2 FROM f UNION ALL SELECT v2, v0 FROM f))"
 
 
 @query("mesh_stats", MESH + " SELECT 'part' AS mesh, round(sum(area), 6) AS area, round(sum(area * (ax + (ux + wx) / 3)) / sum(area), 6) AS x, round(sum(area * (ay + (uy + wy) / 3)) / sum(area), 6) AS y, round(sum(area * (az + (uz + wz) / 3)) / sum(area), 6) AS z, round((SELECT avg(sqrt((p.x-q.x)**2 + (p.y-q.y)**2 + (p.z-q.z)**2)) FROM e JOIN v p ON p.vid = e.a JOIN v q ON q.vid = e.b), 6) AS mean_edge FROM m")
@@ -703,10 +702,10 @@ def grid_dilate(spark, d):
     return voxel.dilate(v, 2.0, (22, 22, 22))
 
 
-@query("grid_slice", VOX + " SELECT grid, iy AS ix, ix AS iy, value FROM vox WHERE iz = 5")
+@query("grid_slice", VOX + " SELECT grid, iy AS ix, ix AS iy, value FROM vox WHERE iz = 4")
 def grid_slice(spark, d):
     """One plane, transposed."""
-    return voxels(spark, d).where("iz = 5").select("grid", F.col("iy").alias("ix"), F.col("ix").alias("iy"), "value")
+    return voxels(spark, d).where("iz = 4").select("grid", F.col("iy").alias("ix"), F.col("ix").alias("iy"), "value")
 
 
 @query("plane_moments", PTS + " SELECT cloud, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(var_pop(x) + var_pop(y) + var_pop(z), 6) AS spread FROM pts GROUP BY cloud")

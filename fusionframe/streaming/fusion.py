@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..operators.fusion import band_samples, valid_depth
 
 
 def fuse_stream(pixels: DataFrame, poses: DataFrame, k: tuple, size: float, trunc: float, most: float = 6.0) -> DataFrame:
     """Running tsdf and weight of the voxels in the band of each pixel; write it in update or complete mode. Every pixel counts, also two of one frame in one voxel."""
-    steps = int(round(trunc / size))
-    seen = pixels.where((F.col("d") > 0) & (F.col("d") <= most)).join(poses, "frame").withColumn("s", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
-    z = F.col("d") + F.col("s") * size
-    world = geom.transform(F.col("pose"), geom.backproject(F.col("px"), F.col("py"), z, k))
+    seen = band_samples(valid_depth(pixels, most), k, size, trunc).join(poses, "frame")
+    world = geom.transform(F.col("pose"), geom.backproject(F.col("px"), F.col("py"), F.col("z"), k))
     cell = [F.round(c / size).cast("long").alias(a) for c, a in zip(world, ("ix", "iy", "iz"), strict=True)]
-    return seen.groupBy(*cell).agg(F.avg(F.least(F.lit(1.0), -F.col("s") * size / trunc)).alias("tsdf"), F.count("*").alias("weight"))
+    return seen.groupBy(*cell).agg(F.avg(F.least(F.lit(1.0), F.col("diff") / trunc)).alias("tsdf"), F.count("*").alias("weight"))

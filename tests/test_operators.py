@@ -204,3 +204,51 @@ def test_normals_and_planes(spark):
     off = df.union(spark.createDataFrame([("s", 1000 + i, 0.45, 0.2 + 0.25 * i, 1.2) for i in range(3)], df.schema))
     row = surface.refine_plane(off, "k", 0.3).first()
     assert row.n == 100 and np.allclose([row.nx, row.ny, row.nz], want, atol=1e-6)
+
+
+def test_half_turns_have_quaternions(spark):
+    turns = {"x": np.diag([1, -1, -1]), "y": np.diag([-1, 1, -1]), "z": np.diag([-1, -1, 1]), "none": np.eye(3)}
+    a = 0.7
+    turns["z40"] = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]])
+    rows = [(k, [float(x) for x in np.block([[r, np.zeros((3, 1))], [np.zeros((1, 3)), np.ones((1, 1))]]).ravel()]) for k, r in turns.items()]
+    w, x, y, z = geom.matrix_to_quaternion(F.col("pose"))
+    got = {r.k: (r.w, r.x, r.y, r.z) for r in spark.createDataFrame(rows, "k string, pose array<double>").select("k", w.alias("w"), x.alias("x"), y.alias("y"), z.alias("z")).collect()}
+    assert got["x"] == (0, 1, 0, 0) and got["y"] == (0, 0, 1, 0) and got["z"] == (0, 0, 0, 1) and got["none"] == (1, 0, 0, 0)
+    assert got["z40"] == pytest.approx((math.cos(a / 2), 0, 0, math.sin(a / 2)))
+
+
+def test_nothing_to_divide_by(spark):
+    v = spark.createDataFrame([("m", k, 0.0, 0.0, 0.0) for k in range(3)], "mesh string, vid long, x double, y double, z double")
+    f = spark.createDataFrame([("m", 0, 0, 1, 2)], "mesh string, fid long, v0 long, v1 long, v2 long")
+    assert mesh.mesh_stats(v, f).first().area == 0 and {r.curvature for r in mesh.gauss_curvature(v, f).collect()} == {None}
+    s = spark.createDataFrame([(1, 0.0, 0.0)], "k int, p0 double, r0 double")
+    assert evaluate.segmentation_fscore(s, "k", "p0", "r0").first().f is None
+    d = spark.createDataFrame([(1, 1, [1.0, 1.0]), (2, 2, [1.0, 3.0])], "q long, t long, v array<double>")
+    other = d.select((F.col("q") + 2).alias("q"), (F.col("t") + 2).alias("t"), "v")
+    assert [(r.a, r.b) for r in knn.mutual_max_correlation(d, other).collect()] == [(2, 4)]
+
+
+def test_grid_filters_by_hand(spark):
+    """One voxel of 6 in the middle of a 5-cube: what each derivative, filter and border cell has to be."""
+    one = spark.createDataFrame([("g", 2, 2, 2, 6.0)], "grid string, ix long, iy long, iz long, value double")
+    dims = (5, 5, 5)
+    at = lambda df: {(r.ix, r.iy, r.iz): r.value for r in df.collect()}
+    gx, gz = at(voxel.gradient(one, 0, dims)), at(voxel.gradient(one, 2, dims))
+    assert gx[1, 2, 2] == gx[1, 1, 2] == pytest.approx(1.0) and gx[3, 3, 3] == pytest.approx(-0.5) and gx[1, 2, 1] == pytest.approx(0.5)
+    assert gz[2, 1, 1] == pytest.approx(1.0) and gz[1, 1, 1] == pytest.approx(0.5)
+    assert sum(w for o, w in voxel.gradient_kernel(1).items() if w > 0) == pytest.approx(1.0)
+    corner = spark.createDataFrame([("g", 0, 0, 0, 26.0)], "grid string, ix long, iy long, iz long, value double")
+    assert at(voxel.convolve(corner, voxel.LAPLACE, dims)) == {(1, 1, 1): pytest.approx(-1.0)}
+    assert at(voxel.window_filter(one, 1, "max", dims))[1, 2, 2] == 6 and not at(voxel.window_filter(one, 1, "median", dims))
+    low = spark.createDataFrame([("g", 0, 0, 0, -3.0)], "grid string, ix long, iy long, iz long, value double")
+    assert at(voxel.window_filter(low, 1, "min", dims))[1, 0, 0] == -3 and not at(voxel.window_filter(low, 1, "max", dims))
+    assert at(voxel.detect_edges(corner, dims)) == {(1, 1, 1): pytest.approx(1.0)}
+
+
+def test_distances_go_along_the_ray(spark):
+    """A voxel off the axis, 0.1 behind a depth of 1 along z, is further away along its ray."""
+    vox = spark.createDataFrame([(1, 0.45, 0.0, 0.9)], "vox long, x double, y double, z double")
+    depth = spark.createDataFrame([(0, 55, 5, 1.0)], "frame int, px int, py int, d double")
+    poses = spark.createDataFrame([(0, EYE)], "frame int, pose array<double>")
+    got = fusion.fuse_dense(vox, depth, poses, K, 0.5, 100, 100).first()
+    assert got.tsdf == pytest.approx(0.1 * math.sqrt(1.25) / 0.5)
