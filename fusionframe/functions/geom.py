@@ -245,3 +245,64 @@ def learning_rate(policy: str, it: Column, base: float, gamma: float = 0.1, powe
     if policy == "cyclical":
         return F.lit(0.0)
     raise ValueError(f"unknown policy {policy}")
+
+
+# --- lines, boxes and rotations ---
+
+
+def homogeneous(x: Column, y: Column, w: Column) -> tuple[Column, Column]:
+    """A point scaled to w = 1; null at infinity."""
+    return F.try_divide(x, w), F.try_divide(y, w)
+
+
+def cross_matrix(v: Vec) -> list[Column]:
+    """Nine entries of the matrix whose product with u is v x u."""
+    zero = F.lit(0.0)
+    return [zero, -v[2], v[1], v[2], zero, -v[0], -v[1], v[0], zero]
+
+
+def gaussian_kernel(x: Column, sigma: float) -> Column:
+    return F.exp(-(x * x) / (2.0 * sigma * sigma))
+
+
+def linear_kernel(x: Column, limit: float) -> Column:
+    """1 at 0, falling to 0 at the limit."""
+    return F.greatest(F.lit(0.0), 1 - F.abs(x) / float(limit))
+
+
+def rotate(q: tuple, p: Vec) -> Vec:
+    """A point turned by a unit quaternion (w, x, y, z)."""
+    m = quaternion_to_matrix(*q)
+    return tuple(m[3 * i] * p[0] + m[3 * i + 1] * p[1] + m[3 * i + 2] * p[2] for i in range(3))
+
+
+def slerp(a: tuple, b: tuple, t: Column | float) -> tuple:
+    """Unit quaternion at share t of the shorter arc from a to b; the straight line where they are nearly equal."""
+    cos = total(x * y for x, y in zip(a, b, strict=True))
+    sign, size = F.when(cos < 0, -1.0).otherwise(1.0), F.least(F.lit(1.0), F.abs(cos))
+    angle = F.acos(size)
+    near = size > 1 - 1e-12
+    part = lambda share: F.when(near, share).otherwise(F.try_divide(F.sin(share * angle), F.sin(angle)))
+    t = t if isinstance(t, Column) else F.lit(float(t))
+    return tuple(part(1 - t) * x + part(t) * sign * y for x, y in zip(a, b, strict=True))
+
+
+def box_union(a_low: Vec, a_high: Vec, b_low: Vec, b_high: Vec) -> tuple[Vec, Vec]:
+    """The least box around two boxes; the same for intervals of one axis."""
+    return tuple(F.least(x, y) for x, y in zip(a_low, b_low, strict=True)), tuple(F.greatest(x, y) for x, y in zip(a_high, b_high, strict=True))
+
+
+def box_intersection(a_low: Vec, a_high: Vec, b_low: Vec, b_high: Vec) -> tuple[Vec, Vec]:
+    """What two boxes share; empty where an end is below its start."""
+    return tuple(F.greatest(x, y) for x, y in zip(a_low, b_low, strict=True)), tuple(F.least(x, y) for x, y in zip(a_high, b_high, strict=True))
+
+
+def symmetric_range(centre: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """The least range around two ends that is symmetric to the centre."""
+    reach = F.greatest(F.abs(centre - low), F.abs(high - centre))
+    return centre - reach, centre + reach
+
+
+def range_in_image(low: Column, high: Column, size: int) -> Column:
+    """Whether a pixel range counted from 1 lies in the image."""
+    return (low > 0) & (high <= size)

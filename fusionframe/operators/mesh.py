@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
@@ -178,3 +178,32 @@ def property_blur(values: DataFrame, vertices: DataFrame, edge: DataFrame, sigma
     both = ends.union(ends.select("mesh", "b", "a", "w")).union(own)
     j = both.join(values.select("mesh", F.col("vid").alias("b"), "value"), ["mesh", "b"])
     return j.groupBy("mesh", F.col("a").alias("vid")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+
+
+def random_points(vertices: DataFrame, faces: DataFrame, a: Column, b: Column) -> DataFrame:
+    """A point on each face, evenly spread where a and b are two independent numbers in [0, 1) for it."""
+    c = corners(vertices, faces)
+    root = F.sqrt(a)
+    shares = (1 - root, root * (1 - b), root * b)
+    p = [sum((s * corner[i] for s, corner in zip(shares, [_corner(k) for k in range(3)], strict=True)), F.lit(0.0)) for i in range(3)]
+    return c.select("mesh", "fid", *[x.alias(n) for x, n in zip(p, "xyz", strict=True)])
+
+
+def connected(vertices: DataFrame, edge_table: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The vertices that paths from the seeds reach."""
+    return geodesic(vertices, edge_table, seeds).where("dist IS NOT NULL").select("mesh", "vid")
+
+
+def normalisation(points: DataFrame, by: str) -> DataFrame:
+    """by, centroid and the inverse mean distance to it: what carries a cloud to the origin at unit mean radius."""
+    c = points.groupBy(by).agg(*[F.avg(x).alias(f"c{x}") for x in "xyz"])
+    r = F.sqrt(sum(((F.col(x) - F.col(f"c{x}")) * (F.col(x) - F.col(f"c{x}")) for x in "xyz"), F.lit(0.0)))
+    return points.join(c, by).groupBy(by, "cx", "cy", "cz").agg(F.avg(r).alias("radius")).select(by, "cx", "cy", "cz", F.try_divide(F.lit(1.0), F.col("radius")).alias("scale"))
+
+
+def suppress_non_extrema(values: DataFrame, edge_table: DataFrame, maxima: bool = True) -> DataFrame:
+    """Values of vertices that a neighbour exceeds become 0; (mesh, vid, value)."""
+    both = edge_table.union(edge_table.select("mesh", "b", "a")).toDF("mesh", "vid", "o")
+    best = both.join(values.select("mesh", F.col("vid").alias("o"), "value"), ["mesh", "o"]).groupBy("mesh", "vid").agg((F.max if maxima else F.min)("value").alias("m"))
+    beaten = F.coalesce(F.col("m") > F.col("value") if maxima else F.col("m") < F.col("value"), F.lit(False))
+    return values.join(best, ["mesh", "vid"], "left").select("mesh", "vid", F.when(beaten, 0.0).otherwise(F.col("value")).alias("value"))

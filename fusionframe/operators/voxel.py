@@ -256,3 +256,134 @@ def percentile_rank(values: DataFrame, by: str, value: str, key: str) -> DataFra
 def zscore(values: DataFrame, by: str, value: str, key: str) -> DataFrame:
     moments = values.groupBy(by).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
     return values.join(moments, by).select(by, key, F.when(F.col("s") == 0, 0.0).otherwise((F.col(value) - F.col("m")) / F.col("s")).alias("z"))
+
+
+# --- whole-grid operations -------------------------------------------------------------------
+
+
+def cells_of(spark, grids: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """All cells of each grid."""
+    n = dims[0] * dims[1] * dims[2]
+    at = [F.col("id") % dims[0], F.floor(F.col("id") / dims[0]) % dims[1], F.floor(F.col("id") / (dims[0] * dims[1]))]
+    return grids.select("grid").distinct().withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("grid", *[c.cast("long").alias(a) for c, a in zip(at, AXES, strict=True)])
+
+
+def combine(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """add, subtract, multiply, divide, least or greatest of two grids of equal cells, missing voxels as 0; what is divided by 0 is 0. Cells of 0 have no row."""
+    j = a.select("grid", *AXES, F.col("value").alias("p")).join(b.select("grid", *AXES, F.col("value").alias("q")), ["grid", *AXES], "full").fillna(0.0, ["p", "q"])
+    p, q = F.col("p"), F.col("q")
+    value = {"add": p + q, "subtract": p - q, "multiply": p * q, "divide": F.coalesce(F.try_divide(p, q), F.lit(0.0)), "least": F.least(p, q), "greatest": F.greatest(p, q)}[how]
+    return j.select("grid", *AXES, value.alias("value")).where("value <> 0")
+
+
+def transpose(voxels: DataFrame, order: tuple[int, int, int]) -> DataFrame:
+    """Axis k of the result is axis order[k] of the grid."""
+    return voxels.select("grid", *[F.col(AXES[o]).alias(a) for a, o in zip(AXES, order, strict=True)], "value")
+
+
+def plane_of(voxels: DataFrame, axis: int, at: int) -> DataFrame:
+    """The values of one plane, under the other two axes."""
+    kept = [a for k, a in enumerate(AXES) if k != axis]
+    return voxels.where(F.col(AXES[axis]) == at).select("grid", *[F.col(a).alias(n) for a, n in zip(kept, ("i", "j"), strict=True)], "value")
+
+
+def pad(voxels: DataFrame, dims: tuple[int, int, int], new_dims: tuple[int, int, int], offset: tuple[int, int, int]) -> DataFrame:
+    """A grid within a larger one of zeros; as it is if it is as large in each direction already. What falls outside goes."""
+    if all(a >= b for a, b in zip(dims, new_dims, strict=True)):
+        return voxels.select("grid", *AXES, "value")
+    out = voxels.select("grid", *[(F.col(a) + o).alias(a) for a, o in zip(AXES, offset, strict=True)], "value")
+    return out.where(reduce(lambda x, y: x & y, [F.col(a).between(0, n - 1) for a, n in zip(AXES, new_dims, strict=True)]))
+
+
+def resample(voxels: DataFrame, dims: tuple[int, int, int], new_dims: tuple[int, int, int]) -> DataFrame:
+    """The grid at another resolution, its corners kept: trilinear values between the cells. Every value is dealt to the new cells around it, so zeros cost nothing."""
+    out = voxels.select("grid", *AXES, "value").withColumn("w", F.lit(1.0))
+    for a, n, m in zip(AXES, dims, new_dims, strict=True):
+        scale = (n - 1) / (m - 1)  # old cells to a new one
+        low, high = F.greatest(F.lit(0), F.ceil((F.col(a) - 1) / scale)), F.least(F.lit(m - 1), F.floor((F.col(a) + 1) / scale))
+        at = F.when(F.col("_new") == m - 1, float(n - 1)).otherwise(F.col("_new") * scale)
+        out = out.withColumn("_new", F.explode(F.when(low <= high, F.sequence(low.cast("long"), high.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
+        out = out.withColumn("w", F.col("w") * F.greatest(F.lit(0.0), 1 - F.abs(at - F.col(a)))).where("w > 0").withColumn(a, F.col("_new")).drop("_new")
+    return out.groupBy("grid", *AXES).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def gaussian_value(voxels: DataFrame, queries: DataFrame, sigma: float, dims: tuple[int, int, int]) -> DataFrame:
+    """grid, q, value at real positions (grid, q, gx, gy, gz): Gaussian weights over the cells of a box of 3 sigma that are in the grid, divided by their sum; 0 outside the grid."""
+    f = int(3 * sigma + 0.5)
+    q = queries
+    for a, c, n in zip(AXES, "xyz", dims, strict=True):
+        # The nearest cells are truncated towards zero.
+        low = F.greatest(F.lit(0), (F.col(f"g{c}") - f + 0.5).cast("int"))
+        high = F.least(F.lit(n - 1), (F.col(f"g{c}") + f + 0.5).cast("int"))
+        q = q.withColumn(a, F.explode(F.when(F.col(f"g{c}").between(0, n - 1), F.sequence(low.cast("long"), high.cast("long"))).otherwise(F.array(F.lit(-1).cast("long")))))
+    d2 = sum(((F.col(f"g{c}") - F.col(a)) * (F.col(f"g{c}") - F.col(a)) for a, c in zip(AXES, "xyz", strict=True)), F.lit(0.0))
+    inside = reduce(lambda x, y: x & y, [F.col(a) >= 0 for a in AXES])
+    q = q.withColumn("w", F.when(inside, F.exp(-d2 / (2 * sigma * sigma))).otherwise(0.0))
+    out = q.join(voxels, ["grid", *AXES], "left").groupBy("grid", "q").agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("s"), F.sum("w").alias("w"))
+    return out.select("grid", "q", F.coalesce(F.try_divide("s", "w"), F.lit(0.0)).alias("value"))
+
+
+def bilateral(voxels: DataFrame, sigma: float, value_sigma: float, dims: tuple[int, int, int]) -> DataFrame:
+    """Means weighted by Gaussians of distance and of difference in value, over the ball of int(3 sigma + 1); at stored voxels, missing ones count as 0.
+
+    A cell without a voxel changes only by voxels in its ball; these are dealt to it too. Cells whose result is 0 have no row.
+    """
+    r = int(3 * sigma + 1)
+    around = offsets(r, True)
+    near = spread(voxels.select("grid", *AXES, F.col("value").alias("sample")), around, None, dims)
+    j = near.join(voxels.select("grid", *AXES, "value"), ["grid", *AXES], "left").fillna(0.0, ["value"])
+    space = lambda o2: F.exp(-o2 / (2 * sigma * sigma))
+    tone = lambda d: F.exp(-(d * d) / (2 * value_sigma * value_sigma))
+    w = space(F.col("o2")) * tone(F.col("value") - F.col("sample"))
+    sums = j.groupBy("grid", *AXES, "value").agg(F.sum(w * F.col("sample")).alias("s"), F.sum(w).alias("w"), F.sum(space(F.col("o2"))).alias("stored"))
+    # What all cells of the ball that are in the grid weigh by distance, less those with a voxel, are zeros.
+    full = reduce(lambda x, y: x + y, [reduce(lambda x, y: x * y, [(F.col(a) + c).between(0, n - 1).cast("double") for a, c, n in zip(AXES, o, dims, strict=True)], F.lit(float(np.exp(-sum(c * c for c in o) / (2 * sigma * sigma))))) for o in around])
+    zeros = (full - F.col("stored")) * tone(F.col("value"))
+    return sums.select("grid", *AXES, (F.col("s") / (F.col("w") + zeros)).alias("value")).where("value <> 0")
+
+
+def erode(voxels: DataFrame, radius: float, dims: tuple[int, int, int]) -> DataFrame:
+    """Cells of value 1 that are further than the radius from every cell of the grid without a voxel."""
+    own = voxels.where("value <> 0").select("grid", *AXES)
+    empty = cells_of(voxels.sparkSession, own, dims).join(own, ["grid", *AXES], "left_anti")
+    near = spread(empty, [o for o in offsets(int(radius)) if sum(c * c for c in o) <= radius * radius], None, dims).select("grid", *AXES).distinct()
+    return own.join(near, ["grid", *AXES], "left_anti").withColumn("value", F.lit(1.0))
+
+
+def signed_distance(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """Distance of every cell to the nearest voxel, less that to the nearest cell without one: positive outside, negative inside."""
+    own = voxels.where("value <> 0").select("grid", *AXES, F.lit(1.0).alias("value"))
+    empty = cells_of(voxels.sparkSession, own, dims).join(own, ["grid", *AXES], "left_anti").withColumn("value", F.lit(1.0))
+    out, inside = squared_distance(own, dims), squared_distance(empty, dims)
+    j = out.join(inside.withColumnRenamed("value", "inner"), ["grid", *AXES], "left")
+    return j.select("grid", *AXES, (F.sqrt("value") - F.sqrt(F.coalesce("inner", F.lit(0.0)))).alias("value"))
+
+
+def rasterize_box(grids: DataFrame, low: tuple, high: tuple, value: float = 1.0) -> DataFrame:
+    """The cells of a box, both ends included, in each grid."""
+    out = grids.select("grid").distinct()
+    for a, x, y in zip(AXES, low, high, strict=True):
+        out = out.withColumn(a, F.explode(F.sequence(F.lit(int(x)).cast("long"), F.lit(int(y)).cast("long"))))
+    return out.withColumn("value", F.lit(float(value)))
+
+
+def rasterize_sphere(grids: DataFrame, centre: tuple, radius: float, dims: tuple[int, int, int], value: float = 1.0) -> DataFrame:
+    """The cells within a radius of a point, in each grid."""
+    r = int(np.ceil(radius))
+    box = rasterize_box(grids, [max(0, int(c) - r) for c in centre], [min(n - 1, int(c) + r + 1) for c, n in zip(centre, dims, strict=True)], value)
+    d2 = sum(((F.col(a) - float(c)) * (F.col(a) - float(c)) for a, c in zip(AXES, centre, strict=True)), F.lit(0.0))
+    return box.where(d2 <= radius * radius)
+
+
+def field_normals(field: DataFrame) -> DataFrame:
+    """grid, cell, nx, ny, nz: the unit gradient of a field at its voxels, by central differences over stored neighbours; null where it is 0 or a neighbour is missing."""
+    steps = [(s, a) for a in range(3) for s in (-1, 1)]
+    rows = F.array(*[F.struct(*[F.lit(-s if k == a else 0).alias(n) for k, n in enumerate("xyz")], F.lit(a).alias("axis"), F.lit(s / 2).alias("w")) for s, a in steps])
+    moved = field.select("grid", *AXES, "value", F.explode(rows).alias("o")).select("grid", *[(F.col(a) + F.col(f"o.{c}")).alias(a) for a, c in zip(AXES, "xyz", strict=True)], F.col("o.axis").alias("axis"), (F.col("value") * F.col("o.w")).alias("d"))
+    sums = moved.groupBy("grid", *AXES).agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("axis") == k, F.col("d"))).alias(f"d{k}") for k in range(3)]).where("n = 6")
+    size = F.sqrt(F.col("d0") * F.col("d0") + F.col("d1") * F.col("d1") + F.col("d2") * F.col("d2"))
+    return sums.join(field.select("grid", *AXES), ["grid", *AXES], "left_semi").select("grid", *AXES, *[F.try_divide(F.col(f"d{k}"), size).alias(f"n{c}") for k, c in enumerate("xyz")])
+
+
+def near_surface(field: DataFrame, least: float = 0.8) -> DataFrame:
+    return field.where(F.abs("value") > least)

@@ -614,12 +614,6 @@ def top_activations(spark, d):
     return rounded(a.withColumn("v", F.col("v").cast("double")).withColumn("rank", r.cast("long")).where("rank <= 5").select("ch", "vec_id", "v", "rank"), "v")
 
 
-@query("hash_sample_keypoints")
-def hash_sample_keypoints(spark, d):
-    v = voxels(spark, d)
-    return v.select("grid", *voxel.AXES).orderBy(F.xxhash64(F.lit(7), "grid", *voxel.AXES), "grid", *voxel.AXES).limit(500)
-
-
 # --- mining and meshes -----------------------------------------------------------------------
 
 
@@ -750,6 +744,9 @@ def two_query_similarity(spark, d):
     return rounded(s.crossJoin(s.agg(F.max("sim").alias("top"))).select("vec_id", "sim", "which", (F.col("sim") / F.col("top")).alias("shade")), "sim", "shade")
 
 
+from . import queries_more  # noqa: E402, F401  registers its queries here
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
