@@ -7,8 +7,8 @@ targets, each domain's gap weighted by one over its share, by projected gradient
 posterior get equal rates and a step of 1 can't overshoot; every step is taken from a point that keeps some of the last
 movement, unless this went uphill.
 
-A gradient is a weighted sum of posteriors, so a step is known by one number a domain, which is all the driver keeps. Rates aren't stored
-between steps: each document folds the list of steps over its own posterior, projecting after each.
+A gradient is a weighted sum of posteriors, so a step is known by one number a domain, which is all the driver keeps. Rates are stored
+every `KEPT` steps; in between each document folds the list of steps over its own posterior, projecting after each.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import dropped, stored, table
 
 #: Production targets: shares of the tokens by quality and toxicity label.
 TARGETS = {"q0t0": 0.06, "q0t1": 0.005, "q1t0": 0.92, "q1t1": 0.015}
@@ -93,12 +93,15 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, voc
     return Classifier(domains, [p + a for p, a in zip(priors, absent, strict=True)], weights)
 
 
+KEPT = 6
+
+
 def _folded(p: list[Column], steps: list[tuple[float, list[float]]]) -> tuple[Column, Column]:
-    """(rate after the last step, rate before it) of a document with posterior p; a step is (share of the last movement that is kept, what each domain takes away)."""
+    """(rate after the last step, rate before it) of a document with posterior p that has the rates r and l; a step is (share of the last movement that is kept, what each domain takes away)."""
     if not steps:
-        return F.lit(1.0), F.lit(1.0)
+        return F.col("r"), F.col("l")
     listed = F.array(*[F.struct(F.lit(float(keep)).alias("keep"), *[F.lit(float(x)).alias(f"g{i}") for i, x in enumerate(gap)]) for keep, gap in steps])
-    start = F.struct(F.lit(1.0).alias("last"), F.lit(1.0).alias("now"))
+    start = F.struct(F.col("l").alias("last"), F.col("r").alias("now"))
 
     def step(acc: Column, s: Column) -> Column:
         taken = reduce(lambda a, b: a + b, [p[i] * s[f"g{i}"] for i in range(len(p))])
@@ -128,16 +131,23 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 60, toleran
     loss = lambda x: sum((a - t) ** 2 / s for a, t, s in zip(x, targets, share, strict=True) if s > 0)
     gap = lambda x: max(abs(a - t) for a, t in zip(x, targets, strict=True))
     last_loss, keep = loss(at), 0.0
-    best = (last_loss, gap(at), 0)  # loss, residual and number of steps
+    state = members.select("*", F.lit(1.0).alias("r"), F.lit(1.0).alias("l"))
+    best, best_state = (last_loss, gap(at), 0), (state, [])  # loss, residual and number of steps; where their rates come from
+    count, held = 0, []
     for _ in range(steps):
         if gap(at) < tolerance:
             done = True
             break
         taken.append((keep, [(a - t) / s if s > 0 else 0.0 for a, t, s in zip(ahead, targets, share, strict=True)]))
         now, last = _folded(p, taken)
+        count += 1
         pace, before = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
         coming = (before - 1) / pace
-        both = members.select(mass.alias("m"), "p", now.alias("r"), last.alias("l"))
+        if len(taken) == KEPT:
+            state = stored(state.select(*members.columns, now.alias("r"), last.alias("l")))
+            held.append(state)
+            taken, now, last = [], F.col("r"), F.col("l")
+        both = state.select(mass.alias("m"), "p", now.alias("r"), last.alias("l"))
         sums = both.agg(*[F.sum(F.col("m") * p[i] * F.col("r")).alias(f"a{i}") for i in range(k)], *[F.sum(F.col("m") * p[i] * F.col("l")).alias(f"l{i}") for i in range(k)]).first()
         new, old = [sums[f"a{i}"] / first.n for i in range(k)], [sums[f"l{i}"] / first.n for i in range(k)]
         moved = max(abs(a - b) for a, b in zip(new, old, strict=True))
@@ -145,17 +155,21 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 60, toleran
             pace, coming = 1.0, 0.0
         at, last_loss, keep = new, loss(new), coming
         ahead = [a + keep * (a - b) for a, b in zip(new, old, strict=True)]
-        best = min(best, (last_loss, gap(at), len(taken)))
+        if (found := (last_loss, gap(at), count)) < best:
+            best, best_state = found, (state, list(taken))
+        for old_state in [x for x in held if x is not state and x is not best_state[0]]:
+            dropped(old_state)
+            held.remove(old_state)
         if moved < tolerance / 10:
             done = True
             break
-    return members.select("*", _folded(p, taken[: best[2]])[0].alias("rate"), F.lit(best[1]).alias("residual"), F.lit(done or best[1] < tolerance).alias("converged"))
+    return best_state[0].select(*members.columns, _folded(p, best_state[1])[0].alias("rate"), F.lit(best[1]).alias("residual"), F.lit(done or best[1] < tolerance).alias("converged"))
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 1024, label_id: str = "doc_id", doc_label_id: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 1024, label_id: str = "doc_id", doc_label_id: str | None = None, tolerance: float = 1e-4) -> DataFrame:
     """id, n_tokens long, posterior array<double> (domains in name order), rate, residual double, converged boolean: one row per document.
 
-    residual and converged are those of `fit_rates`, the same in every row. Rates times tokens times posteriors sum to the targets (shares of all tokens, made to sum to
+    residual and converged are those of `fit_rates`, the same in every row; by default a ten-thousandth of all tokens is near enough. Rates times tokens times posteriors sum to the targets (shares of all tokens, made to sum to
     1 over the domains that the labelled rows have; equal shares if none is named). Tokens are words
     between white space. A null or empty text has no tokens and gets the rate of its posterior;
     without labelled rows there is one domain and every rate is 1. Repeated rows are documents of
@@ -165,7 +179,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     wanted = [(targets or TARGETS).get(d, 0.0) for d in model.domains]
     wanted = [x / sum(wanted) for x in wanted] if sum(wanted) > 0 else [1 / len(wanted)] * len(wanted)
     members = stored(model.members(_features(docs, id_col, text_col)))
-    return fit_rates(members, wanted).select(F.col("id").alias(id_col), "n_tokens", F.col("p").alias("posterior"), "rate", "residual", "converged")
+    return fit_rates(members, wanted, tolerance=tolerance).select(F.col("id").alias(id_col), "n_tokens", F.col("p").alias("posterior"), "rate", "residual", "converged")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
