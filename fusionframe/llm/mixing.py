@@ -7,8 +7,10 @@ targets, each domain's gap weighted by one over its share, by projected gradient
 posterior get equal rates and a step of 1 can't overshoot; every step is taken from a point that keeps some of the last
 movement, unless this went uphill.
 
-A gradient is a weighted sum of posteriors, so a step is known by one number a domain, which is all the driver keeps. Rates are stored
-every `KEPT` steps; in between each document folds the list of steps over its own posterior, projecting after each.
+A gradient is a weighted sum of posteriors, so a step is known by one number a domain, which is all the driver keeps. Posteriors
+have six decimals, and the steps are taken on the table of distinct posteriors and their tokens, much smaller than the documents.
+Its rates are stored every `KEPT` steps; in between each posterior folds the list of steps, projecting after each. In the
+end every document folds all steps over its own posterior, so no join on a frequent posterior is needed.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ class Classifier:
     def members(self, features: DataFrame) -> DataFrame:
         """id, n_tokens, p array<double> in the order of the domains, for rows of (id, n_tokens, marks).
 
-        The word table has at most `vocabulary` rows, so it is broadcast; the sums of a document
+        Posteriors are rounded to six decimals; the likeliest domain (the first of several) takes what is left to 1. The word table has at most `vocabulary` rows, so it is broadcast; the sums of a document
         are complete before the shuffle, which moves one row per document.
         """
         k = len(self.domains)
@@ -67,7 +69,10 @@ class Classifier:
         top = F.greatest(*score)
         raw = [F.exp(x - top) for x in score]
         total = reduce(lambda x, y: x + y, raw)
-        return sums.select("id", "n_tokens", F.array(*[x / total for x in raw]).alias("p"))
+        q = [F.col(f"q{i}") for i in range(k)]
+        rounded = sums.select("id", "n_tokens", *[F.round(raw[i] / total, 6).alias(f"q{i}") for i in range(k)])
+        most, rest = F.array_position(F.array(*q), F.greatest(*q)), 1 - reduce(lambda x, y: x + y, q)
+        return rounded.select("id", "n_tokens", F.array(*[F.round(q[i] + F.when(most == i + 1, rest).otherwise(0.0), 6) for i in range(k)]).alias("p"))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, vocabulary: int = 1024, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", doc_label_id: str | None = None) -> Classifier:
@@ -96,12 +101,13 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, voc
 KEPT = 6
 
 
-def _folded(p: list[Column], steps: list[tuple[float, list[float]]]) -> tuple[Column, Column]:
-    """(rate after the last step, rate before it) of a document with posterior p that has the rates r and l; a step is (share of the last movement that is kept, what each domain takes away)."""
+def _folded(p: list[Column], steps: list[tuple[float, list[float]]], now: Column | None = None, last: Column | None = None) -> tuple[Column, Column]:
+    """(rate after the last step, rate before it) of a posterior p that has the rates now and last, the columns r and l by default; a step is (share of the last movement that is kept, what each domain takes away)."""
+    now, last = F.col("r") if now is None else now, F.col("l") if last is None else last
     if not steps:
-        return F.col("r"), F.col("l")
+        return now, last
     listed = F.array(*[F.struct(F.lit(float(keep)).alias("keep"), *[F.lit(float(x)).alias(f"g{i}") for i, x in enumerate(gap)]) for keep, gap in steps])
-    start = F.struct(F.col("l").alias("last"), F.col("r").alias("now"))
+    start = F.struct(last.alias("last"), now.alias("now"))
 
     def step(acc: Column, s: Column) -> Column:
         taken = reduce(lambda a, b: a + b, [p[i] * s[f"g{i}"] for i in range(len(p))])
@@ -120,34 +126,33 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 60, toleran
     """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
-    mass = F.col("n_tokens").cast("double")
-    first = members.agg(F.sum(mass).alias("n"), *[F.sum(mass * p[i]).alias(f"d{i}") for i in range(k)]).first()
+    out = lambda rate, residual, done: members.select("*", rate.alias("rate"), F.lit(residual).alias("residual"), F.lit(done).alias("converged"))
+    state = stored(members.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("m")).where("m > 0").select("p", "m", F.lit(1.0).alias("r"), F.lit(1.0).alias("l")))
+    first = state.agg(F.sum("m").alias("n"), *[F.sum(F.col("m") * p[i]).alias(f"d{i}") for i in range(k)]).first()
     if not first.n:
-        return members.select("*", F.lit(1.0).alias("rate"), F.lit(0.0).alias("residual"), F.lit(True).alias("converged"))
+        dropped(state)
+        return out(F.lit(1.0), 0.0, True)
     share = [first[f"d{i}"] / first.n for i in range(k)]
     taken: list[tuple[float, list[float]]] = []
-    at, ahead, pace, done = share, share, 1.0, False
+    at, ahead, pace, done, kept = share, share, 1.0, False, 0
     # ahead: the shares of the point that the next step starts from; the loss is half the sum of gap squared over share
     loss = lambda x: sum((a - t) ** 2 / s for a, t, s in zip(x, targets, share, strict=True) if s > 0)
     gap = lambda x: max(abs(a - t) for a, t in zip(x, targets, strict=True))
     last_loss, keep = loss(at), 0.0
-    state = members.select("*", F.lit(1.0).alias("r"), F.lit(1.0).alias("l"))
-    best, best_state = (last_loss, gap(at), 0), (state, [])  # loss, residual and number of steps; where their rates come from
-    count, held = 0, []
+    best = (last_loss, gap(at), 0)  # loss, residual and number of steps
     for _ in range(steps):
         if gap(at) < tolerance:
             done = True
             break
         taken.append((keep, [(a - t) / s if s > 0 else 0.0 for a, t, s in zip(ahead, targets, share, strict=True)]))
-        now, last = _folded(p, taken)
-        count += 1
+        now, last = _folded(p, taken[kept:])
         pace, before = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
         coming = (before - 1) / pace
-        if len(taken) == KEPT:
-            state = stored(state.select(*members.columns, now.alias("r"), last.alias("l")))
-            held.append(state)
-            taken, now, last = [], F.col("r"), F.col("l")
-        both = state.select(mass.alias("m"), "p", now.alias("r"), last.alias("l"))
+        if len(taken) - kept == KEPT:
+            older, state = state, stored(state.select("p", "m", now.alias("r"), last.alias("l")))
+            dropped(older)
+            kept, now, last = len(taken), F.col("r"), F.col("l")
+        both = state.select("p", "m", now.alias("r"), last.alias("l"))
         sums = both.agg(*[F.sum(F.col("m") * p[i] * F.col("r")).alias(f"a{i}") for i in range(k)], *[F.sum(F.col("m") * p[i] * F.col("l")).alias(f"l{i}") for i in range(k)]).first()
         new, old = [sums[f"a{i}"] / first.n for i in range(k)], [sums[f"l{i}"] / first.n for i in range(k)]
         moved = max(abs(a - b) for a, b in zip(new, old, strict=True))
@@ -155,15 +160,12 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 60, toleran
             pace, coming = 1.0, 0.0
         at, last_loss, keep = new, loss(new), coming
         ahead = [a + keep * (a - b) for a, b in zip(new, old, strict=True)]
-        if (found := (last_loss, gap(at), count)) < best:
-            best, best_state = found, (state, list(taken))
-        for old_state in [x for x in held if x is not state and x is not best_state[0]]:
-            dropped(old_state)
-            held.remove(old_state)
+        best = min(best, (last_loss, gap(at), len(taken)))
         if moved < tolerance / 10:
             done = True
             break
-    return best_state[0].select(*members.columns, _folded(p, best_state[1])[0].alias("rate"), F.lit(best[1]).alias("residual"), F.lit(done or best[1] < tolerance).alias("converged"))
+    dropped(state)
+    return out(_folded(p, taken[: best[2]], F.lit(1.0), F.lit(1.0))[0], best[1], done or best[1] < tolerance)
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, vocabulary: int = 1024, label_id: str = "doc_id", doc_label_id: str | None = None, tolerance: float = 1e-4) -> DataFrame:

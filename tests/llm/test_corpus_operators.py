@@ -233,6 +233,16 @@ def test_rates_minimise_the_gaps(spark):
     assert not mixing.fit_rates(members, [0.4, 0.6], steps=1).first().converged
 
 
+def test_posteriors_sum_to_one(spark):
+    model = mixing.Classifier(["a", "b", "c"], [0.1, 0.1, 0.1], {"x": [0.3, 0.0, -0.7], "y": [-4.0, 1.0, 2.0]})
+    rows = spark.createDataFrame([(i, 3, marks) for i, marks in enumerate([["z"], ["x"], ["y"], ["x", "y"], ["x", "z"]])], "id long, n_tokens long, marks array<string>")
+    got = {r.id: list(r.p) for r in model.members(rows).collect()}
+    assert len(got) == 5
+    for p in got.values():
+        assert abs(sum(p) - 1) < 1e-9 and all(x == round(x, 6) and x >= 0 for x in p)
+    assert got[0] == [0.333334, 0.333333, 0.333333]
+
+
 def test_mixing_awkward(spark, awkward, nothing):  # noqa: F811
     labels = spark.createDataFrame([(5, 1, 0), (7, 0, None), (None, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
     got = mixing.mix_sources(awkward, labels).collect()
