@@ -84,6 +84,22 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_components_stars(spark):
+    """Stars of low and of high ends, linked by single edges in both directions, and chance edges, against union by repeated minima."""
+    rng = np.random.default_rng(5)
+    edges = [(0, k) for k in range(1, 200)] + [(999, k) for k in range(300, 500)] + [(199, 450)] + [tuple(x) for x in rng.integers(1000, 1400, (300, 2)).tolist()]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        before = dict(label)
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == label
+
+
 def brute_repeats(rows, length=50):
     first = {}
     texts = [(i, (x or "").encode()) for i, x in rows]
