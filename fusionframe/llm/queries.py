@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .asof_join import OP12_SQL, op12_asof_join
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import op8_decontamination
 from .html_extract import OP1_SQL, op1_html_extract
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_ngram_join": op9_ngram_join,
         "op10_chat_format": op10_chat_format,
+        "op12_asof_join": op12_asof_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_extract": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op9_ngram_join": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_html_extract": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op9_ngram_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_asof_join": OP12_SQL}
