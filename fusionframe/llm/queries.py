@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .asof_join import OP12_SQL, op12_asof_join
 from .chat_format import OP10_SQL, op10_chat_format
+from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import op8_decontamination
 from .html_extract import OP1_SQL, op1_html_extract
 from .mixing import op2_mix_sources
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_join": op9_ngram_join,
         "op10_chat_format": op10_chat_format,
         "op12_asof_join": op12_asof_join,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_extract": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op9_ngram_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_asof_join": OP12_SQL}
+    return {"op1_html_extract": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op9_ngram_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_asof_join": OP12_SQL, "op13_collocations": OP13_SQL}
