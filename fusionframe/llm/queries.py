@@ -11,6 +11,7 @@ from .chat_format import OP10_SQL, op10_chat_format
 from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import op8_decontamination
 from .html_extract import OP1_SQL, op1_html_extract
+from .license_scan import OP11_SQL, op11_license_scan
 from .mixing import op2_mix_sources
 from .media import op6_media_columns
 from .ngram_join import OP9_SQL, op9_ngram_join
@@ -32,10 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_ngram_join": op9_ngram_join,
         "op10_chat_format": op10_chat_format,
+        "op11_license_scan": op11_license_scan,
         "op12_asof_join": op12_asof_join,
         "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_extract": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op9_ngram_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_asof_join": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op1_html_extract": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op9_ngram_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_license_scan": OP11_SQL, "op12_asof_join": OP12_SQL, "op13_collocations": OP13_SQL}
