@@ -9,7 +9,7 @@ A key may hold a third of all rows, so the window isn't dealt by key alone:
 * orders of one key and time become their largest struct, and events of one key and time one row, before
   they are shuffled to the window (with sums in the map tasks);
 * the window is dealt by (key, slice of time). What a slice needs from before it is one order: the latest of the
-  earlier slices. It comes from the same kind of window over one row a slice, and enters
+  earlier slices. It comes from the same kind of window over one row a slice (dealt by blocks of slices), and enters
   the slice as a row at its own time, so that the frame there still decides about the tolerance;
 * events meet the matches by (key, time) in a join whose large partitions Spark can split.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 SLICE = HOUR // 3
+BLOCK = 216  # slices
 
 
 def micros(df: DataFrame, column: str) -> Column:
@@ -37,6 +38,25 @@ def crc_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def _slice(column: str, width: int) -> Column:
+    return ((F.col(column) - F.pmod(column, F.lit(width))) / width).cast("long")
+
+
+def _last_before(heads: DataFrame, back: int, slice_us: int) -> DataFrame:
+    """key, slice, order: the latest order of the `back` slices before each slice, where there is one; heads: key, slice, last.
+
+    Slices are met within blocks of BLOCK, and what a block needs from before it is again one order; a key has a row a block there.
+    """
+    blocks = heads.withColumn("block", _slice("slice", BLOCK))
+    tops = blocks.groupBy("key", "block").agg(F.max("last").alias("top"))
+    w = Window.partitionBy("key").orderBy("block").rangeBetween(-(-(-back // BLOCK) + 1), -1)
+    entering = tops.select("key", "block", F.max("top").over(w).alias("last")).where("last is not null")
+    entering = entering.select("key", "block", _slice("last.us", slice_us).alias("slice"), "last", F.lit(False).alias("own"))
+    both = blocks.select("key", "block", "slice", "last", F.lit(True).alias("own")).unionByName(entering)
+    w = Window.partitionBy("key", "block").orderBy("slice").rangeBetween(-back, -1)
+    return both.withColumn("order", F.max("last").over(w)).where("own and order is not null").select("key", "slice", "order")
+
+
 def latest_within(events: DataFrame, orders: DataFrame, tolerance: int, ties: list[Column], payload: list[str], slice_us: int = SLICE) -> DataFrame:
     """key, us, matched_us, the payload and n_tied, for each distinct (key, us) of events with a match.
 
@@ -52,12 +72,10 @@ def latest_within(events: DataFrame, orders: DataFrame, tolerance: int, ties: li
     asked = events.where(there).select("key", "us").distinct()
     kind = at.schema["order"].dataType
     rows = at.select("key", "us", "order", F.lit(False).alias("asks")).unionByName(asked.select("key", "us", F.lit(None).cast(kind).alias("order"), F.lit(True).alias("asks")))
-    rows = rows.withColumn("slice", ((F.col("us") - F.pmod("us", F.lit(slice_us))) / slice_us).cast("long"))
+    rows = rows.withColumn("slice", _slice("us", slice_us))
     # The latest order of the slices before, as far back as the tolerance reaches.
-    back = -(-tolerance // slice_us) + 1
     heads = rows.groupBy("key", "slice").agg(F.max("order").alias("last"))
-    before = Window.partitionBy("key").orderBy("slice").rangeBetween(-back, -1)
-    carried = heads.select("key", "slice", F.max("last").over(before).alias("order")).where("order is not null")
+    carried = _last_before(heads, -(-tolerance // slice_us) + 1, slice_us)
     rows = rows.unionByName(carried.select("key", F.col("order.us").alias("us"), "order", F.lit(False).alias("asks"), "slice"))
     frame = Window.partitionBy("key", "slice").orderBy("us").rangeBetween(-tolerance, Window.currentRow)
     met = rows.withColumn("match", F.max("order").over(frame)).where("asks and match is not null")
