@@ -744,7 +744,7 @@ def two_query_similarity(spark, d):
     return rounded(s.crossJoin(s.agg(F.max("sim").alias("top"))).select("vec_id", "sim", "which", (F.col("sim") / F.col("top")).alias("shade")), "sim", "shade")
 
 
-from . import queries_more  # noqa: E402, F401  registers its queries here
+from . import queries_more, queries_surfaces  # noqa: E402, F401  register their queries here
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
