@@ -56,6 +56,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _column(values: list) -> Column:
+    """An array of strings out of one literal, which is split once while the query is planned."""
+    return F.split(F.lit("\n".join(map(str, values))), "\n")
+
+
 def _count_words(spaced: Column) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
@@ -68,17 +73,17 @@ def spaced_words(text: Column) -> Column:
 
 def _hits(spaced: Column, rules: list[Rule]) -> Column:
     """array<struct(rule, hits: array<struct(k, gap, size)>)>: for each rule, the words between its matches and in them."""
-    gates = F.array(*[F.lit(g) for g in sorted({r.gate for r in rules})])
-    table = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(r.gate).alias("gate"), F.lit(r.pattern).alias("pattern")) for k, r in enumerate(rules)])
+    gates = _column(sorted({r.gate for r in rules}))
+    gate_of, pattern_of = _column([r.gate for r in rules]), _column([r.pattern for r in rules])
 
-    def found(text: Column, rule: Column) -> Column:
-        sizes = F.transform(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), _count_words)
-        gaps = F.transform(F.split(text, rule["pattern"], -1), _count_words)
+    def found(text: Column, pattern: Column) -> Column:
+        sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), _count_words)
+        gaps = F.transform(F.split(text, pattern, -1), _count_words)
         return _let(gaps, lambda g: F.transform(sizes, lambda size, k: F.struct(k.alias("k"), F.get(g, k).alias("gap"), size.alias("size"))))
 
     def tried(gates_met: Column) -> Column:
-        chosen = F.filter(table, lambda r: F.array_contains(gates_met, r["gate"]))
-        return _let(F.translate(spaced, UPPER, LOWER), lambda text: F.transform(chosen, lambda r: F.struct(r["rule"].alias("rule"), found(text, r).alias("hits"))))
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(len(rules) - 1)), lambda r: F.array_contains(gates_met, F.get(gate_of, r)))
+        return _let(F.translate(spaced, UPPER, LOWER), lambda text: F.transform(chosen, lambda r: F.struct(r.alias("rule"), found(text, F.get(pattern_of, r)).alias("hits"))))
 
     opened = _let(F.lower(spaced), lambda low: F.filter(gates, lambda g: F.contains(low, F.concat(F.lit(" "), g))))
     return _let(opened, lambda g: F.when(F.size(g) > 0, tried(g)))
@@ -99,9 +104,9 @@ def license_scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
     rows = own.select("id", "row", "n_words", F.explode_outer("found").alias("f")).select("id", "row", "n_words", F.col("f.rule").alias("rule"), F.explode_outer("f.hits").alias("h"))
     rows = rows.select("id", "row", "n_words", "rule", "h.k", "h.gap", "h.size").repartition("row")
     upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    facts = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.base).alias("base")) for r in rules])
-    rows = rows.withColumn("end", upto).withColumn("start", F.col("end") - F.col("size")).withColumn("fact", F.get(facts, "rule"))
-    rows = rows.select("id", "row", "n_words", "rule", "start", "end", "fact.*")
+    facts = [F.get(_column([getattr(r, name) for r in rules]), "rule").cast(kind).alias(name) for name, kind in (("label", "string"), ("priority", "int"), ("base", "boolean"))]
+    rows = rows.withColumn("end", upto).withColumn("start", F.col("end") - F.col("size"))
+    rows = rows.select("id", "row", "n_words", "rule", "start", "end", *facts)
     before = Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted({r.priority for r in rules})
     for p in levels:
