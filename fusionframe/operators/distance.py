@@ -70,14 +70,14 @@ def sources_of(cells: DataFrame, sizes: dict[str, Column]) -> DataFrame:
     return out.select("grid", *AXES, F.col("value").alias("d2"), "sx", "sy", "sz")
 
 
-def _fixed(dims: tuple[int, int, int]) -> dict[str, Column]:
+def fixed(dims: tuple[int, int, int]) -> dict[str, Column]:
     return {a: F.lit(n) for a, n in zip(AXES, dims, strict=True)}
 
 
 def voronoi(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
     """grid, ix, iy, iz, value, d2: every cell of the grid with the value of the nearest non-zero voxel (ties: the first by axes) and the squared distance to it."""
     own = voxels.where("value <> 0").select("grid", *AXES, "value")
-    near = sources_of(own, _fixed(dims))
+    near = sources_of(own, fixed(dims))
     return near.join(own.toDF("grid", "sx", "sy", "sz", "value"), ["grid", "sx", "sy", "sz"]).select("grid", *AXES, "value", "d2")
 
 

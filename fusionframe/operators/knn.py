@@ -116,11 +116,6 @@ def within(a: DataFrame, b: DataFrame, radius: float, anti: bool = False) -> Dat
     return a.join(found, "id", "left_anti" if anti else "left_semi")
 
 
-def nearest_within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """id of a, id of b, d2: the nearest point of b within the radius; ties go to the smallest id."""
-    return range_join(a.select("id", "x", "y", "z"), b.select("id", "x", "y", "z"), radius).groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct("d2", F.col("b_id").alias("t"))).alias("m")).select("id", "m.t", "m.d2")
-
-
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, time: str, value: str, unique: bool = False) -> DataFrame:
     """left with the nearest right row by time in each `by` group (ties: the earlier), from the last before and the first after. unique: greedy in time order, each right row once."""
     if unique:

@@ -167,19 +167,6 @@ def geodesic(vertices: DataFrame, edge: DataFrame, sources: DataFrame, most: flo
     return dist.drop("fresh")
 
 
-def property_blur(values: DataFrame, vertices: DataFrame, edge: DataFrame, sigma: float) -> DataFrame:
-    """Gaussian of edge lengths over direct neighbours and the vertex itself, renormalised; farther ones follow by repeated blurs."""
-    ends = edge
-    for s in "ab":
-        ends = ends.join(vertices.select("mesh", F.col("vid").alias(s), *[F.col(c).alias(f"{s}{c}") for c in "xyz"]), ["mesh", s])
-    d2 = geom.norm2([F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"])
-    ends = ends.select("mesh", "a", "b", F.exp(-d2 / (2 * sigma * sigma)).alias("w"))
-    own = values.select("mesh", F.col("vid").alias("a"), F.col("vid").alias("b"), F.lit(1.0).alias("w"))
-    both = ends.union(ends.select("mesh", "b", "a", "w")).union(own)
-    j = both.join(values.select("mesh", F.col("vid").alias("b"), "value"), ["mesh", "b"])
-    return j.groupBy("mesh", F.col("a").alias("vid")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
-
-
 def random_points(vertices: DataFrame, faces: DataFrame, a: Column, b: Column) -> DataFrame:
     """A point on each face, evenly spread where a and b are two independent numbers in [0, 1) for it."""
     c = corners(vertices, faces)
@@ -199,11 +186,3 @@ def normalisation(points: DataFrame, by: str) -> DataFrame:
     c = points.groupBy(by).agg(*[F.avg(x).alias(f"c{x}") for x in "xyz"])
     r = F.sqrt(sum(((F.col(x) - F.col(f"c{x}")) * (F.col(x) - F.col(f"c{x}")) for x in "xyz"), F.lit(0.0)))
     return points.join(c, by).groupBy(by, "cx", "cy", "cz").agg(F.avg(r).alias("radius")).select(by, "cx", "cy", "cz", F.try_divide(F.lit(1.0), F.col("radius")).alias("scale"))
-
-
-def suppress_non_extrema(values: DataFrame, edge_table: DataFrame, maxima: bool = True) -> DataFrame:
-    """Values of vertices that a neighbour exceeds become 0; (mesh, vid, value)."""
-    both = edge_table.union(edge_table.select("mesh", "b", "a")).toDF("mesh", "vid", "o")
-    best = both.join(values.select("mesh", F.col("vid").alias("o"), "value"), ["mesh", "o"]).groupBy("mesh", "vid").agg((F.max if maxima else F.min)("value").alias("m"))
-    beaten = F.coalesce(F.col("m") > F.col("value") if maxima else F.col("m") < F.col("value"), F.lit(False))
-    return values.join(best, ["mesh", "vid"], "left").select("mesh", "vid", F.when(beaten, 0.0).otherwise(F.col("value")).alias("value"))

@@ -205,30 +205,13 @@ def components(voxels: DataFrame, iso: float) -> DataFrame:
             return state
 
 
-def _scan(axis: str, other: list[str], n: int):
-    """Lower envelope of parabolas along one line of voxels."""
-
-    def scan(pdf):
-        import pandas as pd
-
-        f = np.full(n, np.inf)
-        f[pdf[axis].to_numpy()] = pdf["value"].to_numpy()
-        i = np.arange(n)
-        d = (f[None, :] + (i[:, None] - i[None, :]) ** 2).min(1)
-        return pd.DataFrame({"grid": pdf["grid"].iloc[0], axis: i, other[0]: pdf[other[0]].iloc[0], other[1]: pdf[other[1]].iloc[0], "value": d})[["grid", *AXES, "value"]]
-
-    return scan
-
-
 def squared_distance(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
-    """Exact squared distance to the nearest stored non-zero voxel over a dense grid, in three separable passes; 3 (res + 1)^3 where there is none."""
-    far = float(3 * (max(dims) + 1) ** 3)
-    grid = voxels.where("value != 0").select("grid", *AXES, F.lit(0.0).alias("value"))
-    for k in (2, 1, 0):
-        axis, other, n = AXES[k], [a for a in AXES if a != AXES[k]], dims[k]
+    """Exact squared distance to the nearest stored non-zero voxel over a dense grid; 3 (res + 1)^3 at most."""
+    from . import distance
 
-        grid = grid.groupBy("grid", *other).applyInPandas(_scan(axis, other, n), "grid string, ix bigint, iy bigint, iz bigint, value double")
-    return grid.select("grid", *AXES, F.least("value", F.lit(far)).alias("value"))
+    far = float(3 * (max(dims) + 1) ** 3)
+    near = distance.sources_of(voxels.where("value != 0"), distance.fixed(dims))
+    return near.select("grid", *AXES, F.least(F.col("d2").cast("double"), F.lit(far)).alias("value"))
 
 
 def dilate(voxels: DataFrame, radius: float, dims: tuple[int, int, int]) -> DataFrame:
@@ -261,11 +244,11 @@ def zscore(values: DataFrame, by: str, value: str, key: str) -> DataFrame:
 # --- whole-grid operations -------------------------------------------------------------------
 
 
-def cells_of(spark, grids: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
-    """All cells of each grid."""
-    n = dims[0] * dims[1] * dims[2]
-    at = [F.col("id") % dims[0], F.floor(F.col("id") / dims[0]) % dims[1], F.floor(F.col("id") / (dims[0] * dims[1]))]
-    return grids.select("grid").distinct().withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("grid", *[c.cast("long").alias(a) for c, a in zip(at, AXES, strict=True)])
+def cells_of(grids: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """All cells of each grid, a plane at a time, so that no row holds a grid and planes are dealt out."""
+    run = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    planes = grids.select("grid").distinct().withColumn("iz", run(dims[2])).repartition("grid", "iz")
+    return planes.withColumn("iy", run(dims[1])).withColumn("ix", run(dims[0])).select("grid", *AXES)
 
 
 def combine(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -343,17 +326,17 @@ def bilateral(voxels: DataFrame, sigma: float, value_sigma: float, dims: tuple[i
 
 
 def erode(voxels: DataFrame, radius: float, dims: tuple[int, int, int]) -> DataFrame:
-    """Cells of value 1 that are further than the radius from every cell of the grid without a voxel."""
-    own = voxels.where("value <> 0").select("grid", *AXES)
-    empty = cells_of(voxels.sparkSession, own, dims).join(own, ["grid", *AXES], "left_anti")
+    """Cells of value 1 that are further than the radius from every cell of the grid whose value isn't over 0."""
+    own = voxels.where("value > 0").select("grid", *AXES)
+    empty = cells_of(own, dims).join(own, ["grid", *AXES], "left_anti")
     near = spread(empty, [o for o in offsets(int(radius)) if sum(c * c for c in o) <= radius * radius], None, dims).select("grid", *AXES).distinct()
     return own.join(near, ["grid", *AXES], "left_anti").withColumn("value", F.lit(1.0))
 
 
 def signed_distance(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
-    """Distance of every cell to the nearest voxel, less that to the nearest cell without one: positive outside, negative inside."""
-    own = voxels.where("value <> 0").select("grid", *AXES, F.lit(1.0).alias("value"))
-    empty = cells_of(voxels.sparkSession, own, dims).join(own, ["grid", *AXES], "left_anti").withColumn("value", F.lit(1.0))
+    """Distance of every cell to the nearest one over 0, less that to the nearest that isn't: positive outside, negative inside."""
+    own = voxels.where("value > 0").select("grid", *AXES, F.lit(1.0).alias("value"))
+    empty = cells_of(own, dims).join(own, ["grid", *AXES], "left_anti").withColumn("value", F.lit(1.0))
     out, inside = squared_distance(own, dims), squared_distance(empty, dims)
     j = out.join(inside.withColumnRenamed("value", "inner"), ["grid", *AXES], "left")
     return j.select("grid", *AXES, (F.sqrt("value") - F.sqrt(F.coalesce("inner", F.lit(0.0)))).alias("value"))

@@ -382,12 +382,6 @@ def connected_components(spark, d):
     return c.select("grid", *voxel.AXES, F.concat_ws(",", F.col("label.ix"), F.col("label.iy"), F.col("label.iz")).alias("component"))
 
 
-@query("distance_transform", VOX + ", s AS (SELECT ix, iy, iz FROM vox WHERE grid = 'A' AND value > 8 AND ix < 22 AND iy < 22 AND iz < 22), g AS (SELECT p.i AS ix, q.i AS iy, r.i AS iz FROM (SELECT unnest(range(22)) AS i) p, (SELECT unnest(range(22)) AS i) q, (SELECT unnest(range(22)) AS i) r) SELECT 'A' AS grid, g.ix, g.iy, g.iz, min((g.ix - s.ix)**2 + (g.iy - s.iy)**2 + (g.iz - s.iz)**2)::DOUBLE AS value FROM g, s GROUP BY ALL")
-def distance_transform(spark, d):
-    v = voxels(spark, d).where("grid = 'A' AND value > 8 AND ix < 22 AND iy < 22 AND iz < 22")
-    return voxel.squared_distance(v, (22, 22, 22))
-
-
 # --- cameras and fusion ----------------------------------------------------------------------
 
 
@@ -690,12 +684,6 @@ def grid_pointwise(spark, d):
     return rounded(out, "root", "square", "inverse", "power", "normalized")
 
 
-@query("grid_dilate", VOX + ", s AS (SELECT ix, iy, iz FROM vox WHERE grid = 'A' AND value > 4 AND ix < 22 AND iy < 22 AND iz < 22), g AS (SELECT p.i AS ix, q.i AS iy, r.i AS iz FROM (SELECT unnest(range(22)) AS i) p, (SELECT unnest(range(22)) AS i) q, (SELECT unnest(range(22)) AS i) r) SELECT DISTINCT 'A' AS grid, g.ix, g.iy, g.iz, 1e0 AS value FROM g, s WHERE (g.ix - s.ix)**2 + (g.iy - s.iy)**2 + (g.iz - s.iz)**2 <= 4")
-def grid_dilate(spark, d):
-    v = voxels(spark, d).where("grid = 'A' AND value > 4 AND ix < 22 AND iy < 22 AND iz < 22")
-    return voxel.dilate(v, 2.0, (22, 22, 22))
-
-
 @query("grid_slice", VOX + " SELECT grid, iy AS ix, ix AS iy, value FROM vox WHERE iz = 4")
 def grid_slice(spark, d):
     """One plane, transposed."""

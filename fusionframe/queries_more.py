@@ -168,13 +168,6 @@ def grid_erode(spark, d):
 _SMALL = "WITH v AS (SELECT DISTINCT round(x / 0.2e0)::BIGINT AS ix, round(y / 0.2e0)::BIGINT AS iy, round(z / 0.2e0)::BIGINT AS iz FROM pts WHERE x * 7 - floor(x * 7) < 0.5e0 AND y > 0.5e0), g AS (SELECT p.range AS ix, q.range AS iy, r.range AS iz FROM range(8) p, range(8) q, range(8) r), e AS (SELECT * FROM g ANTI JOIN v USING (ix, iy, iz))"
 
 
-@query("signed_distance", PTS + ", " + _SMALL[5:] + " SELECT g.ix, g.iy, g.iz, round(sqrt((SELECT min((g.ix - v.ix)**2 + (g.iy - v.iy)**2 + (g.iz - v.iz)**2) FROM v)) - sqrt((SELECT min((g.ix - e.ix)**2 + (g.iy - e.iy)**2 + (g.iz - e.iz)**2) FROM e)), 6) + 0e0 AS value FROM g")
-def signed_distance(spark, d):
-    p = points(spark, d).where("x * 7 - floor(x * 7) < 0.5 AND y > 0.5")
-    v = p.select(F.lit("all").alias("grid"), *[F.round(F.col(c) / 0.2).cast("long").alias(a) for c, a in zip("xyz", AX, strict=True)]).distinct().withColumn("value", F.lit(1.0))
-    return rounded(voxel.signed_distance(v, (8, 8, 8)).drop("grid"), "value")
-
-
 _SPOTS = "q AS (SELECT range AS q, range * 0.021e0 AS gx, range * 0.017e0 AS gy, range * 0.025e0 AS gz FROM range(1000))"
 
 
@@ -322,9 +315,3 @@ def random_face_points(spark, d):
 def mesh_connected(spark, d):
     v, f = surface_mesh(spark, d)
     return mesh.connected(v, mesh.edges(f), v.where("vid = 0"))
-
-
-@query("suppress_non_maxima", MESH + ", n AS (SELECT a AS vid, b AS o FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT n.vid, max(v.z) AS z FROM n JOIN v ON v.vid = n.o GROUP BY 1) SELECT 'part' AS mesh, v.vid, CASE WHEN g.z > v.z THEN 0 ELSE round(v.z, 6) END AS value FROM v LEFT JOIN g ON v.vid = g.vid")
-def suppress_non_maxima(spark, d):
-    v, f = surface_mesh(spark, d)
-    return rounded(mesh.suppress_non_extrema(v.select("mesh", "vid", F.col("z").alias("value")), mesh.edges(f)), "value")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import distance, isosurface
+from .operators import distance, geodesics, isosurface, mesh, search, voxel
+from .plans.checkpoint import checkpointed
 from .queries import DIMS, MESH, VOX, query, rounded, surface_mesh, voxels
 
 # --- distance fields -------------------------------------------------------------------------
@@ -24,6 +25,25 @@ def grid_voronoi(spark, d):
     return distance.voronoi(tall(spark, d), DIMS)
 
 
+_CELLS = ", c AS (SELECT g.grid, p.range AS ix, q.range AS iy, r.range AS iz FROM (SELECT DISTINCT grid FROM tall) g, range(22) p, range(22) q, range(22) r)"
+_OUT = ", o AS (SELECT c.grid, c.ix, c.iy, c.iz, min((c.ix - t.ix)**2 + (c.iy - t.iy)**2 + (c.iz - t.iz)**2)::DOUBLE AS value FROM c JOIN tall t ON t.grid = c.grid GROUP BY ALL)"
+
+
+@query("distance_transform", _TALL + _CELLS + _OUT + " SELECT * FROM o")
+def distance_transform(spark, d):
+    return voxel.squared_distance(tall(spark, d), DIMS)
+
+
+@query("grid_dilate", _TALL + _CELLS + _OUT + " SELECT grid, ix, iy, iz, 1e0 AS value FROM o WHERE value <= 4")
+def grid_dilate(spark, d):
+    return voxel.dilate(tall(spark, d), 2.0, DIMS)
+
+
+@query("signed_distance", _TALL + _CELLS + _OUT + ", low AS (SELECT c.* FROM c ANTI JOIN tall USING (grid, ix, iy, iz)), i AS (SELECT t.grid, t.ix, t.iy, t.iz, min((l.ix - t.ix)**2 + (l.iy - t.iy)**2 + (l.iz - t.iz)**2) AS inner FROM tall t JOIN low l ON l.grid = t.grid GROUP BY ALL) SELECT o.grid, o.ix, o.iy, o.iz, round(sqrt(value) - sqrt(coalesce(i.inner, 0)), 6) AS value FROM o LEFT JOIN i USING (grid, ix, iy, iz)")
+def signed_distance(spark, d):
+    return rounded(voxel.signed_distance(tall(spark, d), DIMS), "value")
+
+
 def _grid_sql(spacing: float, border: float, most: int) -> str:
     """The grid around the mesh, its corners in cells, and the cells of the faces."""
     steps, last = "", f"{spacing}e0"
@@ -89,3 +109,63 @@ _CORNER_ROWS = ", ".join(f"({k}, {x}, {y}, {z})" for k, (x, y, z) in enumerate(i
 @query("isosurface_faces", _FULL + f", tri AS (SELECT * FROM (VALUES {_case_rows()}) t(c, k, e0, e1, e2)), co AS (SELECT * FROM (VALUES {_CORNER_ROWS}) t(k, dx, dy, dz)), cube AS (SELECT grid, ix - dx AS ix, iy - dy AS iy, iz - dz AS iz, sum((value >= iso)::INT << k)::INT AS c FROM dense, mean, co GROUP BY ALL HAVING count(*) = 8), num AS (SELECT grid, (iz * 22 + iy) * 22 + ix AS n, c FROM cube) SELECT grid AS mesh, n * 16 + k AS fid, n * 3 + e0 AS v0, n * 3 + e1 AS v1, n * 3 + e2 AS v2 FROM num JOIN tri USING (c)")
 def isosurface_faces(spark, d):
     return isosurface.iso_faces(voxels(spark, d), level(spark, d), DIMS)
+
+
+# --- searches --------------------------------------------------------------------------------
+
+
+@query("nearest_fuller", VOX + ", a AS (SELECT (iz * 22 + iy) * 22 + ix AS id, ix * 0.05e0 AS x, iy * 0.05e0 AS y, iz * 0.05e0 AS z, value FROM vox WHERE grid = 'A'), b AS (SELECT (iz * 22 + iy) * 22 + ix AS id, ix * 0.05e0 AS x, iy * 0.05e0 AS y, iz * 0.05e0 AS z, value FROM vox WHERE grid = 'N'), m AS (SELECT a.id AS q, min((round((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z), 9), b.id)) AS m FROM a JOIN b ON b.value > a.value * 1.2e0 GROUP BY a.id) SELECT q, m[2] AS item, m[1] AS d2 FROM m")
+def nearest_fuller(spark, d):
+    """For each voxel of grid A the nearest voxel of grid N that holds over 1.2 times as much, however far."""
+    v = voxels(spark, d).select("grid", ((F.col("iz") * 22 + F.col("iy")) * 22 + F.col("ix")).alias("id"), *[(F.col(f"i{c}") * 0.05).alias(c) for c in "xyz"], "value")
+    return search.nearest(v.where("grid = 'A'").drop("grid"), v.where("grid = 'N'").drop("grid"), lambda a, b: b("value") > a("value") * 1.2)
+
+
+def over_mesh(spark, d):
+    """The voxels of all grids as points around the height field."""
+    v = voxels(spark, d).select((F.col("ix") * 484 + F.col("iy") * 22 + F.col("iz")).alias("n"), "grid", (F.col("ix") * 1.9 + 0.3).alias("x"), (F.col("iy") * 2.3 + 0.2).alias("y"), (F.col("iz") * 0.15 - 0.9).alias("z"))
+    return v.groupBy("n", "x", "y", "z").agg(F.count("*").alias("grids")).withColumnRenamed("n", "id")
+
+
+@query("closest_on_mesh")
+def closest_on_mesh(spark, d):
+    return rounded(search.closest_on_mesh(over_mesh(spark, d), *surface_mesh(spark, d)), "d2", "u", "v", "w")
+
+
+@query("ray_hits", VOX + MESH.replace("WITH v AS", ", v AS") + ", r AS (SELECT DISTINCT ix * 22 + iy AS q, ix * 1.9e0 + 0.3e0 AS x, iy * 2.3e0 + 0.2e0 AS y FROM vox), b AS (SELECT r.*, c.*, ux * wy - uy * wx AS det, (r.x - ax) * wy - (r.y - ay) * wx AS s, ux * (r.y - ay) - uy * (r.x - ax) AS t FROM r JOIN c ON r.x BETWEEN least(ax, ax + ux, ax + wx) AND greatest(ax, ax + ux, ax + wx) AND r.y BETWEEN least(ay, ay + uy, ay + wy) AND greatest(ay, ay + uy, ay + wy)), h AS (SELECT q, fid, s / det AS s, t / det AS t, 4 - (az + s / det * uz + t / det * wz) AS far FROM b), k AS (SELECT q, min((round(far, 9), fid)) AS m FROM h WHERE s >= -1e-9 AND t >= -1e-9 AND s + t <= 1 + 1e-9 GROUP BY q) SELECT q, m[2] AS face, round(m[1], 6) AS t FROM k")
+def ray_hits(spark, d):
+    """Straight down from above the columns of the voxels onto the height field."""
+    down = voxels(spark, d).select((F.col("ix") * 22 + F.col("iy")).alias("id"), (F.col("ix") * 1.9 + 0.3).alias("x"), (F.col("iy") * 2.3 + 0.2).alias("y"), F.lit(4.0).alias("z"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-1.0).alias("dz")).distinct()
+    return rounded(search.ray_hits(down, *surface_mesh(spark, d)).select("q", "face", "t"), "t")
+
+
+# --- neighbourhoods and paths ----------------------------------------------------------------
+
+_HOPS = MESH + ", w AS (SELECT a, b, sqrt((p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2) AS w FROM e JOIN v p ON p.vid = a JOIN v q ON q.vid = b), n AS (SELECT a, b, w FROM w UNION ALL SELECT b, a, w FROM w), hops AS (SELECT vid AS a, vid AS b, 0e0 AS d FROM v UNION ALL SELECT a, b, w FROM n WHERE w <= 2.4e0 UNION ALL SELECT s.a, t.b, s.w + t.w FROM n s JOIN n t ON t.a = s.b WHERE s.w + t.w <= 2.4e0), hood AS (SELECT a, b, min(d) AS d FROM hops GROUP BY a, b)"
+
+
+def _heights(v):
+    return v.select("mesh", "vid", F.col("z").alias("value"))
+
+
+@query("property_strength", _HOPS + ", g AS (SELECT a, sum(exp(-d * d / (2 * 0.8e0 * 0.8e0)) * z) / sum(exp(-d * d / (2 * 0.8e0 * 0.8e0))) AS m FROM hood JOIN v ON vid = b GROUP BY a) SELECT 'part' AS mesh, vid, round(z * abs(z - m), 6) AS value FROM v JOIN g ON g.a = vid")
+def property_strength(spark, d):
+    """Heights times the size of their difference of Gaussians (0.8 along edges); no path within the limit has over two edges."""
+    v, f = surface_mesh(spark, d)
+    return rounded(geodesics.strength(_heights(v), v, mesh.edges(f), 0.8), "value")
+
+
+@query("suppress_non_maxima", _HOPS + ", g AS (SELECT a, max(z) AS top FROM (SELECT a, b FROM hood UNION SELECT a, b FROM n) JOIN v ON vid = b GROUP BY a) SELECT 'part' AS mesh, vid, CASE WHEN z >= top THEN round(z, 6) END AS value FROM v JOIN g ON g.a = vid")
+def suppress_non_maxima(spark, d):
+    """Heights that nothing within 2.4 along edges exceeds; the others are unknown."""
+    v, f = surface_mesh(spark, d)
+    return rounded(geodesics.extrema_within(_heights(v), v, mesh.edges(f), 2.4, minima=False), "value")
+
+
+@query("geodesic_paths")
+def geodesic_paths(spark, d):
+    """The paths from all vertices back to the first one."""
+    v, f = surface_mesh(spark, d)
+    e = checkpointed(mesh.edges(f))
+    dist = mesh.geodesic(v, e, v.where("vid = 0"))
+    return rounded(geodesics.trace_paths(geodesics.predecessors(dist, v, e), dist), "gone")
