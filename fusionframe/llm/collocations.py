@@ -93,7 +93,7 @@ def _bitmap(words: DataFrame, min_count: int) -> np.ndarray:
 
 
 def _suffixes(docs: DataFrame, kept: np.ndarray, hot: dict[tuple[str, str], int], max_n: int, lang_col: str, text_col: str) -> DataFrame:
-    """suffix (language and words, each ended by a newline, which no word holds), n, salt."""
+    """suffix (first word, language, further words, each ended by a newline, which no word holds), n, salt."""
     shared = docs.sparkSession.sparkContext.broadcast((np.packbits(kept), hot))
 
     def run(batches):
@@ -110,11 +110,11 @@ def _suffixes(docs: DataFrame, kept: np.ndarray, hot: dict[tuple[str, str], int]
             if not len(here):
                 continue
             key, columns = ids[here], [ids[here]]
-            for k in range(1, max_n):  # the next word's number, or none; keys of equal words so far are made dense before they could pass 64 bits
+            for k in range(1, max_n):  # the next word's number, or none
                 at = np.minimum(here + k, m - 1)
                 nxt = np.where((here + k < m) & (run_of[at] == run_of[here]), ids[at] + 1, 0)
                 columns.append(nxt)
-                if k > 1:
+                if size ** (k + 1) >= 1 << 63:  # numbers of the words so far that stay within 64 bits
                     key = np.unique(key, return_inverse=True)[1]
                 key = key * size + nxt
             _, first, counts = np.unique(key, return_index=True, return_counts=True)
@@ -129,26 +129,24 @@ def _suffixes(docs: DataFrame, kept: np.ndarray, hot: dict[tuple[str, str], int]
             for a in range(0, len(first), 1 << 16):
                 own = first[a : a + (1 << 16)]
                 parts = [pc.take(entries, pa.array(columns[0][own]))] + [pc.take(entries, pa.array(c[own] - 1, mask=c[own] == 0)) for c in columns[1:]]
-                suffix = pc.binary_join_element_wise(head, *parts, "", "\n", null_handling="skip")
+                suffix = pc.binary_join_element_wise(parts[0], head, *parts[1:], "", "\n", null_handling="skip")
                 yield pa.RecordBatch.from_arrays([suffix, pa.array(counts[a : a + (1 << 16)], pa.int32()), pa.array(salt[a : a + (1 << 16)])], schema=_ROWS)
 
     return docs.select(F.col(lang_col).cast("string"), text_col).mapInArrow(run, "suffix string, n int, salt int")
 
 
-def _shared_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many newline-ended fields each row begins with that the row above begins with too; rows lie one after another, the first has none."""
+def _fields(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(newline-ended fields that each row begins with as the row above does, 0 for the first; fields of each row); rows lie one after another."""
     sizes = np.diff(starts)
-    n = len(sizes)
-    row = np.repeat(np.arange(n), sizes)
-    offset = np.arange(len(data)) - starts[:-1][row]
-    above = np.maximum(row - 1, 0)
-    inside = (row > 0) & (offset < sizes[above])
-    same = inside.copy()
-    same[inside] = data[inside] == data[starts[:-1][above[inside]] + offset[inside]]
-    stop = np.where(same, len(data), np.arange(len(data)))  # the first byte that differs
-    stop = np.minimum(np.minimum.reduceat(stop, starts[:-1]), starts[1:])
-    ends = np.concatenate(([0], np.cumsum(data == 10)))
-    return ends[stop] - ends[starts[:-1]]
+    above = np.concatenate((sizes[:1] * 0, sizes[:-1]))  # size of the row above, whose bytes lie that far back
+    at = np.arange(len(data), dtype=np.int32)
+    same = data == data[at - np.repeat(above.astype(np.int32), sizes)]
+    differs = np.flatnonzero(~same)
+    stop = np.concatenate((differs, [len(data)]))[np.searchsorted(differs, starts[:-1])]
+    stop = np.minimum(np.minimum(stop, starts[1:]), starts[:-1] + above)
+    ends = np.flatnonzero(data == 10)
+    before = np.searchsorted(ends, starts)
+    return np.maximum(np.searchsorted(ends, stop) - before[:-1], 0), np.diff(before)
 
 
 class Stack:
@@ -164,16 +162,16 @@ class Stack:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _DONE)], schema=_DONE)
 
     def add(self, suffix: pa.Array, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-        """The phrases that these rows close. Depth 0 is the language, 1 its first word."""
-        rows = [self.row, *suffix.cast(pa.binary()).to_pylist()]
-        starts = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
-        data = np.frombuffer(b"".join(rows), np.uint8)
-        if not rows[0]:  # nothing is open yet
-            rows, starts = rows[1:], starts[1:]
-            shared, depth = _shared_words(data, starts), np.bincount(np.repeat(np.arange(len(rows)), np.diff(starts)), data == 10).astype(int)
-        else:
-            shared, depth = _shared_words(data, starts)[1:], np.bincount(np.repeat(np.arange(len(rows)), np.diff(starts)), data == 10).astype(int)[1:]
-            rows = rows[1:]
+        """The phrases that these rows close. A row's fields are its first word, the language and its further words."""
+        starts = np.frombuffer(suffix.buffers()[1], np.int32)[suffix.offset : suffix.offset + len(suffix) + 1].astype(np.int64)
+        data = np.frombuffer(suffix.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+        starts = starts - starts[0]
+        shared, depth = _fields(data, starts)
+        whole = lambda i: data[starts[i] : starts[i + 1]].tobytes()
+        for x, y in zip(self.row.split(b"\n")[:-1], whole(0).split(b"\n")[:-1]):
+            if x != y:
+                break
+            shared[0] += 1
         found = []
         for d in range(2, self.max_n + 1):  # fields: the language and d words
             cut = np.flatnonzero(shared < d + 1)  # rows that don't go on with the phrase above them
@@ -185,11 +183,11 @@ class Stack:
             if self.open[d] and (self.open[d] >= self.least or self.part):
                 out, counts = [self._prefix(self.row, d)], [self.open[d]]
             done = np.flatnonzero((depth[cut[:-1]] >= d + 1) & ((sums[1:-1] >= self.least) | part[cut[:-1]]))
-            out += [self._prefix(rows[i], d) for i in cut[done].tolist()]
+            out += [self._prefix(whole(i), d) for i in cut[done].tolist()]
             counts += sums[1:-1][done].tolist()
             found.append((out, counts, d))
             self.open[d] = int(sums[-1]) if depth[cut[-1]] >= d + 1 else 0
-        self.row, self.part = rows[-1], bool(part[-1])
+        self.row, self.part = whole(len(suffix) - 1), bool(part[-1])
         return self._out(found)
 
     def end(self) -> pa.RecordBatch:
@@ -201,7 +199,7 @@ class Stack:
 
 
 def phrase_counts(suffixes: DataFrame, max_n: int, min_count: int) -> DataFrame:
-    """phrase (language and words, newlines between), words, a: all phrases of 2 to max_n words that stand at least min_count times."""
+    """phrase (first word, language, further words, newlines between), words, a: all phrases of 2 to max_n words that stand at least min_count times."""
 
     def run(batches):
         stack = Stack(max_n, min_count)
@@ -216,10 +214,9 @@ def phrase_counts(suffixes: DataFrame, max_n: int, min_count: int) -> DataFrame:
     return parts.groupBy("phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
 
 
-def _lang(phrase: str) -> Column:
-    """The language in front, its escapes undone."""
-    pieces = F.split(F.substring_index(phrase, "\n", 1), r"\\\\")
-    return F.array_join(F.transform(pieces, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
+def _lang(escaped: Column) -> Column:
+    """The language, its escapes undone."""
+    return F.array_join(F.transform(F.split(escaped, r"\\\\"), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -252,8 +249,9 @@ def collocations(docs: DataFrame, max_n: int = 3, min_count: int = 10, inside_pe
     # At most HOT words have a share of 1 / HOT.
     hot = {(r.lang, r.word): -(-r.n * HOT // total) for r in words.where(F.col("n") * HOT > total).collect()}
     found = stored(phrase_counts(_suffixes(docs, _bitmap(words, min_count), hot, max_n, lang_col, text_col), max_n, min_count))
-    text = F.replace(F.expr("substr(phrase, locate('\n', phrase) + 1)"), F.lit("\n"), F.lit(" "))
-    phrases = found.select(_lang("phrase").alias("lang"), text.alias("phrase"), "words", "a")
+    fields = F.split("phrase", "\n", -1)
+    text = F.concat_ws(" ", fields[0], F.array_join(F.slice(fields, F.lit(3), F.col("words") - 1), " "))
+    phrases = found.select(_lang(fields[1]).alias("lang"), text.alias("phrase"), "words", "a")
     parts = words.where(F.col("n") >= min_count).select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")).unionByName(phrases.select("lang", "phrase", F.col("a").alias("f")))
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     piece = F.split("phrase", " ", -1)
