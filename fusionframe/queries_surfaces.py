@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import distance, geodesics, isosurface, mesh, search, voxel
+from .operators import consensus, distance, geodesics, isosurface, mesh, search, voxel
 from .plans.checkpoint import checkpointed
-from .queries import DIMS, MESH, VOX, query, rounded, surface_mesh, voxels
+from .queries import DIMS, MESH, PTS, VOX, query, rounded, surface_mesh, table, voxels
 
 # --- distance fields -------------------------------------------------------------------------
 
@@ -169,3 +169,26 @@ def geodesic_paths(spark, d):
     e = checkpointed(mesh.edges(f))
     dist = mesh.geodesic(v, e, v.where("vid = 0"))
     return rounded(geodesics.trace_paths(geodesics.predecessors(dist, v, e), dist), "gone")
+
+
+# --- robust plane models ---------------------------------------------------------------------
+
+_TURN = {"A": (0.9, 0.1, 0.2), "N": (1.1, -0.2, -0.1), "R": (1.0, 0.3, 0.4)}  # by cloud: scale, shear, shift
+_PLANTED = PTS.replace("SELECT l_returnflag AS cloud", "SELECT DISTINCT l_returnflag AS cloud, l_partkey AS part, l_suppkey AS supp, l_linenumber AS line") + ", h AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {a}e0, {b}e0, {s}e0)" for c, (a, b, s) in _TURN.items()) + ") t(cloud, a, b, s)), m AS (SELECT p.*, (p.x * h.a + p.y * h.b + h.s) / (0.05e0 * p.x - 0.04e0 * p.y + 1) AS u, (p.y * h.a - p.x * h.b) / (0.05e0 * p.x - 0.04e0 * p.y + 1) AS v FROM pts p JOIN h USING (cloud))"
+
+
+def planted_matches(spark, d):
+    """Points of each cloud with their places under a homography; those of lines 5 to 7 are moved away."""
+    p = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("cloud"), (F.col("l_quantity") * 0.02).alias("px"), (F.col("l_extendedprice") * 1e-5).alias("py"), F.col("l_discount").alias("dz"), "l_partkey", "l_suppkey", "l_linenumber").distinct()
+    pick = lambda k: F.coalesce(*[F.when(F.col("cloud") == c, F.lit(t[k])) for c, t in _TURN.items()])
+    w = 0.05 * F.col("px") - 0.04 * F.col("py") + 1
+    far = F.when(F.col("l_linenumber") > 4, 1.0 + F.col("l_partkey") % 7).otherwise(0.0)
+    q = p.withColumns({"qx": (F.col("px") * pick(0) + F.col("py") * pick(1) + pick(2)) / w + far, "qy": (F.col("py") * pick(0) - F.col("px") * pick(1)) / w - far * 0.5})
+    return q.withColumn("k", F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber", "px", "py", "dz"))
+
+
+@query("ransac_homography", _PLANTED + " SELECT cloud, count(*) AS n, count(*) FILTER (WHERE line <= 4) AS inliers, round(max(a), 4) AS h00, round(max(b), 4) AS h01, round(max(s), 4) AS h02, round(-max(b), 4) AS h10, round(max(a), 4) AS h11, 0.05e0 AS h20, -0.04e0 AS h21 FROM m JOIN h USING (cloud) GROUP BY cloud")
+def ransac_homography(spark, d):
+    got = consensus.consensus(planted_matches(spark, d), "cloud", "k", consensus.HOMOGRAPHY, 1e-6)
+    h = [F.col("params")[i] / F.col("params")[8] for i in range(9)]
+    return rounded(got.select("cloud", "n", "inliers", *[h[i].alias(f"h{i // 3}{i % 3}") for i in (0, 1, 2, 3, 4, 6, 7)]), "h00", "h01", "h02", "h10", "h11", "h20", "h21", n=4)
