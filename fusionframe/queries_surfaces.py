@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import consensus, distance, geodesics, isosurface, mesh, search, voxel
+from .operators import consensus, descriptors, distance, geodesics, isosurface, knn, mesh, meanshift, search, voxel
 from .plans.checkpoint import checkpointed
-from .queries import DIMS, MESH, PTS, VOX, query, rounded, surface_mesh, table, voxels
+from .queries import DIMS, MESH, PTS, VOX, points, query, rounded, surface_mesh, table, voxels
 
 # --- distance fields -------------------------------------------------------------------------
 
@@ -192,3 +192,25 @@ def ransac_homography(spark, d):
     got = consensus.consensus(planted_matches(spark, d), "cloud", "k", consensus.HOMOGRAPHY, 1e-6)
     h = [F.col("params")[i] / F.col("params")[8] for i in range(9)]
     return rounded(got.select("cloud", "n", "inliers", *[h[i].alias(f"h{i // 3}{i % 3}") for i in (0, 1, 2, 3, 4, 6, 7)]), "h00", "h01", "h02", "h10", "h11", "h20", "h21", n=4)
+
+
+# --- modes and histograms --------------------------------------------------------------------
+
+
+@query("grid_mean_shift")
+def grid_mean_shift(spark, d):
+    """The modes of the tall voxels of each grid."""
+    return meanshift.mean_shift(tall(spark, d), DIMS)
+
+
+@query("point_histograms")
+def point_histograms(spark, d):
+    """Histograms of the cells of the clouds with the normals of their fields; neighbours are those up to the corners of a cell away."""
+    i = [F.round(F.col(c) / 0.1).cast("long").alias(a) for c, a in zip("xyz", voxel.AXES, strict=True)]
+    v = points(spark, d).groupBy(F.col("cloud").alias("grid"), *i).agg(F.count("*").cast("double").alias("value"))
+    cloud = F.ascii("grid").cast("bigint") * 1000  # the clouds beside each other, far apart
+    n = voxel.field_normals(v).where("nx IS NOT NULL").select((cloud * 1_000_000 + (F.col("iz") * 1000 + F.col("iy")) * 1000 + F.col("ix")).alias("id"), (F.col("ix") + cloud).cast("double").alias("x"), *[F.col(f"i{c}").cast("double").alias(c) for c in "yz"], "nx", "ny", "nz")
+    n = checkpointed(n)
+    own = n.select("id", "x", "y", "z")
+    pairs = knn.range_join(own, own, 1.75).where("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return descriptors.fpfh(n, pairs).withColumn("histogram", F.transform("histogram", lambda x: F.round(x, 6)))
