@@ -1,8 +1,8 @@
 """Personal data: base patterns, and a character BiLSTM with CRF transitions that adds spans.
 
 The tagger is trained in numpy from labelled spans; the default training set is drawn by a
-seeded generator of invented prose, half of it without any span, so the model is the same at every
-size. It reads whole texts: windows of WINDOW characters lie over all of each text, STRIDE apart, and depend on
+seeded generator of invented prose, half of it without any span. `train_pii` does this once, rounds the weights and keeps
+them in pii_tagger.json, so every machine has the same model. It reads whole texts: windows of WINDOW characters lie over all of each text, STRIDE apart, and depend on
 nothing but this text. Where two windows overlap their emissions are averaged, with more weight on the one whose
 centre is nearer, and one Viterbi pass over the whole text reconciles them. No span can lie where
 every way through a tag scores less than staying outside; such stretches are found first by sums (see
@@ -13,10 +13,11 @@ Gates are piecewise linear (clipped lines), so a step is one small product and a
 
 from __future__ import annotations
 
-import hashlib
+import json
 import re
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -121,20 +122,20 @@ def _made(rng: np.random.Generator, kind: int) -> str:
     if kind == 1:
         return ".".join(str(x) for x in rng.integers(0, 256, 4))
     if kind == 2:
-        return pick(d(16), d(16), d(16), " ".join(d(4) for _ in range(4)), "-".join(d(4) for _ in range(4)), f"{d(4)} {d(6)} {d(5)}")
-    return pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(7)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}")
+        return pick(d(16), d(16), d(16), " ".join(d(4) for _ in range(4)), "-".join(d(4) for _ in range(4)), f"{d(4)} {d(6)} {d(5)}", f"{d(4)}-{d(6)}-{d(5)}")
+    return pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(7)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}")
 
 
-def _unlabelled(rng: np.random.Generator) -> str:
-    """What looks like a span and is none."""
+def _unlabelled(rng: np.random.Generator, runs: bool = True) -> str:
+    """What looks like a span and is none; runs: also digits in numbers that no card has, which a count tells apart."""
     d, pick = lambda n: _digits(rng, n), lambda *x: x[rng.integers(0, len(x))]
     code = "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, 40))
-    return pick(f'token = "{code}"', code, f"Version {d(1)}.{d(1)}.", f"{d(1)}.{d(1)}", f"20{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}:{d(2)}", d(5), d(2), d(8), f"{d(1)},{d(3)}.{d(2)}", f"https://{_word(rng, True)}.org/{d(3)}", f"{d(3)}%", f"({d(2)})", "@ " + _word(rng),
-        f"({_word(rng)} at {_word(rng)})", f"({_word(rng)})", f"[{d(1)}]", "at the dot", "(at)", "dot. com", f"{_word(rng)}.{_word(rng)}", f"{_word(rng)}_{_word(rng)}({d(1)}, {d(2)})", f"{d(1)}.{d(2)}.{d(1)}", d(12), d(24), f"#{d(6)}", f"{d(2)}/{d(2)}/20{d(2)}", "-" * 12, "=" * 9, "$$$", "***", "日本語の文", "Текст на", "<b>", f"&{_word(rng)};", f"+{d(2)}", f"-{d(1)}.{d(4)}")
+    return pick(f'token = "{code}"', code, f"Version {d(1)}.{d(1)}.", f"{d(1)}.{d(1)}", f"20{d(2)}", f"20{d(2)} 20{d(2)}", f"{d(2)} 20{d(2)}", f"20{d(2)} {d(2)} {d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}:{d(2)}", d(5), d(2), d(8), f"{d(1)},{d(3)}.{d(2)}", f"https://{_word(rng, True)}.org/{d(3)}", f"{d(3)}%", f"({d(2)})", "@ " + _word(rng),
+        f"({_word(rng)} at {_word(rng)})", f"({_word(rng)})", f"({_word(rng)} {_word(rng)})", f"({_word(rng)} {_word(rng)} {_word(rng)})", f"{_word(rng)}'s", f"[{d(1)}]", "at the dot", "(at)", "dot. com", f"{_word(rng)}.{_word(rng)}", f"{_word(rng)}_{_word(rng)}({d(1)}, {d(2)})", f"{d(1)}.{d(2)}.{d(1)}", d(12) if runs else d(7), d(24) if runs else d(6), f"#{d(6)}", f"{d(2)}/{d(2)}/20{d(2)}", "-" * 12, "=" * 9, "$$$", "***", "日本語の文", "Текст на", "<b>", f"&{_word(rng)};", f"+{d(2)}", f"-{d(1)}.{d(4)}")
 
 
-def labelled_windows(n: int = 2400, seed: int = 7) -> list[tuple[str, list[Span]]]:
-    """Invented prose with labelled spans, every second text without any."""
+def labelled_windows(n: int = 2400, seed: int = 7, runs: bool = True) -> list[tuple[str, list[Span]]]:
+    """Invented prose with labelled spans, every second text without any; for `runs` see `_unlabelled`."""
     rng, out = np.random.default_rng(seed), []
     for k in range(n):
         text, spans = "", []
@@ -142,7 +143,7 @@ def labelled_windows(n: int = 2400, seed: int = 7) -> list[tuple[str, list[Span]
             for _ in range(rng.integers(1, 5)):
                 text += _word(rng) + (", " if rng.random() < 0.08 else ". " if rng.random() < 0.06 else "\n" if rng.random() < 0.04 else " ")
             if rng.random() < 0.35 or k % 2:
-                text += _unlabelled(rng) if rng.random() < 0.6 else ""
+                text += _unlabelled(rng, runs) if rng.random() < 0.6 else ""
             else:
                 kind = int(rng.integers(0, len(KINDS)))
                 made = _made(rng, kind)
@@ -238,7 +239,7 @@ def _run(ids: np.ndarray, active: np.ndarray, table: np.ndarray, wh: np.ndarray,
 
 
 class Tagger:
-    """Parameters by name; float32."""
+    """Parameters by name; float32, and float64 while they are trained."""
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
@@ -246,10 +247,10 @@ class Tagger:
     @staticmethod
     def fresh(hidden: int = 10, width: int = 10, seed: int = 3) -> Tagger:
         rng = np.random.default_rng(seed)
-        u = lambda *s: (rng.uniform(-1, 1, s) / np.sqrt(s[0])).astype(np.float32)
-        p = {"emb": rng.normal(0, 0.5, (SYMBOLS, width)).astype(np.float32), "out": u(2 * hidden, TAGS), "ob": np.zeros(TAGS, np.float32), "tr": np.zeros((TAGS, TAGS), np.float32)}
+        u = lambda *s: rng.uniform(-1, 1, s) / np.sqrt(s[0])
+        p = {"emb": rng.normal(0, 0.5, (SYMBOLS, width)), "out": u(2 * hidden, TAGS), "ob": np.zeros(TAGS), "tr": np.zeros((TAGS, TAGS))}
         for d in "fb":
-            b = np.zeros(4 * hidden, np.float32)
+            b = np.zeros(4 * hidden)
             b[hidden : 2 * hidden] = 1
             p |= {f"wx{d}": u(width, 4 * hidden), f"wh{d}": u(hidden, 4 * hidden), f"b{d}": b}
         return Tagger(p)
@@ -322,11 +323,32 @@ def _crf(e: np.ndarray, tr: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarra
     gold = e[tt, bb, y].sum() + t_all[y[:-1], y[1:]].sum()
     de[tt, bb, y] -= 1
     np.subtract.at(dtr, (y[:-1].ravel(), y[1:].ravel()), 1)
-    return float(z.sum() - gold) / batch, (de / batch).astype(np.float32), (dtr / batch).astype(np.float32)
-
-
-def train(examples: list[tuple[str, list[Span]]], steps: int = 500, batch: int = 64, rate: float = 0.015, seed: int = 5, own: float = 0.5) -> Tagger:
-    """Adam on the CRF likelihood of random windows of the labelled texts, and `own` times that of each tag by its emissions alone, which keeps prose far from any tag."""
+    return float(z.sum() - gold) / batch, de / batch, dtr / batch
+
+
+def loss_and_gradient(tagger: Tagger, ids: np.ndarray, y: np.ndarray, own: float = 0.5) -> tuple[float, dict[str, np.ndarray]]:
+    """CRF likelihood of tags y (steps, batch) of ids (batch, steps), and `own` times that of each tag by its emissions alone, which keeps prose far from any tag."""
+    p, batch = tagger.p, len(ids)
+    e, (x, h, mf, mb) = tagger.learn(ids)
+    loss, de, dtr = _crf(e, p["tr"], y)
+    chance = np.exp(e - e.max(2, keepdims=True))
+    chance /= chance.sum(2, keepdims=True)
+    loss -= own / batch * float(np.log(np.take_along_axis(chance, y[:, :, None], 2)).sum())
+    np.put_along_axis(chance, y[:, :, None], np.take_along_axis(chance, y[:, :, None], 2) - 1, 2)
+    de = de + (own / batch) * chance
+    n = h.shape[2] // 2
+    dh = de @ p["out"].T
+    dxf, dwhf = _lstm_back(dh[:, :, :n], mf, p["whf"])
+    dxb, dwhb = _lstm_back(dh[::-1, :, n:], mb, p["whb"])
+    flat = lambda a: a.reshape(-1, a.shape[-1])
+    dx = dxf @ p["wxf"].T + (dxb @ p["wxb"].T)[::-1]
+    demb = np.zeros_like(p["emb"])
+    np.add.at(demb, ids.T.ravel(), flat(dx))
+    return loss, {"emb": demb, "out": flat(h).T @ flat(de), "ob": flat(de).sum(0), "tr": dtr, "wxf": flat(x).T @ flat(dxf), "whf": dwhf, "bf": flat(dxf).sum(0), "wxb": flat(x[::-1]).T @ flat(dxb), "whb": dwhb, "bb": flat(dxb).sum(0)}
+
+
+def train(examples: list[tuple[str, list[Span]]], steps: int = 500, batch: int = 64, rate: float = 0.015, seed: int = 5) -> Tagger:
+    """Adam over random windows of the labelled texts, in float64 and in one fixed order."""
     rng, tagger = np.random.default_rng(seed), Tagger.fresh()
     coded = []
     for text, spans in examples:
@@ -355,36 +377,23 @@ def train(examples: list[tuple[str, list[Span]]], steps: int = 500, batch: int =
                 gold[0] -= 1  # a span cut by the window begins here
             ids.append(s[at : at + TRAINED])
             ys.append(gold)
-        x_ids, y = np.array(ids), np.array(ys).T
-        e, (x, h, mf, mb) = tagger.learn(x_ids)
-        _, de, dtr = _crf(e, tagger.p["tr"], y)
-        chance = np.exp(e - e.max(2, keepdims=True))
-        chance /= chance.sum(2, keepdims=True)
-        np.put_along_axis(chance, y[:, :, None], np.take_along_axis(chance, y[:, :, None], 2) - 1, 2)
-        de = de + (own / batch) * chance
+        _, grads = loss_and_gradient(tagger, np.array(ids), np.array(ys).T)
         p = tagger.p
-        n = h.shape[2] // 2
-        dh = de @ p["out"].T
-        dxf, dwhf = _lstm_back(dh[:, :, :n], mf, p["whf"])
-        dxb, dwhb = _lstm_back(dh[::-1, :, n:], mb, p["whb"])
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        dx = dxf @ p["wxf"].T + (dxb @ p["wxb"].T)[::-1]
-        demb = np.zeros_like(p["emb"])
-        np.add.at(demb, x_ids.T.ravel(), flat(dx))
-        grads = {"emb": demb, "out": flat(h).T @ flat(de), "ob": flat(de).sum(0), "tr": dtr, "wxf": flat(x).T @ flat(dxf), "whf": dwhf, "bf": flat(dxf).sum(0), "wxb": flat(x[::-1]).T @ flat(dxb), "whb": dwhb, "bb": flat(dxb).sum(0)}
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         norm = max(1.0, float(np.sqrt(sum((g * g).sum() for g in grads.values()))) / 5)
         for k, g in grads.items():
             g = g / norm
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
-            p[k] = (p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            p[k] = p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
     return tagger
 
 
 @lru_cache(maxsize=1)
 def default_tagger() -> Tagger:
-    return train(labelled_windows())
+    """The tagger that `train_pii` has trained and rounded once; nothing is trained when a query runs."""
+    held = json.loads((Path(__file__).parent / "pii_tagger.json").read_text())
+    return Tagger({k: np.array(v, np.float32) for k, v in held["weights"].items()})
 
 
 # --- decoding ------------------------------------------------------------------------------
@@ -400,6 +409,19 @@ def _plausible(kind: int, s: str) -> bool:
     return 13 <= n <= 19 if kind == 2 else 7 <= n <= 15
 
 
+def _whole_number(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
+    """A card or phone number that the tagger cut goes on to the ends of its digits (cards: with single blanks or hyphens between, as far as 19 digits allow)."""
+    if kind < 2:
+        return a, b
+    digits = len(_DIGITS.findall(text[a:b]))
+    gap = " -" if kind == 2 else ""
+    while digits <= 19 and b < len(text) and (text[b].isdigit() or (text[b] in gap and text[b + 1 : b + 2].isdigit())):
+        digits, b = digits + text[b].isdigit(), b + 1
+    while digits <= 19 and a > 0 and (text[a - 1].isdigit() or (text[a - 1] in gap and a > 1 and text[a - 2].isdigit())):
+        digits, a = digits + text[a - 1].isdigit(), a - 1
+    return a, b
+
+
 def _scores(ids: np.ndarray, lengths: np.ndarray, tagger: Tagger, window_range: tuple[int, int] | None = None) -> np.ndarray:
     """(characters, tags): emissions of texts that stand one after another in ids, each under windows of its own.
 
@@ -543,7 +565,8 @@ def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> lis
         ends, starts = sorted(q for _, _, q in taken), sorted(p for _, p, _ in taken)
         # A base span touches (x, y) unless it ends by x or starts at y or later.
         free = lambda x, y: bisect_right(ends, x) + len(starts) - bisect_left(starts, y) == len(taken)
-        out.append([(k, x, y) for k, x, y in spans if free(x, y) and _plausible(k, text[x:y])])
+        whole = sorted({(k, *_whole_number(text, k, x, y)) for k, x, y in spans})
+        out.append([(k, x, y) for k, x, y in whole if free(x, y) and _plausible(k, text[x:y])])
     return out
 
 

@@ -1,6 +1,8 @@
 """Row-wise corpus operators: exact round trips, brute force, and the awkward rows."""
 
 import hashlib
+import json
+import pathlib
 import random
 import re
 import time
@@ -195,10 +197,60 @@ def test_base_spans():
 
 
 def test_tagger_on_held_out():
-    test = pii.labelled_windows(200, seed=99)
-    got = pii.added_spans([t for t, _ in test], [[] for _ in test], pii.default_tagger())
-    hit = sum(len(set(s) & set(g)) for (_, s), g in zip(test, got))
-    assert hit / sum(len(s) for _, s in test) > 0.85 and hit / sum(map(len, got)) > 0.85
+    """Recall of at least 0.9 of each kind, and as much precision, on texts of three seeds that it wasn't trained with."""
+    for seed in (99, 100, 101):
+        test = pii.labelled_windows(300, seed=seed)
+        got = pii.added_spans([t for t, _ in test], [[] for _ in test], pii.default_tagger())
+        for kind in range(len(pii.KINDS)):
+            want = {(i, s) for i, (_, own) in enumerate(test) for s in own if s[0] == kind}
+            found = {(i, s) for i, own in enumerate(got) for s in own if s[0] == kind}
+            assert len(want & found) >= 0.9 * len(want) and len(want & found) >= 0.9 * len(found), (seed, pii.KINDS[kind])
+
+
+def test_tagger_file():
+    """The file is what queries use, rounded, and its training can go on: a few steps from the same seed lower the loss."""
+    m = pii.default_tagger()
+    held = json.loads((pathlib.Path(pii.__file__).parent / "pii_tagger.json").read_text())["weights"]
+    assert held.keys() == pii.Tagger.fresh().p.keys()
+    assert all((np.round(v, 4) == np.array(v)).all() and (m.p[k] == np.array(v, np.float32)).all() for k, v in held.items())
+    examples = pii.labelled_windows(120, seed=1)
+    few, more = pii.train(examples, 1), pii.train(examples, 25)
+    ids = np.array([pii.symbols(t)[: pii.TRAINED] for t, _ in examples])
+    y = np.zeros((pii.TRAINED, len(ids)), np.int64)
+    for k, (_, spans) in enumerate(examples):
+        for kind, a, b in spans:
+            y[a : min(b, pii.TRAINED), k] = 2 + 2 * kind
+            if a < pii.TRAINED:
+                y[a, k] = 1 + 2 * kind
+    loss = [pii.loss_and_gradient(t, ids, y)[0] for t in (few, more, m)]
+    assert loss[0] > loss[1] > loss[2]
+    assert all((a == b).all() for a, b in zip(pii.train(examples, 3).p.values(), pii.train(examples, 3).p.values()))
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    tagger = pii.Tagger.fresh(hidden=3, width=4)
+    ids, y = rng.integers(0, pii.SYMBOLS, (5, 12)), np.zeros((12, 5), np.int64)
+    y[3:6] = [[1], [2], [2]]
+    y[8] = 5
+    _, grads = pii.loss_and_gradient(tagger, ids, y)
+    for name, v in tagger.p.items():
+        for at in rng.integers(0, v.size, 12):
+            held, step, got = v.flat[at], 1e-6, []
+            for x in (held + step, held - step):
+                v.flat[at] = x
+                got.append(pii.loss_and_gradient(tagger, ids, y)[0])
+            v.flat[at] = held
+            assert abs((got[0] - got[1]) / (2 * step) - grads[name].flat[at]) < 1e-5 * max(1, abs(grads[name].flat[at])), name
+
+
+def test_numbers_are_taken_whole():
+    number = "2744757332971694"
+    assert pii._whole_number(f"x {number} y", 2, 2, 17) == (2, 18) and pii._whole_number(f"x {number} y", 2, 5, 18) == (2, 18)
+    assert pii._whole_number("4111 1111-1111 1111, 5", 2, 5, 14) == (0, 19)
+    a, b = pii._whole_number("1" * 60, 2, 20, 36)
+    assert b - a > 19 and not pii._plausible(2, "1" * (b - a))
+    assert pii._whole_number("+4 (105) 557-8081", 3, 0, 15) == (0, 17)
 
 
 def test_long_spelled_out_addresses():
