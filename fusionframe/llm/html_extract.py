@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, byte_slices, table
 
 # Element names of the HTML standard.
-RAW = frozenset("script style noscript template textarea select iframe svg object title math canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style noscript template textarea select iframe svg object title canvas audio video annotation annotation-xml".split())
+INLINE = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption option summary address hr br html body".split())
 DROPPED = frozenset("nav header footer aside form button dialog menu fieldset head".split())
@@ -45,8 +45,8 @@ BOXES = frozenset("site page main top bottom left right side list box bar contai
 NO_ID = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre".split())  # an id on these is an anchor
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _END_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
@@ -69,9 +69,14 @@ def _unwanted(name: str, attrs: str, in_landmark: bool) -> bool:
         return True
     if not attrs or name in ("html", "body") or name in LANDMARKS:
         return False
-    if _HIDDEN.search(attrs):
-        return True
-    return any(_boilerplate(w) for m in _NAMES.finditer(attrs) if not (m[1].lower() == "id" and name in NO_ID) for w in (m[2] or m[3] or m[4] or "").lower().split())
+    for m in _ATTR.finditer(attrs):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
+            return True
+        if key in ("class", "role") or key == "id" and name not in NO_ID:
+            if any(_boilerplate(w) for w in value.lower().split()):
+                return True
+    return False
 
 
 class _Page:

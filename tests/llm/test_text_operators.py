@@ -77,6 +77,8 @@ def test_chat_awkward(spark):
         ("<div class=cookie-notice>ok?</div><p>" + "word " * 40 + "</p><p>" + "more " * 40 + "</p><div><a href=x>l1</a> <a href=y>l2</a></div>", ("word " * 40 + "more " * 40).strip()),
         ("<article><p>a</p><script>if (a<b) '</p>'</script><style>p{}</style><!-- <p>c</p> --><form><input>f</form><p>b</p></article>", "a b"),
         ("<article><ul><li>1<li>2</ul><table><tr><td>3<td>4</table></article>", "1 2 3 4"),
+        ("<article><p title='the hidden gem'>gem</p><p data-class='nav' alt=\"class='menu'\">kept</p><p hidden>h</p><p style='color:red; display : none'>h</p><p aria-hidden=true>h</p><p class='x nav'>n</p></article>", "gem kept"),
+        ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be</p></article>", "let x=1 be".replace("x=1", "x=1 ").replace("1  be", "1 be")),
         ("<article>open <p>to the end &notanentity; &#65;", "open to the end &notanentity; A".replace("&not", "¬")),
     ],
 )
