@@ -282,6 +282,47 @@ def scan_keypoint_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema="idx int, file string, x int, y int")
 
 
+def _headed(spark: SparkSession, path: str, head: dict[str, str], matrix: str) -> DataFrame:
+    """path, the fields of a first line, and the 4x4 matrix after it, of files that hold one of each; shorter files have nulls."""
+    t = _tokens(spark, path)
+    fields = [F.get("t", F.lit(k)).try_cast(kind).alias(name) for k, (name, kind) in enumerate(head.items())]
+    body = F.transform(F.slice("t", len(head) + 1, 16), lambda x: x.try_cast("double"))
+    return t.select("path", *fields, F.when(F.size("t") >= len(head) + 16, body).alias(matrix))
+
+
+def scan_fragment_info(spark: SparkSession, path: str) -> DataFrame:
+    """path, scene, seq, first, last, pose: what a fragment was fused from, and the pose of its first frame."""
+    return _headed(spark, path, {"scene": "string", "seq": "string", "first": "int", "last": "int"}, "pose")
+
+
+def scan_registration(spark: SparkSession, path: str) -> DataFrame:
+    """path, fragment1, fragment2, inliers, ratio, overlap1, overlap2, trans: results of registering pairs."""
+    return _headed(spark, path, {"fragment1": "string", "fragment2": "string", "inliers": "int", "ratio": "double", "overlap1": "double", "overlap2": "double"}, "trans")
+
+
+def _matrix_lines(name: str) -> Column:
+    row = lambda r: F.format_string("%15.8e\t %15.8e\t %15.8e\t %15.8e\t", *[F.col(name)[4 * r + c] for c in range(4)])
+    return F.concat_ws("\n", *[row(r) for r in range(4)])
+
+
+def fragment_lines(fragments: DataFrame) -> DataFrame:
+    """The fragments' columns and value, their text as `scan_fragment_info` reads it, for DataFrame.write.text with partitionBy (one fragment a folder)."""
+    return fragments.withColumn("value", F.concat_ws("\n", F.format_string("%s\t %s\t %d\t %d\t", "scene", "seq", "first", "last"), _matrix_lines("pose")))
+
+
+def registration_lines(pairs: DataFrame) -> DataFrame:
+    """The pairs' columns and value, their text as `scan_registration` reads it, for DataFrame.write.text with partitionBy (one pair a folder)."""
+    head = F.concat_ws("\n", F.format_string("%s\t %s\t", "fragment1", "fragment2"), F.format_string("%d\t %15.8e\t %15.8e\t %15.8e\t", "inliers", "ratio", "overlap1", "overlap2"))
+    return pairs.withColumn("value", F.concat_ws("\n", head, _matrix_lines("trans")))
+
+
+def write_distances(distances: DataFrame, path: str, order: str, value: str = "distance") -> None:
+    """A folder of text parts that, one after another, hold the number of distances and then each, in the order of a column; parts are ranges, so no task sorts all."""
+    count = distances.agg(F.count("*").cast("string").alias("value"), F.lit(0).alias("part")).withColumn("at", F.lit(None).cast(distances.schema[order].dataType))
+    rows = distances.select(F.col(value).cast("string").alias("value"), F.lit(1).alias("part"), F.col(order).alias("at")).unionByName(count)
+    rows.repartitionByRange("part", "at").sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
+
+
 def scan_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(mesh, vid, x, y, z) and (mesh, fid, v0, v1, v2) of OFF files; faces of more corners become fans."""
 

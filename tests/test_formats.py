@@ -64,3 +64,26 @@ def test_text(spark, tmp_path):
     f.write_text_log(log, str(tmp_path / "log"))
     row = f.scan_log(spark, str(tmp_path / "log")).first()
     assert (row.i, row.j, row.n, row.trans) == (0, 2, 9, eye)
+
+
+def test_fragment_and_registration_text(spark, tmp_path):
+    pose = [float(k) / 3 for k in range(16)]
+    own = spark.createDataFrame([("lab", "seq-01", 0, 49, pose), ("lab", "seq-01", 50, 99, pose[::-1])], "scene string, seq string, first int, last int, pose array<double>")
+    f.fragment_lines(own).select("scene", "first", "value").withColumnRenamed("scene", "s").write.partitionBy("s", "first").text(str(tmp_path / "info"))
+    got = f.scan_fragment_info(spark, str(tmp_path / "info/*/*")).collect()
+    assert sorted((r.scene, r.seq, r.first, r.last) for r in got) == [("lab", "seq-01", 0, 49), ("lab", "seq-01", 50, 99)]
+    assert all(abs(a - b) < 1e-7 for r in got for a, b in zip(r.pose, pose if r.first == 0 else pose[::-1]))
+    p = spark.createDataFrame([("cloud_bin_0", "cloud_bin_1", 12, 0.5, 0.25, 0.75, pose)], "fragment1 string, fragment2 string, inliers int, ratio double, overlap1 double, overlap2 double, trans array<double>")
+    f.registration_lines(p).select("value").write.text(str(tmp_path / "rt"))
+    r = f.scan_registration(spark, str(tmp_path / "rt")).first()
+    assert (r.fragment1, r.fragment2, r.inliers, r.ratio, r.overlap1, r.overlap2) == ("cloud_bin_0", "cloud_bin_1", 12, 0.5, 0.25, 0.75) and len(r.trans) == 16
+    (tmp_path / "short.txt").write_text("lab seq\n")
+    short = f.scan_fragment_info(spark, str(tmp_path / "short.txt")).first()
+    assert (short.scene, short.seq, short.first, short.pose) == ("lab", "seq", None, None)
+
+
+def test_distances_in_order(spark, tmp_path):
+    d = spark.createDataFrame([(k, k * 0.5) for k in range(30)], "k long, distance double").repartition(5)
+    f.write_distances(d, str(tmp_path / "d"), "k")
+    lines = [x for part in sorted((tmp_path / "d").glob("part-*")) for x in part.read_text().split()]
+    assert lines[0] == "30" and [float(x) for x in lines[1:]] == [k * 0.5 for k in range(30)]
