@@ -197,7 +197,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     `n` is the longest seed; shorter ones are taken where longer ones could miss an alignment.
     A null or empty text or item leaks nothing; repeated rows of documents give repeated rows, repeated items one row; rows with a null
     item id are left out, a null document id stays null; very long texts are taken whole; other
-    columns are ignored.
+    columns are ignored. Ids are whole numbers, or texts of digits; others are an error.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -255,7 +255,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null or empty page, or one without text, has an empty text. Where no run of lines surges,
     the longest run is kept. White space in a block is one blank; character references are
     decoded once. A `<` that begins no tag is text. Very long pages take a few linear passes; repeated rows are extracted again; a null
-    id or url stays null; other columns are ignored.
+    id or url stays null; other columns are ignored. Ids are whole numbers, or texts of digits; others are an error.
     """
     types = pa.schema([(id_col, pa.int64()), (url_col, pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -295,7 +295,8 @@ def text_payload(text: str | None) -> tuple[int, bytes]:
 def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """file_id, n_bytes, media binary: each text as UTF-8, filled with blanks to a positive multiple of 192, as a Matroska file.
 
-    Null and empty texts become one frame of blanks. One row per input row; other columns are ignored.
+    Null and empty texts become one frame of blanks. A very long text is one value, so it has to fit a row with its file. One row per
+    input row, repeated rows too; no rows give no rows; other columns are ignored. Ids are whole numbers, or texts of digits.
     """
     types = pa.schema([("file_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
@@ -317,7 +318,7 @@ def feature_of(m: Media, payload: bytes) -> str:
 
 
 def media_digest(files: DataFrame) -> DataFrame:
-    """Digests of what the packet table of each file holds, read back from the stored bytes; null where a file can't be read."""
+    """Digests of what the packet table of each file holds, read back from the stored bytes; null where a file can't be read. Very long files are read whole, one row each."""
     types = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def one(n: int, data: bytes) -> tuple:

@@ -211,7 +211,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     white space; a text of fewer than n words has one gram of them all. A null or empty text, or one
     of white space, has no grams and is a class of its own, as is a row with a null id (class_id
     null). A repeated row counts as another document; where one id has several texts, each row
-    goes by its own text. No rows give no rows; other columns are ignored.
+    goes by its own text. Very long texts are taken whole. No rows give no rows; other columns are ignored. Ids are whole
+    numbers, or texts of digits; others are an error.
     """
     bands, per = choose_bands(threshold, recall)
     signed = stored(signed_sets(docs, id_col, text_col, n, bands, per))

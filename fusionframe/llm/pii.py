@@ -579,7 +579,7 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_i
     Spans go by kind (email, ip, card, phone), then start; code points, end exclusive. A null or
     empty text has no spans (and stays as it is); very long texts are taken whole; repeated
     rows are searched again; a null id stays null; no rows give no rows; other columns are ignored,
-    or those in `keep` are passed through, before spans.
+    or those in `keep` are passed through, before spans. Without `keep`, ids are whole numbers, or texts of digits.
     """
     own = docs.select(*keep) if keep else docs.select(F.col(id_col).cast("long"), text_col)
     cols = own.columns if keep else [id_col]

@@ -318,8 +318,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     A byte goes if a string of `length` bytes that covers it also starts in a document of a smaller
     id; strings are those of the input. A null text counts as empty. Texts shorter than `length`,
     and rows with a null id, lose nothing and take nothing from others. Rows of one id take
-    nothing from each other, whether their texts are equal or not. Very long texts are taken whole; no rows give no rows;
-    other columns are ignored.
+    nothing from each other, whether their texts are equal or not. Very long texts are taken whole, at about 100 bytes of memory
+    a byte of text; no rows give no rows; other columns are ignored. Ids are whole numbers, or texts of digits; others are an error.
     """
     marks, singles = repeated_spans(docs, length, id_col, text_col)
     found = marks.select("id", "key", "marks", F.lit(None).cast("int").alias("at")).union(singles.select("id", "key", "marks", "at")).groupBy("id", "key").agg(F.collect_list("marks").alias("marks"), F.collect_list("at").alias("at"))

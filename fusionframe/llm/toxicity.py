@@ -110,7 +110,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
     Null and empty texts get the score of the bias alone; without a model every score is 0. Very long
     texts are taken whole; repeated rows are scored alike; a null id stays null; other columns are ignored, or
-    those in `keep` are passed through, before score and predicted.
+    those in `keep` are passed through, before score and predicted. Without `keep`, ids are whole numbers, or texts of digits.
     """
     own = docs.select(*keep) if keep else docs.select(F.col(id_col).cast("long"), text_col)
     out = own.columns if keep else [id_col]
