@@ -21,3 +21,38 @@ def test_nearest_instance_over_blocks(spark):
     q = pred.select("pred", "object", *"xyz"), truth.where("inst >= 0").select("inst", "object", *"xyz")
     got = knn.nearest_points(*q, "object", "pred", "inst", q_block=32, t_block=8)
     assert {r.q: (r.t, float(np.sqrt(r.d2))) for r in got.collect()} == want
+
+
+def test_geodesic_climbs_levels(spark, monkeypatch):
+    """A long strip in many blocks, solved without rounds between them; the same where ids say nothing of place."""
+    from fusionframe.operators import geodesics, mesh
+
+    rng, n = np.random.default_rng(6), 300
+    xyz = [(k % 3, k // 3, float(rng.integers(1, 9)) / 4) for k in range(n)]
+    pairs = [(k, k + o) for k in range(n) for o in (1, 3) if k + o < n and (o == 3 or k % 3 < 2)]
+    w = {(a, b): float(np.sqrt(sum((p - q) ** 2 for p, q in zip(xyz[a], xyz[b], strict=True)))) for a, b in pairs}
+    low, fell = {0: 0.0, 170: 0.0}, True
+    while fell:
+        fell = False
+        for (a, b), x in w.items():
+            for p, q in ((a, b), (b, a)):
+                if p in low and low[p] + x < low.get(q, np.inf) - 1e-12:
+                    low[q], fell = low[p] + x, True
+    rounds = []
+    by_rounds = mesh._by_rounds
+    monkeypatch.setattr(mesh, "_by_rounds", lambda *a: rounds.append(1) or by_rounds(*a))
+    for name in (np.arange(n), rng.permutation(n)):
+        vs = spark.createDataFrame([("m", int(name[k]), *map(float, p)) for k, p in enumerate(xyz)], "mesh string, vid long, x double, y double, z double")
+        es = spark.createDataFrame([("m", *sorted((int(name[a]), int(name[b])))) for a, b in pairs], "mesh string, a long, b long")
+        dist = mesh.geodesic(vs, es, vs.where(f"vid IN ({name[0]}, {name[170]})"), block=60 if name[1] == 1 else 100)
+        got = {r.vid: r.dist for r in dist.collect()}
+        assert got.keys() == {int(name[k]) for k in low} and all(abs(got[int(name[k])] - x) < 1e-9 for k, x in low.items())
+        assert bool(rounds) == (name[1] != 1)
+    rows = geodesics.trace_paths(geodesics.predecessors(dist, vs, es), dist)
+    assert len(rows._jdf.queryExecution().logical().toString()) < 200_000  # the plan doesn't double with each step
+    paths = {}
+    for r in rows.collect():
+        paths.setdefault(r.target, {})[r.hop] = r.vid, r.gone
+    assert len(paths) == n
+    for v, p in paths.items():
+        assert sorted(p) == list(range(len(p))) and p[0] == (v, 0.0) and abs(p[len(p) - 1][1] - got[v]) < 1e-9 and p[len(p) - 1][0] in (name[0], name[170])
