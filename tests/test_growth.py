@@ -56,3 +56,21 @@ def test_geodesic_climbs_levels(spark, monkeypatch):
     assert len(paths) == n
     for v, p in paths.items():
         assert sorted(p) == list(range(len(p))) and p[0] == (v, 0.0) and abs(p[len(p) - 1][1] - got[v]) < 1e-9 and p[len(p) - 1][0] in (name[0], name[170])
+
+
+def test_descriptor_blocks_are_few(spark, monkeypatch):
+    """Copies of a row grow with the blocks, which stay as many while the rows grow; and the best of many blocks are those of all pairs, with copies and ranges."""
+    assert {knn._count_blocks(spark.range(n), None) for n in (60_000, 120_000, 700_000)} == {knn.PARTS}
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(0, 1, (400, 6)), 1)
+    v[50:150] = v[50]
+    df = spark.createDataFrame([(i, i, x.tolist()) for i, x in enumerate(v)], "q long, t long, v array<double>")
+    d2 = np.round(((v[:, None] - v[None]) ** 2).sum(2), 9)
+    for k, far, low, high in ((1, False, 0.0, np.inf), (5, False, 0.0, np.inf), (3, True, 0.0, np.inf), (2, False, 0.5, 4.0), (2, True, 0.5, 4.0)):
+        want = set()
+        for i in range(400):
+            ok = np.flatnonzero((d2[i] >= low) & (d2[i] <= high))
+            best = ok[np.lexsort((ok, -d2[i, ok] if far else d2[i, ok]))[:k]]
+            want |= {(i, int(t), float(d2[i, t]), n + 1) for n, t in enumerate(best)}
+        got = knn.knn_join(df, df, k, furthest=far, min_d2=low, max_d2=high, block=None if k == 5 else 150)
+        assert {tuple(r) for r in got.collect()} == want
