@@ -18,28 +18,35 @@ def _moments(points: DataFrame, by: str) -> DataFrame:
 
 def plane_pca(points: DataFrame, by: str) -> DataFrame:
     """by, n, centre (cx, cy, cz), normal (nx, ny, nz) with a positive largest entry, and the variances along the axes, smallest first. Sums are made on the cluster; one 3x3 matrix a key is solved."""
-    kind = points.schema[by].dataType.simpleString()
+    return _planes(_moments(points, by), by)
+
+
+def _planes(moments: DataFrame, by: str) -> DataFrame:
+    """plane_pca from sums; where they are sums of offsets from a point (x, y, z), its place is added to the centre."""
+    kind, about = moments.schema[by].dataType.simpleString(), "x" in moments.columns
 
     def solve(batches):
         import pandas as pd
 
-        for pdf in batches:
-            out = []
-            for _, r in pdf.iterrows():
-                c = np.array([r.sx, r.sy, r.sz]) / r.n
-                m = np.array([[r.sxx, r.sxy, r.sxz], [r.sxy, r.syy, r.syz], [r.sxz, r.syz, r.szz]]) / r.n - np.outer(c, c)
-                w, v = np.linalg.eigh(m)
-                normal = v[:, 0] * (np.sign(v[np.argmax(np.abs(v[:, 0])), 0]) or 1.0)
-                out.append((r[by], int(r.n), *map(float, c), *map(float, normal), *map(float, np.maximum(w, 0))))
-            yield pd.DataFrame(out, columns=[by, "n", "cx", "cy", "cz", "nx", "ny", "nz", "v0", "v1", "v2"])
+        for r in batches:
+            n = r["n"].to_numpy(float)[:, None]
+            c = r[["sx", "sy", "sz"]].to_numpy(float) / n
+            m = r[["sxx", "sxy", "sxz", "sxy", "syy", "syz", "sxz", "syz", "szz"]].to_numpy(float).reshape(-1, 3, 3) / n[:, :, None] - c[:, :, None] * c[:, None, :]
+            w, v = np.linalg.eigh(m)
+            first = v[:, :, 0]
+            sign = np.sign(np.take_along_axis(first, np.abs(first).argmax(1)[:, None], 1))
+            normal = first * np.where(sign == 0, 1.0, sign)
+            if about:
+                c = c + r[["x", "y", "z"]].to_numpy(float)
+            out = pd.DataFrame(np.concatenate((c, normal, np.maximum(w, 0)), 1), columns=["cx", "cy", "cz", "nx", "ny", "nz", "v0", "v1", "v2"])
+            yield pd.concat((r[[by, "n"]].reset_index(drop=True), out), axis=1)
 
-    return _moments(points, by).mapInPandas(solve, f"`{by}` {kind}, n bigint, " + ", ".join(f"{c} double" for c in ("cx", "cy", "cz", "nx", "ny", "nz", "v0", "v1", "v2")))
+    return moments.mapInPandas(solve, f"`{by}` {kind}, n bigint, " + ", ".join(f"{c} double" for c in ("cx", "cy", "cz", "nx", "ny", "nz", "v0", "v1", "v2")))
 
 
 def normals(points: DataFrame, radius: float) -> DataFrame:
-    """Plane of the neighbours within the radius of each point (id, x, y, z)."""
-    near = knn.range_join(points.select("id", "x", "y", "z"), points.select("x", "y", "z"), radius)
-    return plane_pca(near.select(F.col("a_id").alias("id"), *[F.col(f"b_{c}").alias(c) for c in "xyz"]), "id")
+    """Plane of the neighbours within the radius of each point (id, x, y, z); ids are unique."""
+    return _planes(knn.near_sums(points, points, radius), "id")
 
 
 def refine_plane(points: DataFrame, by: str, tolerance: float, rounds: int = 3) -> DataFrame:

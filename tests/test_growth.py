@@ -74,3 +74,21 @@ def test_descriptor_blocks_are_few(spark, monkeypatch):
             want |= {(i, int(t), float(d2[i, t]), n + 1) for n, t in enumerate(best)}
         got = knn.knn_join(df, df, k, furthest=far, min_d2=low, max_d2=high, block=None if k == 5 else 150)
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_near_sums_make_no_pairs(spark):
+    """Points on lines and points that lie anyhow: counts and sums of a ball against brute force, with distances that equal the radius."""
+    rng = np.random.default_rng(9)
+    for lines in (True, False):
+        p = np.stack([rng.integers(0, 4, 400) * 0.02, rng.integers(0, 90, 400) / 100, rng.integers(0, 3, 400) * 0.1], 1) if lines else rng.random((400, 3))
+        df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
+        r = 0.15 if lines else 0.3
+        d = p[:, None] - p[None]
+        near = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2] <= r * r
+        out = knn.near_sums(df, df, r)
+        got = {x.id: x for x in out.collect()}
+        assert {i: x.n for i, x in got.items()} == dict(enumerate(near.sum(1).tolist()))
+        for a, b in ("xx", "xy", "yz", "zz"):
+            want = (near * d[..., "xyz".index(a)] * d[..., "xyz".index(b)]).sum(1)
+            assert all(abs(got[i][f"s{a}{b}"] - x) < 1e-9 for i, x in enumerate(want))
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
