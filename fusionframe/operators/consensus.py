@@ -23,6 +23,7 @@ from ..plans.numbering import dense_ids
 
 BLOCK = 1024
 CHUNK = 64  # models that meet a block at once
+SPAN = 65_536  # matches by whose numbers a group is dealt over tasks
 PLANE = ("px", "py", "qx", "qy")
 
 
@@ -203,6 +204,16 @@ def fundamental(matches: DataFrame, by: str) -> DataFrame:
 # --- the search ------------------------------------------------------------------------------
 
 
+def _span(number: str | Column) -> Column:
+    return F.floor(F.col(number) / SPAN if isinstance(number, str) else number / SPAN)
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
+    """A few rows a group, once for each span of the group's matches: joins on group and span don't bring a group to one task."""
+    spans = sizes.select(by, F.explode(F.sequence(_span("base"), _span(F.col("base") + F.col("n") - 1))).alias("span"))
+    return rows.join(spans, by)
+
+
 def consensus(matches: DataFrame, by: str, key: str, model: Model, limit: float, p: float = 0.99, least: int = 10, most: int = 50_000, seed: int = 0, first_round: int = 64) -> DataFrame:
     """by, params, inliers, n, trials: for each group the model with most matches under the limit, refitted over these.
 
@@ -215,8 +226,8 @@ def consensus(matches: DataFrame, by: str, key: str, model: Model, limit: float,
     kind = matches.schema[by].dataType.simpleString()
     own = matches.select(by, key, *[F.col(x).cast("double").alias(x) for x in c]).dropna().dropDuplicates([by, key])
     own = checkpointed(dense_ids(own, [by, key], "id"))
-    sizes = own.groupBy(by).agg(F.min("id").alias("base"), F.count("*").alias("n"))
-    blocks = checkpointed(own.groupBy(by, F.floor(F.col("id") / BLOCK).alias("block")).agg(F.flatten(F.collect_list(F.array(*c))).alias("points")))  # at most BLOCK matches each
+    sizes = checkpointed(own.groupBy(by).agg(F.min("id").alias("base"), F.count("*").alias("n")))
+    blocks = checkpointed(own.groupBy(by, F.floor(F.col("id") / BLOCK).alias("block"), _span("id").alias("span")).agg(F.flatten(F.collect_list(F.array(*c))).alias("points")))  # at most BLOCK matches each
     state = checkpointed(sizes.withColumns({"best": F.lit(-1).cast("bigint"), "params": F.lit(None).cast("array<double>"), "trials": F.lit(0).cast("bigint"), "sure": F.col("n") < model.size}))
 
     def fitted(batches):
@@ -243,7 +254,7 @@ def consensus(matches: DataFrame, by: str, key: str, model: Model, limit: float,
         drawn = draws.join(own.select("id", *c), "id").groupBy(by, F.col("t").cast("bigint").alias("t")).agg(F.count_distinct("id").alias("k"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", F.array(*c).alias("m")))), lambda x: x["m"])).alias("m"))
         models = checkpointed(drawn.where(F.col("k") == model.size).select(by, "t", "m").mapInArrow(fitted, f"`{by}` {kind}, t bigint, params array<double>"))
         chunks = models.groupBy(by, F.floor(F.col("t") / CHUNK).alias("c")).agg(F.collect_list(F.struct("t", "params")).alias("l")).select(by, F.transform("l", lambda x: x["t"]).alias("ts"), F.transform("l", lambda x: x["params"]).alias("ps"))
-        counts = chunks.join(blocks.select(by, "points"), by).select(by, "ts", "ps", "points").mapInArrow(scored, f"`{by}` {kind}, t bigint, fit bigint")
+        counts = _dealt(chunks, sizes, by).join(blocks.select(by, "span", "points"), [by, "span"]).select(by, "ts", "ps", "points").mapInArrow(scored, f"`{by}` {kind}, t bigint, fit bigint")
         best = counts.groupBy(by, "t").agg(F.sum("fit").alias("fit")).groupBy(by).agg(F.max(F.struct("fit", "t")).alias("m")).select(by, F.col("m.t").alias("t"), F.col("m.fit").alias("fit"))
         best = best.join(models, [by, "t"]).select(by, "fit", F.col("params").alias("new"))
         done, size = done + size, size * 2
@@ -259,7 +270,7 @@ def consensus(matches: DataFrame, by: str, key: str, model: Model, limit: float,
             inside = model.error(params, points)[:, 0] < limit if len(batch) else np.zeros(0, bool)
             yield batch.filter(pa.array(inside)).select([by, *c])
 
-    near = own.join(state.where("params IS NOT NULL").select(by, "params"), by).select(by, "params", *c).mapInArrow(fits, f"`{by}` {kind}, " + ", ".join(f"{x} double" for x in c))
+    near = own.withColumn("span", _span("id")).join(_dealt(state.where("params IS NOT NULL").select(by, "params"), sizes, by), [by, "span"]).select(by, "params", *c).mapInArrow(fits, f"`{by}` {kind}, " + ", ".join(f"{x} double" for x in c))
     near = checkpointed(near)
     counted = near.groupBy(by).agg(F.count("*").alias("inliers")).where(F.col("inliers") >= model.size)
     last = model.finish(near.join(counted.select(by), by, "left_semi"), by)

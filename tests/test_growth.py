@@ -92,3 +92,18 @@ def test_near_sums_make_no_pairs(spark):
             want = (near * d[..., "xyz".index(a)] * d[..., "xyz".index(b)]).sum(1)
             assert all(abs(got[i][f"s{a}{b}"] - x) < 1e-9 for i, x in enumerate(want))
         assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_consensus_deals_groups_over_tasks(spark, monkeypatch):
+    """A group over many spans of matches has the fit of the whole."""
+    from fusionframe.operators import consensus
+
+    monkeypatch.setattr(consensus, "SPAN", 1024)
+    rng = np.random.default_rng(10)
+    p = rng.random((2500, 2))
+    q = p + 0.5 + (np.arange(2500) % 5 == 0)[:, None] * rng.random((2500, 2))
+    df = spark.createDataFrame([("g", i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(p, q, strict=True))], "g string, k long, px double, py double, qx double, qy double")
+    row = consensus.consensus(df, "g", "k", consensus.HOMOGRAPHY, 1e-8).first()
+    h = np.array(row.params).reshape(3, 3) / row.params[8]
+    assert row.inliers == 2000 and row.n == 2500 and np.allclose(h, [[1, 0, 0.5], [0, 1, 0.5], [0, 0, 1]], atol=1e-6)
+    assert consensus._dealt(spark.createDataFrame([("g", 1)], "g string, x int"), spark.createDataFrame([("g", 1, 2500)], "g string, base long, n long"), "g").count() == 3
