@@ -1,8 +1,9 @@
 """Robust fits with any model: random samples are rows, scored against blocks of matches.
 
-A round draws a number of samples for every group that isn't sure yet. Samples are numbers of matches, drawn by hashes of
+The matches are sorted once and lie in blocks of at most BLOCK from then on; where few groups are left, what meets the blocks is
+broadcast and they stay where they are. A round draws a number of samples for every group that isn't sure yet. Samples are numbers of matches, drawn by hashes of
 (group, trial, place), so results don't depend on partitions; the drawn matches are joined and fitted in Arrow
-batches. Models go in chunks to blocks of at most BLOCK matches, counts are summed by (group, trial), and the best trial of a group
+batches. Models go in chunks to the blocks, counts are summed by (group, trial), and the best trial of a group
 is kept. So a group of any size is spread over tasks. Rounds double in size until the share of matches that fit says
 that enough were drawn. The last fit is over all inliers, from sums made on the cluster.
 """
@@ -15,15 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpoint import checkpointed
-from ..plans.numbering import dense_ids
 
 BLOCK = 1024
 CHUNK = 64  # models that meet a block at once
 SPAN = 65_536  # matches by whose numbers a group is dealt over tasks
+FEW = 100_000  # drawn matches of a round that are broadcast, else they are joined
 PLANE = ("px", "py", "qx", "qy")
 
 
@@ -33,7 +34,8 @@ class Model:
 
     fit: (samples, size, columns) to (samples, parameters); error: parameters (samples, k) and points (samples or 1, n, columns) to
     (samples, n), and a match fits where it is under the limit; bad: samples that determine nothing; finish: the last fit
-    from a table of inliers (group, columns) to group, params.
+    from a table of inliers (group, columns) to group, params, which may have bad params for groups with fewer inliers than a sample if `once`;
+    once: finish reads its table once; direct: as many matches as a sample are fitted as they are, without a limit.
     """
 
     columns: tuple[str, ...]
@@ -42,6 +44,8 @@ class Model:
     error: Callable[[np.ndarray, np.ndarray], np.ndarray]
     bad: Callable[[np.ndarray], np.ndarray]
     finish: Callable[[DataFrame, str], DataFrame]
+    once: bool = False
+    direct: bool = False
 
 
 # --- plane models ----------------------------------------------------------------------------
@@ -214,21 +218,49 @@ def _dealt(rows: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
     return rows.join(spans, by)
 
 
-def consensus(matches: DataFrame, by: str, key: str, model: Model, limit: float, p: float = 0.99, least: int = 10, most: int = 50_000, seed: int = 0, first_round: int = 64) -> DataFrame:
+def _packed(own: DataFrame, by: str, order: list[str], c: list[str]) -> DataFrame:
+    """by, first, m, points, span: the matches by group and `order`, m of them from number `first` on, at most BLOCK. They are shuffled once, by the sort.
+
+    Rows that are equal in `order` are told apart by where they came from, so copies don't end in one task.
+    """
+
+    def pack(batches):
+        start = 0
+        for batch in batches:
+            if len(batch):
+                group = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(batch))
+                cuts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+                points = np.stack([batch.column(1 + k).to_numpy() for k in range(len(c))], 1).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(batch)) * len(c), pa.int32()), pa.array(points))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cuts)), pa.array(cuts + start), pa.array(np.diff(np.append(cuts, len(batch)))), lists], names=[by, "first", "m", "points"])
+                start += len(batch)
+
+    row = F.monotonically_increasing_id()
+    ranged = own.withColumn("_row", row).repartitionByRange(by, *order, "_row").sortWithinPartitions(by, *order)
+    parts = checkpointed(ranged.select(by, *c).mapInArrow(pack, f"`{by}` {own.schema[by].dataType.simpleString()}, first bigint, m bigint, points array<double>").withColumn("part", F.spark_partition_id()))
+    before = F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    base = parts.groupBy("part").agg(F.sum("m").alias("m")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    return parts.join(F.broadcast(base), "part").select(by, (F.col("base") + F.col("first") + 1).alias("first"), "m", "points").withColumn("span", _span("first"))
+
+
+def consensus(matches: DataFrame, by: str, key: str | None, model: Model, limit: float, p: float = 0.99, least: int = 10, most: int = 50_000, seed: int = 0, first_round: int = 64) -> DataFrame:
     """by, params, inliers, n, trials: for each group the model with most matches under the limit, refitted over these.
 
-    `key` tells the matches of a group apart (rows with equal keys are one match). Of equal counts the later trial wins. Rounds end when, with
+    `key` tells the matches of a group apart (rows with equal keys are one match); without one every row is a match. Of equal counts the later trial wins. Rounds end when, with
     probability `p`, some sample was all inliers at the best share so far, after `least` to about `most` trials.
     Samples with a match twice and those that determine nothing count as drawn. Groups with
     fewer matches than a sample, or without a model that `size` matches fit, have null params and no inliers.
     """
     c = list(model.columns)
     kind = matches.schema[by].dataType.simpleString()
-    own = matches.select(by, key, *[F.col(x).cast("double").alias(x) for x in c]).dropna().dropDuplicates([by, key])
-    own = checkpointed(dense_ids(own, [by, key], "id"))
-    sizes = checkpointed(own.groupBy(by).agg(F.min("id").alias("base"), F.count("*").alias("n")))
-    blocks = checkpointed(own.groupBy(by, F.floor(F.col("id") / BLOCK).alias("block"), _span("id").alias("span")).agg(F.flatten(F.collect_list(F.array(*c))).alias("points")))  # at most BLOCK matches each
-    state = checkpointed(sizes.withColumns({"best": F.lit(-1).cast("bigint"), "params": F.lit(None).cast("array<double>"), "trials": F.lit(0).cast("bigint"), "sure": F.col("n") < model.size}))
+    own = matches.select(by, *([key] if key else []), *[F.col(x).cast("double").alias(x) for x in c]).dropna()
+    blocks = _packed(own.dropDuplicates([by, key]), by, [key], c) if key else _packed(own, by, c, c)
+    sizes = checkpointed(blocks.groupBy(by).agg(F.min("first").alias("base"), F.sum("m").alias("n")))
+    slot = lambda number: F.floor(number / BLOCK)
+    heads = checkpointed(blocks.select("first", "m", F.explode(F.sequence(slot(F.col("first")), slot(F.col("first") + F.col("m") - 1))).alias("slot")))
+    whole = (F.col("n") == model.size) & F.lit(model.direct)
+    state = checkpointed(sizes.withColumns({"best": F.lit(-1).cast("bigint"), "params": F.lit(None).cast("array<double>"), "trials": F.lit(0).cast("bigint"), "sure": (F.col("n") < model.size) | whole}))
 
     def fitted(batches):
         for batch in batches:
@@ -246,15 +278,22 @@ def consensus(matches: DataFrame, by: str, key: str, model: Model, limit: float,
                 fit = (model.error(params, points) < limit).sum(1)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(trials), batch.schema.field(0).type), pa.array(trials, pa.int64()), pa.array(fit, pa.int64())], names=[by, "t", "fit"])
 
+    def met(rows: DataFrame, few: bool) -> DataFrame:
+        return blocks.join(F.broadcast(rows), by) if few else blocks.join(_dealt(rows, sizes, by), [by, "span"])
+
     done, size = 0, first_round
-    while done < most and not state.where("NOT sure").isEmpty():
+    while done < most and (left := state.where("NOT sure").count()):
+        few = left * size * model.size <= FEW
         draws = state.where("NOT sure").select(by, "base", "n", F.explode(F.sequence(F.lit(done), F.lit(done + size - 1))).alias("t"))
         draws = draws.withColumn("place", F.explode(F.array(*[F.lit(j) for j in range(model.size)])))
-        draws = draws.withColumn("id", F.col("base") + F.pmod(F.xxhash64(F.lit(seed), by, "t", "place"), F.col("n"))).select(by, "t", "place", "id")
-        drawn = draws.join(own.select("id", *c), "id").groupBy(by, F.col("t").cast("bigint").alias("t")).agg(F.count_distinct("id").alias("k"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", F.array(*c).alias("m")))), lambda x: x["m"])).alias("m"))
+        draws = draws.withColumn("id", F.col("base") + F.pmod(F.xxhash64(F.lit(seed), by, "t", "place"), F.col("n"))).select(by, "t", "place", "id", slot(F.col("id")).alias("slot"))
+        picks = draws.join(heads, "slot").where("id >= first AND id < first + m").select(by, "t", "place", "id", "first")
+        drawn = blocks.select("first", "points").join(F.broadcast(picks) if few else picks, "first")
+        drawn = drawn.withColumn("m", F.slice("points", ((F.col("id") - F.col("first")) * len(c) + 1).cast("int"), F.lit(len(c))))
+        drawn = drawn.groupBy(by, F.col("t").cast("bigint").alias("t")).agg(F.count_distinct("id").alias("k"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "m"))), lambda x: x["m"])).alias("m"))
         models = checkpointed(drawn.where(F.col("k") == model.size).select(by, "t", "m").mapInArrow(fitted, f"`{by}` {kind}, t bigint, params array<double>"))
         chunks = models.groupBy(by, F.floor(F.col("t") / CHUNK).alias("c")).agg(F.collect_list(F.struct("t", "params")).alias("l")).select(by, F.transform("l", lambda x: x["t"]).alias("ts"), F.transform("l", lambda x: x["params"]).alias("ps"))
-        counts = _dealt(chunks, sizes, by).join(blocks.select(by, "span", "points"), [by, "span"]).select(by, "ts", "ps", "points").mapInArrow(scored, f"`{by}` {kind}, t bigint, fit bigint")
+        counts = met(chunks, few).select(by, "ts", "ps", "points").mapInArrow(scored, f"`{by}` {kind}, t bigint, fit bigint")
         best = counts.groupBy(by, "t").agg(F.sum("fit").alias("fit")).groupBy(by).agg(F.max(F.struct("fit", "t")).alias("m")).select(by, F.col("m.t").alias("t"), F.col("m.fit").alias("fit"))
         best = best.join(models, [by, "t"]).select(by, "fit", F.col("params").alias("new"))
         done, size = done + size, size * 2
@@ -265,14 +304,16 @@ def consensus(matches: DataFrame, by: str, key: str, model: Model, limit: float,
 
     def fits(batches):
         for batch in batches:
-            params = np.array(batch.column(1).flatten()).reshape(len(batch), -1)
-            points = np.stack([batch.column(2 + k).to_numpy() for k in range(len(c))], 1)[:, None, :]
-            inside = model.error(params, points)[:, 0] < limit if len(batch) else np.zeros(0, bool)
-            yield batch.filter(pa.array(inside)).select([by, *c])
-
-    near = own.withColumn("span", _span("id")).join(_dealt(state.where("params IS NOT NULL").select(by, "params"), sizes, by), [by, "span"]).select(by, "params", *c).mapInArrow(fits, f"`{by}` {kind}, " + ", ".join(f"{x} double" for x in c))
-    near = checkpointed(near)
+            for k in range(len(batch)):
+                params, points = batch.column(1)[k].as_py(), np.array(batch.column(2)[k].values).reshape(-1, len(c))
+                # Without params the matches are as many as a sample.
+                inside = points if params is None else points[model.error(np.array([params]), points[None])[0] < limit]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(inside), batch.schema.field(0).type), *[pa.array(inside[:, x]) for x in range(len(c))]], names=[by, *c])
+
+    few = sizes.count() * model.size <= FEW
+    near = met(state.where(F.col("params").isNotNull() | whole).select(by, "params"), few).select(by, "params", "points").mapInArrow(fits, f"`{by}` {kind}, " + ", ".join(f"{x} double" for x in c))
+    near = near if model.once else checkpointed(near)
     counted = near.groupBy(by).agg(F.count("*").alias("inliers")).where(F.col("inliers") >= model.size)
-    last = model.finish(near.join(counted.select(by), by, "left_semi"), by)
+    last = model.finish(near if model.once else near.join(counted.select(by), by, "left_semi"), by)
     out = sizes.select(by, "n").join(state.select(by, "trials"), by).join(counted.join(last, by), by, "left")
     return out.select(by, "params", F.coalesce("inliers", F.lit(0)).alias("inliers"), "n", "trials")

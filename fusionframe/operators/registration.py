@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from .consensus import Model, consensus
 
 POSE = "array<double>"
 
@@ -55,47 +56,68 @@ def rigid_fit(matches: DataFrame, by: str) -> DataFrame:
     return got.mapInPandas(solve, f"`{by}` {kind}, n bigint, trans {POSE}, rmsd double")
 
 
-def ransac(matches: DataFrame, by: str, limit: float = 0.05, p: float = 0.99, least: int = 10, most: int = 50_000, seed: int = 0) -> DataFrame:
-    """by, trans, inliers, n, trials: the rigid motion with most matches closer than `limit`.
+def _rigid_samples(m: np.ndarray) -> np.ndarray:
+    """(samples, 16): the fits of (samples, 3, 6); nan where a value is endless."""
+    good = np.isfinite(m).all((1, 2))
+    m = np.where(good[:, None, None], m, 0.0)
+    cp, cq = m[:, :, :3].mean(1), m[:, :, 3:].mean(1)
+    u, _, vt = np.linalg.svd((m[:, :, :3] - cp[:, None]).transpose(0, 2, 1) @ (m[:, :, 3:] - cq[:, None]))
+    turn = np.sign(np.linalg.det(u @ vt))
+    u[:, :, 2] *= np.where(turn == 0, 1.0, turn)[:, None]
+    out = np.tile(np.eye(4), (len(m), 1, 1))
+    out[:, :3, :3] = u @ vt
+    out[:, :3, 3] = cp - (out[:, :3, :3] @ cq[:, :, None])[:, :, 0]
+    out[~good] = np.nan
+    return out.reshape(-1, 16)
+
+
+def _rigid_error(params: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Distances of p from the moved q."""
+    t = params.reshape(-1, 4, 4)
+    out = np.zeros(np.broadcast_shapes((len(t), 1), m.shape[:-1]))
+    part = np.empty_like(out)
+    with np.errstate(all="ignore"):
+        for i in range(3):
+            off = m[..., i] - t[:, i, 3, None]
+            for j in range(3):
+                off -= np.multiply(t[:, i, j, None], m[..., 3 + j], out=part)
+            out += np.multiply(off, off, out=part)
+        return np.sqrt(out, out=out)
+
+
+def _rigid_solve(matches: DataFrame, by: str) -> DataFrame:
+    """by, params from means and covariances that are summed on the cluster."""
+    p, q = [F.col(f"p{c}") for c in "xyz"], [F.col(f"q{c}") for c in "xyz"]
+    got = matches.groupBy(by).agg(F.array(*[F.avg(x) for x in (*p, *q)]).alias("mid"), F.array(*[F.covar_pop(a, b) for a in p for b in q]).alias("m"))
 
-    Samples of three come from a generator seeded by the key, so results don't depend on
-    partitions. The number of trials adapts to the best share so far; of equal counts the later trial
-    wins; the last fit is over its inliers. Three matches are fitted directly; fewer, or no
-    model, give the identity without inliers. One pair's matches are one group, which descriptors
-    per fragment bound.
-    """
+    def solve(batches):
+        import pandas as pd
 
-    def search(pdf):
-        import zlib
+        for pdf in batches:
+            rows = [(g, _from_moments(np.reshape(m, (3, 3)), mid[:3], mid[3:]).ravel().tolist()) for g, mid, m in zip(pdf[by], pdf["mid"], pdf["m"], strict=True) if np.isfinite([*mid, *m]).all()]
+            yield pd.DataFrame(rows, columns=[by, "params"])
 
-        import pandas as pd
+    return got.mapInPandas(solve, f"`{by}` {matches.schema[by].dataType.simpleString()}, params {POSE}")
 
-        key = pdf[by].iloc[0]
-        pdf = pdf.sort_values([c for c in pdf.columns if c != by])
-        a, b = pdf[["px", "py", "pz"]].to_numpy(), pdf[["qx", "qy", "qz"]].to_numpy()
-        n, best, model, trials = len(a), -1, None, 0
-        rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
-        if n == 3:
-            model, best = fit_rigid(a, b), 3
-        needed = float(most)
-        while n > 3 and trials < min(most, max(least, needed)):
-            trials += 1
-            pick = rng.choice(n, 3, replace=False)
-            t = fit_rigid(a[pick], b[pick])
-            inside = np.linalg.norm(a - b @ t[:3, :3].T - t[:3, 3], axis=1) < limit
-            if inside.sum() >= best:
-                best, model = int(inside.sum()), t
-                good = min(max((best / n) ** 3, 1e-12), 1 - 1e-12)
-                needed = np.log(1 - p) / np.log(1 - good)
-        inside = np.ones(n, bool) if n == 3 else np.linalg.norm(a - b @ model[:3, :3].T - model[:3, 3], axis=1) < limit if model is not None else np.zeros(n, bool)
-        if inside.sum() >= 3:
-            model = fit_rigid(a[inside], b[inside])
-        else:
-            model, inside = np.eye(4), np.zeros(n, bool)
-        return pd.DataFrame({by: [key], "trans": [model.ravel().tolist()], "inliers": [int(inside.sum())], "n": [n], "trials": [trials]})
 
-    kind = matches.schema[by].dataType.simpleString()
-    return matches.groupBy(by).applyInPandas(search, f"`{by}` {kind}, trans {POSE}, inliers bigint, n bigint, trials bigint")
+#: p = R q + t; three matches.
+RIGID = Model(("px", "py", "pz", "qx", "qy", "qz"), 3, _rigid_samples, _rigid_error, lambda m: np.zeros(len(m), bool), _rigid_solve, once=True, direct=True)
+
+
+def ransac(matches: DataFrame, by: str, limit: float = 0.05, p: float = 0.99, least: int = 10, most: int = 50_000, seed: int = 0) -> DataFrame:
+    """by, trans, inliers, n, trials: the rigid motion with most matches closer than `limit`.
+
+    Samples of three come from hashes of the key, so results don't depend on partitions; a group of any size is
+    spread over tasks (see `consensus`). Rounds of 64 trials and more end by the best share so far; of equal counts the later trial
+    wins; the last fit is over its inliers. Three matches are fitted directly; fewer, or no
+    model, give the identity without inliers. Every row is a match, unless a value is null or nan.
+    """
+    # The name of a group is text that is never null, as joins lose null.
+    group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")).alias("_group")
+    got = consensus(matches.select(group, *RIGID.columns), "_group", None, RIGID, limit, p, least, most, seed)
+    back = F.when(F.col("_group") != "", F.expr("substring(_group, 2)").cast(matches.schema[by].dataType)).alias(by)
+    eye = F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)])
+    return got.select(back, F.coalesce("params", eye).alias("trans"), "inliers", "n", "trials")
 
 
 def align_rmsd(matches: DataFrame, by: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators whose work is not to grow with the square of a table: results over many blocks against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fusionframe.operators import knn, report
 
@@ -107,3 +108,33 @@ def test_consensus_deals_groups_over_tasks(spark, monkeypatch):
     h = np.array(row.params).reshape(3, 3) / row.params[8]
     assert row.inliers == 2000 and row.n == 2500 and np.allclose(h, [[1, 0, 0.5], [0, 1, 0.5], [0, 0, 1]], atol=1e-6)
     assert consensus._dealt(spark.createDataFrame([("g", 1)], "g string, x int"), spark.createDataFrame([("g", 1, 2500)], "g string, base long, n long"), "g").count() == 3
+
+
+def test_ransac_deals_a_group_over_tasks(spark):
+    """No task holds a group: large ones lie in blocks over many tasks, also where their matches are copies; the fit is that of the whole for any partitions, and a group without a name stays."""
+    from fusionframe.operators import consensus, registration
+
+    rng = np.random.default_rng(11)
+    q = rng.random((4000, 3)) + 100
+    r = np.array([[0.6, -0.8, 0], [0.8, 0.6, 0], [0, 0, 1.0]])
+    p = q @ r.T + [1.0, 2.0, 3.0] + (np.arange(4000) % 4 == 0)[:, None] * rng.uniform(1, 2, (4000, 3))
+    p[1000:3000], q[1000:3000] = p[1001], q[1001]
+    far = rng.random((3, 6)) * 9
+    rows = [("g", *map(float, (*a, *b))) for a, b in zip(p, q, strict=True)] + [(None, *map(float, x)) for x in far] + [("two", *map(float, x)) for x in far[:2]]
+    df = spark.createDataFrame(rows, "g string, px double, py double, pz double, qx double, qy double, qz double")
+    for parts in (3, 7):
+        out = registration.ransac(df.repartition(parts), "g", limit=1e-6)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        got = {x.g: x for x in out.collect()}
+        assert {g: (x.inliers, x.n) for g, x in got.items()} == {"g": (3500, 4000), None: (3, 3), "two": (0, 2)}
+        t = np.reshape(got["g"].trans, (4, 4))
+        assert np.allclose(t[:3, :3], r, atol=1e-9) and np.allclose(t[:3, 3], [1, 2, 3], atol=1e-6)
+        assert np.allclose(np.reshape(got[None].trans, (4, 4)), registration.fit_rigid(far[:, :3], far[:, 3:]), atol=1e-9) and got["two"].trans == np.eye(4).ravel().tolist()
+    m = list(registration.RIGID.columns)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 4,000 rows would become one partition
+    try:
+        blocks = consensus._packed(df.where("g = 'g'").repartition(5), "g", m, m).select("first", "m", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(b.m for b in blocks) <= consensus.BLOCK and len({b.task for b in blocks}) > 2
+    assert sorted(i for b in blocks for i in range(b.first, b.first + b.m)) == list(range(1, 4001))
