@@ -38,8 +38,13 @@ def first_thresholds(d: np.ndarray, y: np.ndarray, top: float, steps: int = 1001
     """k, p, n of many comparisons, as `sweep_of_counts` takes them."""
     import pandas as pd
 
-    k = np.searchsorted(np.arange(steps) * (top / (steps - 1)), d, "right")
-    p, n = (np.bincount(k[y == x], minlength=steps + 1) for x in (1, 0))
+    x = d * ((steps - 1) / top)
+    with np.errstate(invalid="ignore"):
+        near = ~(np.abs(x - np.rint(x)) > 1e-6)  # so near a threshold that rounding may count, or not a number
+    x[near] = 0
+    k = np.clip(np.floor(x), -1, steps - 1).astype(np.int64) + 1
+    k[near] = np.searchsorted(np.arange(steps) * (top / (steps - 1)), d[near], "right")
+    n, p = np.bincount(k + (steps + 1) * y, minlength=2 * steps + 2).reshape(2, -1)
     some = np.flatnonzero(p + n)
     return pd.DataFrame({"k": some, "p": p[some], "n": n[some]})
 

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fusionframe.operators import knn, report
+from fusionframe import queries
+from fusionframe.operators import evaluate, knn, report
 
 
 def test_nearest_instance_over_blocks(spark):
@@ -138,3 +139,36 @@ def test_ransac_deals_a_group_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(b.m for b in blocks) <= consensus.BLOCK and len({b.task for b in blocks}) > 2
     assert sorted(i for b in blocks for i in range(b.first, b.first + b.m)) == list(range(1, 4001))
+
+
+def test_all_pairs_copy_rows_equally_often(spark, tmp_path, monkeypatch):
+    """A row goes to as many groups in a small table as in a large one, as it is stored, and a group leaves few partial rows; blocks over many tiles have the counts of all pairs."""
+    assert {knn._count_pair_blocks(spark.range(n)) for n in (5_000, 100_000, 1_000_000)} == {knn.PAIR_PARTS}
+    rng = np.random.default_rng(12)
+    v, label = np.round(rng.normal(0, 4, (300, 3)), 1).astype(np.float32), rng.integers(0, 3, 300)
+    v[40:60] = v[40]
+    df = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    a, b = np.triu_indices(300, 1)
+    d, y = np.round(np.sqrt(((v[a].astype(float) - v[b].astype(float)) ** 2).sum(1)), 9), (label[a] == label[b]).astype(int)
+    want = {k: (int(((d < k * 0.02) & (y == 1)).sum()), int(((d < k * 0.02) & (y == 0)).sum())) for k in range(1001)}
+    monkeypatch.setattr(knn, "TILE", 16)
+    assert {r.k: (r.tp, r.fp) for r in queries.confusion_sweep(spark, str(tmp_path)).collect()} == want
+    seen = []
+    all_pairs = knn.all_pairs
+    monkeypatch.setattr(knn, "all_pairs", lambda *a, **more: seen.append((*a, more)) or all_pairs(*a, **more))
+    assert queries.contrastive_loss(spark, str(tmp_path)).first().n == len(d)
+    (own, fold, schema, more), = seen
+    assert dict(own.dtypes)["v"] == "array<float>"
+    assert all_pairs(own, fold, schema, block=100, **more).count() == 6  # a row a pair of blocks
+
+
+def test_first_thresholds_at_the_thresholds():
+    """Distances at, just under and just over the thresholds, far ones and those that are not numbers."""
+    for top, steps in ((20.0, 1001), (0.7, 11), (3.0, 2)):
+        t = np.arange(steps) * (top / (steps - 1))
+        d = np.concatenate([t, np.nextafter(t[1:], 0), np.nextafter(t, np.inf), [0.0, top * 5, np.inf, np.nan]])
+        y = np.arange(len(d)) % 2
+        got = {r.k: (r.p, r.n) for r in evaluate.first_thresholds(d, y, top, steps).itertuples()}
+        k = np.searchsorted(t, d, "right")
+        assert got == {x: (int(((k == x) & (y == 1)).sum()), int(((k == x) & (y == 0)).sum())) for x in np.unique(k)}
