@@ -206,36 +206,32 @@ def _lstm_back(dout: np.ndarray, memo: list, wh: np.ndarray) -> tuple[np.ndarray
     return dxw, dwh
 
 
-def _run(ids: np.ndarray, active: np.ndarray, table: np.ndarray, wh: np.ndarray, back: bool) -> np.ndarray:
-    """Outputs (steps, hidden, batch) of one direction; table: (4 hidden, symbols), scaled so that gates are clipped sums. Windows go from long to short, and the first `active` of a step reach it."""
+def _run(ids: np.ndarray, active: np.ndarray, table: np.ndarray, both: np.ndarray, back: bool, e: np.ndarray) -> None:
+    """Adds the emissions (steps, tags, batch) of one direction to e; table: (4 hidden, symbols), scaled so that gates are clipped sums. Windows go from long to short, and the first `active` of a step reach it.
+
+    `both` stacks the recurrent weights on those of the tags, so one product gives a step's scores and what the next step starts from, and no states are kept.
+    """
     steps, batch = ids.shape
-    n = wh.shape[1]
-    state, cell = np.zeros((n, 0), np.float32), np.zeros((n, batch), np.float32)
-    sums, given = np.empty((4 * n, batch), np.float32), np.empty((4 * n, batch), np.float32)
-    out = np.zeros((steps, n, batch), np.float32)
+    n = both.shape[1]
+    cell, hidden, given = np.zeros((n, batch), np.float32), np.empty((n, batch), np.float32), np.empty((4 * n, batch), np.float32)
+    sums = np.zeros((len(both), batch), np.float32)  # windows that begin here (or, backwards, end here) have no state yet
     m = 0
     for t in range(steps - 1, -1, -1) if back else range(steps):
         if m != active[t]:
             m = int(active[t])
-            c, z, x = cell[:, :m], sums[:, :m], given[:, :m]
-            h = np.zeros((n, m), np.float32)
-            k = min(m, state.shape[1])
-            h[:, :k] = state[:, :k]
-            gates, g = z[: 3 * n], z[3 * n :]
+            c, h, x, after, z, scores = cell[:, :m], hidden[:, :m], given[:, :m], sums[:, :m], sums[: 4 * n, :m], sums[4 * n :, :m]
+            i, f, o, gates, g = z[:n], z[n : 2 * n], z[2 * n : 3 * n], z[: 3 * n], z[3 * n :]
         np.take(table, ids[t, :m], axis=1, out=x, mode="clip")
-        np.matmul(wh, h, out=z)
         z += x
-        np.minimum(z, 1, out=z)
-        np.maximum(gates, 0, out=gates)
-        np.maximum(g, -1, out=g)
-        c *= z[n : 2 * n]
-        g *= z[:n]
+        np.clip(gates, 0, 1, out=gates)  # one pass, and a faster one than minimum or maximum
+        np.clip(g, -1, 1, out=g)
+        c *= f
+        g *= i
         c += g
-        h = state = out[t, :, :m]
-        np.maximum(c, -1, out=h)
-        np.minimum(h, 1, out=h)
-        h *= z[2 * n : 3 * n]
-    return out
+        np.clip(c, -1, 1, out=h)
+        h *= o
+        np.matmul(both, h, out=after)
+        e[t, :, :m] += scores
 
 
 class Tagger:
@@ -263,18 +259,18 @@ class Tagger:
         h = np.concatenate((hf, hb[::-1]), 2)
         return h @ p["out"] + p["ob"], (x, h, mf, mb)
 
-    def emissions(self, ids: np.ndarray, sizes: np.ndarray, out: np.ndarray) -> None:
-        """Scores (batch, steps, tags) of ids (steps, batch), windows of falling sizes."""
+    def emissions(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores (steps, tags, batch) of ids (steps, batch), windows of falling sizes; only those within a window's size mean anything."""
         active = np.searchsorted(-sizes, -np.arange(len(ids)), "left")
         p, n = self.p, len(self.p["whf"])
-        total = None
+        e = np.zeros((len(ids), TAGS, ids.shape[1]), np.float32)
         for d, rows in (("f", slice(None, n)), ("b", slice(n, None))):
             table, wh = (p["emb"] @ p[f"wx{d}"] + p[f"b{d}"]).T.copy(), p[f"wh{d}"].T.copy()
             table[: 3 * n] = 0.25 * table[: 3 * n] + 0.5
             wh[: 3 * n] *= 0.25
-            own = np.matmul(p["out"][rows].T.copy(), _run(ids, active, table, wh, d == "b"))
-            total = own if total is None else total + own
-        np.add(total.transpose(2, 0, 1), p["ob"], out=out)
+            _run(ids, active, table, np.concatenate((wh, p["out"][rows].T)), d == "b", e)
+        e += p["ob"][:, None]
+        return e
 
     def viterbi(self, e: np.ndarray, before: bool = False, after: bool = False) -> np.ndarray:
         """Best tags of one sequence of emissions; `before` and `after`: there are neighbours, which are outside."""
@@ -422,50 +418,76 @@ def _whole_number(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def _scores(ids: np.ndarray, lengths: np.ndarray, tagger: Tagger, window_range: tuple[int, int] | None = None) -> np.ndarray:
-    """(characters, tags): emissions of texts that stand one after another in ids, each under windows of its own.
+class _Emissions:
+    """Emissions of texts that stand one after another in ids, each under windows of its own.
 
-    `window_range` takes only these windows of a single text, and gives the characters from the first one's start on.
+    `window_range` takes only these windows of a single text; characters then count from the first one's start on.
+    They stay as the network gives them, tags beside windows. `lead` has for each character how much the best
+    other tag scores over O, and `rows` puts out the scores of a range.
     """
-    count = np.where(lengths > WINDOW, -(-(lengths - WINDOW) // STRIDE) + 1, (lengths > 0).astype(np.int64))
-    start = np.cumsum(lengths) - lengths
-    if window_range:
-        text, k = np.zeros(window_range[1] - window_range[0], np.int64), np.arange(*window_range)
-    else:
-        text = np.repeat(np.arange(len(lengths)), count)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    size = np.minimum(WINDOW, lengths[text] - k * STRIDE)
-    at = start[text] + k * STRIDE
-    wide = size + (k == count[text] - 1)  # the end of a text is one symbol of padding
-    order = np.argsort(-wide, kind="stable")
-    slot, flat, top = np.empty(len(order), np.int64), [], 0
-    for a in range(0, len(order), BATCH):
-        part = order[a : a + BATCH]
-        width = int(wide[part[0]])
-        step = np.arange(width)[:, None]
-        own = ids[np.minimum(at[part] + step, len(ids) - 1)]
-        own[step >= size[part]] = 0
-        slot[part] = top + np.arange(len(part)) * width
-        top += width * len(part)
-        flat.append(np.empty((len(part), width, TAGS), np.float32))
-        tagger.emissions(own, wide[part], flat[-1])
-    flat = np.concatenate([x.reshape(-1, TAGS) for x in flat]) if flat else np.zeros((0, TAGS), np.float32)
-    if window_range:
-        n = int(at[-1] + size[-1] - at[0])
-        p, first, last = np.arange(n) + at[0], k[0], k[-1]
-        later = np.clip(p // STRIDE, first, last)
-        row, base = later - first, p
-    else:
-        char_text = np.repeat(np.arange(len(lengths)), lengths)
-        p = np.arange(len(ids)) - start[char_text]
-        later = np.minimum(p // STRIDE, count[char_text] - 1)
-        row, first, base = (np.cumsum(count) - count)[char_text] + later, 0, p
-    q = base - later * STRIDE
-    out = flat[slot[row] + q]
-    both = np.flatnonzero((later > first) & (q < WINDOW - STRIDE))
-    share = ((q[both] + 0.5) / (WINDOW - STRIDE)).astype(np.float32)[:, None]
-    out[both] = share * out[both] + (1 - share) * flat[slot[row[both] - 1] + q[both] + STRIDE]
-    return out
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, tagger: Tagger, window_range: tuple[int, int] | None = None):
+        count = np.where(lengths > WINDOW, -(-(lengths - WINDOW) // STRIDE) + 1, (lengths > 0).astype(np.int64))
+        start = np.cumsum(lengths) - lengths
+        if window_range:
+            text, k = np.zeros(window_range[1] - window_range[0], np.int64), np.arange(*window_range)
+        else:
+            text = np.repeat(np.arange(len(lengths)), count)
+            k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(WINDOW, lengths[text] - k * STRIDE)
+        at = start[text] + k * STRIDE
+        wide = size + (k == count[text] - 1)  # the end of a text is one symbol of padding
+        self.joined = k > (window_range[0] if window_range else 0)  # begins in the window before
+        goes_on = np.append(self.joined[1:], False)[: len(k)]
+        own = np.where(goes_on, STRIDE, size)  # the characters up to the next window
+        self.begin = at - (at[0] if len(at) else 0)
+        self.size = int(self.begin[-1] + size[-1]) if len(at) else 0
+        self.lead = np.empty(self.size, np.float32)
+        self.pair = np.cumsum(self.joined) - 1
+        pairs, share = int(self.joined.sum()), ((np.arange(WINDOW - STRIDE) + 0.5) / (WINDOW - STRIDE)).astype(np.float32)[:, None, None]
+        heads, tails = np.empty((2, WINDOW - STRIDE, TAGS, pairs), np.float32)
+        self.blocks, self.slot = [], np.empty(len(k), np.int64)
+        order = np.argsort(-wide, kind="stable")
+        self.slot[order] = np.arange(len(order))
+        for a in range(0, len(order), BATCH):
+            part = order[a : a + BATCH]
+            step = np.arange(int(wide[part[0]]))[:, None]
+            chars = ids[np.minimum(at[part] + step, len(ids) - 1)]
+            chars[step >= size[part]] = 0
+            e = tagger.emissions(chars, wide[part])
+            self.blocks.append(e)
+            if len(to := np.flatnonzero(self.joined[part])):
+                heads[:, :, self.pair[part[to]]] = e[: WINDOW - STRIDE, :, to]
+            if len(to := np.flatnonzero(goes_on[part])):
+                tails[:, :, self.pair[part[to] + 1]] = e[STRIDE:WINDOW, :, to]
+            lead = (e[:, 1:].max(1) - e[:, 0]).T.copy()
+            for row, b, n in zip(lead, self.begin[part].tolist(), own[part].tolist()):
+                self.lead[b : b + n] = row[:n]
+        self.both = np.multiply(share, heads, out=heads)  # what two windows say of the characters where they overlap
+        self.both += np.multiply(1 - share, tails, out=tails)
+        lead = (self.both[:, 1:].max(1) - self.both[:, 0]).T.copy()
+        for row, b in zip(lead, self.begin[self.joined].tolist()):
+            self.lead[b : b + WINDOW - STRIDE] = row
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """(characters, tags) from a to b."""
+        out, at, w = np.empty((b - a, TAGS), np.float32), a, int(np.searchsorted(self.begin, a, "right")) - 1
+        while at < b:
+            end = min(b, int(self.begin[w + 1]) if w + 1 < len(self.begin) else self.size)
+            block, column = divmod(int(self.slot[w]), BATCH)
+            q = at - int(self.begin[w])
+            out[at - a : end - a] = self.blocks[block][q : q + end - at, :, column]
+            if self.joined[w] and q < WINDOW - STRIDE:
+                over = self.both[q : q + end - at, :, self.pair[w]]
+                out[at - a : at - a + len(over)] = over
+            at, w = end, w + 1
+        return out
+
+
+def _scores(ids: np.ndarray, lengths: np.ndarray, tagger: Tagger) -> np.ndarray:
+    """(characters, tags): all emissions of texts that stand one after another in ids."""
+    e = _Emissions(ids, lengths, tagger)
+    return e.rows(0, e.size)
 
 
 def _undecided(lead: np.ndarray, lengths: np.ndarray, tagger: Tagger) -> list[tuple[int, int]]:
@@ -479,25 +501,22 @@ def _undecided(lead: np.ndarray, lengths: np.ndarray, tagger: Tagger) -> list[tu
     stay = tr[0, 0]
     inside = tr[1:, 1:].max() - stay
     edge = max(tr[0, 1:].max() - stay, 0.0) + max(tr[1:, 0].max() - stay, 0.0) - inside
-    n, start = len(lead), np.cumsum(lengths) - lengths
-    place = np.arange(n) + np.repeat(np.arange(len(lengths)), lengths) + 1  # a gap before each text, and one at the end
-    s = np.full(n + len(lengths) + 1, -1e7)
-    s[place] = lead + inside
+    start = np.cumsum(lengths) - lengths
 
     def ending(x: np.ndarray) -> np.ndarray:
         sums = np.cumsum(x)
         return sums - np.minimum.accumulate(np.concatenate(([0.0], sums[:-1])))
 
-    best = (ending(s) + ending(s[::-1])[::-1] - s)[place]
-    some = best >= -edge - 1e-3 - 1e-9 * n
-    turn = np.flatnonzero(np.diff(np.concatenate(([False], some, [False])).view(np.int8)))
     out = []
-    for a, b in zip(turn[::2].tolist(), turn[1::2].tolist()):
-        while a < b:  # a range ends with its text
-            text = int(np.searchsorted(start, a, "right")) - 1
-            end = min(b, int(start[text] + lengths[text]))
-            out.append((a, end))
-            a = end
+    # Where each character is below both bounds, so is each sum: most texts need no sums.
+    hot = np.flatnonzero(lead >= min(-edge, 0.0) - inside - 1e-2)
+    for text in np.unique(np.searchsorted(start, hot, "right") - 1):
+        a, n = int(start[text]), int(lengths[text])
+        s = lead[a : a + n].astype(np.float64) + inside
+        best = ending(s) + ending(s[::-1])[::-1] - s
+        some = best >= -edge - 1e-3 - 1e-9 * n
+        turn = np.flatnonzero(np.diff(np.concatenate(([False], some, [False])).view(np.int8)))
+        out += zip((a + turn[::2]).tolist(), (a + turn[1::2]).tolist())
     return out
 
 
@@ -508,20 +527,21 @@ def _tagged(ids: np.ndarray, lengths: np.ndarray, tagger: Tagger) -> list[tuple[
         step = LONG // STRIDE
         lead = np.empty(len(ids), np.float32)
 
-        def rows(a: int, b: int) -> np.ndarray:
+        def scored(a: int, b: int) -> tuple[_Emissions, int]:
             x, y = max(0, a // STRIDE - 1), min(last, (b - 1) // STRIDE + 1)
-            return _scores(ids, lengths, tagger, (x, y))[a - x * STRIDE : b - x * STRIDE]
+            return _Emissions(ids, lengths, tagger, (x, y)), x * STRIDE
+
+        def rows(a: int, b: int) -> np.ndarray:
+            e, x = scored(a, b)
+            return e.rows(a - x, b - x)
 
         for w in range(0, last, step):
             a, b = w * STRIDE, len(ids) if w + step >= last else (w + step) * STRIDE
-            e = rows(a, b)
-            lead[a:b] = e[:, 1:].max(1) - e[:, 0]
+            e, x = scored(a, b)
+            lead[a:b] = e.lead[a - x : b - x]
     else:
-        e = _scores(ids, lengths, tagger)
-        lead = e[:, 1:].max(1) - e[:, 0]
-
-        def rows(a: int, b: int) -> np.ndarray:
-            return e[a:b]
+        e = _Emissions(ids, lengths, tagger)
+        lead, rows = e.lead, e.rows
 
     start = np.cumsum(lengths) - lengths
     out = []
