@@ -14,18 +14,20 @@ a position repeats if a smaller document has the same rank. Rounds are written t
 
 Names are 64-bit hashes, and no two strings are taken as equal on fewer than 128 bits of them
 (anchor and run, or the three names of a position); bytes are not compared again.
-In the first pass entries are packed into byte arrays by their bucket, Spark deals the buckets, and each task sorts its own. Before
+In the first pass entries are packed into byte planes by their bucket, over several batches so that many buckets don't make short rows;
+Spark deals the buckets, and each task sorts its own. The second pass ranks the names in `TURNS` shares, so that only one share is shuffled at once. Before
 each shuffle a batch answers by itself what it can, and sends one entry for a string it has often, so a passage in a third of all
 documents is one entry a batch and no task gets it all.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SpanHash, arrow_map, byte_slices, dropped, mixed, packed, stored, table
@@ -33,12 +35,12 @@ from .common import SpanHash, arrow_map, byte_slices, dropped, mixed, packed, st
 SEED = 20
 OFFSETS = (0, 16, 32)  # of the names of a position; the last name ends with the string
 BATCH_BYTES = 2 << 20
+GATHER_BYTES = 16 << 20  # text whose entries are dealt out together
 BUCKET_BYTES = 3 << 20
 PARTS = 3  # of the places that an anchor can have in a string; each has a digest of what its strings share
 ENTRY = np.dtype([("name", "<u8"), ("rest", "<u8"), ("at", "<u4"), ("n", "u1"), ("off", "u1"), ("doc", "<u4"), ("part", "<u2", (PARTS,))])
-WIRE = np.dtype([("name", "<u8"), ("rest", "<u8"), ("at", "<u4"), ("n", "u1"), ("off", "u1"), ("doc", "<u2"), ("part", "<u2", (PARTS,))])  # 30 bytes
-NONE = np.uint32(0xFFFF)  # a marker's document; a batch has fewer that are long enough
-LONE = np.uint32(0xFFFFFFFF)  # the same where the entries of many batches are together
+LONE = np.uint32(0xFFFFFFFF)  # a marker's document
+TURNS = 3  # shares of the names
 CROWD = 64  # neighbourhoods of one anchor in a batch from which on one marker stands for all
 
 SCHEMA = "bucket int, ids binary, keys binary, entries binary, kind int, marks binary"
@@ -112,27 +114,60 @@ def _mark_columns(rows: list[tuple]) -> dict:
     return {"bucket": [r[0] & 0x7FFFFFFF for r in rows], "ids": [word(r[0]) for r in rows], "keys": [word(r[1]) for r in rows], "entries": [None] * len(rows), "kind": [r[2] for r in rows], "marks": [r[3] for r in rows]}
 
 
-def _packed_entries(e: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int) -> dict:
-    """One row per bucket, with the documents that its entries name."""
-    own = (e["name"] >> np.uint64(16)) % np.uint64(buckets)
-    order = np.argsort(own, kind="stable")
-    e, own = e[order], own[order]
-    cut = np.append(np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))), len(own)) if len(own) else np.zeros(1, int)
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers by their place, so that those which say nothing lie together for Spark's compression."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _of_planes(data: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _has_part(e: np.ndarray, reaches: list[tuple[int, int]]) -> np.ndarray:
+    """Which digests entries have: other ones are 0."""
+    off, last = e["off"].astype(np.int64), e["off"].astype(np.int64) - e["n"] + 1
+    return np.stack([(off >= least) & (last <= most) for least, most in reaches], 1)
+
+
+def _packed_entries(e: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, reaches: list[tuple[int, int]]) -> dict:
+    """One row per bucket, with the documents that its entries name in the order of their ids. What the bucket says of a name, and the digests that an entry can't have, are left out."""
     out: dict[str, list] = {n: [] for n in TYPES.names}
+    place = np.lexsort((keys, ids))
+    ids, keys = ids[place], keys[place]
+    back = np.empty(len(place), np.int64)
+    back[place] = np.arange(len(place))
+    lone = e["doc"] == LONE
+    doc = np.where(lone, len(ids), back[np.where(lone, 0, e["doc"])])
+    own = e["name"] % np.uint64(buckets)
+    order = np.argsort(own * np.uint64(len(ids) + 1) + doc.astype(np.uint64))
+    e, own, doc, lone = e[order], own[order], doc[order], lone[order]
+    name, has = e["name"] // np.uint64(buckets), _has_part(e, reaches)
+    new_bucket = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
+    new_doc = (new_bucket | np.concatenate(([True], doc[1:] != doc[:-1])) if len(own) else new_bucket) & ~lone
+    cut = np.append(np.flatnonzero(new_bucket), len(own))
     for a, b in zip(cut, cut[1:]):
-        part = np.empty(b - a, WIRE)
-        for name in WIRE.names:
-            part[name] = e[name][a:b]
-        known = part["doc"] != NONE
-        docs, back = np.unique(part["doc"][known], return_inverse=True)
-        part["doc"][known] = back
-        for name, x in (("bucket", int(own[a])), ("ids", ids[docs].tobytes()), ("keys", keys[docs].tobytes()), ("entries", part.tobytes())):
-            out[name].append(x)
-        for name in ("kind", "marks"):
-            out[name].append(None)
+        x, docs = e[a:b], doc[a:b][new_doc[a:b]]
+        told = np.where(lone[a:b], 2, new_doc[a:b]).astype(np.uint8)
+        packed_ = b"".join((int(b - a).to_bytes(4, "little"), _planes(name[a:b]), x["rest"].tobytes(), _planes(x["at"]), x["n"].tobytes(), x["off"].tobytes(), told.tobytes(), x["part"][has[a:b]].tobytes()))
+        for n, v in (("bucket", int(own[a])), ("ids", _planes(np.diff(ids[docs], prepend=0))), ("keys", keys[docs].tobytes()), ("entries", packed_), ("kind", None), ("marks", None)):
+            out[n].append(v)
     return out
 
 
+def _unpacked_entries(data: bytes, bucket: int, buckets: int, reaches: list[tuple[int, int]]) -> np.ndarray:
+    """The entries of a row, with its documents numbered from 0."""
+    m = int.from_bytes(data[:4], "little")
+    x = np.frombuffer(data, np.uint8, offset=4)
+    e = np.zeros(m, ENTRY)
+    e["name"] = _of_planes(x[: 8 * m], "<u8") * np.uint64(buckets) + np.uint64(bucket)
+    e["rest"] = x[8 * m : 16 * m].view("<u8")
+    e["at"] = _of_planes(x[16 * m : 20 * m], "<u4")
+    e["n"], e["off"], told = x[20 * m : 21 * m], x[21 * m : 22 * m], x[22 * m : 23 * m]
+    e["doc"] = np.where(told == 2, LONE, (np.cumsum(told == 1) - 1).astype(np.uint32))
+    e["part"][_has_part(e, reaches)] = x[23 * m :].view("<u2")
+    return e
+
+
 def _sorted_groups(e: np.ndarray, ids: np.ndarray):
     """Entries in order of name, rest and document id, and where names and pairs begin."""
     lone = e["doc"] == LONE
@@ -155,7 +190,15 @@ def _ids_of(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _seed_rows(length: int, buckets: int):
+    reaches = _reaches(length)
+
     def rows(batch: pa.RecordBatch):
+        gathered: list[tuple] = []
+        size = base = 0
+
+        def dealt():
+            return _packed_entries(*(np.concatenate(x) for x in zip(*gathered, strict=True)), buckets, reaches)
+
         for a, b in byte_slices(batch.column(2), BATCH_BYTES):
             ids, keys = _ids_of(batch, a, b)
             data, starts = packed(batch.column(2).slice(a, b - a))
@@ -167,27 +210,30 @@ def _seed_rows(length: int, buckets: int):
             crowd = (_per_group(new_name, new_pair.astype(np.int64), np.add) >= CROWD) & (_per_group(new_name, own, np.minimum) != _per_group(new_name, own, np.maximum))
             open_ = crowd & ~repeat
             marker = e[crowd & new_name].copy()
-            marker["doc"], marker["rest"] = NONE, 0
+            marker["doc"], marker["rest"] = LONE, 0
             yield _mark_columns([*_marks(REPEAT, ids, keys, e["doc"][repeat], e["at"][repeat], e["n"][repeat]), *_marks(OPEN, ids, keys, e["doc"][open_], e["at"][open_], e["n"][open_])])
-            yield _packed_entries(np.concatenate((e[~repeat & ~open_], marker)), ids, keys, buckets)
+            kept = e[~repeat & ~open_]
+            kept["doc"] += np.uint32(base)
+            gathered.append((np.concatenate((kept, marker)), ids, keys))
+            size, base = size + len(data), base + len(ids)
+            if size >= GATHER_BYTES:
+                yield dealt()
+                gathered, size, base = [], 0, 0
+        if gathered:
+            yield dealt()
 
     return rows
 
 
-def _gathered(pdf):
+def _gathered(pdf, buckets: int, reaches: list[tuple[int, int]]):
     """(entries with documents numbered over all rows, ids, keys)."""
     some = pdf[pdf["entries"].notna()]
     parts, ids, keys, base = [], [], [], 0
-    for x, i, k in zip(some["entries"], some["ids"], some["keys"]):
-        packed_ = np.frombuffer(x, WIRE)
-        e = np.zeros(len(packed_), ENTRY)
-        for name in WIRE.names:
-            e[name] = packed_[name]
-        known = e["doc"] != NONE
-        e["doc"][known] += np.uint32(base)
-        e["doc"][~known] = LONE
+    for bucket, x, i, k in zip(some["bucket"], some["entries"], some["ids"], some["keys"]):
+        e = _unpacked_entries(x, int(bucket), buckets, reaches)
+        e["doc"][e["doc"] != LONE] += np.uint32(base)
         parts.append(e)
-        ids.append(np.frombuffer(i, np.int64))
+        ids.append(np.cumsum(_of_planes(np.frombuffer(i, np.uint8), "<i8")))
         keys.append(np.frombuffer(k, np.int64))
         base += len(ids[-1])
     if not parts:
@@ -204,11 +250,11 @@ def _answers(pdf, rows: list[tuple]):
     return pd.DataFrame([*kept, *rows], columns=["id", "key", "kind", "marks"]).astype({"id": "int64", "key": "int64", "kind": "int32"})
 
 
-def _judge_seeds(length: int):
+def _judge_seeds(length: int, buckets: int):
     reaches = _reaches(length)
 
     def judge(pdf):
-        e, ids, keys = _gathered(pdf)
+        e, ids, keys = _gathered(pdf, buckets, reaches)
         if not len(e):
             return _answers(pdf, [])
         e, own, new_name, new_pair = _sorted_groups(e, ids)
@@ -291,25 +337,34 @@ def _doubled(positions: DataFrame, rank: list[str], after: str) -> DataFrame:
     return ranked.select(*kept, F.col("first.id").alias("r_id"), F.col("first.at").alias("r_at"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells texts of one id apart: a hash of the text, or nothing where ids are unique."""
+    twice = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    return F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64(text_col)
+
+
+def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables of window starts whose `length` bytes also start in a document of smaller id: (id, key, marks: packed runs) and (id, key, at, marks). key tells texts of one id apart."""
     if not OFFSETS[-1] < length < 256 + SEED:
         raise ValueError(f"length has to be over {OFFSETS[-1]} and under {256 + SEED}")
-    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("b")).where(F.octet_length("b") >= length)
+    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (_key(docs, id_col, text_col) if key is None else key).alias("key"), F.col(text_col).cast("binary").alias("b")).where(F.octet_length("b") >= length)
     total = own.agg(F.sum(F.octet_length("b")).alias("n")).first().n or 0
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
     answer = "id bigint, key bigint, kind int, marks binary"
     dealt = arrow_map(own, _seed_rows(length, buckets), SCHEMA, TYPES).withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
-    first = stored(dealt.groupBy("bucket").applyInPandas(_judge_seeds(length), answer))
+    first = stored(dealt.groupBy("bucket").applyInPandas(_judge_seeds(length, buckets), answer))
     undecided = first.where(F.col("kind") == OPEN).groupBy("id", "key").agg(F.collect_list("marks").alias("open"))
     text = own.join(undecided, ["id", "key"]).select("id", "key", "b", "open")
     positions = stored(arrow_map(text, _position_rows(length), POSITIONS, POSITION_TYPES))
-    ranked = stored(_doubled(positions.where("at is not null"), ["h0"], "h1"))
-    past = stored(_doubled(ranked, ["r_id", "r_at"], "h2").where("id > r_id").select("id", "key", "at", "marks"))
-    dropped(ranked)
+    turns, past = min(TURNS, buckets), []
+    for k in range(turns):
+        share = positions.where(F.col("at").isNotNull() & (F.pmod("h0", F.lit(turns)) == k))
+        ranked = stored(_doubled(share, ["h0"], "h1"))
+        past.append(stored(_doubled(ranked, ["r_id", "r_at"], "h2").where("id > r_id").select("id", "key", "at", "marks")))
+        dropped(ranked)
     marks = stored(first.where(F.col("kind") == REPEAT).select("id", "key", "marks").union(positions.where("at is null").select("id", "key", "marks")))
     dropped(first, positions)
-    return marks, past
+    return marks, functools.reduce(DataFrame.union, past)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -321,9 +376,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     nothing from each other, whether their texts are equal or not. Very long texts are taken whole, at about 100 bytes of memory
     a byte of text; no rows give no rows; other columns are ignored. Ids are whole numbers, or texts of digits; others are an error.
     """
-    marks, singles = repeated_spans(docs, length, id_col, text_col)
+    key = _key(docs, id_col, text_col)
+    marks, singles = repeated_spans(docs, length, id_col, text_col, key)
     found = marks.select("id", "key", "marks", F.lit(None).cast("int").alias("at")).union(singles.select("id", "key", "marks", "at")).groupBy("id", "key").agg(F.collect_list("marks").alias("marks"), F.collect_list("at").alias("at"))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
     types = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *[("kept", pa.binary())] * keep_text])
 
     def one(text: bytes, marks: list[bytes] | None, single: list[int] | None) -> tuple:

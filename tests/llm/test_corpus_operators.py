@@ -139,6 +139,42 @@ def test_suffix_dedup_awkward(spark, awkward, nothing):  # noqa: F811
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
+def test_suffix_dedup_disk(spark, monkeypatch):
+    """What is shuffled hardly grows with the number of buckets: rows span batches, ids of one text bring no hash of it, and packed entries are what they were. Positions are ranked in shares."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    texts = [rng.integers(97, 123, 3000, dtype=np.uint8).tobytes() for _ in range(2000)]
+    ids = pa.array(np.arange(2000) * 3 - 2500)
+    batch = pa.record_batch([ids, pa.array(np.zeros(2000, np.int64)), pa.array(texts)], names=["id", "key", "b"])
+    size = {}
+    for buckets in (50, 2000):
+        rows = [r for x in suffix_dedup._seed_rows(50, buckets)(batch) for r in zip(*x.values(), strict=True) if r[3] is not None]
+        assert len(rows) == buckets
+        size[buckets] = sum(len(pa.compress(b"".join(r[1:4]), "lz4", asbytes=True)) for r in rows)
+    n = size[50] / 26  # about 26 bytes an entry
+    assert size[2000] < 1.15 * size[50] and 300_000 < n < 450_000
+    pdf = pa.table({"bucket": [r[0] for r in rows], "ids": [r[1] for r in rows], "keys": [r[2] for r in rows], "entries": [r[3] for r in rows]}).to_pandas()
+    e, own, _ = suffix_dedup._gathered(pdf, 2000, suffix_dedup._reaches(50))
+    data, starts = suffix_dedup.packed(batch.column(2))
+    want = suffix_dedup._runs(data, starts, 50)
+    fields = lambda e, doc: sorted(zip(doc.tolist(), e["at"].tolist(), e["name"].tolist(), e["rest"].tolist(), e["n"].tolist(), e["off"].tolist(), e["part"].tolist()))
+    assert fields(e, own[e["doc"]]) == fields(want, np.asarray(ids)[want["doc"]])
+
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1000)
+    made = []
+    doubled = suffix_dedup._doubled
+    monkeypatch.setattr(suffix_dedup, "_doubled", lambda *a: made.append(a) or doubled(*a))
+    words = ["".join(rng.choice(list("abcd"), rng.integers(20, 90))) for _ in range(30)]
+    rows = [(int(i), "".join(words[k] for k in rng.integers(0, 30, 6))) for i in rng.permutation(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.suffix_dedup(docs).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
+    assert len(made) == 2 * suffix_dedup.TURNS
+    marks, _ = suffix_dedup.repeated_spans(docs)
+    assert {r.key for r in marks.select("key").distinct().collect()} == {0}
+
+
 def brute_align(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i in range(1, len(a) + 1):
