@@ -96,6 +96,43 @@ def test_near_sums_make_no_pairs(spark):
         assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_near_sums_copies_travel_packed(spark, monkeypatch):
+    """Dense lines: a row is many points of a cell, a point goes to few cells and takes few bytes, and balls over many packed rows and parts have the sums of brute force; points without a place are near nothing."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(15)
+    p = np.stack([rng.integers(1, 51, 20_000) * 0.02, rng.random(20_000), rng.integers(0, 11, 20_000) * 0.1], 1)
+    p = p[np.lexsort((p[:, 2], p[:, 1], p[:, 0]))]
+    rows = [r for b in knn._spread(0.15, 0.3)([pa.record_batch([pa.array(c) for c in p.T], names=list("xyz"))]) for r in b["points"].to_pylist()]
+    n = sum(len(c[0]) for r in rows for c in knn._unpack_lines([r], 10**9))
+    assert len(rows) < 150 and n < 8.1 * len(p)
+    assert sum(len(pa.compress(r, "lz4", asbytes=True)) for r in rows) < 8 * n
+    got = np.concatenate([np.stack(c, 1) for c in knn._unpack_lines(rows, 1000)])
+    assert {tuple(x) for x in got.tolist()} == {tuple(x) for x in p.tolist()}
+
+    monkeypatch.setattr(knn, "GATHERED", 100)
+    monkeypatch.setattr(knn, "AT_ONCE", 50)
+    p = p[::10]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)] + [(-1, None, 0.5, 0.5), (-2, float("nan"), 0.5, 0.5)], "id long, x double, y double, z double")
+    d = p[:, None] - p[None]
+    near = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2] <= 0.15 * 0.15
+    out = knn.near_sums(df.repartition(3), df.repartition(5), 0.15)
+    got = {x.id: x for x in out.collect()}
+    assert {i: x.n for i, x in got.items()} == dict(enumerate(near.sum(1).tolist()))
+    assert all(abs(got[i].syz - x) < 1e-9 for i, x in enumerate((near * d[..., 1] * d[..., 2]).sum(1)))
+    assert "points#" in out._jdf.queryExecution().executedPlan().toString()  # packed points are shuffled
+
+
+def test_numbers_leave_no_shuffle(spark):
+    """Dense numbers come from the sort itself: reading them shuffles nothing."""
+    from fusionframe.plans.numbering import dense_ids
+
+    df = spark.createDataFrame([(float(x), k) for k, x in enumerate(np.random.default_rng(1).permutation(999))], "x double, k long")
+    out = dense_ids(df.repartition(7), ["x"])
+    assert "SortMergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.count("Window") == 1
+    assert [r.id for r in out.orderBy("x").collect()] == list(range(1, 1000))
+
+
 def test_consensus_deals_groups_over_tasks(spark, monkeypatch):
     """A group over many spans of matches has the fit of the whole."""
     from fusionframe.operators import consensus
