@@ -60,6 +60,32 @@ def test_geodesic_climbs_levels(spark, monkeypatch):
         assert sorted(p) == list(range(len(p))) and p[0] == (v, 0.0) and abs(p[len(p) - 1][1] - got[v]) < 1e-9 and p[len(p) - 1][0] in (name[0], name[170])
 
 
+def test_paths_share_pieces(spark, monkeypatch):
+    """Paths of a long strip, and of one that ends apart: each hop in order. The tables before the rows have some third root of the longest path an entry a vertex, and what Spark reckons of their sizes stays a small number."""
+    from fusionframe.operators import geodesics
+
+    kept = []
+    checkpointed = geodesics.checkpointed
+    monkeypatch.setattr(geodesics, "checkpointed", lambda *a, **more: kept.append(checkpointed(*a, **more)) or kept[-1])
+    n = 600
+    up = {k: k - 2 if k > 1 else None for k in range(n)} | {1000: None, 1001: 1000}
+    pred = spark.createDataFrame([("m", k, u, None if u is None else 0.5 + k % 3) for k, u in up.items()], "mesh string, vid long, up long, w double")
+    targets = spark.createDataFrame([("m", k) for k in (*range(0, n, 7), n - 1, 1001, 2000)], "mesh string, vid long")
+    got = {}
+    for r in geodesics.trace_paths(pred, targets).collect():
+        assert got.setdefault(r.target, {}).setdefault(r.hop, (r.vid, r.gone)) == (r.vid, r.gone)
+    assert len(got) == len(set(range(0, n, 7)) | {n - 1, 1001, 2000})
+    for v, path in got.items():
+        gone = 0.0
+        for hop in range(len(path)):
+            assert path[hop][0] == v and abs(path[hop][1] - gone) < 1e-9
+            gone, v = gone + 0.5 + v % 3, up.get(v)
+        assert v is None
+    entries = [t.selectExpr("sum(size(path))").first()[0] or 0 for t in kept if "path" in t.columns]
+    assert entries and max(entries) < 8 * n
+    assert all(len(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40 for t in kept)
+
+
 def test_descriptor_blocks_are_few(spark, monkeypatch):
     """Copies of a row grow with the blocks, which stay as many while the rows grow; and the best of many blocks are those of all pairs, with copies and ranges."""
     assert {knn._count_blocks(spark.range(n), None) for n in (60_000, 120_000, 700_000)} == {knn.PARTS}
