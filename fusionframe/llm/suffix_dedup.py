@@ -35,7 +35,7 @@ from .common import SpanHash, arrow_map, byte_slices, dropped, mixed, packed, st
 SEED = 20
 OFFSETS = (0, 16, 32)  # of the names of a position; the last name ends with the string
 BATCH_BYTES = 2 << 20
-GATHER_BYTES = 16 << 20  # text whose entries are dealt out together
+GATHER_BYTES = 8 << 20  # text whose entries are dealt out together
 BUCKET_BYTES = 3 << 20
 PARTS = 3  # of the places that an anchor can have in a string; each has a digest of what its strings share
 ENTRY = np.dtype([("name", "<u8"), ("rest", "<u8"), ("at", "<u4"), ("n", "u1"), ("off", "u1"), ("doc", "<u4"), ("part", "<u2", (PARTS,))])
@@ -129,8 +129,8 @@ def _has_part(e: np.ndarray, reaches: list[tuple[int, int]]) -> np.ndarray:
     return np.stack([(off >= least) & (last <= most) for least, most in reaches], 1)
 
 
-def _packed_entries(e: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, reaches: list[tuple[int, int]]) -> dict:
-    """One row per bucket, with the documents that its entries name in the order of their ids. What the bucket says of a name, and the digests that an entry can't have, are left out."""
+def _packed_entries(e: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, reaches: list[tuple[int, int]]):
+    """One row per bucket, some MB of them at once, with the documents that its entries name in the order of their ids. What the bucket says of a name, and the digests that an entry can't have, are left out."""
     out: dict[str, list] = {n: [] for n in TYPES.names}
     place = np.lexsort((keys, ids))
     ids, keys = ids[place], keys[place]
@@ -144,14 +144,18 @@ def _packed_entries(e: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: i
     name, has = e["name"] // np.uint64(buckets), _has_part(e, reaches)
     new_bucket = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
     new_doc = (new_bucket | np.concatenate(([True], doc[1:] != doc[:-1])) if len(own) else new_bucket) & ~lone
-    cut = np.append(np.flatnonzero(new_bucket), len(own))
+    cut, size = np.append(np.flatnonzero(new_bucket), len(own)), 0
     for a, b in zip(cut, cut[1:]):
         x, docs = e[a:b], doc[a:b][new_doc[a:b]]
         told = np.where(lone[a:b], 2, new_doc[a:b]).astype(np.uint8)
         packed_ = b"".join((int(b - a).to_bytes(4, "little"), _planes(name[a:b]), x["rest"].tobytes(), _planes(x["at"]), x["n"].tobytes(), x["off"].tobytes(), told.tobytes(), x["part"][has[a:b]].tobytes()))
         for n, v in (("bucket", int(own[a])), ("ids", _planes(np.diff(ids[docs], prepend=0))), ("keys", keys[docs].tobytes()), ("entries", packed_), ("kind", None), ("marks", None)):
             out[n].append(v)
-    return out
+        size += len(packed_) + 16 * len(docs)
+        if size >= BATCH_BYTES:
+            yield out
+            out, size = {n: [] for n in TYPES.names}, 0
+    yield out
 
 
 def _unpacked_entries(data: bytes, bucket: int, buckets: int, reaches: list[tuple[int, int]]) -> np.ndarray:
@@ -217,10 +221,10 @@ def _seed_rows(length: int, buckets: int):
             gathered.append((np.concatenate((kept, marker)), ids, keys))
             size, base = size + len(data), base + len(ids)
             if size >= GATHER_BYTES:
-                yield dealt()
+                yield from dealt()
                 gathered, size, base = [], 0, 0
         if gathered:
-            yield dealt()
+            yield from dealt()
 
     return rows
 
